@@ -42,26 +42,28 @@ def _quantile_splits(df: DataFrame, col: str, n_buckets: int) -> list[float]:
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: list[str],
                    descending: bool = False, n_buckets: int = 64,
-                   prefix: str = "cum_") -> DataFrame:
-    """Inclusive running sums of ``sum_cols`` in ``order_col`` order.
+                   prefix: str = "cum_", group_cols: list[str] | None = None) -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` in ``order_col`` order,
+    separately per ``group_cols`` (bounded number of groups, e.g. folds).
 
-    ``df`` must hold one row per distinct ``order_col`` value (aggregate
-    first, which also removes any hot value). Only the bucket boundaries
-    (``n_buckets`` numbers) reach the driver."""
+    ``df`` must hold one row per distinct (group, ``order_col``) value
+    (aggregate first, which also removes any hot value). Only the bucket
+    boundaries (``n_buckets`` numbers) reach the driver."""
+    g = list(group_cols or [])
     splits = _quantile_splits(df, order_col, n_buckets)
     key = F.col(order_col).cast("double")
     b = Bucketizer(splits=splits, inputCol="_key", outputCol="_bkt").transform(
         df.withColumn("_key", key))
     if descending:
         b = b.withColumn("_bkt", -F.col("_bkt"))
-    totals = b.groupBy("_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    w_off = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per bucket: a bounded table
-    offsets = totals.select("_bkt", *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}")
-                                      for c in sum_cols])
+    totals = b.groupBy(*g, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    w_off = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (group, bucket): a bounded table
+    offsets = totals.select(*g, "_bkt", *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}")
+                                          for c in sum_cols])
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w = Window.partitionBy("_bkt").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.join(F.broadcast(offsets), "_bkt")
+    w = Window.partitionBy(*g, "_bkt").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = b.join(F.broadcast(offsets), [*g, "_bkt"])
     for c in sum_cols:
         out = out.withColumn(f"{prefix}{c}", F.col(f"_o_{c}") + F.sum(c).over(w))
     return out.drop("_key", "_bkt", *[f"_o_{c}" for c in sum_cols])
