@@ -58,29 +58,46 @@ def scale_robust(df: DataFrame, cols: list[str], suffix: str = "_scaled",
         f"{c}{suffix}": (F.col(c) - q[c][1]) / _nonzero_scale(q[c][2] - q[c][0]) for c in cols})
 
 
-def rank_pct_table(df: DataFrame, col: str) -> DataFrame:
+TIE_DECIMALS = 12
+
+
+def tie_key(c, decimals: int | None = TIE_DECIMALS) -> Column:
+    """Values equal to ``decimals`` places are ties. Aggregates such as a
+    per-customer sum of decay weights add their terms in shuffle order, so
+    mathematically equal values can differ in the last bit from run to run;
+    rounding the key keeps ranks and quantiles deterministic."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return x if decimals is None else F.round(x, decimals)
+
+
+def rank_pct_table(df: DataFrame, col: str, decimals: int | None = TIE_DECIMALS) -> DataFrame:
     """(value, pct): pandas ``rank(pct=True)`` (average ties) per distinct
     value, from a grouped count and a bucketed running total."""
-    counts = (df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
-              .groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    key = tie_key(col, decimals)
+    counts = (df.filter(key.isNotNull() & ~F.isnan(key))
+              .groupBy(key.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
     n = counts.agg(F.sum("_c")).scalar()
     cum = running_totals(counts, "_v", ["_c"])
     return cum.select("_v", ((F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2.0) / n).alias("_pct"))
 
 
-def scale_rank_pct(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame:
+def scale_rank_pct(df: DataFrame, cols: list[str], suffix: str = "_scaled",
+                   decimals: int | None = TIE_DECIMALS) -> DataFrame:
+    """Join each row to its value's percentile rank (the value table is
+    broadcast only after its size is checked)."""
     out = df
     for c in cols:
-        t = rank_pct_table(df, c).withColumnRenamed("_v", c).withColumnRenamed("_pct", f"{c}{suffix}")
-        out = join_checked(out, t, c, "left")
+        t = rank_pct_table(df, c, decimals).withColumnRenamed("_pct", f"{c}{suffix}")
+        out = join_checked(out.withColumn("_v", tie_key(c, decimals)), t, "_v", "left").drop("_v")
     return out
 
 
-def fit_quantile_knots(df: DataFrame, col: str, n_quantiles: int = 1000) -> list[tuple[float, float, float]]:
+def fit_quantile_knots(df: DataFrame, col: str, n_quantiles: int = 1000,
+                       decimals: int | None = TIE_DECIMALS) -> list[tuple[float, float, float]]:
     """Quantiles at ``n_quantiles`` evenly spaced references (capped at the
     number of non-null rows), as knots (q, first_ref, last_ref) per distinct
     quantile value. At most ``n_quantiles`` numbers reach the driver."""
-    x = F.col(col).cast("double")
+    x = tie_key(col, decimals)
     base = df.filter(x.isNotNull() & ~F.isnan(x))
     n = base.count()
     k = max(1, min(n_quantiles, n))
@@ -93,14 +110,15 @@ def fit_quantile_knots(df: DataFrame, col: str, n_quantiles: int = 1000) -> list
     return [(q, lo, hi) for q, (lo, hi) in sorted(knots.items())]
 
 
-def apply_quantile(df: DataFrame, col: str, knots: list[tuple[float, float, float]], out: str) -> DataFrame:
+def apply_quantile(df: DataFrame, col: str, knots: list[tuple[float, float, float]], out: str,
+                   decimals: int | None = TIE_DECIMALS) -> DataFrame:
     """Uniform quantile transform: a value equal to a knot maps to the middle
     of its tied references; values between knots interpolate linearly from
     the left knot's last reference to the right knot's first; values at or
     beyond the ends map to 0 and 1. Knot lookup is Bucketizer's binary
     search (JVM) plus a lookup into a literal array: no join, no UDF."""
     qs = [k[0] for k in knots]
-    x = F.col(col).cast("double")
+    x = tie_key(col, decimals)
     if len(qs) == 1:
         val = F.when(x.isNull() | F.isnan(x), F.lit(None)).otherwise(F.lit(0.0))
         return df.withColumn(out, val)
