@@ -18,5 +18,22 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
     return big.join(small, on, how)
 
 
+def persisted(df: DataFrame) -> DataFrame:
+    """``df`` persisted (memory, spilling to disk) unless it already is.
+    Used where a fit needs several passes over the same input; lost blocks
+    are recomputed from lineage, so executor loss is harmless."""
+    from pyspark import StorageLevel
+    if df.storageLevel == StorageLevel.NONE:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
+def double_array(values) -> "F.Column":
+    """A literal array<double> built from one SQL expression (one JVM call
+    instead of one per element); ``repr`` round-trips every double."""
+    body = ", ".join(f"{float(v)!r}D" for v in values)
+    return F.expr(f"array({body})") if body else F.expr("CAST(array() AS ARRAY<DOUBLE>)")
+
+
 def select_all_but(df: DataFrame, drop: list[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in set(drop)])

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,7 +135,10 @@ def with_vintage_zscore(customers: DataFrame, col: str = "weighted_default_prop"
 
 def clean_credit(credit: DataFrame, decay: float = 0.1, decay_mode: str = "position") -> DataFrame:
     """``clean_credit_records``: one row per customer with all aggregates."""
-    c = customer_aggregates(credit, decay, decay_mode)
+    # one row per customer, read by both sides of the vintage statistics
+    # join (and usually by the split and target steps): persist it once
+    # instead of recomputing the aggregation from raw rows per consumer
+    c = customer_aggregates(credit, decay, decay_mode).persist(StorageLevel.MEMORY_AND_DISK)
     c = with_vintage(with_tenure_norm(c))
     c = with_vintage_zscore(c)
     return c.select("id", "origination_month", "tenure", "default_prop",

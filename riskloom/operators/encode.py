@@ -94,6 +94,29 @@ def apply(df: DataFrame, enc: Encoder, on_unseen: str = "error") -> DataFrame:
     raise ValueError(enc.kind)
 
 
+def fit_many(df: DataFrame, cols: list[str], kind: str = "label", unknown: str = UNKNOWN) -> dict[str, Encoder]:
+    """Fit several encoders with two passes in total: an approximate
+    distinct count guards the vocabulary size, then one aggregate collects
+    every column's distinct values (bounded by that guard)."""
+    if kind == "none":
+        return {c: Encoder(c, kind, []) for c in cols}
+    if kind not in ("label", "onehot", "categorical"):
+        raise ValueError(f"unknown encoding {kind!r}")
+    vals = {c: as_category(c, unknown) for c in cols}
+    approx = df.agg(*[F.approx_count_distinct(v).alias(c) for c, v in vals.items()]).first().asDict()
+    too_big = {c: n for c, n in approx.items() if n > MAX_CATEGORIES}
+    if too_big:
+        raise ValueError(f"not categorical columns (distinct counts): {too_big}")
+    sets = df.agg(*[F.collect_set(v).alias(c) for c, v in vals.items()]).first().asDict()
+    out = {}
+    for c in cols:
+        cats = sorted(sets[c] or [])
+        if kind == "label":
+            cats = [x for x in cats if x != unknown]
+        out[c] = Encoder(c, kind, cats)
+    return out
+
+
 def encode_application(df: DataFrame, kind: str = "label",
                        encoders: dict[str, Encoder] | None = None,
                        columns: list[str] = APPLICATION_CATEGORICALS,
@@ -102,10 +125,12 @@ def encode_application(df: DataFrame, kind: str = "label",
     unless given (pass the training encoders to encode a test frame). Raw
     categories are dropped for 'label' and 'onehot'."""
     encoders = dict(encoders or {})
+    missing = [c for c in columns if c not in encoders]
+    if missing:
+        encoders.update(fit_many(df, missing, kind))
     new_cols: dict[str, Column] = {}
     for c in columns:
-        enc = encoders.get(c) or fit(df, c, kind)
-        encoders[c] = enc
+        enc = encoders[c]
         if kind == "label":
             new_cols[f"{c}_encoded"] = label_code(enc, on_unseen)
         elif kind == "onehot":

@@ -11,7 +11,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.common import join_checked
+from riskloom.operators.common import BROADCAST_MAX_ROWS, double_array, join_checked, persisted  # noqa: F401
 from riskloom.operators.ranking import running_totals
 
 _EPS10 = 10 * np.finfo(np.float64).eps  # a scale below this counts as zero
@@ -83,12 +83,24 @@ def rank_pct_table(df: DataFrame, col: str, decimals: int | None = TIE_DECIMALS)
 
 def scale_rank_pct(df: DataFrame, cols: list[str], suffix: str = "_scaled",
                    decimals: int | None = TIE_DECIMALS) -> DataFrame:
-    """Join each row to its value's percentile rank (the value table is
-    broadcast only after its size is checked)."""
+    """Join each row to its value's percentile rank.
+
+    All columns share one (column, value, count) table built in a single
+    aggregate, and one bucketed running total grouped by column. The value
+    table is broadcast only after its size is checked."""
+    df = persisted(df)
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), tie_key(c, decimals).alias("_v")) for c in cols]))
+    long = df.select(parts.alias("_p")).select("_p._col", "_p._v").filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counts = long.groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_totals(counts, "_v", ["_c"], group_cols=["_col"])
+    n = F.sum("_c").over(Window.partitionBy("_col"))
+    table = cum.select("_col", "_v", ((F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2.0) / n).alias("_pct"))
+    small = table.count() <= BROADCAST_MAX_ROWS
     out = df
     for c in cols:
-        t = rank_pct_table(df, c, decimals).withColumnRenamed("_pct", f"{c}{suffix}")
-        out = join_checked(out.withColumn("_v", tie_key(c, decimals)), t, "_v", "left").drop("_v")
+        t = table.filter(F.col("_col") == c).select("_v", F.col("_pct").alias(f"{c}{suffix}"))
+        t = F.broadcast(t) if small else t
+        out = out.withColumn("_v", tie_key(c, decimals)).join(t, "_v", "left").drop("_v")
     return out
 
 
@@ -102,7 +114,7 @@ def fit_quantile_knots(df: DataFrame, col: str, n_quantiles: int = 1000,
     n = base.count()
     k = max(1, min(n_quantiles, n))
     refs = list(np.linspace(0, 1, k))
-    qs = base.agg(F.percentile(x, F.array(*[F.lit(float(r)) for r in refs]))).first()[0]
+    qs = base.agg(F.percentile(x, double_array(refs))).first()[0]
     knots: dict[float, list[float]] = {}
     for qv, r in zip(qs, refs):
         lo_hi = knots.setdefault(float(qv), [float(r), float(r)])
@@ -125,8 +137,7 @@ def apply_quantile(df: DataFrame, col: str, knots: list[tuple[float, float, floa
     splits = [float("-inf"), *qs, float("inf")]
     bz = Bucketizer(splits=splits, inputCol="_qx", outputCol="_qb", handleInvalid="keep")
     b = bz.transform(df.withColumn("_qx", F.coalesce(x, F.lit(0.0))))
-    arr = lambda vals: F.array(*[F.lit(float(v)) for v in vals])
-    Q, LO, HI = arr(qs), arr([k[1] for k in knots]), arr([k[2] for k in knots])
+    Q, LO, HI = double_array(qs), double_array([k[1] for k in knots]), double_array([k[2] for k in knots])
     j = F.col("_qb").cast("int")  # x in [qs[j-1], qs[j]) ; 1-based element_at
     ql, qr = F.element_at(Q, j), F.element_at(Q, j + 1)
     left_hi, right_lo = F.element_at(HI, j), F.element_at(LO, j + 1)
@@ -140,10 +151,35 @@ def apply_quantile(df: DataFrame, col: str, knots: list[tuple[float, float, floa
     return b.withColumn(out, val).drop("_qx", "_qb")
 
 
+def fit_quantile_knots_many(df: DataFrame, cols: list[str], n_quantiles: int = 1000,
+                            decimals: int | None = TIE_DECIMALS) -> dict[str, list[tuple[float, float, float]]]:
+    """Knots for several columns with two passes in total: one for the
+    non-null counts, one computing every column's quantile array."""
+    keys = {c: tie_key(c, decimals) for c in cols}
+    valid = {c: F.when(~F.isnan(k), k) for c, k in keys.items()}
+    counts = df.agg(*[F.count(v).alias(c) for c, v in valid.items()]).first().asDict()
+    refs = {c: list(np.linspace(0, 1, max(1, min(n_quantiles, counts[c])))) for c in cols}
+    qrow = df.agg(*[F.percentile(valid[c], double_array(refs[c])).alias(c)
+                    for c in cols]).first().asDict()
+    out = {}
+    for c in cols:
+        knots: dict[float, list[float]] = {}
+        for qv, r in zip(qrow[c] or [], refs[c]):
+            lo_hi = knots.setdefault(float(qv), [float(r), float(r)])
+            lo_hi[1] = float(r)
+        out[c] = [(q, lo, hi) for q, (lo, hi) in sorted(knots.items())]
+    return out
+
+
 def scale_quantile(df: DataFrame, cols: list[str], suffix: str = "_scaled",
                    n_quantiles: int = 1000, fit_on: DataFrame | None = None) -> DataFrame:
-    src = fit_on if fit_on is not None else df
+    if fit_on is None:
+        df = src = persisted(df)
+    else:
+        src = persisted(fit_on)
+    knots = fit_quantile_knots_many(src, cols, n_quantiles)
     out = df
     for c in cols:
-        out = apply_quantile(out, c, fit_quantile_knots(src, c, n_quantiles), f"{c}{suffix}")
+        out = apply_quantile(out, c, knots[c], f"{c}{suffix}") if knots[c] else \
+            out.withColumn(f"{c}{suffix}", F.lit(None).cast("double"))
     return out

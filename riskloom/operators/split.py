@@ -33,17 +33,22 @@ def cdf_cutoff(accounts: DataFrame, share: float = 0.8) -> Column:
     return cdf.filter(F.col("cdf") >= share).agg(F.min("origination_month")).scalar()
 
 
-def split_accounts(credit: DataFrame, share: float = 0.8) -> DataFrame:
-    """(id, origination_month, split) with split 'old' (<= cutoff) or 'new'.
+def assign_split(accounts: DataFrame, share: float = 0.8) -> DataFrame:
+    """Adds ``split`` = 'old' (origination month <= cutoff) or 'new' to a
+    frame with one row per account and its ``origination_month``.
 
     The cutoff is a scalar subquery evaluated once and inlined as a literal,
     so the split itself is a narrow projection with no join."""
-    accounts = distinct_accounts(credit)
-    cutoff = cdf_cutoff(accounts, share)
+    cutoff = cdf_cutoff(accounts.select("id", "origination_month"), share)
     return accounts.withColumn(
         "split", F.when(F.col("origination_month") <= cutoff, "old").otherwise("new"))
 
 
+def split_accounts(credit: DataFrame, share: float = 0.8) -> DataFrame:
+    """(id, origination_month, split) straight from raw credit rows."""
+    return assign_split(distinct_accounts(credit), share)
+
+
 def split_credit(credit: DataFrame, accounts: DataFrame, split: str) -> DataFrame:
     """All raw credit rows of the accounts in one split (a semi-join)."""
     ids = accounts.filter(F.col("split") == split).select("id")

@@ -52,8 +52,7 @@ def labelled_customers(credit: DataFrame, decay_mode: str = "month", share: floa
 
     The label threshold is the training (old) quantile for both sides;
     ``threshold_scope='each'`` gives each side its own quantile."""
-    accounts = P.split_accounts(credit, share).select("id", "split")
-    customers = K.clean_credit(credit, decay_mode=decay_mode).join(accounts, "id")
+    customers = P.assign_split(K.clean_credit(credit, decay_mode=decay_mode), share)
     old = customers.filter(F.col("split") == "old").drop("split")
     new = customers.filter(F.col("split") == "new").drop("split")
     old_l, t = T.create_target(old)

@@ -25,8 +25,7 @@ def r6v(df, col):
 # ---- customers used by the scalers -------------------------------------------------
 def customers(spark, sf):
     cr = fx(spark, sf, "credit_record")
-    acc = P.split_accounts(cr).select("id", "split")
-    return K.clean_credit(cr, decay_mode="position").join(acc, "id")
+    return P.assign_split(K.clean_credit(cr, decay_mode="position"))
 
 
 CUST = CREDIT_CTES + [cust_cte("position"), CC, VZ] + SPLIT_CTES + [
