@@ -21,17 +21,26 @@ def _nonzero_scale(s: Column) -> Column:
     return F.when(s.isNull() | (F.abs(s) < _EPS10), F.lit(1.0)).otherwise(s)
 
 
-def fit_standard(df: DataFrame, cols: list[str]) -> Column:
-    """Struct scalar with mean and population std per column."""
-    fields = []
+def fit_standard(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population std per column: one aggregate job whose single
+    row (2 numbers per column) is the fitted state."""
+    aggs = []
     for c in cols:
-        fields += [F.avg(F.col(c).cast("double")).alias(f"mu_{c}"),
-                   F.stddev_pop(F.col(c).cast("double")).alias(f"sd_{c}")]
-    return df.agg(F.struct(*fields).alias("s")).scalar()
+        x = F.col(c).cast("double")
+        aggs += [F.avg(x).alias(f"mu_{c}"), F.stddev_pop(x).alias(f"sd_{c}")]
+    row = df.agg(*aggs).first()
+    return {c: (row[f"mu_{c}"], row[f"sd_{c}"]) for c in cols}
 
 
-def apply_standard(df: DataFrame, cols: list[str], stats: Column, suffix: str = "") -> DataFrame:
-    out = {f"{c}{suffix}": (F.col(c) - stats[f"mu_{c}"]) / _nonzero_scale(stats[f"sd_{c}"]) for c in cols}
+def _scale_value(sd) -> float:
+    return 1.0 if sd is None or abs(sd) < _EPS10 else float(sd)
+
+
+def apply_standard(df: DataFrame, cols: list[str], stats: dict, suffix: str = "") -> DataFrame:
+    out = {}
+    for c in cols:
+        mu, sd = stats[c]
+        out[f"{c}{suffix}"] = (F.col(c) - F.lit(float(mu) if mu is not None else None)) / F.lit(_scale_value(sd))
     return df.withColumns(out)
 
 
@@ -51,11 +60,14 @@ def scale_robust(df: DataFrame, cols: list[str], suffix: str = "_scaled",
                  fit_on: DataFrame | None = None) -> DataFrame:
     """(x - median) / (q75 - q25), linear quantiles, zero IQR -> 1."""
     src = fit_on if fit_on is not None else df
-    fields = [F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c)
-              for c in cols]
-    q = src.agg(F.struct(*fields).alias("q")).scalar()
-    return df.withColumns({
-        f"{c}{suffix}": (F.col(c) - q[c][1]) / _nonzero_scale(q[c][2] - q[c][0]) for c in cols})
+    row = src.agg(*[F.percentile(F.col(c).cast("double"), double_array([0.25, 0.5, 0.75])).alias(c)
+                    for c in cols]).first()
+    out = {}
+    for c in cols:
+        q25, q50, q75 = row[c] if row[c] is not None else (None, None, None)
+        iqr = None if q75 is None else q75 - q25
+        out[f"{c}{suffix}"] = (F.col(c) - F.lit(q50)) / F.lit(_scale_value(iqr))
+    return df.withColumns(out)
 
 
 TIE_DECIMALS = 12
