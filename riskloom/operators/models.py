@@ -94,13 +94,15 @@ def score_metrics(scored: DataFrame, threshold: float = 0.5) -> dict:
     """accuracy / f1 / roc_auc / average precision of a scored frame."""
     scored = scored.persist()
     pred = M.with_prediction(scored, threshold)
-    acc = M.accuracy(pred).first()["accuracy"]
-    f = M.f1(pred).first()
-    auc = M.roc_auc(scored).first()["roc_auc"]
-    ap = M.average_precision(scored).first()["average_precision"]
+    # one job: every metric is a scalar subquery over the same scored frame
+    row = scored.sparkSession.range(1).select(
+        M.accuracy(pred).scalar().alias("accuracy"),
+        M.f1(pred).select(F.struct("precision", "recall", "f1")).scalar().alias("prf"),
+        M.roc_auc(scored).scalar().alias("roc_auc"),
+        M.average_precision(scored).scalar().alias("average_precision")).first()
     scored.unpersist()
-    return {"accuracy": acc, "precision": f["precision"], "recall": f["recall"], "f1": f["f1"],
-            "roc_auc": auc, "average_precision": ap}
+    return {"accuracy": row["accuracy"], "precision": row["prf"]["precision"], "recall": row["prf"]["recall"],
+            "f1": row["prf"]["f1"], "roc_auc": row["roc_auc"], "average_precision": row["average_precision"]}
 
 
 def cv_run(df: DataFrame, cols: list[str], model: str = "gbt", k: int = 5, label: str = "label",

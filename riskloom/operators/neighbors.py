@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage
 from riskloom.operators.split import seeded_int
 
 METRICS = ("euclidean", "manhattan", "minkowski")
@@ -65,8 +66,10 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "euc
     metric = "euclidean" if metric == "minkowski" else metric
     spark = base.sparkSession
     need = k + 1 if exclude_self else k
-    b = base.select(F.col(id_col).alias("nid"), F.col(vec_col).cast("array<double>").alias("nvec"))
-    q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("qvec"))
+    # both sides feed several passes (pivots, cell statistics, candidates,
+    # the blocked join): write them once to the shared checkpoint folder
+    b = cut_lineage(base.select(F.col(id_col).alias("nid"), F.col(vec_col).cast("array<double>").alias("nvec")))
+    q = cut_lineage(queries.select(F.col(id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("qvec")))
 
     piv_rows = (b.withColumn("_h", seeded_int(seed, "nid")).orderBy("_h", "nid")
                 .limit(n_pivots).select("nvec").collect())
@@ -84,7 +87,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "euc
             yield pdf.assign(cell=cell.astype(np.int32),
                              dpiv=d[np.arange(len(pdf)), cell] if len(pdf) else np.zeros(0))
 
-    cells = b.mapInPandas(assign, "nid long, nvec array<double>, cell int, dpiv double")
+    cells = cut_lineage(b.mapInPandas(assign, "nid long, nvec array<double>, cell int, dpiv double"))
     stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dpiv").alias("radius")).collect()
     n_cell = np.zeros(len(pivots), dtype=np.int64)
     radius = np.zeros(len(pivots))
@@ -116,7 +119,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "euc
             yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[idx] if len(idx) else np.zeros(0, dtype=np.int64),
                                 "cell": np.array(out_c, dtype=np.int32)})
 
-    pairs = q.select("qid", "qvec").mapInPandas(candidates, "qid long, cell int")
+    pairs = cut_lineage(q.select("qid", "qvec").mapInPandas(candidates, "qid long, cell int"))
     q_per_cell = {r["cell"]: r["n"] for r in pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     # blocks per cell: bounded by the cell table (n_pivots entries)
     nb = {c: max(1, math.ceil(int(n_cell[c]) / block_rows)) for c in range(len(pivots))}

@@ -20,8 +20,25 @@ def r6(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
+_MEMO: dict = {}
+
+
+def memo(spark, key, build):
+    """Per-session memo of persisted derived inputs (fixture views, feature
+    sets), so queries that share an input compute it once."""
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
 def fx(spark, sf_dir: str, name: str) -> DataFrame:
-    return FX.load(spark, sf_dir, name)
+    """A fixture view, materialised once per session into the shared
+    checkpoint folder: it stands in for a stored input table, so it is not
+    re-derived from the driver tables by every query that reads it, and its
+    short lineage keeps later plans small."""
+    from riskloom.session import cut_lineage
+    return memo(spark, ("fx", sf_dir, name), lambda: cut_lineage(FX.load(spark, sf_dir, name)))
 
 
 class Registry:

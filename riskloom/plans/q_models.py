@@ -14,7 +14,7 @@ from riskloom.operators import models as MD
 from riskloom.operators import sampling as SM
 from riskloom.operators import scale as S
 from riskloom.plans import pipeline as PL
-from riskloom.plans.common import Registry, fx, r6, with_fixtures
+from riskloom.plans.common import Registry, fx, r6, with_fixtures  # noqa: F401
 from riskloom.plans.q_application import N18_FULL, _N18_TRAIN_COLS, round_cols
 
 R = Registry()
@@ -24,11 +24,17 @@ KNN = dict(n_pivots=16, block_rows=256)
 def feature_set(spark, sf, standardise: bool = True):
     """n18 training frame (old accounts) and test frame (new accounts);
     every feature standardised with training statistics."""
+    from riskloom.plans.common import memo
+    return memo(spark, ("features", sf, standardise), lambda: _feature_set(spark, sf, standardise))
+
+
+def _feature_set(spark, sf, standardise: bool):
     fs = PL.train_frame(fx(spark, sf, "application_record"), fx(spark, sf, "credit_record"), "n18")
     train, test = fs.train, fs.test
     if standardise:
         train, test = S.scale_standard(train, test, fs.feature_cols)
-    return train.persist(), test.persist(), fs.feature_cols
+    from riskloom.session import cut_lineage
+    return cut_lineage(train), cut_lineage(test), fs.feature_cols
 
 
 def pca_model(spark, sf):
