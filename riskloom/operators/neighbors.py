@@ -58,9 +58,14 @@ def _stack(col: pd.Series, dim: int) -> np.ndarray:
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "euclidean",
              id_col: str = "vec_id", vec_col: str = "embedding", exclude_self: bool = False,
-             n_pivots: int = 64, block_rows: int = 4096, seed: int = 42) -> DataFrame:
+             n_pivots: int | None = None, block_rows: int = 4096, seed: int = 42,
+             max_pivots: int = 4096) -> DataFrame:
     """(query_id, neighbor_id, rank, distance) for the k nearest base rows
-    of every query row; ties broken by neighbour id."""
+    of every query row; ties broken by neighbour id.
+
+    ``n_pivots`` defaults to sqrt(base rows) within [16, ``max_pivots``],
+    so cells stay near ``sqrt(n)`` rows as the data grows; only the pivot
+    vectors and the per-cell table (``n_pivots`` rows) reach the driver."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
     metric = "euclidean" if metric == "minkowski" else metric
@@ -71,6 +76,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "euc
     b = cut_lineage(base.select(F.col(id_col).alias("nid"), F.col(vec_col).cast("array<double>").alias("nvec")))
     q = cut_lineage(queries.select(F.col(id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("qvec")))
 
+    if n_pivots is None:
+        n_pivots = int(min(max_pivots, max(16, math.isqrt(max(1, b.count())))))
     piv_rows = (b.withColumn("_h", seeded_int(seed, "nid")).orderBy("_h", "nid")
                 .limit(n_pivots).select("nvec").collect())
     if not piv_rows:
@@ -102,22 +109,22 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "euc
         for pdf in it:
             qv = _stack(pdf["qvec"], dim)
             d = _dist_matrix(qv, pv, metric)
-            out_q, out_c = [], []
-            for i in range(len(pdf)):
-                order = np.argsort(d[i], kind="stable")
-                cum = np.cumsum(counts[order])
-                hit = np.searchsorted(cum, need)
-                if hit >= len(order):
-                    bound = np.inf
-                else:
-                    top = order[:hit + 1]
-                    bound = float(np.max(d[i, top] + rad[top]))
-                keep = np.nonzero((counts > 0) & (d[i] - rad <= bound))[0]
-                out_q.extend([i] * len(keep))
-                out_c.extend(keep.tolist())
-            idx = np.array(out_q, dtype=np.int64)
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[idx] if len(idx) else np.zeros(0, dtype=np.int64),
-                                "cell": np.array(out_c, dtype=np.int32)})
+            if len(pdf) == 0:
+                yield pd.DataFrame({"qid": np.zeros(0, dtype=np.int64), "cell": np.zeros(0, dtype=np.int32)})
+                continue
+            # nearest cells first; the first prefix holding `need` points bounds
+            # the k-th neighbour distance by max(d(q, pivot) + radius)
+            order = np.argsort(d, axis=1, kind="stable")
+            cum = np.cumsum(counts[order], axis=1)
+            enough = cum >= need
+            has = enough.any(axis=1)
+            hit = np.where(has, enough.argmax(axis=1), order.shape[1] - 1)
+            reach = np.take_along_axis(d + rad[None, :], order, axis=1)
+            prefix_max = np.maximum.accumulate(reach, axis=1)
+            bound = np.where(has, prefix_max[np.arange(len(pdf)), hit], np.inf)
+            keep = (counts[None, :] > 0) & (d - rad[None, :] <= bound[:, None])
+            qi, ci = np.nonzero(keep)
+            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[qi], "cell": ci.astype(np.int32)})
 
     pairs = cut_lineage(q.select("qid", "qvec").mapInPandas(candidates, "qid long, cell int"))
     q_per_cell = {r["cell"]: r["n"] for r in pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -138,29 +145,22 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "euc
         if qdf.empty or bdf.empty:
             return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []}).astype(
                 {"query_id": "int64", "neighbor_id": "int64", "distance": "float64"})
+        bdf = bdf.sort_values("nid", kind="stable")
         qv, bv = _stack(qdf["qvec"], dim), _stack(bdf["nvec"], dim)
         qid, nid = qdf["qid"].to_numpy(), bdf["nid"].to_numpy()
         d = _dist_matrix(qv, bv, metric)
         if exclude_self:
             d[qid[:, None] == nid[None, :]] = np.inf
         kk = min(k, d.shape[1])
-        out_q, out_n, out_d = [], [], []
-        for i in range(d.shape[0]):
-            row = d[i]
-            if kk < len(row):
-                cut = np.partition(row, kk - 1)[kk - 1]
-                sel = np.nonzero(row <= cut)[0]          # keep ties at the cut
-            else:
-                sel = np.arange(len(row))
-            sel = sel[np.isfinite(row[sel])]
-            order = np.lexsort((nid[sel], row[sel]))[:kk]
-            sel = sel[order]
-            out_q.extend([qid[i]] * len(sel))
-            out_n.extend(nid[sel].tolist())
-            out_d.extend(row[sel].tolist())
-        return pd.DataFrame({"query_id": np.array(out_q, dtype=np.int64),
-                             "neighbor_id": np.array(out_n, dtype=np.int64),
-                             "distance": np.array(out_d, dtype=np.float64)})
+        # columns are in id order, so a stable sort by distance is the
+        # (distance, id) order; only the best kk per query leave the task
+        top = np.argsort(d, axis=1, kind="stable")[:, :kk]
+        dist = np.take_along_axis(d, top, axis=1)
+        ok = np.isfinite(dist)
+        rows = np.repeat(np.arange(d.shape[0]), kk).reshape(d.shape[0], kk)
+        return pd.DataFrame({"query_id": qid[rows[ok]].astype(np.int64),
+                             "neighbor_id": nid[top[ok]].astype(np.int64),
+                             "distance": dist[ok].astype(np.float64)})
 
     cand = (q_side.groupBy("cell", "bblk", "qblk")
             .cogroup(b_side.groupBy("cell", "bblk", "qblk"))
