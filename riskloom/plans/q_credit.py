@@ -268,7 +268,7 @@ def q_longest_streaks(spark, sf):
     return K.longest_streaks(K.streak_islands(credit(spark, sf)))
 
 
-@R.add("consecutive_defaults_6m", sql("SELECT id, consecutive_defaults_6m FROM fe", [CF] + FE))
+@R.add("consecutive_defaults_6", sql("SELECT id, consecutive_defaults_6m FROM fe", [CF] + FE))
 def q_consecutive_defaults_6m(spark, sf):
     return K.feature_engineer(credit(spark, sf)).select("id", "consecutive_defaults_6m")
 
