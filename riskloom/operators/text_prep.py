@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as TX
+from riskloom.operators.common import spread
 
 
 def confidence_filter(df: DataFrame, threshold: float, col: str = "sentiment_score") -> DataFrame:
@@ -14,7 +15,7 @@ def confidence_filter(df: DataFrame, threshold: float, col: str = "sentiment_sco
 
 
 def prepare_financial_news(df: DataFrame, threshold: float) -> DataFrame:
-    out = df.withColumn("cleaned_headline", TX.clean_text("headline"))
+    out = spread(df).withColumn("cleaned_headline", TX.clean_text("headline"))
     if "description" in df.columns:
         out = out.withColumn("cleaned_description", TX.clean_text("description"))
     out = out.withColumn("direction_label", TX.direction_label("sentiment_label"))
@@ -22,12 +23,12 @@ def prepare_financial_news(df: DataFrame, threshold: float) -> DataFrame:
 
 
 def prepare_fiqa(df: DataFrame) -> DataFrame:
-    return (df.withColumn("cleaned_text", TX.clean_text("post_text"))
+    return (spread(df).withColumn("cleaned_text", TX.clean_text("post_text"))
             .withColumn("direction_label", F.col("label")))
 
 
 def prepare_reuters(df: DataFrame) -> DataFrame:
-    out = (df.withColumn("full_text", TX.full_text("headline", "full_text"))
+    out = (spread(df).withColumn("full_text", TX.full_text("headline", "full_text"))
            .withColumn("cleaned_text", TX.clean_text("full_text")))
     if "topics" in df.columns:
         out = out.withColumn("aspects", TX.topic_aspects("topics"))
