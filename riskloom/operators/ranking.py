@@ -67,3 +67,56 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: list[str],
     for c in sum_cols:
         out = out.withColumn(f"{prefix}{c}", F.col(f"_o_{c}") + F.sum(c).over(w))
     return out.drop("_key", "_bkt", *[f"_o_{c}" for c in sum_cols])
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], n_buckets: int = 64) -> list[float | None]:
+    """Exact linear-interpolated quantiles (pandas/numpy 'linear') that
+    scale with the data: distinct values with counts, bucketed running
+    totals for their rank ranges, then a binary search (Bucketizer) of the
+    at most 2 x len(probs) target ranks. Only those values reach the
+    driver; no task holds a value map of the whole column (Spark's exact
+    ``percentile`` merges one in a single task)."""
+    import math
+    x = F.col(col).cast("double")
+    counts = (df.select(x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+              .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")))
+    cum = running_totals(counts, "_v", ["_c"], n_buckets=n_buckets).persist()
+    n = cum.agg(F.max("cum__c")).first()[0]
+    if not n:
+        cum.unpersist()
+        return [None] * len(probs)
+    pos = [p * (n - 1) for p in probs]
+    targets = sorted({int(math.floor(t)) for t in pos} | {int(math.ceil(t)) for t in pos})
+    splits = [float("-inf"), *[t + 0.5 for t in targets], float("inf")]
+    start = (F.col("cum__c") - F.col("_c")).cast("double") - 0.5   # first rank - 0.5
+    end = (F.col("cum__c") - 1).cast("double") + 0.5                # last rank + 0.5
+    b = Bucketizer(splitsArray=[splits, splits], inputCols=["_s", "_e"], outputCols=["_a", "_b"]).transform(
+        cum.withColumn("_s", start).withColumn("_e", end))
+    tarr = F.array(*[F.lit(t) for t in targets])
+    hits = (b.filter(F.col("_b") > F.col("_a"))
+            .select("_v", F.explode(F.sequence(F.col("_a").cast("int"), F.col("_b").cast("int") - 1)).alias("_i"))
+            .select(F.element_at(tarr, F.col("_i") + 1).alias("_t"), "_v").collect())
+    cum.unpersist()
+    at = {r["_t"]: r["_v"] for r in hits}
+    out = []
+    for t in pos:
+        lo, hi = int(math.floor(t)), int(math.ceil(t))
+        out.append(at[lo] + (t - lo) * (at[hi] - at[lo]))
+    return out
+
+
+PERCENTILE_MAP_MAX = 200_000  # distinct values Spark's exact percentile may hold in one task
+
+
+def quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
+    """Exact quantiles, choosing the plan by the number of distinct values:
+    Spark's ``percentile`` when its value map is provably small (checked
+    with ``approx_count_distinct``), else ``exact_quantiles``."""
+    from riskloom.operators.common import double_array
+    x = F.col(col).cast("double")
+    valid = F.when(~F.isnan(x), x)
+    nd = df.agg(F.approx_count_distinct(valid)).first()[0]
+    if nd <= PERCENTILE_MAP_MAX:
+        r = df.agg(F.percentile(valid, double_array(probs))).first()[0]
+        return list(r) if r is not None else [None] * len(probs)
+    return exact_quantiles(df, col, probs)

@@ -59,12 +59,11 @@ def scale_standard(train: DataFrame, test: DataFrame, cols: list[str],
 def scale_robust(df: DataFrame, cols: list[str], suffix: str = "_scaled",
                  fit_on: DataFrame | None = None) -> DataFrame:
     """(x - median) / (q75 - q25), linear quantiles, zero IQR -> 1."""
-    src = fit_on if fit_on is not None else df
-    row = src.agg(*[F.percentile(F.col(c).cast("double"), double_array([0.25, 0.5, 0.75])).alias(c)
-                    for c in cols]).first()
+    from riskloom.operators.ranking import quantiles
+    src = persisted(fit_on if fit_on is not None else df)
     out = {}
     for c in cols:
-        q25, q50, q75 = row[c] if row[c] is not None else (None, None, None)
+        q25, q50, q75 = quantiles(src, c, [0.25, 0.5, 0.75])
         iqr = None if q75 is None else q75 - q25
         out[f"{c}{suffix}"] = (F.col(c) - F.lit(q50)) / F.lit(_scale_value(iqr))
     return df.withColumns(out)
@@ -171,8 +170,8 @@ def fit_quantile_knots_many(df: DataFrame, cols: list[str], n_quantiles: int = 1
     valid = {c: F.when(~F.isnan(k), k) for c, k in keys.items()}
     counts = df.agg(*[F.count(v).alias(c) for c, v in valid.items()]).first().asDict()
     refs = {c: list(np.linspace(0, 1, max(1, min(n_quantiles, counts[c])))) for c in cols}
-    qrow = df.agg(*[F.percentile(valid[c], double_array(refs[c])).alias(c)
-                    for c in cols]).first().asDict()
+    from riskloom.operators.ranking import quantiles
+    qrow = {c: (quantiles(df.select(valid[c].alias(c)), c, refs[c]) if counts[c] else None) for c in cols}
     out = {}
     for c in cols:
         knots: dict[float, list[float]] = {}

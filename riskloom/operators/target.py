@@ -14,8 +14,10 @@ COMPOSITE_METRICS = ("weighted_default_prop", "default_prop",
 
 def quantile_threshold(df: DataFrame, col: str = "default_prop", q: float = 0.8) -> Column:
     """Exact linear-interpolated quantile (pandas ``quantile``) as a lazy
-    scalar subquery. ``percentile`` aggregates partially (value -> count
-    maps), so it scales with the number of distinct values, not rows."""
+    scalar subquery. ``percentile`` keeps a value -> count map, which is
+    bounded here: ``default_prop`` is a ratio of two small integers (rows
+    per customer are bounded by the months covered). For continuous
+    columns use ``ranking.exact_quantiles``."""
     return df.agg(F.percentile(F.col(col), q)).scalar()
 
 
@@ -54,4 +56,10 @@ def composite_target(df: DataFrame, scaling: str = "quantile",
         term = F.col(f"{c}_scaled") * F.lit(float(w))
         score = term if score is None else score + term
     scored = scaled.withColumn("composite_risk_score", score)
-    return create_target(scored, col="composite_risk_score", q=q)
+    # the composite is continuous: its quantile comes from the distributed
+    # exact algorithm instead of a single-task value map
+    from riskloom.operators.common import persisted
+    from riskloom.operators.ranking import quantiles
+    scored = persisted(scored)
+    t = quantiles(scored, "composite_risk_score", [q])[0]
+    return create_target(scored, threshold=F.lit(t).cast("double"), col="composite_risk_score", q=q)

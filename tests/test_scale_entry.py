@@ -45,3 +45,13 @@ def test_entry_smoke(spark):
     assert df.count() > 0
     assert "label" in df.columns and "id" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_exact_quantiles_distributed_path(spark):
+    from riskloom.operators.ranking import exact_quantiles
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=2000), 2)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.8, 0.999, 1.0]
+    got = exact_quantiles(df, "x", probs, n_buckets=8)
+    assert np.allclose(got, np.percentile(x, [p * 100 for p in probs]), atol=1e-12)
