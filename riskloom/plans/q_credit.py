@@ -256,7 +256,7 @@ def q_max_days_past_due(spark, sf):
     return K.feature_engineer(credit(spark, sf)).select("id", "max_days_past_due")
 
 
-@R.add("streaks", sql("SELECT id, island, is_default, streak_length FROM st", [CF] + FE[:4]))
+@R.add("streaks", sql("SELECT id, CAST(island AS BIGINT) AS island, is_default, streak_length FROM st", [CF] + FE[:4]))
 def q_streaks(spark, sf):
     isl = K.streak_islands(credit(spark, sf))
     return isl.select("id", F.col("island").cast("long").alias("island"), "is_default",
