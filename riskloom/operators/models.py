@@ -105,19 +105,34 @@ def score_metrics(scored: DataFrame, threshold: float = 0.5) -> dict:
             "f1": row["prf"]["f1"], "roc_auc": row["roc_auc"], "average_precision": row["average_precision"]}
 
 
+def run_parallel(fn, items, parallelism: int = 4) -> list:
+    """Run independent driver-side fits concurrently (like
+    ``CrossValidator(parallelism=...)``): each submits its own Spark jobs,
+    so small fits share the cluster instead of queueing."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(items))) as pool:
+        return list(pool.map(fn, items))
+
+
 def cv_run(df: DataFrame, cols: list[str], model: str = "gbt", k: int = 5, label: str = "label",
-           key: str = "id", params: dict | None = None, seed: int = 42, threshold: float = 0.5) -> DataFrame:
+           key: str = "id", params: dict | None = None, seed: int = 42, threshold: float = 0.5,
+           parallelism: int = 4) -> DataFrame:
     """Stratified k-fold: fit on k-1 folds, score the held-out fold.
     Returns one row per fold (fold, accuracy, precision, recall, f1,
     roc_auc, average_precision)."""
     folded = stratified_folds(df, label=label, key=key, k=k, seed=seed).persist()
-    rows = []
-    for f in range(k):
+
+    def one(f):
         tr = folded.filter(F.col("fold") != f)
         va = folded.filter(F.col("fold") == f)
         m = score_metrics(fit_score(tr, va, cols, model, label, key, params, seed), threshold)
-        rows.append((f, *[float(m[x]) if m[x] is not None else None for x in
-                          ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")]))
+        return (f, *[float(m[x]) if m[x] is not None else None for x in
+                     ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")])
+
+    rows = run_parallel(one, range(k), parallelism)
     folded.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "fold int, accuracy double, precision double, recall double, f1 double, roc_auc double, "
@@ -140,12 +155,14 @@ def random_subset(combos: list[dict], n: int, seed: int = 42) -> list[dict]:
 def search(df: DataFrame, cols: list[str], model: str, combos: list[dict], k: int = 3,
            label: str = "label", key: str = "id", seed: int = 42, metric: str = "f1") -> DataFrame:
     """Mean CV metric for each parameter combination (search_results)."""
-    rows = []
-    for i, p in enumerate(combos):
-        folds = cv_run(df, cols, model, k, label, key, p, seed)
+    def one(ip):
+        i, p = ip
+        folds = cv_run(df, cols, model, k, label, key, p, seed, parallelism=k)
         agg = folds.agg(*[F.avg(m).alias(m) for m in ("accuracy", "f1", "roc_auc")]).first()
-        rows.append((i, str(sorted(p.items())), float(agg["accuracy"]), float(agg["f1"]),
-                     float(agg["roc_auc"]) if agg["roc_auc"] is not None else None))
+        return (i, str(sorted(p.items())), float(agg["accuracy"]), float(agg["f1"]),
+                float(agg["roc_auc"]) if agg["roc_auc"] is not None else None)
+
+    rows = run_parallel(one, list(enumerate(combos)), parallelism=2)
     return df.sparkSession.createDataFrame(rows, "combo int, params string, accuracy double, f1 double, roc_auc double")
 
 
