@@ -41,6 +41,8 @@ def spread(df: DataFrame) -> DataFrame:
     CPU-heavy per-row work such as regex passes over whole texts). On a
     cluster reading many files this is a no-op; Spark sorts before a
     round-robin repartition, so a recomputed partition is identical."""
+    if df.isStreaming:
+        return df
     par = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < par:
         return df.repartition(par)
