@@ -77,8 +77,8 @@ def _position_decay(monthly: DataFrame, decay: float) -> DataFrame:
         * (F.lit(1.0) - F.pow(F.lit(q), F.col("n_default"))) / F.lit(1.0 - q))
 
 
-def customer_aggregates(credit: DataFrame, decay: float = 0.1,
-                        decay_mode: str = "position") -> DataFrame:
+def customer_aggregates(credit: DataFrame | None, decay: float = 0.1,
+                        decay_mode: str = "position", monthly: DataFrame | None = None) -> DataFrame:
     """Per customer: origination_month, tenure, default_prop,
     weighted_default_prop, risk_score.
 
@@ -133,12 +133,13 @@ def with_vintage_zscore(customers: DataFrame, col: str = "weighted_default_prop"
             .drop("_mu", "_sd"))
 
 
-def clean_credit(credit: DataFrame, decay: float = 0.1, decay_mode: str = "position") -> DataFrame:
+def clean_credit(credit: DataFrame | None, decay: float = 0.1, decay_mode: str = "position",
+                 monthly: DataFrame | None = None) -> DataFrame:
     """``clean_credit_records``: one row per customer with all aggregates."""
     # one row per customer, read by both sides of the vintage statistics
     # join (and usually by the split and target steps): persist it once
     # instead of recomputing the aggregation from raw rows per consumer
-    c = customer_aggregates(credit, decay, decay_mode).persist(StorageLevel.MEMORY_AND_DISK)
+    c = customer_aggregates(credit, decay, decay_mode, monthly).persist(StorageLevel.MEMORY_AND_DISK)
     c = with_vintage(with_tenure_norm(c))
     c = with_vintage_zscore(c)
     return c.select("id", "origination_month", "tenure", "default_prop",
@@ -178,11 +179,11 @@ def longest_streaks(islands: DataFrame) -> DataFrame:
         .cast("long").alias("longest_default_streak"))
 
 
-def feature_engineer(credit: DataFrame, last_rows: int = 6) -> DataFrame:
+def feature_engineer(credit: DataFrame | None, last_rows: int = 6, monthly: DataFrame | None = None) -> DataFrame:
     """Delinquency features per id: max_days_past_due,
     longest_(non_)default_streak, consecutive_defaults_6m,
     recency_last_bad_status (-1 when the id never defaulted)."""
-    monthly = monthly_series(credit)
+    monthly = monthly if monthly is not None else monthly_series(credit)
     segs = _segments(monthly)
     w = Window.partitionBy("id").orderBy("months_balance", "kind")
     prev = F.lag("kind").over(w)

@@ -47,12 +47,12 @@ class FeatureSet:
 
 
 def labelled_customers(credit: DataFrame, decay_mode: str = "month", share: float = 0.8,
-                       threshold_scope: str = "train") -> tuple[DataFrame, DataFrame]:
+                       threshold_scope: str = "train", monthly: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(old, new) customer aggregates with ``multi_dim_target``.
 
     The label threshold is the training (old) quantile for both sides;
     ``threshold_scope='each'`` gives each side its own quantile."""
-    customers = P.assign_split(K.clean_credit(credit, decay_mode=decay_mode), share)
+    customers = P.assign_split(K.clean_credit(credit, decay_mode=decay_mode, monthly=monthly), share)
     old = customers.filter(F.col("split") == "old").drop("split")
     new = customers.filter(F.col("split") == "new").drop("split")
     old_l, t = T.create_target(old)
@@ -78,8 +78,12 @@ def labelled_train_frame(application: DataFrame, credit: DataFrame) -> DataFrame
 def train_frame_n18(application: DataFrame, credit: DataFrame,
                     threshold_scope: str = "train") -> FeatureSet:
     app, encoders = C.clean_application(application, variant="n18")
-    old, new = labelled_customers(credit, decay_mode="month", threshold_scope=threshold_scope)
-    feats = K.feature_engineer(credit)
+    # one shuffle of the raw credit rows feeds both the label aggregates and
+    # the delinquency features: the compact (id, month) series is persisted
+    from pyspark import StorageLevel
+    monthly = K.monthly_series(credit).persist(StorageLevel.MEMORY_AND_DISK)
+    old, new = labelled_customers(credit, decay_mode="month", threshold_scope=threshold_scope, monthly=monthly)
+    feats = K.feature_engineer(None, monthly=monthly)
     keep = ["id", F.col("multi_dim_target").alias("label")]
     train = app.join(old.select(*keep).join(feats, "id", "left"), "id")
     test = app.join(new.select(*keep).join(feats, "id", "left"), "id")
