@@ -62,3 +62,23 @@ def test_running_totals_match_cumsum(spark):
     order = np.argsort(vals)
     cum = np.cumsum(w[order])
     assert all(got[vals[i]] == c for i, c in zip(order, cum))
+
+
+def test_position_within_hot_group(spark):
+    """A class holding 99% of the rows gets dense, unique positions without
+    a single-partition window, and folds stay within one row of each other."""
+    from pyspark.sql import functions as F
+    from riskloom.operators.ranking import position_within
+    from riskloom.operators.split import seeded_int, stratified_folds
+    df = spark.range(20000).withColumn("label", (F.col("id") % 100 == 0).cast("int"))
+    pos = position_within(df.withColumn("_h", seeded_int(7, "id")), ["label"], ["_h", "id"], n_buckets=32)
+    stats = {r["label"]: r for r in pos.groupBy("label").agg(
+        F.count("*").alias("n"), F.countDistinct("_pos").alias("d"), F.min("_pos").alias("lo"),
+        F.max("_pos").alias("hi")).collect()}
+    for r in stats.values():
+        assert r["d"] == r["n"] and r["lo"] == 0 and r["hi"] == r["n"] - 1
+    folds = stratified_folds(df, label="label", key="id", k=5)
+    sizes = {}
+    for r in folds.groupBy("label", "fold").count().collect():
+        sizes.setdefault(r["label"], []).append(r["count"])
+    assert all(max(v) - min(v) <= 1 for v in sizes.values())
