@@ -184,11 +184,16 @@ def knn_grid_scores(df: DataFrame, cols: list[str] | None = None, label: str = "
     folded = stratified_folds(base, label="label", key="vec_id", k=folds, seed=seed).persist()
     kmax = max(ks)
     parts = []
+    tables: dict = {}
     for metric in metrics:
+        # minkowski with p=2 is the euclidean metric: one neighbour table serves both
+        base_metric = "euclidean" if metric == "minkowski" else metric
         for f in range(folds):
-            q = folded.filter(F.col("fold") == f)
-            b = folded.filter(F.col("fold") != f)
-            nn = knn_join(q, b, k=kmax, metric=metric, **knn_kw)
+            if (base_metric, f) not in tables:
+                q = folded.filter(F.col("fold") == f)
+                b = folded.filter(F.col("fold") != f)
+                tables[(base_metric, f)] = knn_join(q, b, k=kmax, metric=base_metric, **knn_kw)
+            nn = tables[(base_metric, f)]
             parts.append(nn.withColumn("fold", F.lit(f)).withColumn("metric", F.lit(metric)))
     nn = parts[0]
     for p in parts[1:]:
