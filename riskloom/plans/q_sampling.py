@@ -226,7 +226,19 @@ def q_tomek_links(spark, sf):
     return SM.tomek_links(vectors(spark, sf), key="vec_id", **KNN)
 
 
-@R.add("smote_tomek")
+ST = MNN + [
+    ("res", """SELECT vec_id, label, embedding FROM vectors
+UNION ALL SELECT -(draw + 1), label, embedding FROM syn"""),
+    ("nn1", """SELECT * FROM (SELECT a.vec_id AS q, b.vec_id AS n, row_number() OVER
+  (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding, b.embedding), b.vec_id) AS rk
+  FROM res a JOIN res b ON a.vec_id <> b.vec_id) WHERE rk = 1"""),
+    ("links", """SELECT x.q AS a, x.n AS b FROM nn1 x JOIN nn1 y ON x.q = y.n AND x.n = y.q
+JOIN res ra ON ra.vec_id = x.q JOIN res rb ON rb.vec_id = x.n WHERE ra.label <> rb.label"""),
+]
+
+
+@R.add("smote_tomek", vsql(f"""SELECT vec_id, label, {ROUNDV} AS embedding FROM res
+WHERE vec_id NOT IN (SELECT a FROM links UNION SELECT b FROM links)""", ST))
 def q_smote_tomek(spark, sf):
     return r6v(SM.smote_tomek(vectors(spark, sf), key="vec_id", **KNN), "embedding")
 
