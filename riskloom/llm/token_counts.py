@@ -138,7 +138,8 @@ class Counter:
             n = self.first.find(h).astype(np.int64)
             miss = np.flatnonzero(n < 0)
             if len(miss):
-                n[miss] = self.store.data[self.second.rows(buf, starts, ends, h, miss)[miss]]
+                rows = self.second.rows(buf, starts, ends, h, miss)[miss]
+                n[miss] = self.store.data[rows]  # after the lookup, which may grow the store
             total += np.bincount(ids[which], weights=n, minlength=len(raw)).astype(np.int64)
         return size, total
 
