@@ -5,12 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from riskloom.llm import kk_packing as KK
+from riskloom.llm import simhash_tiles as SH
 from riskloom.llm import token_counts as TC
 from riskloom.plans.common import Registry
 from riskloom.sources.tables import read_table
 
 R = Registry()
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@R.add("op3_kk_packing")
+def op3(spark, sf_dir):
+    return KK.pack(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
+@R.add("op7_simhash_tiles")
+def op7(spark, sf_dir):
+    return SH.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
 @R.add("op8_token_counts")
