@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from riskloom.llm import byte_gru as BG
 from riskloom.llm import kk_packing as KK
 from riskloom.llm import simhash_tiles as SH
 from riskloom.llm import token_counts as TC
+from riskloom.llm import toxicity_fst as TX
 from riskloom.plans.common import Registry
 from riskloom.sources.tables import read_table
 
@@ -21,6 +23,21 @@ def op3(spark, sf_dir):
     return KK.pack(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+@R.add("op4_toxicity_fst")
+def op4(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(~BG.held_out(4, 2))
+    docs = docs.withColumn("held_out", BG.held_out(4, 2))
+    return TX.score_toxicity(docs, TX.fit_toxicity(docs, labels), "doc_id", "held_out")
+
+
+@R.add("op6_byte_gru")
+def op6(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", BG.held_out(3, 1))
+    model, names = BG.fit_language_model(docs.where("NOT held_out"))
+    return BG.predict_language(docs.select("doc_id", "text", "held_out"), model, names).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @R.add("op7_simhash_tiles")
 def op7(spark, sf_dir):
     return SH.simhash_components(read_table(spark, sf_dir, "documents"))
