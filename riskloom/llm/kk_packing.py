@@ -36,6 +36,7 @@ from riskloom.session import checkpoint_dir, ship_package
 WINDOW = 2048
 MAX_PIECE = 512
 GROUP = 2048
+GROUPS_PER_TASK = 32
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -211,5 +212,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, max_piece: int = MAX_
         ids = (key[0].as_py() * 2**32 + where) * 2
         return table.append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    packed = (rest.withColumn("_group", F.pmod(F.xxhash64("_at"), F.lit(groups))).groupBy("_group").applyInArrow(run, PACKED))
+    # few bytes but much work: tasks by number of groups, not by size
+    tasks = max(math.ceil(groups / GROUPS_PER_TASK), min(groups, docs.sparkSession.sparkContext.defaultParallelism))
+    packed = (rest.withColumn("_group", F.pmod(F.xxhash64("_at"), F.lit(groups))).repartition(tasks, "_group")
+              .groupBy("_group").applyInArrow(run, PACKED))
     return full.unionByName(packed)
