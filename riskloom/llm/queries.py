@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import byte_gru as BG
 from riskloom.llm import chat_events as CE
 from riskloom.llm import kk_packing as KK
+from riskloom.llm import multi_index as MI
 from riskloom.llm import simhash_tiles as SH
 from riskloom.llm import token_counts as TC
 from riskloom.llm import toxicity_fst as TX
@@ -57,3 +58,8 @@ def op7(spark, sf_dir):
 @R.add("op8_token_counts")
 def op8(spark, sf_dir):
     return TC.token_counts(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+@R.add("op9_multi_index")
+def op9(spark, sf_dir):
+    return MI.near_duplicates(read_table(spark, sf_dir, "embeddings"))
