@@ -9,6 +9,7 @@ from riskloom.llm import byte_gru as BG
 from riskloom.llm import chat_events as CE
 from riskloom.llm import kk_packing as KK
 from riskloom.llm import multi_index as MI
+from riskloom.llm import quality_rules as QR
 from riskloom.llm import simhash_tiles as SH
 from riskloom.llm import token_counts as TC
 from riskloom.llm import toxicity_fst as TX
@@ -20,6 +21,12 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+@R.add("op2_quality_rules")
+def op2(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return QR.judge(docs, QR.fit_rules(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality")))
+
+
 @R.add("op3_kk_packing")
 def op3(spark, sf_dir):
     return KK.pack(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
