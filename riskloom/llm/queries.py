@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import byte_gru as BG
 from riskloom.llm import chat_events as CE
 from riskloom.llm import kk_packing as KK
+from riskloom.llm import lattice as LA
 from riskloom.llm import multi_index as MI
 from riskloom.llm import quality_rules as QR
 from riskloom.llm import simhash_tiles as SH
@@ -70,3 +71,8 @@ def op8(spark, sf_dir):
 @R.add("op9_multi_index")
 def op9(spark, sf_dir):
     return MI.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@R.add("op10_lattice")
+def op10(spark, sf_dir):
+    return LA.encode_documents(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
