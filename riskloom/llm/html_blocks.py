@@ -381,7 +381,8 @@ def training_page(rng: np.random.Generator) -> tuple[str, list[int]]:
         for _ in range(int(rng.choice([0, 1, 2, 3, 5, 8, 14, 25]))):
             r = rng.random()
             if r < 0.82:
-                leaf("p", words(int(rng.choice([1, 3, 8, 20, 45, 90]))), 1)
+                stock = str(rng.choice(_STOCK[str(rng.choice(list(_STOCK)))]))  # an article may say such things too
+                leaf("p", stock if rng.random() < 0.1 else words(int(rng.choice([1, 2, 3, 4, 8, 20, 45, 90]))), 1)
             elif r < 0.87:
                 leaf(str(rng.choice(["h2", "h3"])), words(4, False), 1)
             elif r < 0.91:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import byte_gru as BG
 from riskloom.llm import chat_events as CE
+from riskloom.llm import html_blocks as HB
 from riskloom.llm import kk_packing as KK
 from riskloom.llm import lattice as LA
 from riskloom.llm import multi_index as MI
@@ -22,6 +23,11 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+@R.add("op1_html_blocks")
+def op1(spark, sf_dir):
+    return HB.extract_text(read_table(spark, sf_dir, "pages"), HB.train_labeller())
+
+
 @R.add("op2_quality_rules")
 def op2(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
