@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.llm import segments as S
+from riskloom.llm.rowwise import add_from_text
 from riskloom.session import ship_package
 
 HIDDEN = 20
@@ -266,28 +267,22 @@ def fit_language_model(labelled: DataFrame, **sample) -> tuple[ByteTagger | None
     return ByteTagger(len(names)).fit(runs, np.searchsorted(np.array(names), np.array(langs))), names
 
 
-def predict_language(docs: DataFrame, tagger: ByteTagger | None, names: list[str]) -> DataFrame:
-    """Columns of ``docs`` and ``lang_pred``, ``score`` (they replace columns of those names)."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast((tagger, names))
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict_language(docs: DataFrame, tagger: ByteTagger | None, names: list[str], kept: list[str]) -> DataFrame:
+    """Columns ``kept`` of ``docs``, ``lang_pred`` and ``score`` for every row."""
+    shared = docs.sparkSession.sparkContext.broadcast((tagger, names))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         model, langs = shared.value
         reader = LanguageReader(model) if model else None
-        for b in batches:
-            texts = b.column("row").field("text").to_pylist()
-            if reader:
-                p, n = reader(texts)
-                best = p.argmax(1)
-                pred = [langs[k] if m else UNKNOWN for k, m in zip(best, n)]
-                score = np.where(n > 0, p[np.arange(len(p)), best], 0.0)
-            else:
-                pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())],
-                                             names=[*b.schema.names, "lang_pred", "score"])
-
-    return rows.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
+
+        def compute(texts: list) -> list[pa.Array]:
+            if not reader:
+                return [pa.array([UNKNOWN] * len(texts), pa.string()), pa.array(np.zeros(len(texts)))]
+            p, n = reader(texts)
+            best = p.argmax(1)
+            pred = [langs[k] if m else UNKNOWN for k, m in zip(best, n)]
+            score = np.where(n > 0, p[np.arange(len(p)), best], 0.0)
+            return [pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1))]
+        return compute
+
+    return add_from_text(docs, kept, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)

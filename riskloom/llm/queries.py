@@ -44,7 +44,8 @@ def op4(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").where(~BG.held_out(4, 2))
     docs = docs.withColumn("held_out", BG.held_out(4, 2))
-    return TX.score_toxicity(docs, TX.fit_toxicity(docs, labels), "doc_id", "held_out")
+    scored = TX.score_toxicity(docs, TX.fit_toxicity(docs, labels), ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), F.col("toxic").cast("int").alias("predicted"))
 
 
 @R.add("op5_chat_events")
@@ -61,7 +62,7 @@ def op5(spark, sf_dir):
 def op6(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", BG.held_out(3, 1))
     model, names = BG.fit_language_model(docs.where("NOT held_out"))
-    return BG.predict_language(docs.select("doc_id", "text", "held_out"), model, names).select("doc_id", "held_out", "lang_pred", "score")
+    return BG.predict_language(docs, model, names, ["doc_id", "held_out"])
 
 
 @R.add("op7_simhash_tiles")

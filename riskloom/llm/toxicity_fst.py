@@ -22,9 +22,6 @@ empty result.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.llm import segments as S
-from riskloom.session import ship_package
+from riskloom.llm.rowwise import add_from_text
 
 SAMPLE_DOCS = 4000
 LEXICON = 20_000
@@ -115,7 +112,7 @@ def _target(scope, symbol):
 
 GRAMMAR = Transducer(_negation).then(Transducer(_reported)).then(Transducer(_threat)).then(Transducer(_target))
 MATCHES = {INSULT: 0, AIMED: 1, NEGATED: 2, QUOTED: 3, THREAT: 4}
-FEATURES = [*(f"f{i}" for i in range(7))]  # weights by kind of match, strongest clause, matched clauses (log)
+FEATURES = [f"clause_feature_{i}" for i in range(7)]  # weights by kind of match, strongest clause, matched clauses (log)
 PRIOR = np.array([0.5, 0.7, 0.1, 0.15, 4.0, 0.3, 0.5, -3.0])
 PULL = 1e-4
 FLOOR = np.array([0.0, 0.0, -1.0, -1.0, 1.0, 0.0, 0.0, -9.0])
@@ -229,20 +226,15 @@ def learn_lexicon(sample: DataFrame, limit: int = LEXICON) -> Lexicon:
                    {r["key"][:-1]: r["odds"] for r in found if r["key"].endswith("*")})
 
 
-def clause_features(docs: DataFrame, lexicon: Lexicon, *kept: str) -> DataFrame:
+def clause_features(docs: DataFrame, lexicon: Lexicon, kept: list[str]) -> DataFrame:
     """Columns ``kept`` and the features of ``text``, one row per row."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         reader = ClauseReader(shared.value)
-        for b in batches:
-            f = reader(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(x) for x in f.T)], names=[*kept, *FEATURES])
+        return lambda texts: [pa.array(x) for x in reader(texts).T]
 
-    schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(name, T.DoubleType()) for name in FEATURES)])
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return add_from_text(docs, kept, [T.StructField(name, T.DoubleType()) for name in FEATURES], make)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, share: float, steps: int = 30) -> np.ndarray:
@@ -271,15 +263,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOC
     known = {r["toxic"]: r["count"] for r in labels.where("toxic IS NOT NULL").groupBy("toxic").count().collect()}
     sample = labelled_sample(docs, labels, per_class)
     lexicon = learn_lexicon(sample)
-    rows = np.array([list(r) for r in clause_features(sample, lexicon, "y").collect()], float).reshape(-1, 1 + len(FEATURES))
+    rows = np.array([list(r) for r in clause_features(sample, lexicon, ["y"]).collect()], float).reshape(-1, 1 + len(FEATURES))
     share = known.get(1, 0) / max(1, sum(known.values()))
     return ToxicityModel(lexicon, fit_weights(rows[:, 1:], rows[:, 0], share) if len(rows) else PRIOR.copy())
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, *kept: str) -> DataFrame:
-    """Columns ``kept``, ``score`` and ``predicted`` for every row."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, kept: list[str]) -> DataFrame:
+    """Columns ``kept``, ``toxicity`` (0 to 1) and ``toxic`` for every row."""
     terms = F.lit(float(model.weights[-1]))
     for name, w in zip(FEATURES, model.weights):
         terms = terms + F.col(name) * float(w)
-    f = clause_features(docs, model.lexicon, *kept).select(*kept, (1 / (1 + F.exp(-terms))).alias("score"))
-    return f.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    f = clause_features(docs, model.lexicon, kept).withColumn("toxicity", 1 / (1 + F.exp(-terms)))
+    return f.select(*[F.col(f"`{c}`") for c in kept], "toxicity", (F.col("toxicity") >= THRESHOLD).alias("toxic"))
