@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,17 +76,17 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def _encoded(model: PieceModel, texts: pd.Series) -> list[bytes]:
-    return [model.text_bytes(t) if isinstance(t, str) else b"" for t in texts]
+def _encoded(model: PieceModel, texts: list[str | None]) -> list[bytes]:
+    return [model.text_bytes(t) if t else b"" for t in texts]
 
 
-def _candidates(path: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _candidates(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The most frequent pre-tokens of a task, counted with bounded memory:
     whenever more than WATCHED are held, the least frequent half goes."""
     model = piece_model(path)
     held: dict[int, list] = {}
-    for pdf in batches:
-        for _, parts in S.chunks([t for t in _encoded(model, pdf["text"]) if t], model.cut):
+    for b in batches:
+        for _, parts in S.chunks([t for t in _encoded(model, b.column("text").to_pylist()) if t], model.cut):
             buf, arr, starts, ends, _ = S.cuts(parts, model.cut)
             u, first, n = np.unique(S.hash_segments(arr, starts, ends), return_index=True, return_counts=True)
             top = np.argsort(-n, kind="stable")[:4 * CANDIDATES]
@@ -98,12 +98,12 @@ def _candidates(path: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataF
             if len(held) > WATCHED:
                 held = dict(sorted(held.items(), key=lambda x: -x[1][1])[:WATCHED // 2])
     best = sorted(held.values(), key=lambda x: (-x[1], x[0]))[:CANDIDATES]
-    yield pd.DataFrame({"part": [b for b, _ in best], "n": [n for _, n in best]})
+    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], names=["part", "n"])
 
 
 def frequent_lengths(docs: DataFrame, path: str, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, lengths) of at most ``limit`` frequent pre-tokens."""
-    found = (docs.select("text").mapInPandas(lambda b: _candidates(path, b), "part binary, n long")
+    found = (docs.select("text").mapInArrow(lambda b: _candidates(path, b), "part binary, n long")
              .groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(limit).collect())
     parts = [bytes(r["part"]) for r in found]
     if not parts:
@@ -125,7 +125,7 @@ class Counter:
         self.store = S.Rows(np.int32)
         self.second = S.SegmentCache(lambda parts: self.store.append(self.model.lengths(parts)), self.store.reset)
 
-    def count(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes and tokens of each text."""
         raw = _encoded(self.model, texts)
         size = np.fromiter((max(0, len(b) - 1) + 2 * t.count("▁") if b else 0 for b, t in zip(raw, texts)), np.int64, len(raw))
@@ -155,14 +155,15 @@ def token_counts(docs: DataFrame, path: str, frequent: int = FREQUENT, limit: in
     app, at = spark.sparkContext.applicationId, zlib.crc32(table[0].tobytes())
     shared = spark.sparkContext.broadcast(table)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (path, app, at)  # a Python worker keeps its caches from task to task
         counter = _COUNTERS.get(key)
         if counter is None:
             _COUNTERS.clear()
             counter = _COUNTERS[key] = Counter(path, *shared.value)
-        for pdf in batches:
-            size, n = counter.count(pdf["text"])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": size, "n_tokens": n, "over_limit": n > limit})
+        for b in batches:
+            size, n = counter.count(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(n), pa.array(n > limit)],
+                                             names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
