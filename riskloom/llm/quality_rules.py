@@ -50,39 +50,51 @@ RATIOS = {
 }
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value computed once. Lambdas may use it element by element;
+    a plain column could be replaced there by its whole expression when the
+    optimizer moves a filter below the projection that makes it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(words: Column) -> Column:
+    """A hash of each window of WINDOW words."""
+    starts = F.sequence(F.lit(1), F.size(words) - WINDOW + 1)
+    return F.when(F.size(words) >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _covered(hashes: Column) -> Column:
+    """Words inside windows whose hash occurs twice or more. Only texts with an
+    equal pair go on to sort the windows and find where they stand."""
+    def same(s: Column, k: Column, x: Column) -> Column:
+        return F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    places = _let(ordered, lambda s: F.sort_array(F.transform(
+        F.filter(s, lambda x, k: same(s, k - 1, x) | same(s, k + 1, x)), lambda x: x["i"])))
+    # words of a window that the window before it doesn't cover
+    count = F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+                        lambda a, p: F.struct((a["n"] + p + WINDOW - F.greatest(a["end"], p)).alias("n"), (p + WINDOW).alias("end")),
+                        lambda a: a["n"])
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), count).otherwise(0)
+
+
 def text_statistics(docs: DataFrame, *kept: str) -> DataFrame:
-    """Columns ``kept`` and the statistics of ``text``. Filters on statistics
-    belong behind a written table: the optimizer would move them below the
-    steps and compute every statistic again inside the condition."""
+    """Columns ``kept`` and the statistics of ``text``."""
     base = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_t"))
-    words = base.select(*kept, "_t", F.split(F.trim("_t", F.lit(_BLANKS)), f"[{_BLANK}]+").alias("_w"))
-    counted = words.select(
-        *kept, "_w", F.when(F.get("_w", F.lit(0)) == "", 0).otherwise(F.size("_w")).cast("long").alias("n_words"),
-        F.filter(F.split("_t", "\n"), lambda x: F.trim(x, F.lit(_BLANKS)) != "").alias("_l"),
-        F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace("_t", r"[^A-Z]+", "")).cast("long").alias("n_capitals"),
-        F.length(F.regexp_replace("_t", r"[^0-9]+", "")).cast("long").alias("n_digits"),
-        (F.length("_t") - F.length(F.replace("_t", F.lit("!"), F.lit("")))).cast("long").alias("n_bangs"))
-    window = F.when(F.col("n_words") >= WINDOW, F.transform(
-        F.sequence(F.lit(1), (F.col("n_words") - WINDOW + 1).cast("int")), lambda i: F.xxhash64(F.slice("_w", i, F.lit(WINDOW))))).otherwise(
-        F.array().cast("array<bigint>"))
-    hashed = counted.select(
-        *kept, "n_words", "n_symbols", "n_capitals", "n_digits", "n_bangs", F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct_words"), window.alias("_h"))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_capitals", "n_digits", "n_bangs", "n_lines", "n_distinct_words"]
-    # only texts with an equal pair of windows go on to find where they stand
-    ordered = hashed.select(*kept, *names, F.when(
-        F.size(F.array_distinct("_h")) < F.size("_h"),
-        F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_s"))
-    same = lambda k, x: F.coalesce(F.get("_s", k)["h"] == x["h"], F.lit(False))
-    places = ordered.select(*kept, *names, F.sort_array(F.transform(
-        F.filter("_s", lambda x, k: same(k - 1, x) | same(k + 1, x)), lambda x: x["i"])).alias("_p"))
-    # words of a window that the window before it doesn't cover
-    repeated = F.aggregate("_p", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-                           lambda a, p: F.struct((a["n"] + p + WINDOW - F.greatest(a["end"], p)).alias("n"), (p + WINDOW).alias("end")),
-                           lambda a: a["n"])
-    return places.select(*kept, *names, F.coalesce(repeated, F.lit(0)).cast("long").alias("n_repeat_words"))
+    words = base.select(*kept, "_t", F.split(F.trim("_t", F.lit(_BLANKS)), f"[{_BLANK}]+").alias("_w"),
+                        F.filter(F.split("_t", "\n"), lambda x: F.trim(x, F.lit(_BLANKS)) != "").alias("_l"))
+    long = lambda c: c.cast("long")
+    return words.select(
+        *kept, long(F.when(F.get("_w", F.lit(0)) == "", 0).otherwise(F.size("_w"))).alias("n_words"),
+        long(F.length(F.array_join("_w", ""))).alias("word_chars"),
+        long(F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", ""))).alias("n_symbols"),
+        long(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
+        long(F.length(F.regexp_replace("_t", r"[^A-Z]+", ""))).alias("n_capitals"),
+        long(F.length(F.regexp_replace("_t", r"[^0-9]+", ""))).alias("n_digits"),
+        long(F.length("_t") - F.length(F.replace("_t", F.lit("!"), F.lit("")))).alias("n_bangs"),
+        long(F.size("_l")).alias("n_lines"), long(F.size(F.array_distinct("_w"))).alias("n_distinct_words"),
+        long(_let(F.col("_w"), lambda w: _let(_windows(w), _covered))).alias("n_repeat_words"))
 
 
 @dataclass(frozen=True)
