@@ -8,9 +8,14 @@ of the distance of their centres until the target recall is reached. How far tha
 is, is calibrated on a bounded sample with the hardest partners there are:
 synthetic vectors at exactly the threshold cosine in random directions. A pair of
 cells is compared if either one's traversal visits the other, so the relation is
-symmetric. Cells are divided into blocks of bounded size; each pair of blocks is
-verified exactly in double precision, and gives link counts per vector and a
-spanning forest of its links, never the links themselves.
+symmetric.
+
+Neighbouring cells of the grid are bundled into units of about ``UNIT`` vectors
+(a hot unit is divided by a hash into blocks of that size), and vectors are sent
+once per pair of blocks that has cells to compare, not once per pair of cells:
+that keeps the shuffle small. In a pair of blocks only the visiting pairs of
+cells are verified, exactly, in double precision, and the result is link counts
+per vector and a spanning forest of the links, never the links themselves.
 
 Codebooks are fitted on at most about ``SAMPLE`` vectors; their size grows with
 the square root of the number of vectors so that cells keep their size.
@@ -41,7 +46,8 @@ THRESHOLD = 0.9
 RECALL = 0.995
 SAMPLE = 20_000
 CELL = 64
-BLOCK = 512
+UNIT = 8192
+ROWS = 256
 PROBES = 2_000
 
 
@@ -87,14 +93,32 @@ class ProductGrid:
     def __init__(self, sample: np.ndarray, k: int):
         self.half = sample.shape[1] // 2
         self.books = [kmeans(sample[:, :self.half], k), kmeans(sample[:, self.half:], k, seed=4)]
+        # near centres get near numbers: sorted along their longest direction
+        for h, book in enumerate(self.books):
+            _, _, axes = np.linalg.svd(book - book.mean(0), full_matrices=False)
+            self.books[h] = book[np.argsort(book @ axes[0], kind="stable")]
+        self.k = len(self.books[1])
         self.between = [((b[:, None] - b[None]) ** 2).sum(2) for b in self.books]
+        self.reaches: dict = {}
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        """(n, 2) codewords."""
-        return np.stack([nearest(x[:, :self.half], self.books[0]), nearest(x[:, self.half:], self.books[1])], 1)
-
-    def visited(self, cell: tuple[int, int], count: int) -> list[tuple[int, int]]:
-        return multi_sequence(self.between[0][cell[0]], self.between[1][cell[1]], count)
+        """Cell numbers: first codeword * k + second."""
+        return nearest(x[:, :self.half], self.books[0]) * self.k + nearest(x[:, self.half:], self.books[1])
+
+    def reach(self, cell: int, count: int) -> float:
+        """Distance of the last of the ``count`` cells that a traversal from ``cell`` visits."""
+        got = self.reaches.get((cell, count))
+        if got is None:
+            first, second = (self.between[h][c] for h, c in enumerate(divmod(cell, self.k)))
+            i, j = multi_sequence(first, second, count)[-1]
+            got = self.reaches[cell, count] = float(first[i] + second[j])
+        return got
+
+    def meets(self, cell: int, others: np.ndarray, count: int) -> np.ndarray:
+        """Which of the other cells a traversal from ``cell`` visits."""
+        i, j = divmod(cell, self.k)
+        u, v = np.divmod(others, self.k)
+        return self.between[0][i, u] + self.between[1][j, v] <= self.reach(cell, count) + 1e-12
 
     def calibrate(self, sample: np.ndarray, threshold: float, recall: float, probes: int = PROBES, seed: int = 9) -> int:
         """Cells to visit so that a partner at the threshold cosine is met with
@@ -108,9 +132,10 @@ class ProductGrid:
         y = threshold * x + math.sqrt(1 - threshold ** 2) * u
         total = self.between[0].shape[0] * self.between[1].shape[0]
         ranks = np.empty(len(x))
-        for n, (a, b) in enumerate(zip(self.cells(x), self.cells(y))):
-            d = self.between[0][a[0], b[0]] + self.between[1][a[1], b[1]]
-            ranks[n] = min((self.between[0][c[0]][:, None] + self.between[1][c[1]][None, :] <= d + 1e-12).sum() for c in (a, b))
+        for n, (a, b) in enumerate(zip(self.cells(x).tolist(), self.cells(y).tolist())):
+            (i, j), (u, v) = divmod(a, self.k), divmod(b, self.k)
+            d = self.between[0][i, u] + self.between[1][j, v]
+            ranks[n] = min((self.between[0][p][:, None] + self.between[1][q][None, :] <= d + 1e-12).sum() for p, q in ((i, j), (u, v)))
         return int(min(total, np.quantile(ranks, recall, method="higher") if len(ranks) else total))
 
 
@@ -126,20 +151,48 @@ def unit_vectors(embeddings: DataFrame) -> DataFrame:
     return scaled.select("vec_id", F.transform("s", lambda v: v / norm).alias("vec"), F.col("s").isNotNull().alias("ok"))
 
 
-def block_pair(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, threshold: float, same: bool):
-    """Links of two blocks: (links of each x, links of each y, linked index pairs)."""
-    near = x @ y.T >= threshold
+def block_links(left: tuple, right: tuple, grid: ProductGrid, count: int, threshold: float, same: bool):
+    """Verified links between two blocks, each (cells, copies, unit vectors)
+    sorted by cell: number of linked copies for each left and right row, and the
+    spanning forest of the links over left rows, then right rows."""
+    (ca, na, x), (cb, nb, y) = left, right
+    la, lb = np.zeros(len(ca), np.int64), np.zeros(len(cb), np.int64)
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
+    others = np.unique(cb)
+    far = np.array([grid.reach(int(c), count) for c in others])
+    at = np.append(np.flatnonzero(np.append(True, ca[1:] != ca[:-1])), len(ca))
+    for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+        cell = int(ca[s])
+        i, j = divmod(cell, grid.k)
+        u, v = np.divmod(others, grid.k)
+        d = grid.between[0][i, u] + grid.between[1][j, v]
+        sel = np.flatnonzero(np.isin(cb, others[d <= np.maximum(far, grid.reach(cell, count)) + 1e-12]))
+        if same:  # each unordered pair once
+            sel = sel[sel >= s]
+        for lo in range(s, e, ROWS):
+            hi = min(e, lo + ROWS)
+            near = x[lo:hi] @ y[sel].T >= threshold
+            if same:
+                near &= sel[None, :] > np.arange(lo, hi)[:, None]
+            if near.any():
+                la[lo:hi] += near @ nb[sel]
+                lb[sel] += na[lo:hi] @ near
+                p, q = np.nonzero(near)
+                node, root = spanning_edges((p, q + hi - lo), hi - lo + len(sel))
+                ids = np.concatenate([np.arange(lo, hi), sel if same else sel + len(ca)])
+                edges.append((ids[node], ids[root]))
     if same:
-        np.fill_diagonal(near, False)
-        near = near | near.T
-    i, j = np.nonzero(near)
-    left = near @ ny
-    right = np.zeros(len(y), np.int64) if same else nx @ near
-    return left, right, i, j
+        la, lb = la + lb, lb[:0]
+    size = len(ca) + len(lb)
+    label = np.arange(size)
+    if edges:
+        node, root = spanning_edges(tuple(np.concatenate(e) for e in zip(*edges)), size)
+        label[node] = root
+    return np.concatenate([la, lb]), label
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, sample: int = SAMPLE,
-                    cell: int = CELL, block: int = BLOCK) -> DataFrame:
+                    cell: int = CELL, unit: int = UNIT) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``embeddings`` (vec_id, embedding)."""
     spark = embeddings.sparkSession
     ship_package(spark)
@@ -158,59 +211,51 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     count = grid.calibrate(picked, threshold, recall)
     shared = spark.sparkContext.broadcast(grid)
 
+    bundle = max(1, round(unit * len(grid.books[0]) * grid.k / n))  # cells of a unit
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column("vec")
-            cells = shared.value.cells(v.flatten().to_numpy().reshape(len(v), -1)) if len(v) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), v, b.column("copies"), pa.array(cells[:, 0]), pa.array(cells[:, 1])],
-                                             names=["rep", "vec", "copies", "i", "j"])
+            cells = shared.value.cells(v.flatten().to_numpy().reshape(len(v), -1)) if len(v) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("rep"), v, b.column("copies"), pa.array(cells), pa.array(cells // bundle)],
+                                             names=["rep", "vec", "copies", "cell", "unit"])
 
-    placed = reps.select("rep", "vec", "copies").mapInArrow(assign, "rep long, vec array<double>, copies long, i long, j long").select(
-        "rep", "vec", "copies", F.struct("i", "j").alias("cell"))
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))
-    blocks = (placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block)))
-              .groupBy("cell", "block")
-              .agg(F.collect_list(F.struct("rep", "copies", "vec")).alias("rows")).checkpoint())
+    placed = reps.select("rep", "vec", "copies").mapInArrow(assign, "rep long, vec array<double>, copies long, cell long, unit long").checkpoint()
+    blocks = (placed.groupBy("unit").agg(F.count("*").alias("n"))
+              .select("unit", F.ceil(F.col("n") / unit).cast("long").alias("blocks")))
+    placed = placed.join(blocks, "unit").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = shared.value
+        every = np.arange(len(grid.books[0]) * grid.k)
         for b in batches:
             for c in b.column("cell").to_pylist():
-                got = np.array(shared.value.visited((c["i"], c["j"]), count), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), c["i"])), pa.array(np.full(len(got), c["j"])), pa.array(got[:, 0]), pa.array(got[:, 1])],
-                                                 names=["i", "j", "u", "v"])
-
-    occupied = blocks.select("cell").distinct()
-    pairs = (occupied.mapInArrow(visit, "i long, j long, u long, v long")
-             .select(F.struct("i", "j").alias("p"), F.struct(F.col("u").alias("i"), F.col("v").alias("j")).alias("q"))
-             .join(occupied.withColumnRenamed("cell", "q"), "q")
-             .select(F.least("p", "q").alias("cell"), F.greatest("p", "q").alias("other")).distinct())
-    met = (pairs.join(blocks.select("cell", F.col("block").alias("b"), F.col("rows").alias("left")), "cell")
-           .join(blocks.select(F.col("cell").alias("other"), "block", F.col("rows").alias("right")), "other")
-           .where("cell <> other OR b <= block")
-           .select("left", "right", F.expr("cell = other AND b = block").alias("same")))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def matrix(rows):
-            v = rows.values
-            vec = v.field("vec")
-            return v.field("rep").to_numpy(), v.field("copies").to_numpy(), vec.flatten().to_numpy().reshape(len(vec), -1)
-
-        for b in batches:
-            out = [np.zeros((3, 0), np.int64)]
-            for left, right, same in zip(b.column("left"), b.column("right"), b.column("same").to_pylist()):
-                (a, na, x), (c, nc, y) = matrix(left), matrix(right)
-                lx, ly, i, j = block_pair(x, y, na, nc, threshold, same)
-                ids = np.concatenate([a, np.zeros(0, np.int64) if same else c])
-                links = np.concatenate([lx, np.zeros(0, np.int64) if same else ly])
-                root = np.arange(len(ids))
-                node, to = spanning_edges((i, j if same else j + len(a)), len(ids))
-                root[node] = to
-                use = links > 0
-                out.append(np.stack([ids[use], links[use], ids[root[use]]]))
-            rows = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["rep", "links", "root"])
-
-    found = met.mapInArrow(verify, "rep long, links long, root long").checkpoint()
+                met = np.unique(every[grid.meets(c, every, count)] // bundle)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(met, c // bundle)), pa.array(np.maximum(met, c // bundle))], names=["a", "b"])
+
+    unit_pairs = placed.select("cell").distinct().mapInArrow(visit, "a long, b long").distinct()
+    spread = blocks.select("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    pairs = (unit_pairs.join(spread.select(F.col("unit").alias("a"), F.col("block").alias("x")), "a")
+             .join(spread.select(F.col("unit").alias("b"), F.col("block").alias("y")), "b")
+             .where("a < b OR x <= y").select(F.struct("a", "x", "b", "y").alias("pair")))
+    sides = pairs.select("pair", F.explode(F.when(F.expr("pair.a = pair.b AND pair.x = pair.y"), F.array(F.struct(F.col("pair.a").alias("unit"), F.col("pair.x").alias("block"), F.lit(0).alias("side"))))
+                                           .otherwise(F.array(F.struct(F.col("pair.a").alias("unit"), F.col("pair.x").alias("block"), F.lit(0).alias("side")),
+                                                              F.struct(F.col("pair.b").alias("unit"), F.col("pair.y").alias("block"), F.lit(1).alias("side"))))).alias("s"))
+    sent = placed.join(sides.select("pair", "s.unit", "s.block", "s.side"), ["unit", "block"]).select("pair", "side", "rep", "copies", "cell", "vec")
+
+    def verify(key, table):
+        table = table.sort_by([("side", "ascending"), ("cell", "ascending"), ("rep", "ascending")])
+        side, rep, copies, cell = (table.column(c).to_numpy() for c in ("side", "rep", "copies", "cell"))
+        vec = table.column("vec").combine_chunks()
+        x = vec.flatten().to_numpy().reshape(len(vec), -1)
+        m = int((side == 0).sum())
+        same = m == len(side) and key[0].as_py()["a"] == key[0].as_py()["b"] and key[0].as_py()["x"] == key[0].as_py()["y"]
+        left, right = ((cell[p], copies[p], x[p]) for p in (slice(0, m), slice(0, m) if same else slice(m, None)))
+        links, label = block_links(left, right, shared.value, count, threshold, same)
+        use = links > 0
+        return pa.table({"rep": rep[use], "links": links[use], "root": rep[label[use]]})
+
+    found = sent.groupBy("pair").applyInArrow(verify, "rep long, links long, root long").checkpoint()
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = (reps.select("vec", "least", "copies", "rep").join(links, "rep", "left").join(comp, comp.node == F.col("rep"), "left")

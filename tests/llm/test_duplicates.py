@@ -118,7 +118,7 @@ def test_embeddings(spark):
     rows.append((len(rows), [1e-300 * x for x in rows[0][1]]))
     rows.append((len(rows), [1e300 * x for x in rows[0][1]]))
     df = spark.createDataFrame([(k, v, k % 3) for k, v in rows], "vec_id long, embedding array<double>, label int")
-    check_embeddings(rows, MI.near_duplicates(df, recall=1.0, cell=8, block=16).collect())
+    check_embeddings(rows, MI.near_duplicates(df, recall=1.0, cell=8, unit=16).collect())
     assert MI.near_duplicates(df.where("false")).count() == 0
     assert [tuple(r) for r in MI.near_duplicates(df.where("embedding IS NULL")).collect()] == [(rows[-9][0], 0, rows[-9][0], True)]
 
