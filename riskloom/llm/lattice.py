@@ -47,12 +47,14 @@ from riskloom.session import checkpoint_dir, ship_package
 
 HEAD = 500_000
 FOLD_CHARS = 62
+SLICE = 1000
 PLACES = 1_000_003
 
 
 @lru_cache(maxsize=2)
 def _vocabulary(path: str) -> tuple:
-    """(piece, id, score) of the normal pieces, hex bytes by id, ids of the 256 byte pieces, score of an unknown character."""
+    """(piece, id, rank by score) of the normal pieces, hex bytes by id, ids of the
+    256 byte pieces, scores by id, score of an unknown character."""
     sp = PieceModel(path).sp
     normal, data, bytes_at = [], [], [0] * 256
     for i in range(sp.get_piece_size()):
@@ -63,48 +65,68 @@ def _vocabulary(path: str) -> tuple:
         elif sp.is_control(i) or sp.is_unknown(i):
             data.append("")
         else:
-            normal.append((p, i, float(sp.get_score(i))))
+            normal.append((p, i))
             data.append(p.replace("▁", " ").encode().hex().upper())
-    return normal, data, bytes_at, min(s for _, _, s in normal) - 10.0
+    scores = [float(sp.get_score(i)) for i in range(sp.get_piece_size())]
+    order = {s: r for r, s in enumerate(sorted({scores[i] for _, i in normal}, reverse=True))}
+    return [(p, i, order[scores[i]]) for p, i in normal], data, bytes_at, scores, min(scores[i] for _, i in normal) - 10.0
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """piece, id, score; as many rows as the vocabulary has pieces."""
-    return spark.createDataFrame(_vocabulary(path)[0], "piece string, id int, score double")
+    """piece, id, rank; as many rows as the vocabulary has pieces, and one for the
+    empty string (id and rank 0), which every lattice holds."""
+    return spark.createDataFrame([("", 0, 0), *_vocabulary(path)[0]], "piece string, id long, rank long")
+
+
+# An edge is one long: rank of its score, start, end and piece id.
+_START, _END, _ID = 1 << 26, 1 << 20, (1 << 20) - 1
+
+
+def edge_start(e: Column) -> Column:
+    return F.shiftright(e, 26).bitwiseAND(63).cast("int")
+
+
+def edge_end(e: Column) -> Column:
+    return F.shiftright(e, 20).bitwiseAND(63).cast("int")
 
 
 def lattice_edges(segments: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``segments`` (segment, ...) with ``edges``: (score, start, end, id) of every piece in it."""
+    """``segments`` (segment, ...) with ``edges``: every piece in it, best score first, then by place."""
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("segment")), lambda s: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(longest), F.length("segment") - s + 1)),
-        lambda k: F.struct((s - 1).alias("start"), (s + k - 1).alias("end"), F.substring(F.col("segment"), s, k).alias("piece")))))
+        lambda k: F.struct(((s - 1) * _START + (s + k - 1) * _END).cast("long").alias("place"), F.substring(F.col("segment"), s, k).alias("piece")))))
+    empty = F.array(F.struct(F.lit(0).cast("long").alias("place"), F.lit("").alias("piece")))
+    spans = F.when(F.length("segment") <= FOLD_CHARS, F.concat(spans, empty)).otherwise(empty)
     rest = [c for c in segments.columns if c != "segment"]
-    return (segments.withColumn("x", F.explode_outer(spans)).select("segment", *rest, "x.start", "x.end", "x.piece")
-            .join(F.broadcast(pieces), "piece", "left")
-            .groupBy("segment", *rest)
-            .agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("score", "start", "end", "id"))).alias("edges")))
+    edge = F.col("rank") * (1 << 32) + F.col("place") + F.col("id")
+    return (segments.select("segment", *rest, F.explode(spans).alias("x")).select("segment", *rest, "x.place", "x.piece")
+            .join(F.broadcast(pieces), "piece").select("segment", *rest, edge.alias("edge"))
+            .groupBy("segment", *rest).agg(F.sort_array(F.collect_list("edge")).alias("edges")))
 
 
 def merges_fold(edges: Column, length: Column) -> Column:
     """Borders that stand after all merges, as bits of a long."""
-    ranked = F.array_sort(edges, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["start"] - b["start"]))
+    one, two = F.lit(1).cast("long"), F.lit(2).cast("long")
+    shift = lambda x, n: F.call_function("shiftleft", x, n)
 
     def step(mask: Column, e: Column) -> Column:
-        ends = F.call_function("shiftleft", F.lit(1).cast("long"), e["start"]).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), e["end"]))
-        inner = mask.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), e["end"]) - F.call_function("shiftleft", F.lit(2).cast("long"), e["start"]))
+        ends = shift(one, edge_start(e)).bitwiseOR(shift(one, edge_end(e)))
+        inner = mask.bitwiseAND(shift(one, edge_end(e)) - shift(two, edge_start(e)))
         return F.when((mask.bitwiseAND(ends) == ends) & (F.bit_count(inner) == 1), mask.bitwiseXOR(inner)).otherwise(mask)
 
     full = F.call_function("shiftleft", F.lit(2).cast("long"), length) - 1
-    return F.aggregate(F.filter(ranked, lambda e: e["end"] - e["start"] > 1), full, step)
+    return F.aggregate(F.filter(edges, lambda e: edge_end(e) - edge_start(e) > 1), full, step)
 
 
-def viterbi_fold(edges: Column, length: Column, unknown: float) -> Column:
+def viterbi_fold(edges: Column, length: Column, scores: list[float], unknown: float) -> Column:
     """Where the best path enters each end position 1..length (array of starts).
 
     The state holds best scores and entries of the positions so far; edges come
     by end, then by start, and a later one must be strictly better. Positions no
     piece ends at are entered by an unknown character."""
-    by_end = F.array_sort(F.transform(edges, lambda e: F.struct(e["end"], e["start"], e["score"])))
+    table = F.split(F.lit(",".join(map(repr, scores))), ",")
+    by_end = F.array_sort(F.transform(edges, lambda e: F.struct(
+        edge_end(e).alias("end"), edge_start(e).alias("start"), F.get(table, e.bitwiseAND(_ID).cast("int")).cast("double").alias("score"))))
     zero = F.struct(F.array(F.lit(0.0)).alias("best"), F.array().cast("array<int>").alias("entry"))
 
     def position(state: Column, end: Column) -> Column:
@@ -134,14 +156,15 @@ def ids_of_borders(mask: Column, edges: Column, segment: Column, byte_ids: list[
     length = F.length(segment)
     at = F.filter(F.sequence(F.lit(0), length), lambda i: F.getbit(mask, i) == 1)
     table = F.split(F.lit(",".join(map(str, byte_ids))), ",")
+    known = F.map_from_entries(F.transform(edges, lambda e: F.struct(edge_start(e) * 64 + edge_end(e), e.bitwiseAND(_ID).cast("int"))))
 
     def span(s: Column, k: Column) -> Column:
         e = F.get(at, k + 1)
-        known = F.filter(edges, lambda x: (x["start"] == s) & (x["end"] == e))
+        found = F.try_element_at(known, s * 64 + e)
         data = F.hex(F.encode(F.replace(F.substring(segment, s + 1, e - s), F.lit("▁"), F.lit(" ")), "UTF-8"))
         as_bytes = F.transform(F.sequence(F.lit(1), F.length(data), F.lit(2)),
                                lambda j: F.get(table, F.conv(F.substring(data, j, F.lit(2)), 16, 10).cast("int")).cast("int"))
-        return F.when(F.size(known) > 0, F.array(F.get(known, F.lit(0))["id"])).otherwise(as_bytes)
+        return F.when(found.isNotNull(), F.array(found)).otherwise(as_bytes)
 
     return F.flatten(F.transform(F.slice(at, F.lit(1), F.size(at) - 1), span))
 
@@ -153,43 +176,39 @@ def decode(ids: Column, path: str) -> Column:
 
 
 def encode_segments(segments: DataFrame, path: str, algorithm: str = "merges") -> DataFrame:
-    """``segments`` (segment with U+2581 for blanks, distinct; other columns kept) with ``ids``."""
-    spark = segments.sparkSession
-    pieces = piece_table(spark, path)
-    normal, _, byte_ids, unknown = _vocabulary(path)
-    longest = max(len(p) for p, _, _ in normal)
-    rest = [c for c in segments.columns if c != "segment"]
-    short = lattice_edges(segments.where(F.length("segment") <= FOLD_CHARS), pieces, longest)
+    """``segments`` (segment with U+2581 for blanks, distinct; ``known``: ids that
+    the library gave for a segment too long to fold, else null; other columns
+    kept) with ``ids``. Grouping by segment again needs no shuffle where
+    ``segments`` is already grouped so."""
+    pieces = piece_table(segments.sparkSession, path)
+    normal, _, byte_ids, scores, unknown = _vocabulary(path)
+    edges = lattice_edges(segments, pieces, max(len(p) for p, _, _ in normal))
     size = F.length("segment")
     if algorithm == "merges":
-        folded = short.withColumn("mask", merges_fold(F.col("edges"), size))
+        folded = edges.withColumn("mask", merges_fold(F.col("edges"), size))
     elif algorithm == "viterbi":
-        folded = short.withColumn("entry", viterbi_fold(F.col("edges"), size, unknown)).withColumn("mask", borders_of_entries(F.col("entry"), size))
+        folded = edges.withColumn("entry", viterbi_fold(F.col("edges"), size, scores, unknown)).withColumn("mask", borders_of_entries(F.col("entry"), size))
     else:
         raise ValueError(algorithm)
-    folded = folded.select("segment", *rest, ids_of_borders(F.col("mask"), F.col("edges"), F.col("segment"), byte_ids).alias("ids"))
-    long = segments.where(F.length("segment") > FOLD_CHARS)
-    fields = [f for f in segments.schema.fields]
+    ids = F.when(F.col("known").isNotNull(), F.col("known")).otherwise(ids_of_borders(F.col("mask"), F.col("edges"), F.col("segment"), byte_ids))
+    return folded.select("segment", *[c for c in segments.columns if c not in ("segment", "known")], ids.alias("ids"))
 
-    def library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = piece_model(path)
-        for b in batches:
-            ids = [model.sp.encode(s[1:].replace("▁", " ")) if s[0] == "▁" else model.sp.encode("\n" + s.replace("▁", " "))[model.head:]
-                   for s in b.column("segment").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
 
-    from pyspark.sql import types as T
-    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return folded.unionByName(long.mapInArrow(library, schema))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: a worker holds the segments of one at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def segment_counts(docs: DataFrame, path: str) -> DataFrame:
-    """Distinct segments of all texts with their numbers of occurrences."""
+    """Distinct segments of all texts with their numbers of occurrences ``n``, and
+    ``known`` ids of those of over FOLD_CHARS characters."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
-        for b in batches:
+        for b in slices(batches):
             raw = [model.text_bytes(t) if t else b"" for t in b.column("text").to_pylist()]
             hashes, parts, counts = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)]
             for _, pieces in S.chunks([t for t in raw if t], model.cut):
@@ -200,9 +219,12 @@ def segment_counts(docs: DataFrame, path: str) -> DataFrame:
                 parts += [buf[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
             h, first, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
             total = np.bincount(back, weights=np.concatenate(counts), minlength=len(h)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([parts[i].decode().replace(" ", "▁") for i in first.tolist()], pa.string()), pa.array(total)], names=["segment", "n"])
+            texts = [parts[i].decode().replace(" ", "▁") for i in first.tolist()]
+            known = [model.ids(t) if len(t) > FOLD_CHARS else None for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(total), pa.array(known, pa.list_(pa.int32()))], names=["segment", "n", "known"])
 
-    return docs.select("text").mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(run, "segment string, n long, known array<int>")
+    return found.groupBy("segment", "known").agg(F.sum("n").alias("n"))
 
 
 def place_sum(place: np.ndarray, k: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -250,7 +272,7 @@ def encode_documents(docs: DataFrame, path: str, algorithm: str = "merges", head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = piece_model(path), _Head(*shared.value)
-        for b in batches:
+        for b in slices(batches):
             raw = [model.text_bytes(t) if t else b"" for t in b.column("text").to_pylist()]
             segs, tokens, check = (np.zeros(len(raw), np.int64) for _ in range(3))
             good = np.ones(len(raw), bool)

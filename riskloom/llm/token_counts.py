@@ -58,6 +58,11 @@ class PieceModel:
         """The text with the prefix that the library adds; to it, U+2581 is a blank."""
         return b" " + text.replace("▁", " ").encode() if text else b""
 
+    def ids(self, segment: str) -> list[int]:
+        """Ids of one segment with U+2581 for blanks."""
+        text = segment.replace("▁", " ")
+        return self.sp.encode(text[1:]) if text[0] == " " and len(text) > 1 else self.sp.encode("\n" + text)[self.head:]
+
     def lengths(self, parts: list[bytes]) -> np.ndarray:
         """Tokens of each segment of a prefixed text. The library adds a
         prefix itself, so one leading blank is taken off; a segment without

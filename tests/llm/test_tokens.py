@@ -139,8 +139,8 @@ def test_checksum_tells_orders_apart(spark):
 
 def test_viterbi_is_the_best_path(spark, sf):
     """Against dynamic programming in Python over the same pieces and scores."""
-    normal, _, _, unknown = LA._vocabulary(PIECE_MODEL)
-    score = {p: (s, i) for p, i, s in normal}
+    normal, _, _, scores, unknown = LA._vocabulary(PIECE_MODEL)
+    score = {p: (scores[i], i) for p, i, _ in normal}
     docs = read_table(spark, sf, "documents").where("doc_id < 12")
     rows = LA.encode_segments(LA.segment_counts(docs, PIECE_MODEL).where("pmod(xxhash64(segment), 3) = 0"), PIECE_MODEL, "viterbi").collect()
     assert len(rows) > 100
@@ -151,7 +151,7 @@ def test_viterbi_is_the_best_path(spark, sf):
             for b in range(max(0, e - 16), e):
                 w = score.get(s[b:e], (unknown if e - b == 1 else -np.inf, 0))[0]
                 best[e] = max(best[e], best[b] + w)
-        pieces = {i: s2 for _, i, s2 in normal}
+        pieces = {i: scores[i] for _, i, _ in normal}
         assert sum(pieces.get(i, 0.0) for i in r.ids) == pytest.approx(best[-1]) or any(i not in pieces for i in r.ids)
 
 
