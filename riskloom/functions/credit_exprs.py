@@ -81,7 +81,8 @@ def age_bin_index(age) -> Column:
 def age_bin_label(age) -> Column:
     idx = age_bin_index(age)
     lo = idx * AGE_BIN_WIDTH
-    return (F.when(idx == AGE_BIN_LAST // AGE_BIN_WIDTH, F.lit(f"{AGE_BIN_LAST}+"))
+    return (F.when(idx.isNull(), F.lit(None).cast("string"))
+            .when(idx == AGE_BIN_LAST // AGE_BIN_WIDTH, F.lit(f"{AGE_BIN_LAST}+"))
             .otherwise(F.format_string("%d-%d", lo, lo + AGE_BIN_WIDTH - 1)))
 
 

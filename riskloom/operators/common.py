@@ -35,19 +35,5 @@ def double_array(values) -> "F.Column":
     return F.expr(f"array({body})") if body else F.expr("CAST(array() AS ARRAY<DOUBLE>)")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition to the cluster's parallelism, only when the
-    input has fewer partitions than that (a few large files feeding
-    CPU-heavy per-row work such as regex passes over whole texts). On a
-    cluster reading many files this is a no-op; Spark sorts before a
-    round-robin repartition, so a recomputed partition is identical."""
-    if df.isStreaming:
-        return df
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
-
-
 def select_all_but(df: DataFrame, drop: list[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in set(drop)])

@@ -73,8 +73,15 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "euc
     need = k + 1 if exclude_self else k
     # both sides feed several passes (pivots, cell statistics, candidates,
     # the blocked join): write them once to the shared checkpoint folder
-    b = cut_lineage(base.select(F.col(id_col).alias("nid"), F.col(vec_col).cast("array<double>").alias("nvec")))
-    q = cut_lineage(queries.select(F.col(id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("qvec")))
+    def checked(name: str, vec: str):
+        """A vector with a missing or NaN component has no distance to anything."""
+        v = F.col(vec_col).cast("array<double>")
+        bad = F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(True))
+        fail = F.raise_error(F.concat(F.lit("NULL or NaN in the vector of "), F.col(id_col).cast("string"))).cast("array<double>")
+        return F.col(id_col).alias(name), F.when(bad, fail).otherwise(v).alias(vec)
+
+    b = cut_lineage(base.select(*checked("nid", "nvec")))
+    q = cut_lineage(queries.select(*checked("qid", "qvec")))
 
     if n_pivots is None:
         n_pivots = int(min(max_pivots, max(16, math.isqrt(max(1, b.count())))))

@@ -13,15 +13,15 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_SPACE = 4294967296.0  # order keys from ``seeded_int`` lie in [0, 2^32)
+HASH_SPACE = float(1 << 60)  # order keys from ``seeded_int`` lie in [0, 2^60)
 
 
 def position_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
                     n_buckets: int = 256, out: str = "_pos") -> DataFrame:
     """0-based position of each row within ``group_cols`` in ``order_cols``
-    order. ``order_cols[0]`` must be a uniform 32-bit hash (``seeded_int``),
+    order. ``order_cols[0]`` must be a uniform 60-bit hash (``seeded_int``),
     so equal-width buckets of it are balanced."""
-    bucket = F.floor(F.col(order_cols[0]) * n_buckets / HASH_SPACE).cast("int")
+    bucket = F.floor(F.col(order_cols[0]) / (HASH_SPACE / n_buckets)).cast("int")
     b = df.withColumn("_bkt", bucket)
     sizes = b.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
     w_off = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,7 +36,7 @@ def position_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
 def _quantile_splits(df: DataFrame, col: str, n_buckets: int) -> list[float]:
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
-    inner = sorted(set(q for q in qs if q is not None))
+    inner = sorted(set(q for q in qs if q is not None)) or [0.0]  # no rows: any border will do
     return [float("-inf"), *inner, float("inf")]
 
 
@@ -105,18 +105,6 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], n_buckets: int
     return out
 
 
-PERCENTILE_MAP_MAX = 200_000  # distinct values Spark's exact percentile may hold in one task
-
-
 def quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
-    """Exact quantiles, choosing the plan by the number of distinct values:
-    Spark's ``percentile`` when its value map is provably small (checked
-    with ``approx_count_distinct``), else ``exact_quantiles``."""
-    from riskloom.operators.common import double_array
-    x = F.col(col).cast("double")
-    valid = F.when(~F.isnan(x), x)
-    nd = df.agg(F.approx_count_distinct(valid)).first()[0]
-    if nd <= PERCENTILE_MAP_MAX:
-        r = df.agg(F.percentile(valid, double_array(probs))).first()[0]
-        return list(r) if r is not None else [None] * len(probs)
+    """Exact quantiles, by the same plan at every size."""
     return exact_quantiles(df, col, probs)

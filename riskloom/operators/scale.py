@@ -164,25 +164,15 @@ def apply_quantile(df: DataFrame, col: str, knots: list[tuple[float, float, floa
 
 def fit_quantile_knots_many(df: DataFrame, cols: list[str], n_quantiles: int = 1000,
                             decimals: int | None = TIE_DECIMALS) -> dict[str, list[tuple[float, float, float]]]:
-    """Knots for several columns with two passes in total: one for the
-    non-null counts, one computing every column's quantile array."""
+    """Knots for several columns: one pass for the non-null counts, then each
+    column's exact quantiles by the distributed plan, whatever its size."""
     keys = {c: tie_key(c, decimals) for c in cols}
     valid = {c: F.when(~F.isnan(k), k) for c, k in keys.items()}
     df = persisted(df)
     counts = df.agg(*[F.count(v).alias(c) for c, v in valid.items()]).first().asDict()
     refs = {c: list(np.linspace(0, 1, max(1, min(n_quantiles, counts[c])))) for c in cols}
-    from riskloom.operators.ranking import PERCENTILE_MAP_MAX, exact_quantiles
-    # columns with a provably small value set share one exact-percentile
-    # pass; the rest use the distributed exact algorithm
-    distinct = df.agg(*[F.approx_count_distinct(v).alias(c) for c, v in valid.items()]).first().asDict()
-    small = [c for c in cols if counts[c] and distinct[c] <= PERCENTILE_MAP_MAX]
-    qrow = {c: None for c in cols}
-    if small:
-        r = df.agg(*[F.percentile(valid[c], double_array(refs[c])).alias(c) for c in small]).first().asDict()
-        qrow.update({c: list(r[c]) if r[c] is not None else None for c in small})
-    for c in cols:
-        if counts[c] and c not in small:
-            qrow[c] = exact_quantiles(df.select(valid[c].alias(c)), c, refs[c])
+    from riskloom.operators.ranking import exact_quantiles
+    qrow = {c: exact_quantiles(df.select(valid[c].alias(c)), c, refs[c]) if counts[c] else None for c in cols}
     out = {}
     for c in cols:
         knots: dict[float, list[float]] = {}

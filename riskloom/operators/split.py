@@ -80,12 +80,12 @@ def seeded_unit(seed: int, *keys) -> Column:
     """Deterministic draw in [0, 1) from md5(seed|key...): independent of
     partitioning and reproducible in any SQL engine with md5."""
     s = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long") / F.lit(float(1 << 60))
 
 
 def seeded_int(seed: int, *keys) -> Column:
     s = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long")
 
 
 def stratified_folds(df: DataFrame, label: str = "label", key: str = "id",

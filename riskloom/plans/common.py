@@ -33,12 +33,9 @@ def memo(spark, key, build):
 
 
 def fx(spark, sf_dir: str, name: str) -> DataFrame:
-    """A fixture view, materialised once per session into the shared
-    checkpoint folder: it stands in for a stored input table, so it is not
-    re-derived from the driver tables by every query that reads it, and its
-    short lineage keeps later plans small."""
-    from riskloom.session import cut_lineage
-    return memo(spark, ("fx", sf_dir, name), lambda: cut_lineage(FX.load(spark, sf_dir, name)))
+    """A fixture view over the given tables. It is lazy, so every query scans
+    only its own columns, with its filters pushed to the parquet files."""
+    return FX.load(spark, sf_dir, name)
 
 
 class Registry:

@@ -142,7 +142,7 @@ def q_eval_on_test(spark, sf):
 
 
 # ---- folds and CV summaries over the scored table -----------------------------------
-H = "CAST(('0x' || substr(md5('42|' || CAST(row_id AS VARCHAR)), 1, 8)) AS BIGINT)"
+H = "CAST(('0x' || substr(md5('42|' || CAST(row_id AS VARCHAR)), 1, 15)) AS BIGINT)"
 FOLDS = [("fo", f"""SELECT *, CAST((row_number() OVER (PARTITION BY y_true ORDER BY h, row_id) - 1) % 5 AS INTEGER) AS fold
 FROM (SELECT *, {H} AS h FROM scored)""")]
 FOLD_METRICS = FOLDS + [

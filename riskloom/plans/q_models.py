@@ -213,7 +213,7 @@ def q_compare_pca(spark, sf):
     return r6(compare_pca(train, test, cols, knn_kw=KNN))
 
 
-H = "CAST(('0x' || substr(md5('42|' || CAST(vec_id AS VARCHAR)), 1, 8)) AS BIGINT)"
+H = "CAST(('0x' || substr(md5('42|' || CAST(vec_id AS VARCHAR)), 1, 15)) AS BIGINT)"
 GRID = [
     ("fv", f"""SELECT vec_id, embedding, label,
   CAST((row_number() OVER (PARTITION BY label ORDER BY {H}, vec_id) - 1) % 3 AS INTEGER) AS fold FROM vectors"""),

@@ -127,7 +127,7 @@ def vectors(spark, sf):
 
 
 def H(expr: str) -> str:
-    return f"CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr(md5({expr}), 1, 15)) AS BIGINT)"
 
 
 VR = [("sz", """SELECT arg_min(label, n) AS minority, arg_max(label, n) AS majority, min(n) AS n_min, max(n) AS n_max
@@ -206,7 +206,7 @@ MNN = [("mi", "SELECT rk.* FROM rk, sz WHERE label = minority"),
   FROM mi a JOIN mi b ON a.vec_id <> b.vec_id) WHERE rank <= 5"""),
        ("sd", f"""SELECT draw, {H("'42|base|' || CAST(draw AS VARCHAR)")} % n_min AS pos,
   1 + {H("'42|nn|' || CAST(draw AS VARCHAR)")} % least(5, n_min - 1) AS rank,
-  {H("'42|gap|' || CAST(draw AS VARCHAR)")} / 4294967296.0 AS gap FROM dr, sz"""),
+  {H("'42|gap|' || CAST(draw AS VARCHAR)")} / 1152921504606846976.0 AS gap FROM dr, sz"""),
        ("syn", """SELECT sd.draw, sz.minority AS label, mi.vec_id AS base_id, mnn.neighbor_id, sd.gap,
   list_transform(list_zip(mi.embedding, nb.embedding), lambda p: p[1] + sd.gap * (p[2] - p[1])) AS embedding
 FROM sd JOIN mi ON mi.pos = sd.pos JOIN mnn ON mnn.base_id = mi.vec_id AND mnn.rank = sd.rank

@@ -10,13 +10,7 @@ _MODULES = ["q_credit", "q_application", "q_metrics", "q_text", "q_sampling", "q
 
 def _registries():
     for m in _MODULES:
-        try:
-            mod = importlib.import_module(f"riskloom.plans.{m}")
-        except ModuleNotFoundError as e:
-            if e.name == f"riskloom.plans.{m}":
-                continue
-            raise
-        yield mod.R
+        yield importlib.import_module(f"riskloom.plans.{m}").R
 
 
 def queries() -> dict:

@@ -83,7 +83,7 @@ def financial_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         "doc_id",
         F.concat(F.col("lang"), F.lit(" http://ex.com/a?b="), F.col("doc_id").cast("string"),
-                 F.lit(" <b>$ABC</b> "), F.substring("text", 1, 200)).alias("headline"),
+                 F.lit(" <b>$ABC</b> "), F.col("text")).alias("headline"),
         F.col("text").alias("description"),
         F.when(F.col("doc_id") % 3 == 0, "positive")
          .when(F.col("doc_id") % 3 == 1, "neutral").otherwise("negative").alias("sentiment_label"),
@@ -187,7 +187,7 @@ SELECT 1, id, code_gender, flag_own_car, flag_own_realty, cnt_children, amt_inco
 FROM base WHERE id % 20 = 0""",
     "financial_news": """
 SELECT doc_id,
-  lang || ' http://ex.com/a?b=' || CAST(doc_id AS VARCHAR) || ' <b>$ABC</b> ' || substr(text, 1, 200) AS headline,
+  lang || ' http://ex.com/a?b=' || CAST(doc_id AS VARCHAR) || ' <b>$ABC</b> ' || text AS headline,
   text AS description,
   CASE doc_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'neutral' ELSE 'negative' END AS sentiment_label,
   (doc_id % 201 - 100) / CAST(100 AS DOUBLE) AS sentiment_score

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.session import table_path
@@ -66,20 +67,45 @@ REUTERS_SCHEMA = T.StructType([
 ])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header CSV with quoted multi-line fields, as the news dumps are."""
-    return (spark.read.schema(schema)
-            .option("header", True)
-            .option("multiLine", True)
-            .option("escape", '"')
-            .option("mode", "PERMISSIVE")
-            .csv(path))
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST") -> DataFrame:
+    """Header CSV with quoted multi-line fields, as the news dumps are.
+
+    Columns are bound by their names in the header, whatever their order;
+    columns beyond ``schema`` are dropped, missing ones are NULL. A row that does
+    not fit its types fails the read unless another ``mode`` is given."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    names = reader.csv(path).columns
+    types = {f.name.lower(): f for f in schema.fields}
+    found = T.StructType([T.StructField(n, types[n.lower()].dataType if n.lower() in types else T.StringType()) for n in names])
+    rows = reader.schema(found).option("mode", mode).option("enforceSchema", False).csv(path)
+    here = {n.lower(): n for n in names}
+    return rows.select(*[F.col(f"`{here[f.name.lower()]}`").alias(f.name) if f.name.lower() in here else F.lit(None).cast(f.dataType).alias(f.name)
+                         for f in schema.fields])
+
+
+def load_financial_news(spark: SparkSession, path: str, threshold: float) -> DataFrame:
+    """Cleaned financial news of at least ``threshold`` confidence, from its CSV."""
+    from riskloom.operators.text_prep import prepare_financial_news
+    return prepare_financial_news(read_csv(spark, path, FINANCIAL_NEWS_SCHEMA), threshold)
+
+
+def load_fiqa(spark: SparkSession, path: str) -> DataFrame:
+    """Cleaned FiQA posts from their CSV."""
+    from riskloom.operators.text_prep import prepare_fiqa
+    return prepare_fiqa(read_csv(spark, path, FIQA_SCHEMA))
+
+
+def load_reuters(spark: SparkSession, path: str) -> DataFrame:
+    """Cleaned Reuters stories with their aspects from their CSV."""
+    from riskloom.operators.text_prep import prepare_reuters
+    return prepare_reuters(read_csv(spark, path, REUTERS_SCHEMA))
 
 
 def load_credit_tables(spark: SparkSession, application_path: str,
                        credit_path: str) -> tuple[DataFrame, DataFrame]:
-    """``load_data()``: the two credit CSVs, column names lower-cased."""
+    """``load_data()``: the two credit CSVs, column names lower-cased. Applications
+    get ``src_seq``, their place in the file, which decides between rows of one id."""
     from riskloom.operators.clean import lower_columns
-    app = lower_columns(read_csv(spark, application_path, APPLICATION_SCHEMA))
+    app = lower_columns(read_csv(spark, application_path, APPLICATION_SCHEMA)).withColumn("src_seq", F.monotonically_increasing_id())
     credit = lower_columns(read_csv(spark, credit_path, CREDIT_SCHEMA))
     return app, credit
