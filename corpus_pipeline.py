@@ -46,13 +46,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-equal fingerprints."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = simhash_tiles.simhash_components(rows.select(F.col("_row").alias("doc_id"), "text"))
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("_row"))
-    first = (found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
-             .join(rows.select("_row", F.col("doc_id").alias("id")), "_row")
-             .groupBy("group").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row")))
-    return rows.join(first, "_row", "left_semi").drop("_row")
+    # written once with its row numbers: numbers given again by another job may differ
+    table = f"{checkpoint_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    simhash_tiles.fingerprints(numbered, simhash_tiles.SHINGLE, numbered.columns).withColumnRenamed("fp", "_fp").write.parquet(table)
+    rows = spark.read.parquet(table)
+    groups = simhash_tiles.fingerprint_components(rows.select(F.col("_fp").alias("fp")).distinct(), simhash_tiles.RADIUS)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
+    # the least row of each fingerprint first, so that a hot one is one row in the join
+    least = rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("least"))
+    first = least.join(groups, "fp").groupBy("group").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").drop("_row", "_fp")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,9 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.llm.components import connected_components, spanning_edges
-from riskloom.session import checkpoint_dir, ship_package
+from riskloom.llm.rowwise import add_from_text
+from riskloom.session import checkpoint_dir
 
 SHINGLE = 3
 RADIUS = 3
@@ -67,16 +69,12 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a signed 64-bit ``fp``."""
-    ship_package(docs.sparkSession)
+def fingerprints(docs: DataFrame, size: int = SHINGLE, kept: list[str] | None = None) -> DataFrame:
+    """Columns ``kept`` (doc_id) and the fingerprint as a signed 64-bit ``fp``."""
+    def make():
+        return lambda texts: [pa.array(np.array([majority(shingle_hashes(t, size)) for t in texts], np.uint64).view(np.int64))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([majority(shingle_hashes(t, size)) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return add_from_text(docs, kept or ["doc_id"], [T.StructField("fp", T.LongType())], make)
 
 
 def _near_tiles(radius: int) -> list[list[int]]:
@@ -128,15 +126,19 @@ def fingerprint_edges(distinct: DataFrame, radius: int, block: int = BLOCK) -> D
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def fingerprint_components(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """(fp, group) for every row of ``distinct`` (fp); the group is a fingerprint of the component."""
+    comp = connected_components(fingerprint_edges(distinct, radius, block))
+    return distinct.join(comp, distinct.fp == comp.node, "left").select("fp", F.coalesce("component", "fp").alias("group"))
+
+
 def simhash_components(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row."""
     checkpoint_dir(docs.sparkSession)
-    fps = fingerprints(docs, size).checkpoint()
+    fps = fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), size).checkpoint()
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = connected_components(fingerprint_edges(distinct.select("fp"), radius, block))
-    named = (distinct.join(comp, distinct.fp == comp.node, "left")
-             .select("fp", "least", F.coalesce("component", "fp").alias("c")))
-    ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(ids, "c").select("fp", "component_id")
+    named = distinct.join(fingerprint_components(distinct.select("fp"), radius, block), "fp")
+    ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    by_fp = named.join(ids, "group").select("fp", "component_id")
     return (fps.join(by_fp, "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
