@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import segments as S
+from riskloom.llm.rowwise import slices
 from riskloom.session import checkpoint_dir, ship_package
 
 WINDOW = 2048
@@ -124,7 +125,7 @@ def tokenised_pieces(docs: DataFrame, path: str, window: int = WINDOW, max_piece
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
-        for b in batches:
+        for b in slices(batches):
             at: list[int] = []
             rows: list[tuple[int, int, int, int]] = []
             for i, ids in enumerate(tok(b.column("text").to_pylist())):

@@ -12,6 +12,16 @@ from pyspark.sql import types as T
 from riskloom.session import ship_package
 
 
+SLICE = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a worker holds the texts of few rows as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def add_from_text(docs: DataFrame, kept: list[str], fields: list[T.StructField], make: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
     """Columns ``kept`` of ``docs`` and the computed ``fields``.
 
@@ -28,7 +38,7 @@ def add_from_text(docs: DataFrame, kept: list[str], fields: list[T.StructField],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for b in batches:
+        for b in slices(batches):
             out = compute(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *out], names=schema.names)
 
