@@ -45,9 +45,9 @@ from riskloom.llm import segments as S
 from riskloom.llm.token_counts import PieceModel, piece_model
 from riskloom.session import checkpoint_dir, ship_package
 
-HEAD = 500_000
+HEAD = 250_000
 FOLD_CHARS = 62
-SLICE = 1000
+SLICE = 500
 PLACES = 1_000_003
 
 
@@ -153,8 +153,18 @@ def borders_of_entries(entries: Column, length: Column) -> Column:
 
 def ids_of_borders(mask: Column, edges: Column, segment: Column, byte_ids: list[int]) -> Column:
     """Piece ids between standing borders; spans without a piece become byte pieces."""
-    length = F.length(segment)
-    at = F.filter(F.sequence(F.lit(0), length), lambda i: F.getbit(mask, i) == 1)
+    one = F.lit(1).cast("long")
+    shift = lambda n: F.call_function("shiftleft", one, n)
+
+    def spans_two(e: Column) -> Column:
+        """Both ends of the edge stand and nothing between them."""
+        inside = mask.bitwiseAND(shift(edge_end(e)) * 2 - shift(edge_start(e)))
+        return (edge_end(e) > edge_start(e)) & (inside == shift(edge_end(e)).bitwiseOR(shift(edge_start(e))))
+
+    on_path = F.sort_array(F.transform(F.filter(edges, spans_two), lambda e: F.shiftleft(edge_start(e).cast("long"), 20).bitwiseOR(e.bitwiseAND(_ID))))
+    all_pieces = F.transform(on_path, lambda x: x.bitwiseAND(_ID).cast("int"))
+
+    at = F.filter(F.sequence(F.lit(0), F.length(segment)), lambda i: F.getbit(mask, i) == 1)
     table = F.split(F.lit(",".join(map(str, byte_ids))), ",")
     known = F.map_from_entries(F.transform(edges, lambda e: F.struct(edge_start(e) * 64 + edge_end(e), e.bitwiseAND(_ID).cast("int"))))
 
@@ -166,7 +176,9 @@ def ids_of_borders(mask: Column, edges: Column, segment: Column, byte_ids: list[
                                lambda j: F.get(table, F.conv(F.substring(data, j, F.lit(2)), 16, 10).cast("int")).cast("int"))
         return F.when(found.isNotNull(), F.array(found)).otherwise(as_bytes)
 
-    return F.flatten(F.transform(F.slice(at, F.lit(1), F.size(at) - 1), span))
+    with_bytes = F.flatten(F.transform(F.slice(at, F.lit(1), F.size(at) - 1), span))
+    # most segments are covered by pieces: as many edges on the path as spans
+    return F.when(F.size(all_pieces) == F.bit_count(mask) - 1, all_pieces).otherwise(with_bytes)
 
 
 def decode(ids: Column, path: str) -> Column:
