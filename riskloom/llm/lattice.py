@@ -22,8 +22,10 @@ bytes back into text.
 
 Documents are encoded from the segment table: the ``HEAD`` most frequent
 segments (a fixed number) are broadcast and applied on the map side, only
-occurrences of all others are shuffled, and both meet in sums per document. The
-order of ids within a document is kept in a checksum that adds up.
+occurrences of all others are shuffled. A document's ids of frequent segments are
+written in order with gaps for the others; their ids fill the gaps by document. The
+whole ids are decoded to text, which is compared with the document's by a digest of
+16 bytes. Count and checksum are taken from the whole ids.
 
 Null text is empty (no segments, no tokens). Repeated rows are encoded row by
 row, other columns are ignored, an empty table gives an empty result. U+2581
@@ -32,6 +34,7 @@ counts as a blank, as in the library.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -239,27 +242,36 @@ def segment_counts(docs: DataFrame, path: str) -> DataFrame:
     return found.groupBy("segment", "known").agg(F.sum("n").alias("n"))
 
 
-def place_sum(place: np.ndarray, k: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Term of the checksum of the k-th id of the segment at ``place``."""
-    return (place * 64 + k + 1) % PLACES * (ids.astype(np.int64) + 1)
+def ids_sum(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Checksum of the ids of each document, whose ids end at ``ends``: depends on their order."""
+    starts = np.append(0, ends[:-1])[: len(ends)]
+    place = np.arange(len(ids)) - np.repeat(starts, ends - starts)
+    total = np.append(0, np.cumsum((place + 1) % PLACES * (ids.astype(np.int64) + 1)))
+    return total[ends] - total[starts]
 
 
-def place_sum_sql(place: str, ids: str) -> Column:
-    return F.expr(f"aggregate(transform({ids}, (x, k) -> (({place} * 64 + k + 1) % {PLACES}) * (x + 1L)), 0L, (a, v) -> a + v)")
+def decode_ids(ids: np.ndarray, data: np.ndarray) -> str:
+    """Text of the ids of a whole document, by the bytes ``data`` of each id; the prefix blank goes."""
+    raw = b"".join(b"".join(data[ids[at:at + 1_000_000]].tolist()) for at in range(0, len(ids), 1_000_000))
+    return raw.removeprefix(b" ").decode("utf-8", "replace")
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
 
 class _Head:
     """Frequent segments on a worker: hash -> span of ids."""
 
-    def __init__(self, hashes: np.ndarray, spans: np.ndarray, ids: np.ndarray, exact: np.ndarray):
+    def __init__(self, hashes: np.ndarray, spans: np.ndarray, ids: np.ndarray):
         self.table = S.HashTable(max(4, (4 * len(hashes)).bit_length()))
         u, at = np.unique(hashes, return_index=True)
         self.table.insert(u, at.astype(np.int32))
-        self.spans, self.ids, self.exact = spans, ids, exact
+        self.spans, self.ids = spans, ids
 
 
 def _head(encoded: DataFrame, limit: int) -> tuple:
-    got = encoded.orderBy(F.desc("n"), "segment").limit(limit).select("segment", "ids", "exact").toArrow()
+    got = encoded.orderBy(F.desc("n"), "segment").limit(limit).select("segment", "ids").toArrow()
     raw = [s.replace("▁", " ").encode() for s in got.column("segment").to_pylist()]
     ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
     arr = np.frombuffer(b"".join(raw), np.uint8)
@@ -267,27 +279,29 @@ def _head(encoded: DataFrame, limit: int) -> tuple:
     lists = got.column("ids").combine_chunks()
     ids = lists.flatten().to_numpy().astype(np.int32)
     n = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-    return hashes, np.stack([np.cumsum(n) - n, n], 1), ids, got.column("exact").to_numpy().astype(bool)
+    return hashes, np.stack([np.cumsum(n) - n, n], 1), ids
 
 
 def encode_documents(docs: DataFrame, path: str, algorithm: str = "merges", head: int = HEAD) -> DataFrame:
-    """Per row: doc_id, n_segments, n_tokens, ids_checksum (ids in order) and
-    ``decoded`` (all segments decode to themselves)."""
+    """Per row: doc_id, n_segments, n_tokens, ids_checksum, ``decoded`` (the ids
+    decode to the whole text), ``ids`` in order and the ``text`` decoded from them."""
     spark = docs.sparkSession
     ship_package(spark)
     folder = f"{checkpoint_dir(spark)}/lattice-{uuid.uuid4().hex}"
-    encoded = encode_segments(segment_counts(docs, path), path, algorithm)
-    encoded = encoded.withColumn("exact", F.coalesce(decode(F.col("ids"), path) == F.replace("segment", F.lit("▁"), F.lit(" ")), F.lit(False)))
-    encoded.write.parquet(f"{folder}/segments")
+    encode_segments(segment_counts(docs, path), path, algorithm).write.parquet(f"{folder}/segments")
     encoded = spark.read.parquet(f"{folder}/segments")
     shared = spark.sparkContext.broadcast(_head(encoded, head))
+    # ids travel in as few bytes as the vocabulary needs; the largest value stands for a rare segment
+    kind = np.dtype("<u2" if len(_vocabulary(path)[1]) < 0xFFFF else "<u4")
+    gap = np.iinfo(kind).max
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def known_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = piece_model(path), _Head(*shared.value)
         for b in slices(batches):
-            raw = [model.text_bytes(t) if t else b"" for t in b.column("text").to_pylist()]
-            segs, tokens, check = (np.zeros(len(raw), np.int64) for _ in range(3))
-            good = np.ones(len(raw), bool)
+            texts = [(t or "").replace("▁", " ") for t in b.column("text").to_pylist()]
+            raw = [model.text_bytes(t) for t in texts]
+            segs, tokens = (np.zeros(len(raw), np.int64) for _ in range(2))
+            found: list[np.ndarray] = [np.zeros(0, kind)]
             rare: list[tuple[np.ndarray, np.ndarray, list[str]]] = []
             for ids, pieces in S.chunks(raw, model.cut):
                 buf, arr, starts, ends, which = S.cuts(pieces, model.cut)
@@ -300,33 +314,57 @@ def encode_documents(docs: DataFrame, path: str, algorithm: str = "merges", head
                 segs += n
                 row = known.table.find(S.hash_segments(arr, starts, ends))
                 hit = row >= 0
-                first, length = known.spans[row[hit]].T
+                first, length = np.zeros(len(row), np.int64), np.ones(len(row), np.int64)
+                first[hit], length[hit] = known.spans[row[hit]].T
                 stop = np.cumsum(length)
-                k = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - length, length)
-                flat = known.ids[np.repeat(first, length) + k]
-                owner = np.repeat(doc[hit], length)
-                tokens += np.bincount(owner, minlength=len(raw))
-                np.add.at(check, owner, place_sum(np.repeat(place[hit], length), k, flat))
-                good[doc[hit][~known.exact[row[hit]]]] = False
+                flat = np.full(stop[-1], gap, kind)
+                of_known = np.repeat(hit, length)
+                at = np.arange(stop[-1]) - np.repeat(stop - length - first, length)
+                flat[of_known] = known.ids[at[of_known]]
+                found.append(flat)
+                tokens += np.bincount(np.repeat(doc, length), minlength=len(raw))
                 miss = np.flatnonzero(~hit)
                 rare.append((doc[miss], place[miss], [buf[s:e].decode().replace(" ", "▁") for s, e in zip(starts[miss].tolist(), ends[miss].tolist())]))
             m = sum(len(r[0]) for r in rare)
-            at = pa.array(np.concatenate([np.arange(len(raw)), *(r[0] for r in rare)]))
-            zero = np.zeros(m, np.int64)
+            take = pa.array(np.concatenate([np.arange(len(raw)), *(r[0] for r in rare)]))
+            data, stop = np.concatenate(found).tobytes(), np.append(0, np.cumsum(tokens) * kind.itemsize).tolist()
             yield pa.RecordBatch.from_arrays(
-                [b.column("row").take(at), b.column("doc_id").cast(pa.int64()).take(at),
+                [b.column("row").take(take), b.column("doc_id").cast(pa.int64()).take(take),
                  pa.array([None] * len(raw) + [s for r in rare for s in r[2]], pa.string()),
-                 pa.array(np.concatenate([zero[:0], segs, *(r[1] for r in rare)])),
-                 pa.array(np.concatenate([tokens, zero])), pa.array(np.concatenate([check, zero])), pa.array(np.concatenate([good, zero == 0]))],
-                names=["row", "doc_id", "segment", "place", "tokens", "checksum", "good"])
+                 pa.array(np.concatenate([segs, *(r[1] for r in rare)])),
+                 pa.array([data[s:e] for s, e in zip(stop, stop[1:])] + [None] * m, pa.binary()),
+                 pa.array([_digest(t) for t in texts] + [None] * m, pa.binary())],
+                names=["row", "doc_id", "segment", "place", "stream", "digest"])
 
     (docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-     .mapInArrow(run, "row long, doc_id long, segment string, place long, tokens long, checksum long, good boolean")
-     .write.parquet(f"{folder}/documents"))
+     .mapInArrow(known_ids, "row long, doc_id long, segment string, place long, stream binary, digest binary")
+     .write.option("compression", "zstd").parquet(f"{folder}/documents"))
     both = spark.read.parquet(f"{folder}/documents")
-    rest = (both.where("segment IS NOT NULL").select("row", "segment", "place").join(encoded.select("segment", "ids", "exact"), "segment")
-            .select("row", F.size("ids").cast("long").alias("t"), place_sum_sql("place", "ids").alias("c"), "exact")
-            .groupBy("row").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.min("exact").alias("e")))
-    return (both.where("segment IS NULL").join(rest, "row", "left")
-            .select("doc_id", F.col("place").alias("n_segments"), (F.col("tokens") + F.coalesce("t", F.lit(0))).alias("n_tokens"),
-                    (F.col("checksum") + F.coalesce("c", F.lit(0))).alias("ids_checksum"), (F.col("good") & F.coalesce("e", F.lit(True))).alias("decoded")))
+    # ids of the rare segments of a document, one behind the other, and how many each has
+    parts = F.sort_array(F.collect_list(F.struct("place", "ids")))
+    rest = (both.where("segment IS NOT NULL").select("row", "segment", "place").join(encoded.select("segment", "ids"), "segment")
+            .groupBy("row").agg(parts.alias("parts"))
+            .select("row", F.transform("parts", lambda x: F.size(x["ids"])).alias("sizes"), F.flatten(F.col("parts")["ids"]).alias("fill")))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = np.array([bytes.fromhex(h) for h in _vocabulary(path)[1]], object)
+        for b in slices(batches):
+            streams = b.column("stream").to_pylist()
+            stream = np.frombuffer(b"".join(streams), kind)
+            wide = np.ones(len(stream), np.int64)
+            gaps = stream == gap
+            wide[gaps] = b.column("sizes").flatten().to_numpy()
+            ids = np.repeat(stream, wide).astype(np.int32)
+            ids[np.repeat(gaps, wide)] = b.column("fill").flatten().to_numpy()
+            stop = np.cumsum(np.fromiter((len(s) // kind.itemsize for s in streams), np.int64, len(streams)))
+            ends = np.append(0, np.cumsum(wide))[stop]
+            starts = np.append(0, ends[:-1])[: len(ends)]
+            texts = [decode_ids(ids[s:e], data) for s, e in zip(starts.tolist(), ends.tolist())]
+            same = [_digest(t) == d for t, d in zip(texts, b.column("digest").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("place"), pa.array(ends - starts), pa.array(ids_sum(ids, ends)), pa.array(same, pa.bool_()),
+                 pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids)), pa.array(texts, pa.string())],
+                names=["doc_id", "n_segments", "n_tokens", "ids_checksum", "decoded", "ids", "text"])
+
+    return (both.where("segment IS NULL").drop("segment").join(rest, "row", "left").drop("row")
+            .mapInArrow(whole, "doc_id long, n_segments long, n_tokens long, ids_checksum long, decoded boolean, ids array<int>, text string"))

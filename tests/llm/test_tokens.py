@@ -137,6 +137,28 @@ def test_checksum_tells_orders_apart(spark):
     assert a.n_tokens == b.n_tokens and a.ids_checksum != b.ids_checksum
 
 
+def test_documents_come_as_ids_and_text(spark, sp, fuzz, edge_docs):
+    rows = [(i, t) for i, t in enumerate(fuzz)] + [(-1, " lead  and trail "), (-2, "\u2581\u2581x"), (-3, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(edge_docs.select("doc_id", "text"))
+    want = sorted(((r.doc_id, sp.encode(r.text or ""), (r.text or "").replace("▁", " ")) for r in docs.collect()), key=str)
+    for head in (0, 60, 10_000):
+        got = LA.encode_documents(docs, PIECE_MODEL, head=head).collect()
+        assert sorted(((r.doc_id, r.ids, r.text) for r in got), key=str) == want
+        assert all(r.decoded and r.n_tokens == len(r.ids) and r.ids_checksum == sum((i + 1) * (x + 1) for i, x in enumerate(r.ids)) for r in got)
+
+
+def test_a_wrong_id_is_not_decoded(monkeypatch, spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "one one")], "doc_id long, text string")
+    right = LA.encode_segments
+
+    def swapped(*args):
+        got = right(*args)
+        return got.withColumn("ids", F.when(F.col("segment").contains("two"), F.reverse(F.concat("ids", "ids"))).otherwise(F.col("ids")))
+
+    monkeypatch.setattr(LA, "encode_segments", swapped)
+    assert {r.doc_id: r.decoded for r in LA.encode_documents(docs, PIECE_MODEL).collect()} == {1: False, 2: True}
+
+
 def test_viterbi_is_the_best_path(spark, sf):
     """Against dynamic programming in Python over the same pieces and scores."""
     normal, _, _, scores, unknown = LA._vocabulary(PIECE_MODEL)
