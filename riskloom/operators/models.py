@@ -49,11 +49,14 @@ def fit_score(train: DataFrame, test: DataFrame, cols: list[str], model: str = "
         tr = with_class_weight(tr, label)
         est = GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", seed=seed,
                             maxIter=params.get("maxIter", 20), maxDepth=params.get("maxDepth", 4),
-                            stepSize=params.get("stepSize", 0.1))
+                            stepSize=params.get("stepSize", 0.1), subsamplingRate=params.get("subsamplingRate", 1.0),
+                            featureSubsetStrategy=params.get("featureSubsetStrategy", "all"))
         scored = est.fit(tr).transform(te)
         score = vector_to_array("probability")[1]
     elif model == "svc":
-        svc = LinearSVC(labelCol=label, featuresCol="features", regParam=params.get("regParam", 0.01),
+        # the reference's penalty C multiplies a sum of losses, regParam a mean
+        reg = 1.0 / (params["C"] * max(1, tr.count())) if "C" in params else params.get("regParam", 0.01)
+        svc = LinearSVC(labelCol=label, featuresCol="features", regParam=reg,
                         maxIter=params.get("maxIter", 50))
         m = svc.fit(tr)
         # Platt scaling: a logistic fit on the margin gives probabilities
@@ -70,7 +73,8 @@ def fit_score(train: DataFrame, test: DataFrame, cols: list[str], model: str = "
         hidden = params.get("layers", [32, 16])
         est = MultilayerPerceptronClassifier(labelCol=label, featuresCol="features", seed=seed,
                                              layers=[len(cols), *hidden, 2], maxIter=params.get("maxIter", 100),
-                                             blockSize=params.get("blockSize", 128))
+                                             blockSize=params.get("blockSize", 128), solver=params.get("solver", "l-bfgs"),
+                                             stepSize=params.get("stepSize", 0.03))
         scored = est.fit(tr).transform(te)
         score = vector_to_array("probability")[1]
     else:
@@ -139,6 +143,30 @@ def cv_run(df: DataFrame, cols: list[str], model: str = "gbt", k: int = 5, label
               "average_precision double")
 
 
+def cv_test_run(train: DataFrame, test: DataFrame, cols: list[str], model: str = "gbt", k: int = 5,
+                label: str = "label", key: str = "id", params: dict | None = None, seed: int = 42,
+                best_by: str = "roc_auc") -> DataFrame:
+    """``cv_run`` with what follows from it: rows of part 'fold' (threshold
+    0.5), their 'mean' (folds without a metric left out, as ``nanmean``), and
+    'test': the model of the best fold (its number in ``fold``, ties to the
+    first) on ``test``, at the threshold tuned there."""
+    names = ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")
+    folds = sorted(cv_run(train, cols, model, k, label, key, params, seed).collect(), key=lambda r: r["fold"])
+    best = max(folds, key=lambda r: (r[best_by] is not None, r[best_by] or 0.0, -r["fold"]))["fold"]
+    kept = stratified_folds(train, label=label, key=key, k=k, seed=seed).filter(F.col("fold") != best)
+    scored = fit_score(kept, test, cols, model, label, key, params, seed).persist()
+    t = M.evaluate(scored).first()
+    scored.unpersist()
+
+    def mean(m):
+        known = [r[m] for r in folds if r[m] is not None]
+        return sum(known) / len(known) if known else None
+
+    rows = [("fold", r["fold"], 0.5, *[r[m] for m in names]) for r in folds]
+    rows += [("mean", None, 0.5, *[mean(m) for m in names]), ("test", best, t["threshold"], *[t[m] for m in names])]
+    return train.sparkSession.createDataFrame(rows, "part string, fold int, threshold double, " + ", ".join(f"{m} double" for m in names))
+
+
 def param_grid(grid: dict[str, list]) -> list[dict]:
     """Cartesian product of hyper-parameter lists (configuration, not data)."""
     keys = list(grid)

@@ -163,7 +163,7 @@ def q_svc_classifier(spark, sf):
 
 @R.add("mlp_classifier")
 def q_mlp_classifier(spark, sf):
-    return _test_metrics(spark, sf, "mlp", {"layers": [16, 8], "maxIter": 50})
+    return _test_metrics(spark, sf, "mlp", {"layers": [128, 64]})
 
 
 @R.add("ml_pipeline")
@@ -173,24 +173,36 @@ def q_ml_pipeline(spark, sf):
     return r6(run_pipeline("knn", train, test, cols, sampler="ros", pca_method="default", knn_kw=KNN))
 
 
+# The reference's search spaces as far as MLlib has the parameters (README).
+GBT_GRID = {"maxIter": [100, 200, 300], "maxDepth": [3, 5, 7, 9], "stepSize": [0.01, 0.05, 0.1, 0.2],
+            "subsamplingRate": [0.6, 0.8, 1.0], "featureSubsetStrategy": ["0.6", "0.8", "all"]}
+GBT_DRAWS = 20
+SVC_GRID = {"C": [0.1, 1.0, 10.0]}
+MLP_LAYERS = {"layers": [[128, 64], [256, 128]]}
+MLP_COMBOS = (MD.param_grid({**MLP_LAYERS, "solver": ["l-bfgs"]})
+              + MD.param_grid({**MLP_LAYERS, "solver": ["gd"], "stepSize": [1e-3, 5e-4]}))
+
+
 @R.add("cv_run")
 def q_cv_run(spark, sf):
-    train, _, cols = feature_set(spark, sf)
-    return r6(MD.cv_run(train, cols, "gbt", k=5, params={"maxIter": 10}))
+    train, test, cols = feature_set(spark, sf)
+    return r6(MD.cv_test_run(train, test, cols, "gbt", k=5, params={"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}))
 
 
 @R.add("random_search")
 def q_random_search(spark, sf):
     train, _, cols = feature_set(spark, sf)
-    combos = MD.random_subset(MD.param_grid({"maxDepth": [3, 4, 5], "stepSize": [0.05, 0.1], "maxIter": [10]}), 4)
-    return r6(MD.search(train, cols, "gbt", combos, k=3))
+    gbt = MD.search(train, cols, "gbt", MD.random_subset(MD.param_grid(GBT_GRID), GBT_DRAWS), k=3)
+    svc = MD.search(train, cols, "svc", MD.param_grid(SVC_GRID), k=3)
+    return r6(gbt.select(F.lit("gbt").alias("model"), "*").unionByName(svc.select(F.lit("svc").alias("model"), "*")))
 
 
 @R.add("search_results")
 def q_search_results(spark, sf):
     train, _, cols = feature_set(spark, sf)
-    combos = MD.param_grid({"regParam": [0.001, 0.01, 0.1]})
-    return r6(MD.best_of(MD.search(train, cols, "svc", combos, k=3), "f1"))
+    tried = MD.search(train, cols, "mlp", MLP_COMBOS, k=5)
+    best = MD.best_of(tried, "f1").select("combo").scalar()
+    return r6(tried.withColumn("is_best", F.col("combo") == best))
 
 
 @R.add("compare_samplers")

@@ -58,3 +58,48 @@ def test_centroids_are_cluster_means(spark):
     got = sorted(tuple(np.round(r.embedding, 6)) for r in out if r.label == 0)
     want = sorted(tuple(np.round(np.mean([r[2] for r in rows[:90] if r[0] % 3 == k], axis=0), 6)) for k in range(3))
     assert got == want and sum(r.label == 1 for r in out) == 3
+
+
+def test_cv_reports_mean_best_fold_and_test(frame):
+    df = frame[0]
+    train, test, params = df.where("id < 300"), df.where("id >= 300"), {"maxIter": 2, "maxDepth": 2}
+    rows = models.cv_test_run(train, test, COLS, "gbt", k=3, params=params).collect()
+    folds = [r for r in rows if r.part == "fold"]
+    mean, last = rows[3], rows[4]
+    assert [r.part for r in rows] == ["fold"] * 3 + ["mean", "test"] and [r.fold for r in folds] == [0, 1, 2]
+    for m in ("accuracy", "f1", "roc_auc", "average_precision"):
+        assert mean[m] == pytest.approx(np.mean([r[m] for r in folds]))
+    assert last.fold == int(np.argmax([r.roc_auc for r in folds]))
+    kept = models.stratified_folds(train, label="label", key="id", k=3, seed=42).where(f"fold <> {last.fold}")
+    scored = models.fit_score(kept, test, COLS, "gbt", params=params).toPandas()
+    at = scored.score > last.threshold
+    assert last.accuracy == pytest.approx((at == (scored.y_true == 1)).mean())
+
+
+def test_searches_have_the_reference_breadth(monkeypatch, spark, frame):
+    from riskloom.plans import q_models as Q
+    calls, seen = [], []
+    real = models.search
+    monkeypatch.setattr(Q, "feature_set", lambda *_: (frame[0], frame[0], COLS))
+    monkeypatch.setattr(models, "cv_run", lambda df, cols, model, k, *a, **kw: calls.append((model, k, a[2])) or df.sparkSession.createDataFrame(
+        [(0.5, len(calls) / 100, 0.5)], "accuracy double, f1 double, roc_auc double"))
+    monkeypatch.setattr(models, "search", lambda df, cols, model, combos, **kw: seen.append((model, combos)) or real(df, cols, model, combos, **kw))
+    rows = Q.q_random_search(spark, "").collect()
+    assert sorted(r.model for r in rows) == ["gbt"] * 20 + ["svc"] * 3
+    gbt = dict(seen)["gbt"]
+    assert len({str(sorted(c.items())) for c in gbt}) == 20 and all(set(c) == set(Q.GBT_GRID) for c in gbt)
+    rows = Q.q_search_results(spark, "").collect()
+    assert len(rows) == 6 and [r.is_best for r in rows].count(True) == 1 and max(rows, key=lambda r: r.f1).is_best
+    assert {k for m, k, _ in calls if m == "mlp"} == {5} and {tuple(c["layers"]) for c in dict(seen)["mlp"]} == {(128, 64), (256, 128)}
+
+
+def test_search_parameters_reach_the_estimators(monkeypatch, frame):
+    train, test, given = frame[0].where("id < 300"), frame[0].where("id >= 300"), {}
+    for name in ("GBTClassifier", "LinearSVC", "MultilayerPerceptronClassifier"):
+        monkeypatch.setattr(models, name, lambda _f=getattr(models, name), **kw: given.update(kw) or _f(**kw))
+    models.fit_score(train, test, COLS, "gbt", params={"maxIter": 1, "maxDepth": 2, "subsamplingRate": 0.6, "featureSubsetStrategy": "0.8"}).count()
+    assert given["subsamplingRate"] == 0.6 and given["featureSubsetStrategy"] == "0.8"
+    models.fit_score(train, test, COLS, "svc", params={"C": 10.0, "maxIter": 2}).count()
+    assert given["regParam"] == pytest.approx(1 / 3000)
+    models.fit_score(train, test, COLS, "mlp", params={"layers": [3], "solver": "gd", "stepSize": 5e-4, "maxIter": 2}).count()
+    assert given["solver"] == "gd" and given["stepSize"] == 5e-4
