@@ -149,13 +149,19 @@ def cluster_centroids(df: DataFrame, label: str = "label", key: str = "vec_id",
     return df.filter(F.col(label) == minority).select(key, label, vec).unionByName(out)
 
 
+SETS = ("original", "ros", "rus", "smote", "smotetomek", "cc")
+
+
 def make_sampled_sets(df: DataFrame, label: str = "label", key: str = "vec_id", vec: str = "embedding",
-                      seed: int = 42, **knn_kw) -> dict[str, DataFrame]:
-    """All resamplings of one training frame (lazy)."""
+                      seed: int = 42, methods: tuple = SETS, **knn_kw) -> dict[str, DataFrame]:
+    """All resamplings of one training frame (lazy, but for the k-means fit of 'cc')."""
     base = df.select(key, label, vec)
-    return {
-        "original": base,
-        "ros": sample_over(base, label, key, seed).drop("draw"),
-        "rus": sample_under(base, label, key, seed),
-        "smote": with_synthetic(base, smote(base, label, key, vec, seed=seed, **knn_kw), label, key, vec),
+    makers = {
+        "original": lambda: base,
+        "ros": lambda: sample_over(base, label, key, seed).drop("draw"),
+        "rus": lambda: sample_under(base, label, key, seed),
+        "smote": lambda: with_synthetic(base, smote(base, label, key, vec, seed=seed, **knn_kw), label, key, vec),
+        "smotetomek": lambda: smote_tomek(base, label, key, vec, seed=seed, **knn_kw),
+        "cc": lambda: cluster_centroids(base, label, key, vec, seed=seed),
     }
+    return {m: makers[m]() for m in methods}

@@ -254,7 +254,8 @@ def q_cluster_centroids(spark, sf):
   UNION ALL SELECT 'rus', label, (SELECT n_min FROM sz) FROM vectors GROUP BY label
   UNION ALL SELECT 'smote', label, (SELECT n_max FROM sz) FROM vectors GROUP BY label)"""))
 def q_make_sampled_sets(spark, sf):
-    sets = SM.make_sampled_sets(vectors(spark, sf), key="vec_id", **KNN)
+    # the methods of the oracle; compare_samplers runs all of them
+    sets = SM.make_sampled_sets(vectors(spark, sf), key="vec_id", methods=("original", "ros", "rus", "smote"), **KNN)
     out = None
     for name, df in sets.items():
         c = df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(name))
