@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from riskloom.llm import byte_gru as BG
+from riskloom.llm import centroid_walk as CW
 from riskloom.llm import chat_events as CE
 from riskloom.llm import html_blocks as HB
 from riskloom.llm import kk_packing as KK
@@ -83,3 +84,8 @@ def op9(spark, sf_dir):
 @R.add("op10_lattice")
 def op10(spark, sf_dir):
     return LA.encode_documents(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+@R.add("op11_centroid_walk")
+def op11(spark, sf_dir):
+    return CW.cluster(read_table(spark, sf_dir, "embeddings"))
