@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from riskloom.llm import angular_negatives as AN
 from riskloom.llm import byte_gru as BG
 from riskloom.llm import centroid_walk as CW
 from riskloom.llm import chat_events as CE
@@ -89,3 +90,10 @@ def op10(spark, sf_dir):
 @R.add("op11_centroid_walk")
 def op11(spark, sf_dir):
     return CW.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+@R.add("op13_angular_negatives")
+def op13(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read_table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return AN.mine(vectors, F.col("vec_id") % 100 == 0)
