@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from riskloom.llm import angular_negatives as AN
+from riskloom.llm import bucket_pointers as BP
 from riskloom.llm import byte_gru as BG
 from riskloom.llm import centroid_walk as CW
 from riskloom.llm import chat_events as CE
@@ -97,3 +98,9 @@ def op13(spark, sf_dir):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = read_table(spark, sf_dir, "embeddings").withColumn("label", label)
     return AN.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+@R.add("op12_bucket_pointers")
+def op12(spark, sf_dir):
+    docs = BP.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
