@@ -3,9 +3,10 @@
 A string is a window of ``length`` bytes of a text; every byte of a window that also
 starts earlier goes. Windows with equal content must meet, so they are dealt by
 content: the key of a window is the least of its ``GRAM``-byte grams in a fixed pseudo-random
-order. Neighbouring windows mostly share their key occurrence, and such a
-run travels as one segment of bytes. Keys are the initial gram buckets, and a bucket of
-one segment is done.
+order. Neighbouring windows mostly share their key. Keys are the initial gram buckets: they travel
+first, without text, and the windows of a bucket of one run are settled. Only runs of shared keys
+then travel as segments of bytes. Whole copies of a text are found by
+their SHA-256 before that.
 
 Within a task the windows of the remaining buckets are told apart by bucket-pointer
 refinement (Schuermann and Stoye, "An incompetent suffix sorter", 2007, stopped at
@@ -48,6 +49,8 @@ HELD = 1 << 22  # text bytes whose segments are told apart at a time
 GROUP = 1 << 21  # segment bytes refined at a time, as far as buckets allow
 DRAW = 2048  # documents
 SHARE = 256  # a gram is frequent if 1 / SHARE of the drawn documents hold it
+ASKED, KNOWN, ASIDE = 0, 1, 2  # is a key shared? it is; it is, and another row of the task says so
+NAMES = ("ref", "none", "doc", "digest")
 MOST = 1 << 20  # frequent grams, the most frequent ones
 _BASE = 0x9E3779B97F4A7C15
 _LATE = np.uint64(1 << 63)
@@ -166,7 +169,7 @@ def frequent_grams(texts: DataFrame, draw: int, share: int) -> np.ndarray:
     n = texts.count()
     if not n:
         return np.zeros(0, np.uint64)
-    part = texts.where(F.pmod(F.xxhash64("doc", "digest"), F.lit(1 << 40)) < int(min(1.0, draw / n) * (1 << 40)))
+    part = texts.where(F.pmod(F.xxhash64("ref"), F.lit(1 << 40)) < int(min(1.0, draw / n) * (1 << 40)))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
@@ -179,29 +182,73 @@ def frequent_grams(texts: DataFrame, draw: int, share: int) -> np.ndarray:
     return np.array([r["g"] for r in often.select("g").collect()], np.int64).astype(np.uint64)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, draw: int = DRAW, share: int = SHARE, group: int = GROUP) -> DataFrame:
-    """doc, digest, start, end: windows' spans to remove (they may overlap)."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    if length < GRAM + 8:
-        raise ValueError(f"windows have at least {GRAM + 8} bytes")
-    texts = keyed(docs).where(F.octet_length("text") >= length)
-    frequent = spark.sparkContext.broadcast(Frequent(frequent_grams(texts, draw, share)))
+def shared_keys(rows: DataFrame, length: int, frequent) -> DataFrame:
+    """ref, keys: the keys of each row's runs whose bucket holds more than one run.
+
+    A task names every key once per few megabytes of text; a key it met more than once is known to be
+    shared, so its other places need no answer and are dealt by row."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in gathered(batches, length):
+            refs, keys, known = [], [], []
+            for ref, *_, data in held:
+                _, _, key, twice = segments(data, length, frequent.value)
+                refs.append(np.full(len(key), ref)), keys.append(key), known.append(twice)
+            ref, key, known = (np.concatenate(c) for c in (refs, keys, known))
+            _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            many = count > 1
+            np.logical_or.at(many, inverse, known)
+            kind = np.where(many[inverse], ASIDE, ASKED)
+            kind[first[many]] = KNOWN
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ref), pa.array(kind.astype(np.int8))], names=["key", "ref", "kind"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[b.column(c).to_numpy() for c in ("key", "ref", "kind")] for b in batches]
+        if not held:
+            return
+        key, ref, kind = (np.concatenate(c) for c in zip(*held))
+        shared = kind != ASKED
+        met = np.flatnonzero(kind != ASIDE)
+        _, inverse, count = np.unique(key[met], return_inverse=True, return_counts=True)
+        many = count > 1
+        many[inverse[kind[met] == KNOWN]] = True
+        shared[met] = many[inverse]
+        order = np.flatnonzero(shared)
+        order = order[np.argsort(ref[order], kind="stable")]
+        edge = np.flatnonzero(np.append(True, ref[order][1:] != ref[order][:-1])) if len(order) else order
+        lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(order)).astype(np.int32)), pa.array(key[order]))
+        yield pa.RecordBatch.from_arrays([pa.array(ref[order][edge]), lists], names=["ref", "keys"])
+
+    asked = rows.mapInArrow(ask, "key long, ref long, kind byte").repartition(F.when(F.col("kind") == ASIDE, F.col("ref")).otherwise(F.col("key")))
+    return asked.mapInArrow(answer, "ref long, keys array<long>").groupBy("ref").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple]]:
+    """(ref, none, doc, digest, shared keys, offset, bytes) of pieces, about ``HELD``
+    bytes at a time; copies are left out."""
+    held, size = [], 0
+    for b in slices(batches, 256):
+        more = [b.column(c).to_pylist() if c in b.schema.names else [None] * b.num_rows for c in ("keys", "copies")]
+        for ref, none, doc, digest, text, own, copies in zip(*(b.column(c).to_pylist() for c in (*NAMES, "text")), *more):
+            if is_copy(copies, none, doc, digest):
+                continue
+            for at, data in pieces(text, length):
+                held.append((ref, none, doc, digest, own, at, data))
+                size += len(data)
+                if size > HELD:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def repeated_spans(rows: DataFrame, length: int, frequent, group: int) -> DataFrame:
+    """ref, none, doc, digest, start, end: spans to remove (they may overlap) of ``rows`` with the shared keys of each."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in slices(batches, 256):
-            for none, doc, digest, text in zip(*(b.column(c).to_pylist() for c in ("none", "doc", "digest", "text"))):
-                for at, data in pieces(text, length):
-                    held.append((none, doc, digest, at, data))
-                    size += len(data)
-                    if size > HELD:
-                        yield different(held, length, frequent.value)
-                        held, size = [], 0
-        if held:
+        for held in gathered(batches, length):
             yield different(held, length, frequent.value)
 
-    dealt = texts.mapInArrow(deal, "key long, twice boolean, none boolean, doc long, digest long, start long, windows long, bytes binary")
-    met = dealt.repartition(F.coalesce("key", F.xxhash64("doc", "digest", "start")))
+    dealt = rows.mapInArrow(deal, "key long, twice boolean, ref long, none boolean, doc long, digest long, start long, windows long, bytes binary")
+    met = dealt.repartition(F.coalesce("key", F.xxhash64("ref", "start")))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -210,46 +257,44 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, draw: int = DRAW, shar
             del held
             alone = table.filter(table.column("key").is_null())
             start, windows = (alone.column(c).to_numpy() for c in ("start", "windows"))
-            yield _spans(*(alone.column(c).to_numpy() for c in ("none", "doc", "digest")), start, start + windows + length - 1)
+            yield _spans(*(alone.column(c).to_numpy() for c in NAMES), start, start + windows + length - 1)
             yield from compare(table.filter(table.column("key").is_valid()), length, group)
 
-    return met.mapInArrow(meet, "none boolean, doc long, digest long, start long, end long")
+    return met.mapInArrow(meet, "ref long, none boolean, doc long, digest long, start long, end long")
 
 
 def different(held: list[tuple], length: int, frequent: Frequent) -> pa.RecordBatch:
     """One row per different segment of some pieces, at its earliest place. Other
     places are repeats: neighbouring ones are one row without key and bytes."""
-    rows, shift = [], 0
-    for none, doc, digest, at, data in held:
+    rows, found = [], []
+    for ref, none, doc, digest, own, at, data in held:
         first, count, keys, twice = segments(data, length, frequent)
-        rows.append([*(np.full(len(first), v) for v in (none, doc, digest)), first + at, count, keys, twice, first + shift])
-        shift += len(data)
-    none, doc, digest, start, count, keys, twice, where = (np.concatenate(c) for c in zip(*rows))
-    data = b"".join(piece[4].tobytes() for piece in held)
-    found = [data[s:s + n] for s, n in zip(where.tolist(), (count + length - 1).tolist())]
+        use = np.isin(keys, np.array(own, np.int64))
+        first, count, keys, twice = (c[use] for c in (first, count, keys, twice))
+        rows.append([*(np.full(len(first), v) for v in (ref, none, doc, digest)), first + at, count, keys, twice])
+        text = data.tobytes()
+        found += [text[s:s + n] for s, n in zip(first.tolist(), (count + length - 1).tolist())]
+    ref, none, doc, digest, start, count, keys, twice = (np.concatenate(c) for c in zip(*rows))
     place = places(none, doc, start)
-    order = np.argsort(place, kind="stable").tolist()
     lead: dict[bytes, int] = {}
-    first_of = np.empty(len(order), np.int64)
-    for i in order:
+    first_of = np.empty(len(found), np.int64)
+    for i in np.argsort(place, kind="stable").tolist():
         first_of[i] = lead.setdefault(found[i], i)
     later = place > place[first_of]
     # an equal place is not earlier, but the same row again says nothing new
-    use = np.flatnonzero(~later & ((first_of == np.arange(len(order))) | (digest != digest[first_of])))
+    use = np.flatnonzero(~later & ((first_of == np.arange(len(found))) | (digest != digest[first_of])))
     rest = np.flatnonzero(later)
     rest = rest[np.lexsort((start[rest], digest[rest], doc[rest], none[rest]))]
+    sums = count[rest]
     if len(rest):
-        names = [c[rest] for c in (none, doc, digest)]
-        gap = np.append(True, (start[rest][1:] != (start + count)[rest][:-1]) | np.any([c[1:] != c[:-1] for c in names], axis=0))
-        sums = np.add.reduceat(count[rest], np.flatnonzero(gap))
-        rest = rest[gap]
-    else:
-        sums = count[rest]
+        new_row = np.any([c[rest][1:] != c[rest][:-1] for c in (none, doc, digest)], axis=0)
+        gap = np.append(True, (start[rest][1:] != (start + count)[rest][:-1]) | new_row)
+        sums, rest = np.add.reduceat(sums, np.flatnonzero(gap)), rest[gap]
     both = np.concatenate([use, rest])
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys[both], mask=np.arange(len(both)) >= len(use)), *(pa.array(c[both]) for c in (twice, none, doc, digest, start)),
+        [pa.array(keys[both], mask=np.arange(len(both)) >= len(use)), *(pa.array(c[both]) for c in (twice, ref, none, doc, digest, start)),
          pa.array(np.concatenate([count[use], sums])), pa.array([found[i] for i in use.tolist()] + [None] * len(rest), pa.binary())],
-        names=["key", "twice", "none", "doc", "digest", "start", "windows", "bytes"])
+        names=["key", "twice", *NAMES, "start", "windows", "bytes"])
 
 
 def places(none: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -260,9 +305,9 @@ def places(none: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spans(none, doc, digest, start, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(none, bool)), *(pa.array(np.asarray(c, np.int64)) for c in (doc, digest, start, end))],
-                                      names=["none", "doc", "digest", "start", "end"])
+def _spans(ref, none, doc, digest, start, end) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(v, bool if c == "none" else np.int64)) for c, v in
+                                       zip((*NAMES, "start", "end"), (ref, none, doc, digest, start, end))], names=[*NAMES, "start", "end"])
 
 
 def compare(table: pa.Table, length: int, group: int) -> Iterator[pa.RecordBatch]:
@@ -287,7 +332,7 @@ def compare(table: pa.Table, length: int, group: int) -> Iterator[pa.RecordBatch
 
 
 def _compare(part: pa.Table, length: int) -> pa.RecordBatch:
-    none, doc, digest, start, windows = (part.column(c).to_numpy() for c in ("none", "doc", "digest", "start", "windows"))
+    ref, none, doc, digest, start, windows = (part.column(c).to_numpy() for c in (*NAMES, "start", "windows"))
     held = part.column("bytes").to_pylist()
     place = places(none, doc, start)
     lead: dict[bytes, int] = {}
@@ -295,7 +340,7 @@ def _compare(part: pa.Table, length: int) -> pa.RecordBatch:
     for i in np.argsort(place, kind="stable").tolist():
         first_of[i] = lead.setdefault(held[i], i)
     later = place > place[first_of]
-    out = [(none[later], doc[later], digest[later], start[later], start[later] + windows[later] + length - 1)]
+    out = [(ref[later], none[later], doc[later], digest[later], start[later], start[later] + windows[later] + length - 1)]
     once = np.flatnonzero(first_of == np.arange(len(held)))
     data = np.frombuffer(b"".join(held[i] for i in once.tolist()), np.uint8)
     size = windows[once] + length - 1
@@ -315,48 +360,71 @@ def _compare(part: pa.Table, length: int) -> pa.RecordBatch:
         a = np.flatnonzero(np.append(True, (np.diff(spot) != 1) | (np.diff(seg) != 0))) if len(repeat) else np.zeros(0, np.int64)
         z = np.append(a[1:], len(repeat))[:len(a)] - 1
         seg, low, high = seg[a], begin[a], begin[z] + length
-        out.append((none[seg], doc[seg], digest[seg], low, high))
+        out.append((ref[seg], none[seg], doc[seg], digest[seg], low, high))
         # rows of one doc_id with the same bytes at the same place share the result
         for t in np.flatnonzero(~later & (first_of != np.arange(len(held)))).tolist():
             s = np.flatnonzero(seg == first_of[t])
-            out.append((np.repeat(none[t], len(s)), np.repeat(doc[t], len(s)), np.repeat(digest[t], len(s)), low[s], high[s]))
+            out.append((*(np.repeat(c[t], len(s)) for c in (ref, none, doc, digest)), low[s], high[s]))
     return _spans(*(np.concatenate(c) for c in zip(*out)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """none, doc, digest, text (bytes): a row's name is its doc_id and a digest of its text."""
+    """ref, none, doc, digest, text (bytes). A row is named by its doc_id and a digest
+    of its text; ``ref`` hashes the name and only brings rows together."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"),
-                       F.xxhash64(text).alias("digest"), text.cast("binary").alias("text"))
+    named = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"),
+                        F.xxhash64(text).alias("digest"), text.cast("binary").alias("text"))
+    return named.select(F.xxhash64("none", "doc", "digest").alias("ref"), "*")
+
+
+def later_copies(rows: DataFrame, length: int) -> DataFrame:
+    """ref, copies: names of the rows whose whole text is that of a row with an earlier
+    doc_id (more than one only if two names share a ref)."""
+    name = F.struct("none", "doc", "digest")
+    whole = rows.where(F.octet_length("text") >= length).select("ref", name.alias("name"), F.struct("none", "doc").alias("place"), F.unhex(F.sha2("text", 256)).alias("sha"))
+    first = whole.groupBy("sha").agg(F.min("place").alias("first"))
+    return whole.join(first, "sha").where("place > first").groupBy("ref").agg(F.collect_set("name").alias("copies"))
+
+
+def is_copy(copies: list | None, none: bool, doc: int, digest: int) -> bool:
+    return any((c["none"], c["doc"], c["digest"]) == (none, doc, digest) for c in copies or ())
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by spans."""
+    if not len(starts):
+        return starts, ends
     order = np.argsort(starts, kind="stable")
     s, reach = starts[order], np.maximum.accumulate(ends[order])
     head = np.flatnonzero(np.append(True, s[1:] > reach[:-1]))
     return s[head], reach[np.append(head[1:], len(s)) - 1]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, draw: int = DRAW, share: int = SHARE, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes) of every row."""
-    spans = (repeated_spans(docs, length, **options).groupBy("none", "doc", "digest")
-             .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-             .select("none", "doc", "digest", F.col("spans.start").alias("s"), F.col("spans.end").alias("e")))
-    joined = keyed(docs).join(spans.hint("shuffle_hash"), ["none", "doc", "digest"], "left").select("none", "doc", "text", "s", "e")
+    spark = docs.sparkSession
+    ship_package(spark)
+    if length < GRAM + 8:
+        raise ValueError(f"windows have at least {GRAM + 8} bytes")
+    rows = keyed(docs)
+    frequent = spark.sparkContext.broadcast(Frequent(frequent_grams(rows, draw, share)))
+    marked = rows.join(later_copies(rows, length).hint("shuffle_hash"), "ref", "left")
+    # all joins deal the texts alike, so Spark shuffles them once
+    shared = shared_keys(marked, length, frequent)
+    spans = (repeated_spans(rows.join(shared.hint("shuffle_hash"), "ref"), length, frequent, group).groupBy("ref")
+             .agg(F.collect_list(F.struct("none", "doc", "digest", "start", "end")).alias("spans")))
+    joined = marked.join(spans.hint("shuffle_hash"), "ref", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
-            texts = b.column("text").to_pylist()
             removed, runs, kept = [], [], []
-            for i, text in enumerate(texts):
-                if not b.column("s")[i].is_valid:
-                    removed.append(0), runs.append(0), kept.append(text)
-                    continue
-                s, e = merged(*(b.column(c)[i].values.to_numpy() for c in ("s", "e")))
+            for none, doc, digest, text, copies, own in zip(*(b.column(c).to_pylist() for c in ("none", "doc", "digest", "text", "copies", "spans"))):
+                # another name with the same ref is another row
+                held = [(s["start"], s["end"]) for s in own or () if (s["none"], s["doc"], s["digest"]) == (none, doc, digest)]
+                s, e = merged(*np.array([(0, len(text))] if is_copy(copies, none, doc, digest) else held, np.int64).reshape(-1, 2).T)
                 removed.append(int((e - s).sum())), runs.append(len(s))
-                kept.append(b"".join(text[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(text)])))
-            yield pa.RecordBatch.from_arrays([b.column("none"), b.column("doc"), pa.array([len(t) for t in texts], pa.int64()),
+                kept.append(b"".join(text[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(text)])) if len(s) else text)
+            yield pa.RecordBatch.from_arrays([b.column("none"), b.column("doc"), pa.array([len(t) for t in b.column("text").to_pylist()], pa.int64()),
                                               pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
                                              names=["none", "doc", "n_bytes", "n_removed", "n_spans", "kept"])
 

@@ -114,7 +114,7 @@ def test_long_texts_are_read_in_pieces(spark, monkeypatch):
     for size in (100, 137, 5000):
         monkeypatch.setattr(BP, "PIECE", size)
         plain = BP.Frequent(np.zeros(0, np.uint64))
-        held = [(False, d, 0, at, p) for d, text in ((1, t), (2, t[5000:9000] + t)) for at, p in BP.pieces(text.encode(), 100)]
+        held = [(d, False, d, 0, BP.segments(p, 100, plain)[2].tolist(), at, p) for d, text in ((1, t), (2, t[5000:9000] + t)) for at, p in BP.pieces(text.encode(), 100)]
         table = BP.pa.Table.from_batches([BP.different(held[i:i + 7], 100, plain) for i in range(0, len(held), 7)])
         known = table.filter(table.column("key").is_valid())
         alone = table.filter(table.column("key").is_null())
