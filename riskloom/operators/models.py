@@ -211,21 +211,18 @@ def knn_grid_scores(df: DataFrame, cols: list[str] | None = None, label: str = "
                      F.col(label).alias("label"))
     folded = stratified_folds(base, label="label", key="vec_id", k=folds, seed=seed).persist()
     kmax = max(ks)
-    parts = []
-    tables: dict = {}
+    # one join per metric serves all folds: neighbours come from other folds
+    parts, tables = [], {}
     for metric in metrics:
         # minkowski with p=2 is the euclidean metric: one neighbour table serves both
         base_metric = "euclidean" if metric == "minkowski" else metric
-        for f in range(folds):
-            if (base_metric, f) not in tables:
-                q = folded.filter(F.col("fold") == f)
-                b = folded.filter(F.col("fold") != f)
-                tables[(base_metric, f)] = knn_join(q, b, k=kmax, metric=base_metric, **knn_kw)
-            nn = tables[(base_metric, f)]
-            parts.append(nn.withColumn("fold", F.lit(f)).withColumn("metric", F.lit(metric)))
+        if base_metric not in tables:
+            tables[base_metric] = knn_join(folded, folded, k=kmax, metric=base_metric, apart="fold", **knn_kw)
+        parts.append(tables[base_metric].withColumn("metric", F.lit(metric)))
     nn = parts[0]
     for p in parts[1:]:
         nn = nn.unionByName(p)
+    nn = nn.join(folded.select(F.col("vec_id").alias("query_id"), "fold"), "query_id")
     settings = F.explode(F.array(*[F.struct(F.lit(k).alias("n_neighbors"), F.lit(w).alias("weights"))
                                    for k in ks for w in weights]))
     lab = folded.select(F.col("vec_id").alias("neighbor_id"), F.col("label").alias("_y"))

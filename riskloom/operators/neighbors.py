@@ -1,180 +1,194 @@
-"""Exact k-nearest-neighbour join without a cross join.
-
-Plan:
-
-1. Pivots: the ``n_pivots`` base rows with the lowest seeded hash (a
-   bounded sample; only these vectors reach the driver).
-2. Every base row goes to the cell of its nearest pivot; per-cell counts
-   and radii are a table of ``n_pivots`` rows.
-3. For each query, the nearest cells that together hold k points bound the
-   k-th neighbour distance from above (triangle inequality:
-   d(q, x) <= d(q, p) + radius). Only cells with d(q, p) - radius within
-   that bound can hold a neighbour, so the result is exact.
-4. Large cells are split into blocks of at most ``block_rows`` rows on the
-   base side and on the query side, so a cell holding a third of all
-   points is spread over many tasks. Each (cell, base block, query block)
-   group is one cogrouped ``applyInPandas`` call that computes distances
-   with numpy and emits only its best k per query; pairs are never
-   materialised as rows.
-5. A per-query ``row_number`` over at most k x (candidate blocks) rows
-   picks the final k.
+"""Exact k-nearest-neighbour join on a grid of blocks, and its approximate form.
+
+Plan of the exact join:
+
+1. Both sides are checked and written once to the shared checkpoint folder.
+2. Query rows and base rows are dealt by a seeded hash into blocks whose size comes
+   from the width of the vectors (``BLOCK_BYTES``), never from a group or a cell, so
+   no task holds more than two blocks whatever the data look like. The blocks of
+   both sides form a grid; each field of it is one cogrouped task.
+3. A task keeps the k best neighbours of each query, first by a dot-product
+   estimate of the squared distance with a bound of its rounding error, then exactly (in the
+   difference form) for everything the bound leaves open. Pairs are never rows.
+4. The k best of each query over the base blocks are a top-k by rank, cut down
+   before and after the shuffle.
+
+``method="lsh"`` deals the rows by random-projection buckets instead and compares only
+within a bucket: sub-quadratic, and approximate. A bucket of any size is divided into blocks
+like the exact grid.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import cut_lineage
 from riskloom.operators.split import seeded_int
+from riskloom.session import checkpoint_dir, ship_package
 
 METRICS = ("euclidean", "manhattan", "minkowski")
-
-
-def _dist_matrix(q: np.ndarray, b: np.ndarray, metric: str, chunk_elems: int = 4_000_000) -> np.ndarray:
-    """Exact pairwise distances (difference form, no dot-product shortcut)."""
-    out = np.empty((q.shape[0], b.shape[0]), dtype=np.float64)
-    if q.shape[0] == 0 or b.shape[0] == 0:
-        return out
-    step = max(1, chunk_elems // max(1, b.shape[0] * max(1, q.shape[1])))
-    for s in range(0, q.shape[0], step):
-        diff = q[s:s + step, None, :] - b[None, :, :]
-        if metric == "manhattan":
-            out[s:s + step] = np.abs(diff).sum(-1)
+BLOCK_BYTES = 32 << 20
+MATRIX = 4_000_000  # distances held at a time
+FOUND = "query_id long, neighbor_id long, distance double"
+
+
+def _exact(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances between rows of equal number (or broadcast), difference form."""
+    diff = q - b
+    return np.abs(diff).sum(-1) if metric == "manhattan" else np.sqrt((diff * diff).sum(-1))
+
+
+def nearest_in_block(q: np.ndarray, b: np.ndarray, k: int, metric: str, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, base row, distance) of the k nearest base rows of every query,
+    ties by base row. ``allowed(lo, hi)`` gives a mask of pairs for query rows lo:hi."""
+    out: list[tuple] = []
+    width = max(1, q.shape[1])
+    dots = metric != "manhattan" and bool(np.isfinite(q).all() and np.isfinite(b).all())
+    qq, bb = (q * q).sum(1), (b * b).sum(1)
+    step = max(1, MATRIX // max(1, len(b) * (1 if dots else width)))
+    for lo in range(0, len(q), step):
+        part = q[lo:lo + step]
+        if dots:  # |q|^2 + |b|^2 - 2qb, off by less than ``slack``
+            d = qq[lo:lo + step, None] + bb - 2 * (part @ b.T)
+            slack = 4e-16 * (width + 8) * (qq[lo:lo + step] + (bb.max() if len(bb) else 0.0))
         else:
-            out[s:s + step] = np.sqrt((diff * diff).sum(-1))
-    return out
-
+            d, slack = _exact(part[:, None, :], b[None, :, :], metric), np.zeros(len(part))
+        if allowed is not None:
+            d = np.where(allowed(lo, lo + len(part)), d, np.inf)
+        if d.shape[1] > k:
+            limit = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * slack
+            r, c = np.nonzero(d <= limit[:, None])
+        else:
+            r, c = np.nonzero(d < np.inf)
+        use = d[r, c] < np.inf
+        r, c = r[use], c[use]
+        dist = _exact(part[r], b[c], metric) if dots else d[r, c]
+        order = np.lexsort((c, dist, r))
+        r, c, dist = r[order], c[order], dist[order]
+        first = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else r
+        place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+        use = (place < k) & np.isfinite(dist)
+        out.append((r[use] + lo, c[use], dist[use]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _written(queries: DataFrame, base: DataFrame, id_col: str, vec_col: str, within: str | None, apart: str | None) -> str:
+    """Folder of both sides (id, vec, grp, mark, side). A vector with a missing or NaN
+    component has no distance to anything and is an error."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        v = F.col(vec_col).cast("array<double>")
+        bad = F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(True))
+        fail = F.raise_error(F.concat(F.lit("NULL or NaN in the vector of "), F.col(id_col).cast("string"))).cast("array<double>")
+        text = lambda c: F.col(c).cast("string") if c else F.lit("")
+        return df.select(F.col(id_col).cast("long").alias("id"), F.when(bad, fail).otherwise(v).alias("vec"),
+                         text(within).alias("grp"), text(apart).alias("mark"), F.lit(name).alias("side"))
 
-def _stack(col: pd.Series, dim: int) -> np.ndarray:
-    if len(col) == 0:
-        return np.zeros((0, dim))
-    return np.stack(col.to_numpy()).astype(np.float64)
+    path = f"{checkpoint_dir(base.sparkSession)}/knn-{uuid.uuid4().hex}"
+    side(queries, "q").unionByName(side(base, "b")).write.parquet(path)
+    return path
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "euclidean",
              id_col: str = "vec_id", vec_col: str = "embedding", exclude_self: bool = False,
-             n_pivots: int | None = None, block_rows: int = 4096, seed: int = 42,
-             max_pivots: int = 4096) -> DataFrame:
+             within: str | None = None, apart: str | None = None, method: str = "exact",
+             block_rows: int | None = None, seed: int = 42, bucket_length: float | None = None, tables: int = 8) -> DataFrame:
     """(query_id, neighbor_id, rank, distance) for the k nearest base rows
     of every query row; ties broken by neighbour id.
 
-    ``n_pivots`` defaults to sqrt(base rows) within [16, ``max_pivots``],
-    so cells stay near ``sqrt(n)`` rows as the data grows; only the pivot
-    vectors and the per-cell table (``n_pivots`` rows) reach the driver."""
+    ``within`` names a column of both sides: neighbours come from the query's own
+    group, and the group is the first column of the result (many searches in one
+    join). ``apart`` names a column whose value must differ (cross-validation
+    folds). ``method="lsh"`` is approximate: ``tables`` random projections with buckets of
+    ``bucket_length``; its recall depends on both."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
+    if method not in ("exact", "lsh"):
+        raise ValueError(f"method must be exact|lsh, got {method!r}")
+    if method == "lsh" and (bucket_length is None or metric == "manhattan"):
+        raise ValueError("method 'lsh' needs bucket_length and the euclidean metric")
     metric = "euclidean" if metric == "minkowski" else metric
     spark = base.sparkSession
-    need = k + 1 if exclude_self else k
-    # both sides feed several passes (pivots, cell statistics, candidates,
-    # the blocked join): write them once to the shared checkpoint folder
-    def checked(name: str, vec: str):
-        """A vector with a missing or NaN component has no distance to anything."""
-        v = F.col(vec_col).cast("array<double>")
-        bad = F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(True))
-        fail = F.raise_error(F.concat(F.lit("NULL or NaN in the vector of "), F.col(id_col).cast("string"))).cast("array<double>")
-        return F.col(id_col).alias(name), F.when(bad, fail).otherwise(v).alias(vec)
-
-    b = cut_lineage(base.select(*checked("nid", "nvec")))
-    q = cut_lineage(queries.select(*checked("qid", "qvec")))
-
-    if n_pivots is None:
-        n_pivots = int(min(max_pivots, max(16, math.isqrt(max(1, b.count())))))
-    piv_rows = (b.withColumn("_h", seeded_int(seed, "nid")).orderBy("_h", "nid")
-                .limit(n_pivots).select("nvec").collect())
-    if not piv_rows:
-        return spark.createDataFrame([], "query_id long, neighbor_id long, rank int, distance double")
-    pivots = np.array([r[0] for r in piv_rows], dtype=np.float64)
-    dim = pivots.shape[1]
-    bc = spark.sparkContext.broadcast(pivots)
-
-    def assign(it):
-        pv = bc.value
-        for pdf in it:
-            d = _dist_matrix(_stack(pdf["nvec"], dim), pv, metric)
-            cell = d.argmin(axis=1) if len(pdf) else np.zeros(0, dtype=int)
-            yield pdf.assign(cell=cell.astype(np.int32),
-                             dpiv=d[np.arange(len(pdf)), cell] if len(pdf) else np.zeros(0))
-
-    cells = cut_lineage(b.mapInPandas(assign, "nid long, nvec array<double>, cell int, dpiv double"))
-    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dpiv").alias("radius")).collect()
-    n_cell = np.zeros(len(pivots), dtype=np.int64)
-    radius = np.zeros(len(pivots))
-    for r in stats:
-        n_cell[r["cell"]] = r["n"]
-        radius[r["cell"]] = r["radius"]
-    cbc = spark.sparkContext.broadcast((n_cell, radius))
-
-    def candidates(it):
-        pv = bc.value
-        counts, rad = cbc.value
-        for pdf in it:
-            qv = _stack(pdf["qvec"], dim)
-            d = _dist_matrix(qv, pv, metric)
-            if len(pdf) == 0:
-                yield pd.DataFrame({"qid": np.zeros(0, dtype=np.int64), "cell": np.zeros(0, dtype=np.int32)})
-                continue
-            # nearest cells first; the first prefix holding `need` points bounds
-            # the k-th neighbour distance by max(d(q, pivot) + radius)
-            order = np.argsort(d, axis=1, kind="stable")
-            cum = np.cumsum(counts[order], axis=1)
-            enough = cum >= need
-            has = enough.any(axis=1)
-            hit = np.where(has, enough.argmax(axis=1), order.shape[1] - 1)
-            reach = np.take_along_axis(d + rad[None, :], order, axis=1)
-            prefix_max = np.maximum.accumulate(reach, axis=1)
-            bound = np.where(has, prefix_max[np.arange(len(pdf)), hit], np.inf)
-            keep = (counts[None, :] > 0) & (d - rad[None, :] <= bound[:, None])
-            qi, ci = np.nonzero(keep)
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[qi], "cell": ci.astype(np.int32)})
-
-    pairs = cut_lineage(q.select("qid", "qvec").mapInPandas(candidates, "qid long, cell int"))
-    q_per_cell = {r["cell"]: r["n"] for r in pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # blocks per cell: bounded by the cell table (n_pivots entries)
-    nb = {c: max(1, math.ceil(int(n_cell[c]) / block_rows)) for c in range(len(pivots))}
-    nq = {c: max(1, math.ceil(q_per_cell.get(c, 0) / block_rows)) for c in range(len(pivots))}
-    lit_map = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
-    nb_m, nq_m = lit_map(nb), lit_map(nq)
-
-    q_side = (pairs.join(q, "qid")
-              .withColumn("qblk", (seeded_int(seed, "qid") % F.element_at(nq_m, F.col("cell"))).cast("int"))
-              .withColumn("bblk", F.explode(F.sequence(F.lit(0), F.element_at(nb_m, F.col("cell")) - 1))))
-    b_side = (cells.select("nid", "nvec", "cell")
-              .withColumn("bblk", (seeded_int(seed, "nid") % F.element_at(nb_m, F.col("cell"))).cast("int"))
-              .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.element_at(nq_m, F.col("cell")) - 1))))
-
-    def block_topk(qdf: pd.DataFrame, bdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or bdf.empty:
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []}).astype(
-                {"query_id": "int64", "neighbor_id": "int64", "distance": "float64"})
-        bdf = bdf.sort_values("nid", kind="stable")
-        qv, bv = _stack(qdf["qvec"], dim), _stack(bdf["nvec"], dim)
-        qid, nid = qdf["qid"].to_numpy(), bdf["nid"].to_numpy()
-        d = _dist_matrix(qv, bv, metric)
-        if exclude_self:
-            d[qid[:, None] == nid[None, :]] = np.inf
-        kk = min(k, d.shape[1])
-        # columns are in id order, so a stable sort by distance is the
-        # (distance, id) order; only the best kk per query leave the task
-        top = np.argsort(d, axis=1, kind="stable")[:, :kk]
-        dist = np.take_along_axis(d, top, axis=1)
-        ok = np.isfinite(dist)
-        rows = np.repeat(np.arange(d.shape[0]), kk).reshape(d.shape[0], kk)
-        return pd.DataFrame({"query_id": qid[rows[ok]].astype(np.int64),
-                             "neighbor_id": nid[top[ok]].astype(np.int64),
-                             "distance": dist[ok].astype(np.float64)})
-
-    cand = (q_side.groupBy("cell", "bblk", "qblk")
-            .cogroup(b_side.groupBy("cell", "bblk", "qblk"))
-            .applyInPandas(lambda a, c: block_topk(a, c), "query_id long, neighbor_id long, distance double"))
-    w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return (cand.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+    ship_package(spark)
+    path = _written(queries, base, id_col, vec_col, within, apart)
+    read = lambda side: spark.read.parquet(path).where(F.col("side") == side).drop("side")
+    size = {r["side"]: r for r in spark.read.parquet(path).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).collect()}
+    n_q, n_b = (size[s]["n"] if s in size else 0 for s in "qb")
+    width = max([1, *(r["d"] for r in size.values())])
+    rows = block_rows or max(1024, BLOCK_BYTES // (8 * width))
+    # queries are spread over all cores even if one block could hold them
+    rows_q = block_rows or min(rows, max(256, -(-n_q // max(1, spark.sparkContext.defaultParallelism))))
+    q, b = read("q"), read("b")
+    keys = ["grp"]
+    if method == "lsh":
+        q, b = (_bucketed(side, width, bucket_length, tables, seed) for side in (q, b))
+        keys = ["grp", "table", "bucket"]
+    blocks = lambda n, rows: F.lit(max(1, -(-n // rows)))
+    deal = lambda n: (seeded_int(seed, "id") % n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    in_q, in_b = blocks(n_q, rows_q), blocks(n_b, rows)
+    if method == "lsh":  # blocks of each bucket, from its own size
+        count = lambda side, rows, name: side.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+        in_both = count(q, rows_q, "in_q").join(count(b, rows, "in_b"), keys)
+        q, b = q.join(in_both, keys), b.join(in_both, keys)
+        in_q, in_b = F.col("in_q"), F.col("in_b")
+    left = q.withColumn("x", deal(in_q)).withColumn("y", every(in_b))
+    right = b.withColumn("y", deal(in_b)).withColumn("x", every(in_q))
+    grid = [*keys, "x", "y"]
+    kk = k  # captured by the tasks
+
+    def nearest(key, lt: pa.Table, rt: pa.Table) -> pa.Table:
+        lt, rt = lt.combine_chunks(), rt.sort_by("id").combine_chunks()
+        ids, near = lt.column("id").to_numpy(), rt.column("id").to_numpy()
+        names = ["grp", "query_id", "neighbor_id", "distance"]
+        if not (len(ids) and len(near)):
+            return pa.table([pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64(), pa.float64())], names=names)
+        qv, bv = (t.column("vec").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (lt, rt))
+        marks = [np.array(t.column("mark").to_pylist()) for t in (lt, rt)]
+
+        def allowed(lo: int, hi: int) -> np.ndarray:
+            ok = np.ones((hi - lo, len(near)), bool)
+            if exclude_self:
+                ok &= ids[lo:hi, None] != near
+            if apart:
+                ok &= marks[0][lo:hi, None] != marks[1]
+            return ok
+
+        r, c, dist = nearest_in_block(qv, bv, kk, metric, allowed if exclude_self or apart else None)
+        return pa.table([pa.array([key[0].as_py()] * len(r), pa.string()), pa.array(ids[r]), pa.array(near[c]), pa.array(dist)], names=names)
+
+    cols = ["id", "vec", "mark"]
+    found = (left.select(*grid, *cols).groupBy(*grid).cogroup(right.select(*grid, *cols).groupBy(*grid))
+             .applyInArrow(nearest, f"grp string, {FOUND}"))
+    if method == "lsh":
+        found = found.distinct()  # a pair may share several buckets
+    w = Window.partitionBy("grp", "query_id").orderBy("distance", "neighbor_id")
+    best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out = ["query_id", "neighbor_id", "rank", "distance"]
+    return best.select(F.col("grp").cast(base.schema[within].dataType).alias(within), *out) if within else best.select(*out)
+
+
+def _bucketed(side: DataFrame, width: int, length: float, tables: int, seed: int) -> DataFrame:
+    """One row per table with the bucket of the vector's random projection."""
+    rng = np.random.default_rng(seed)
+    axes = rng.normal(size=(tables, width))
+    axes /= np.linalg.norm(axes, axis=1, keepdims=True)
+    shift = rng.random(tables) * length
+
+    def project(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1)
+                bucket = np.floor((v @ axes.T + shift) / length).astype(np.int64)
+                table = pa.Table.from_batches([batch])
+                for t in range(tables):
+                    out = table.append_column("table", pa.array(np.full(batch.num_rows, t, np.int32))).append_column("bucket", pa.array(bucket[:, t]))
+                    yield from out.to_batches()
+
+    return side.mapInArrow(project, "id long, vec array<double>, grp string, mark string, table int, bucket long")
 
 
 def knn_classify(neighbors: DataFrame, labels: DataFrame, weights: str = "uniform",

@@ -18,7 +18,6 @@ from riskloom.plans.common import Registry, fx, r6, with_fixtures  # noqa: F401
 from riskloom.plans.q_application import N18_FULL, _N18_TRAIN_COLS, round_cols
 
 R = Registry()
-KNN = dict(n_pivots=16, block_rows=256)
 
 
 def feature_set(spark, sf, standardise: bool = True):
@@ -170,7 +169,7 @@ def q_mlp_classifier(spark, sf):
 def q_ml_pipeline(spark, sf):
     from riskloom.operators.pipelines import run_pipeline
     train, test, cols = feature_set(spark, sf)
-    return r6(run_pipeline("knn", train, test, cols, sampler="ros", pca_method="default", knn_kw=KNN))
+    return r6(run_pipeline("knn", train, test, cols, sampler="ros", pca_method="default"))
 
 
 # The reference's search spaces as far as MLlib has the parameters (README).
@@ -209,20 +208,20 @@ def q_search_results(spark, sf):
 def q_compare_samplers(spark, sf):
     from riskloom.operators.pipelines import compare_samplers
     train, test, cols = feature_set(spark, sf)
-    return r6(compare_samplers(train, test, cols, knn_kw=KNN))
+    return r6(compare_samplers(train, test, cols))
 
 
 @R.add("compare_encodings")
 def q_compare_encodings(spark, sf):
     from riskloom.operators.pipelines import compare_encodings
-    return r6(compare_encodings(fx(spark, sf, "application_record"), fx(spark, sf, "credit_record"), knn_kw=KNN))
+    return r6(compare_encodings(fx(spark, sf, "application_record"), fx(spark, sf, "credit_record")))
 
 
 @R.add("compare_pca")
 def q_compare_pca(spark, sf):
     from riskloom.operators.pipelines import compare_pca
     train, test, cols = feature_set(spark, sf)
-    return r6(compare_pca(train, test, cols, knn_kw=KNN))
+    return r6(compare_pca(train, test, cols))
 
 
 H = "CAST(('0x' || substr(md5('42|' || CAST(vec_id AS VARCHAR)), 1, 15)) AS BIGINT)"
@@ -257,4 +256,4 @@ FROM vt JOIN vectors v ON v.vec_id = vt.query_id GROUP BY metric, fold, n_neighb
 FROM pf GROUP BY metric, n_neighbors, weights""", GRID))
 def q_grid_search(spark, sf):
     v = fx(spark, sf, "vectors")
-    return r6(MD.knn_grid_scores(v, folds=3, **KNN))
+    return r6(MD.knn_grid_scores(v, folds=3))

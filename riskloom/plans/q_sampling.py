@@ -15,7 +15,6 @@ from riskloom.plans.common import Registry, fx, r6, with_fixtures
 from riskloom.plans.q_credit import CREDIT_CTES, SPLIT_CTES, cust_cte, CC, VZ
 
 R = Registry()
-KNN = dict(n_pivots=16, block_rows=128)  # small blocks so the fixture exercises the blocking
 
 
 def r6v(df, col):
@@ -168,7 +167,7 @@ FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id) WHERE rank <= 5""")
                         [NN_ALL]))
 def q_knn_join(spark, sf):
     v = vectors(spark, sf)
-    return r6(N.knn_join(v, v, k=5, exclude_self=True, **KNN))
+    return r6(N.knn_join(v, v, k=5, exclude_self=True))
 
 
 @R.add("knn_join_manhattan", vsql("""SELECT query_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance
@@ -179,7 +178,7 @@ FROM (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id,
 FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id) WHERE rank <= 5"""))
 def q_knn_join_manhattan(spark, sf):
     v = vectors(spark, sf)
-    return r6(N.knn_join(v, v, k=5, metric="manhattan", exclude_self=True, **KNN))
+    return r6(N.knn_join(v, v, k=5, metric="manhattan", exclude_self=True))
 
 
 @R.add("knn_classify", vsql("""SELECT query_id, round(avg(CAST(v.label AS DOUBLE)), 6) AS proba,
@@ -187,7 +186,7 @@ def q_knn_join_manhattan(spark, sf):
 FROM nn5 JOIN vectors v ON v.vec_id = nn5.neighbor_id GROUP BY query_id""", [NN_ALL]))
 def q_knn_classify(spark, sf):
     v = vectors(spark, sf)
-    nn = N.knn_join(v, v, k=5, exclude_self=True, **KNN)
+    nn = N.knn_join(v, v, k=5, exclude_self=True)
     return r6(N.knn_classify(nn, v))
 
 
@@ -196,7 +195,7 @@ def q_knn_classify(spark, sf):
 FROM nn5 JOIN vectors v ON v.vec_id = nn5.neighbor_id GROUP BY query_id""", [NN_ALL]))
 def q_knn_classify_distance(spark, sf):
     v = vectors(spark, sf)
-    nn = N.knn_join(v, v, k=5, exclude_self=True, **KNN)
+    nn = N.knn_join(v, v, k=5, exclude_self=True)
     return r6(N.knn_classify(nn, v, weights="distance"))
 
 
@@ -215,7 +214,7 @@ JOIN vectors nb ON nb.vec_id = mnn.neighbor_id, sz""")]
 
 @R.add("smote", vsql(f"SELECT draw, label, {ROUNDV} AS embedding, base_id, neighbor_id, round(gap, 6) AS gap FROM syn", MNN))
 def q_smote(spark, sf):
-    return r6v(r6(SM.smote(vectors(spark, sf), key="vec_id", **KNN)), "embedding")
+    return r6v(r6(SM.smote(vectors(spark, sf), key="vec_id")), "embedding")
 
 
 @R.add("tomek_links", vsql("""SELECT a.query_id AS id_a, a.neighbor_id AS id_b, va.label AS label_a, vb.label AS label_b
@@ -223,7 +222,7 @@ FROM nn5 a JOIN nn5 b ON a.query_id = b.neighbor_id AND a.neighbor_id = b.query_
 JOIN vectors va ON va.vec_id = a.query_id JOIN vectors vb ON vb.vec_id = a.neighbor_id
 WHERE a.query_id < a.neighbor_id AND va.label <> vb.label""", [NN_ALL]))
 def q_tomek_links(spark, sf):
-    return SM.tomek_links(vectors(spark, sf), key="vec_id", **KNN)
+    return SM.tomek_links(vectors(spark, sf), key="vec_id")
 
 
 ST = MNN + [
@@ -240,7 +239,7 @@ JOIN res ra ON ra.vec_id = x.q JOIN res rb ON rb.vec_id = x.n WHERE ra.label <>
 @R.add("smote_tomek", vsql(f"""SELECT vec_id, label, {ROUNDV} AS embedding FROM res
 WHERE vec_id NOT IN (SELECT a FROM links UNION SELECT b FROM links)""", ST))
 def q_smote_tomek(spark, sf):
-    return r6v(SM.smote_tomek(vectors(spark, sf), key="vec_id", **KNN), "embedding")
+    return r6v(SM.smote_tomek(vectors(spark, sf), key="vec_id"), "embedding")
 
 
 @R.add("cluster_centroids")
@@ -255,7 +254,7 @@ def q_cluster_centroids(spark, sf):
   UNION ALL SELECT 'smote', label, (SELECT n_max FROM sz) FROM vectors GROUP BY label)"""))
 def q_make_sampled_sets(spark, sf):
     # the methods of the oracle; compare_samplers runs all of them
-    sets = SM.make_sampled_sets(vectors(spark, sf), key="vec_id", methods=("original", "ros", "rus", "smote"), **KNN)
+    sets = SM.make_sampled_sets(vectors(spark, sf), key="vec_id", methods=("original", "ros", "rus", "smote"))
     out = None
     for name, df in sets.items():
         c = df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(name))

@@ -107,7 +107,7 @@ def test_search_parameters_reach_the_estimators(monkeypatch, frame):
 
 def test_sampled_sets_hold_smotetomek_and_centroids(frame):
     v = pipelines._as_vectors(frame[0].where("label = 0 OR id < 80"), COLS)
-    sets = sampling.make_sampled_sets(v, key="id", n_pivots=4, block_rows=64)
+    sets = sampling.make_sampled_sets(v, key="id", block_rows=64)
     assert set(sets) == {"original", "ros", "rus", "smote", "smotetomek", "cc"}
     n = {m: {r.label: r["count"] for r in sets[m].groupBy("label").count().collect()} for m in ("original", "smote", "smotetomek", "cc")}
     assert n["cc"][1] == n["original"][1] and 0 < n["cc"][0] <= n["original"][1]
@@ -118,9 +118,9 @@ def test_sampled_sets_hold_smotetomek_and_centroids(frame):
 def test_sampler_comparison_has_train_and_test_rows(frame):
     train, test = frame[0].where("id < 200"), frame[0].where("id >= 300")
     assert set(pipelines.SAMPLERS) == {"none", "ros", "rus", "smote", "smotetomek", "cc"}
-    rows = pipelines.compare_samplers(train, test, COLS, samplers=("rus",), knn_kw=dict(n_pivots=4, block_rows=64), k=2).collect()
+    rows = pipelines.compare_samplers(train, test, COLS, samplers=("rus",), knn_kw=dict(block_rows=64), k=2).collect()
     folded = models.stratified_folds(train, label="label", key="id", k=2, seed=42)
-    one = lambda f, against: pipelines.run_pipeline("knn", folded.where(f"fold <> {f}").drop("fold"), against, COLS, sampler="rus", knn_kw=dict(n_pivots=4, block_rows=64)).first()
+    one = lambda f, against: pipelines.run_pipeline("knn", folded.where(f"fold <> {f}").drop("fold"), against, COLS, sampler="rus", knn_kw=dict(block_rows=64)).first()
     folds = [one(f, folded.where(f"fold = {f}").drop("fold")) for f in range(2)]
     best = int(np.argmax([r.f1 for r in folds]))
     assert [(r.split, r.best_fold) for r in rows] == [("train", best), ("test", best)]

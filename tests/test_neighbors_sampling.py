@@ -29,7 +29,7 @@ def test_knn_matches_brute_force_with_hot_cell(spark):
     ids = list(range(300))
     df = spark.createDataFrame([(i, p.tolist()) for i, p in zip(ids, pts)], "vec_id long, embedding array<double>")
     for metric in ("euclidean", "manhattan"):
-        got = knn_join(df, df, k=4, metric=metric, exclude_self=True, n_pivots=8, block_rows=16)
+        got = knn_join(df, df, k=4, metric=metric, exclude_self=True, block_rows=16)
         res = {}
         for r in got.orderBy("query_id", "rank").collect():
             res.setdefault(r["query_id"], []).append(r["neighbor_id"])
@@ -38,14 +38,14 @@ def test_knn_matches_brute_force_with_hot_cell(spark):
 
 def test_knn_fixture_sums(spark, sf):
     v = FX.vectors(spark, sf)
-    r = knn_join(v.filter("vec_id < 20"), v.filter("vec_id >= 20"), k=5, n_pivots=16, block_rows=64)
+    r = knn_join(v.filter("vec_id < 20"), v.filter("vec_id >= 20"), k=5, block_rows=64)
     agg = r.agg(F.sum("neighbor_id"), F.sum("distance")).first()
     assert agg[0] == 26868 and abs(agg[1] - 115.83684) < 1e-4
 
 
 def test_resamplers_balance(spark, sf):
     v = FX.vectors(spark, sf)
-    sets = SM.make_sampled_sets(v, key="vec_id", n_pivots=8, block_rows=64)
+    sets = SM.make_sampled_sets(v, key="vec_id", block_rows=64)
     counts = {name: sorted(r["count"] for r in df.groupBy("label").count().collect()) for name, df in sets.items()}
     assert counts["original"] == [96, 404]
     assert counts["ros"] == [404, 404] and counts["rus"] == [96, 96] and counts["smote"] == [404, 404]
@@ -53,7 +53,7 @@ def test_resamplers_balance(spark, sf):
 
 def test_smote_points_on_segments(spark, sf):
     v = FX.vectors(spark, sf)
-    syn = SM.smote(v, key="vec_id", n_pivots=8, block_rows=64).collect()
+    syn = SM.smote(v, key="vec_id", block_rows=64).collect()
     vec = {r["vec_id"]: np.array(r["embedding"]) for r in v.collect()}
     lab = {r["vec_id"]: r["label"] for r in v.collect()}
     for r in syn[:50]:
@@ -70,3 +70,38 @@ def test_folds_stratified(spark, sf):
         sizes.setdefault(r["y_true"], []).append(r["count"])
     for v in sizes.values():
         assert len(v) == 5 and max(v) - min(v) <= 1
+
+
+def test_knn_groups_folds_and_blocks(spark):
+    """Groups, folds, blocks of every size and near ties against brute force."""
+    rng = np.random.default_rng(7)
+    pts = np.round(rng.normal(size=(240, 5)), 1)
+    pts[100:140] = pts[100] + 1e-9 * rng.normal(size=(40, 5))  # closer than the dot-product form can tell
+    pts[140:150] *= 1e6
+    rows = [(i, int(i % 3), int(i % 4), p.tolist()) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "vec_id long, run int, fold int, embedding array<double>")
+    for metric in ("euclidean", "manhattan"):
+        want = {}
+        for i, run, fold, x in rows:
+            base = [j for j, r, f, _ in rows if r == run and f != fold]
+            d = pts[base] - pts[i]
+            d = np.abs(d).sum(1) if metric == "manhattan" else np.sqrt((d * d).sum(1))
+            order = sorted(range(len(base)), key=lambda t: (d[t], base[t]))[:6]
+            want[run, i] = [(base[t], d[t]) for t in order]
+        for block in (None, 16, 7):
+            got = {}
+            for r in knn_join(df, df, k=6, metric=metric, within="run", apart="fold", block_rows=block).orderBy("query_id", "rank").collect():
+                got.setdefault((r["run"], r["query_id"]), []).append((r["neighbor_id"], r["distance"]))
+            assert got == want
+
+
+def test_knn_lsh_recall(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 8)) * 5
+    pts = centres[rng.integers(0, 30, 900)] + rng.normal(size=(900, 8)) * 0.3
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "vec_id long, embedding array<double>")
+    exact = {(r[0], r[1]): r[3] for r in knn_join(df, df, k=5, exclude_self=True).collect()}
+    near = {(r[0], r[1]): r[3] for r in knn_join(df, df, k=5, exclude_self=True, method="lsh", bucket_length=2.0, block_rows=100).collect()}
+    hit = [p for p in near if p in exact]
+    assert len(hit) >= 0.9 * len(exact) and all(near[p] == exact[p] for p in hit)
+    assert knn_join(df.where("false"), df, k=3).collect() == [] and knn_join(df, df.where("false"), k=3).collect() == []
