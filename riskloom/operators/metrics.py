@@ -175,6 +175,28 @@ def best_threshold(scored: DataFrame, **kw) -> DataFrame:
     return c.agg(best.alias("b")).select(F.col("b.threshold").alias("threshold"), F.col("b.f1").alias("f1"))
 
 
+def summaries(scored: DataFrame, group_cols=(), y: str = "y_true", score: str = "score", threshold: float = 0.5) -> DataFrame:
+    """Every metric of every group from one score curve and one aggregate:
+    accuracy, precision, recall and f1 at ``threshold`` (strict ``>``), roc_auc,
+    average_precision, pr_auc, and the best ``threshold`` with its f1."""
+    g = list(group_cols)
+    c = score_curve(scored, y=y, score=score, group_cols=g)
+    prec, prev_prec, d_recall = _step_terms(c)
+    recall = _safe_div(F.col("tps"), F.col("P"), 1.0)
+    curve_f1 = 2 * prec * recall / (prec + recall + F.lit(1e-6))
+    above = F.col("threshold") > threshold
+    agg = c.groupBy(*g).agg(
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
+        F.first("P").alias("P"), F.first("N").alias("N"),
+        (F.sum(F.col("pos") * (F.col("N") - F.col("fps") + 0.5 * F.col("neg"))) / F.nullif(F.first("P") * F.first("N"), F.lit(0))).alias("roc_auc"),
+        F.sum(d_recall * prec).alias("average_precision"), F.sum(d_recall * (prec + prev_prec) / 2).alias("pr_auc"),
+        F.max_by(F.struct(F.col("threshold").alias("t"), curve_f1.alias("f")), F.struct(curve_f1.alias("f"), (-F.col("threshold")).alias("t"))).alias("b"))
+    tp, fp, fn, tn = F.col("tp"), F.col("fp"), F.col("P") - F.col("tp"), F.col("N") - F.col("fp")
+    return agg.select(*g, ((tp + tn) / (F.col("P") + F.col("N"))).alias("accuracy"), _safe_div(tp, tp + fp).alias("precision"),
+                      _safe_div(tp, tp + fn).alias("recall"), _safe_div(2 * tp, 2 * tp + fp + fn).alias("f1"), "roc_auc", "average_precision", "pr_auc",
+                      F.col("b.t").alias("threshold"), F.col("b.f").alias("f1_at_threshold"))
+
+
 def evaluate(scored: DataFrame, tune_on: DataFrame | None = None, y: str = "y_true",
              score: str = "score", inclusive: bool = False) -> DataFrame:
     """``eval_on_test``: tune the threshold on ``tune_on`` (default: the same

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import features as FE
+from riskloom.operators import learners as LN
 from riskloom.operators import models as MD
 from riskloom.operators import sampling as SM
 from riskloom.operators import scale as S
+from riskloom.operators import search as SR
 from riskloom.plans import pipeline as PL
 from riskloom.plans.common import Registry, fx, r6, with_fixtures  # noqa: F401
 from riskloom.plans.q_application import N18_FULL, _N18_TRAIN_COLS, round_cols
@@ -172,14 +174,13 @@ def q_ml_pipeline(spark, sf):
     return r6(run_pipeline("knn", train, test, cols, sampler="ros", pca_method="default"))
 
 
-# The reference's search spaces as far as MLlib has the parameters (README).
-GBT_GRID = {"maxIter": [100, 200, 300], "maxDepth": [3, 5, 7, 9], "stepSize": [0.01, 0.05, 0.1, 0.2],
-            "subsamplingRate": [0.6, 0.8, 1.0], "featureSubsetStrategy": ["0.6", "0.8", "all"]}
+# The reference's search spaces.
+GBT_GRID = {"n_estimators": [100, 200, 300], "max_depth": [3, 5, 7, 9], "learning_rate": [0.01, 0.05, 0.1, 0.2],
+            "subsample": [0.6, 0.8, 1.0], "colsample_bytree": [0.6, 0.8, 1.0], "gamma": [0, 0.1, 0.2, 0.5]}
 GBT_DRAWS = 20
 SVC_GRID = {"C": [0.1, 1.0, 10.0]}
-MLP_LAYERS = {"layers": [[128, 64], [256, 128]]}
-MLP_COMBOS = (MD.param_grid({**MLP_LAYERS, "solver": ["l-bfgs"]})
-              + MD.param_grid({**MLP_LAYERS, "solver": ["gd"], "stepSize": [1e-3, 5e-4]}))
+MLP_GRID = {"hidden_dims": [(128, 64), (256, 128)], "dropout": [0.2, 0.3], "lr": [1e-3, 5e-4],
+            "optimizer_name": ["adam", "sgd"], "activation_name": ["relu", "leaky_relu"]}
 
 
 @R.add("cv_run")
@@ -191,17 +192,19 @@ def q_cv_run(spark, sf):
 @R.add("random_search")
 def q_random_search(spark, sf):
     train, _, cols = feature_set(spark, sf)
-    gbt = MD.search(train, cols, "gbt", MD.random_subset(MD.param_grid(GBT_GRID), GBT_DRAWS), k=3)
+    gbt = SR.search(train, cols, LN.BoostedTrees(), MD.random_subset(MD.param_grid(GBT_GRID), GBT_DRAWS), k=3)
     svc = MD.search(train, cols, "svc", MD.param_grid(SVC_GRID), k=3)
-    return r6(gbt.select(F.lit("gbt").alias("model"), "*").unionByName(svc.select(F.lit("svc").alias("model"), "*")))
+    shown = ["combo", "params", "accuracy", "f1", "roc_auc"]
+    best = MD.best_of(svc, "f1").select("combo").scalar()
+    return r6(gbt.select(F.lit("gbt").alias("model"), *shown, "is_best")
+              .unionByName(svc.select(F.lit("svc").alias("model"), *shown, (F.col("combo") == best).alias("is_best"))))
 
 
 @R.add("search_results")
 def q_search_results(spark, sf):
-    train, _, cols = feature_set(spark, sf)
-    tried = MD.search(train, cols, "mlp", MLP_COMBOS, k=5)
-    best = MD.best_of(tried, "f1").select("combo").scalar()
-    return r6(tried.withColumn("is_best", F.col("combo") == best))
+    train, _, cols = feature_set(spark, sf, standardise=False)
+    coded = [c for c in cols if "encoded" in c or "flag" in c]
+    return r6(SR.search(train, cols, LN.EmbeddingNetwork(coded), MD.param_grid(MLP_GRID), best_by="f1_at_threshold", k=5))
 
 
 @R.add("compare_samplers")
