@@ -8,6 +8,7 @@ the whole fold. KNN uses the exact neighbour join of ``neighbors``."""
 from __future__ import annotations
 
 import itertools
+import uuid
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import metrics as M
 from riskloom.operators.neighbors import knn_classify, knn_join
 from riskloom.operators.split import stratified_folds
+from riskloom.session import checkpoint_dir, cut_lineage
 
 MODELS = ("gbt", "svc", "mlp", "knn")
 
@@ -180,18 +182,33 @@ def random_subset(combos: list[dict], n: int, seed: int = 42) -> list[dict]:
     return keyed[:n]
 
 
+ROWS_A_TASK = 50_000
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """``df`` written once in partitions of about ``ROWS_A_TASK`` rows: iterative
+    fits run one task per partition and step."""
+    src = cut_lineage(df)
+    return src.coalesce(max(1, -(-src.count() // ROWS_A_TASK)))
+
+
 def search(df: DataFrame, cols: list[str], model: str, combos: list[dict], k: int = 3,
-           label: str = "label", key: str = "id", seed: int = 42, metric: str = "f1") -> DataFrame:
-    """Mean CV metric for each parameter combination (search_results)."""
-    def one(ip):
-        i, p = ip
-        folds = cv_run(df, cols, model, k, label, key, p, seed, parallelism=k)
-        agg = folds.agg(*[F.avg(m).alias(m) for m in ("accuracy", "f1", "roc_auc")]).first()
-        return (i, str(sorted(p.items())), float(agg["accuracy"]), float(agg["f1"]),
-                float(agg["roc_auc"]) if agg["roc_auc"] is not None else None)
-
-    rows = run_parallel(one, list(enumerate(combos)), parallelism=2)
-    return df.sparkSession.createDataFrame(rows, "combo int, params string, accuracy double, f1 double, roc_auc double")
+           label: str = "label", key: str = "id", seed: int = 42) -> DataFrame:
+    """Mean CV metrics for each parameter combination of an MLlib model. Folds are dealt
+    once, every fit only scores its fold, and all scores share one metric pass."""
+    folded = compact(stratified_folds(df, label=label, key=key, k=k, seed=seed)).persist()
+    folder = f"{checkpoint_dir(df.sparkSession)}/fits-{uuid.uuid4().hex}"
+
+    def one(job):
+        i, f = job
+        scored = fit_score(folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f), cols, model, label, key, combos[i], seed)
+        scored.select("y_true", "score").write.parquet(f"{folder}/combo={i}/fold={f}")
+
+    run_parallel(one, [(i, f) for i in range(len(combos)) for f in range(k)], parallelism=8)
+    folded.unpersist()
+    folds = M.summaries(df.sparkSession.read.parquet(folder), ["combo", "fold"])
+    names = df.sparkSession.createDataFrame([(i, str(sorted(p.items()))) for i, p in enumerate(combos)], "combo int, params string")
+    return names.join(folds.groupBy("combo").agg(*[F.avg(m).alias(m) for m in ("accuracy", "f1", "roc_auc")]), "combo")
 
 
 def best_of(results: DataFrame, metric: str = "f1") -> DataFrame:

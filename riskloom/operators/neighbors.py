@@ -192,22 +192,24 @@ def _bucketed(side: DataFrame, width: int, length: float, tables: int, seed: int
 
 
 def knn_classify(neighbors: DataFrame, labels: DataFrame, weights: str = "uniform",
-                 id_col: str = "vec_id", label_col: str = "label") -> DataFrame:
-    """Vote of each query's neighbours: (query_id, proba, y_pred).
+                 id_col: str = "vec_id", label_col: str = "label", within: str | None = None) -> DataFrame:
+    """Vote of each query's neighbours: ([within,] query_id, proba, y_pred).
 
     ``uniform`` counts each neighbour once; ``distance`` weighs by 1/d, and
     a query with any zero-distance neighbour uses only those. Ties between
     the classes go to class 0 (argmax takes the first)."""
-    lab = labels.select(F.col(id_col).alias("neighbor_id"), F.col(label_col).alias("_y"))
-    j = neighbors.join(lab, "neighbor_id")
+    g = [within] if within else []
+    # once per id: rows that a sampler repeated must not vote more than they were found
+    lab = labels.select(*g, F.col(id_col).alias("neighbor_id"), F.col(label_col).alias("_y")).distinct()
+    j = neighbors.join(lab, [*g, "neighbor_id"])
     if weights == "uniform":
         w = F.lit(1.0)
-        agg = j.groupBy("query_id").agg((F.sum(w * F.col("_y")) / F.sum(w)).alias("proba"))
+        agg = j.groupBy(*g, "query_id").agg((F.sum(w * F.col("_y")) / F.sum(w)).alias("proba"))
     elif weights == "distance":
-        zero = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy("query_id"))
+        zero = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy(*g, "query_id"))
         j = j.withColumn("_z", zero)
         w = F.when(F.col("_z") == 1, (F.col("distance") == 0).cast("double")).otherwise(1.0 / F.col("distance"))
-        agg = j.groupBy("query_id").agg((F.sum(w * F.col("_y")) / F.sum(w)).alias("proba"))
+        agg = j.groupBy(*g, "query_id").agg((F.sum(w * F.col("_y")) / F.sum(w)).alias("proba"))
     else:
         raise ValueError(f"weights must be uniform|distance, got {weights!r}")
     return agg.withColumn("y_pred", (F.col("proba") > 0.5).cast("int"))

@@ -38,91 +38,99 @@ def class_sizes(df: DataFrame, label: str = "label") -> ClassSizes:
     return ClassSizes(s["minority"], s["majority"], s["n_min"], s["n_max"])
 
 
-def _ranked(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    return position_within(df.withColumn("_h", seeded_int(seed, key)), [label], ["_h", key]).drop("_h")
-
-
-def _draws(ranked: DataFrame, label: str, sizes: ClassSizes) -> DataFrame:
-    """One row per extra sample j = 0 .. n_max - n_min - 1."""
-    return (ranked.filter((F.col(label) == sizes.majority) & (F.col("_pos") >= sizes.n_min))
-            .select((F.col("_pos") - sizes.n_min).alias("draw")))
-
-
-def sample_under(df: DataFrame, label: str = "label", key: str = "id", seed: int = 42) -> DataFrame:
-    """Keep the minority; keep n_min majority rows in seeded-hash order."""
-    sizes = class_sizes(df, label)
-    return _ranked(df, label, key, seed).filter(F.col("_pos") < sizes.n_min).drop("_pos")
-
-
-def sample_over(df: DataFrame, label: str = "label", key: str = "id", seed: int = 42) -> DataFrame:
-    """All rows plus n_max - n_min minority rows drawn with replacement.
-    Adds ``draw`` (NULL for original rows)."""
-    sizes = class_sizes(df, label)
-    ranked = _ranked(df, label, key, seed)
-    pick = (seeded_int(seed, F.lit("over"), F.col("draw")) % sizes.n_min).alias("_pos")
-    draws = _draws(ranked, label, sizes).select("draw", pick)
-    minority = ranked.filter(F.col(label) == sizes.minority)
-    extra = draws.join(minority, "_pos").drop("_pos")
-    return ranked.drop("_pos").withColumn("draw", F.lit(None).cast("long")).unionByName(extra)
+def _sized(df: DataFrame, label: str, key: str, seed: int, by: str | None) -> DataFrame:
+    """Rows with ``_pos``, their place in the seeded order of their class, and
+    ``_s``, the class sizes (of their ``by`` group: one row per group)."""
+    ranked = position_within(df.withColumn("_h", seeded_int(seed, key)), [*([by] if by else []), label], ["_h", key]).drop("_h")
+    if by is None:
+        s = class_sizes(df, label)
+        return ranked.withColumn("_s", F.struct(s.minority.alias("minority"), s.majority.alias("majority"), s.n_min.alias("n_min"), s.n_max.alias("n_max")))
+    c = df.groupBy(by, label).agg(F.count(F.lit(1)).alias("n"))
+    sizes = c.groupBy(by).agg(F.min_by(label, F.struct("n", F.col(label))).alias("minority"), F.max_by(label, F.struct("n", -F.col(label))).alias("majority"),
+                              F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+    return ranked.join(sizes.select(by, F.struct("minority", "majority", "n_min", "n_max").alias("_s")), by)
+
+
+def _draws(sized: DataFrame, label: str, by: list[str]) -> DataFrame:
+    """One row per extra sample j = 0 .. n_max - n_min - 1 (of each group)."""
+    return (sized.filter((F.col(label) == F.col("_s.majority")) & (F.col("_pos") >= F.col("_s.n_min")))
+            .select(*by, (F.col("_pos") - F.col("_s.n_min")).alias("draw"), "_s"))
+
+
+def sample_under(df: DataFrame, label: str = "label", key: str = "id", seed: int = 42, by: str | None = None) -> DataFrame:
+    """Keep the minority; keep n_min majority rows in seeded-hash order. ``by``
+    names a column whose groups are sampled separately, in one pass."""
+    return _sized(df, label, key, seed, by).filter(F.col("_pos") < F.col("_s.n_min")).select(*df.columns)
+
+
+def sample_over(df: DataFrame, label: str = "label", key: str = "id", seed: int = 42, by: str | None = None) -> DataFrame:
+    """All rows plus n_max - n_min minority rows drawn with replacement (in
+    each ``by`` group). Adds ``draw`` (NULL for original rows)."""
+    g = [by] if by else []
+    sized = _sized(df, label, key, seed, by)
+    pick = (seeded_int(seed, F.lit("over"), F.col("draw")) % F.col("_s.n_min")).alias("_pos")
+    draws = _draws(sized, label, g).select(*g, "draw", pick)
+    minority = sized.filter(F.col(label) == F.col("_s.minority")).drop("_s")
+    extra = draws.join(minority, [*g, "_pos"]).select(*df.columns, "draw")
+    return df.withColumn("draw", F.lit(None).cast("long")).unionByName(extra)
 
 
 def smote(df: DataFrame, label: str = "label", key: str = "vec_id", vec: str = "embedding",
-          k: int = 5, seed: int = 42, **knn_kw) -> DataFrame:
+          k: int = 5, seed: int = 42, by: str | None = None, **knn_kw) -> DataFrame:
     """Synthetic minority rows x + u * (nn - x) until the classes balance:
     x is a seeded draw from the minority, nn one of its k nearest minority
     neighbours (exact kNN join), u a seeded uniform in [0, 1).
-    Returns (draw, label, vec, base_id, neighbor_id, gap)."""
-    sizes = class_sizes(df, label)
-    ranked = _ranked(df.select(key, label, vec), label, key, seed)
-    minority = ranked.filter(F.col(label) == sizes.minority)
-    nn = knn_join(minority, minority, k=k, id_col=key, vec_col=vec, exclude_self=True, **knn_kw)
-    kk = F.least(F.lit(k), sizes.n_min - 1)
-    draws = _draws(ranked, label, sizes).select(
-        "draw",
-        (seeded_int(seed, F.lit("base"), F.col("draw")) % sizes.n_min).alias("_pos"),
-        (F.lit(1) + seeded_int(seed, F.lit("nn"), F.col("draw")) % kk).cast("int").alias("rank"),
+    Returns ([by,] draw, label, vec, base_id, neighbor_id, gap)."""
+    g = [by] if by else []
+    sized = _sized(df.select(*g, key, label, vec), label, key, seed, by)
+    minority = sized.filter(F.col(label) == F.col("_s.minority")).drop("_s")
+    nn = knn_join(minority, minority, k=k, id_col=key, vec_col=vec, exclude_self=True, within=by, **knn_kw)
+    draws = _draws(sized, label, g).select(
+        *g, "draw", F.col("_s.minority").alias("_label"),
+        (seeded_int(seed, F.lit("base"), F.col("draw")) % F.col("_s.n_min")).alias("_pos"),
+        (F.lit(1) + seeded_int(seed, F.lit("nn"), F.col("draw")) % F.least(F.lit(k), F.col("_s.n_min") - 1)).cast("int").alias("rank"),
         seeded_unit(seed, F.lit("gap"), F.col("draw")).alias("gap"))
-    base = minority.select("_pos", F.col(key).alias("base_id"), F.col(vec).alias("_x"))
-    nbr = minority.select(F.col(key).alias("neighbor_id"), F.col(vec).alias("_n"))
-    j = (draws.join(base, "_pos")
-         .join(nn.select(F.col("query_id").alias("base_id"), "rank", "neighbor_id"), ["base_id", "rank"])
-         .join(nbr, "neighbor_id"))
+    base = minority.select(*g, "_pos", F.col(key).alias("base_id"), F.col(vec).alias("_x"))
+    nbr = minority.select(*g, F.col(key).alias("neighbor_id"), F.col(vec).alias("_n"))
+    j = (draws.join(base, [*g, "_pos"])
+         .join(nn.select(*g, F.col("query_id").alias("base_id"), "rank", "neighbor_id"), [*g, "base_id", "rank"])
+         .join(nbr, [*g, "neighbor_id"]))
     new = F.zip_with("_x", "_n", lambda a, b: a + F.col("gap") * (b - a))
-    return j.select("draw", sizes.minority.alias(label), new.alias(vec), "base_id", "neighbor_id", "gap")
+    return j.select(*g, "draw", F.col("_label").alias(label), new.alias(vec), "base_id", "neighbor_id", "gap")
 
 
 def with_synthetic(df: DataFrame, synthetic: DataFrame, label: str = "label", key: str = "vec_id",
-                   vec: str = "embedding") -> DataFrame:
+                   vec: str = "embedding", by: str | None = None) -> DataFrame:
     """Originals plus synthetic rows; synthetic keys are -(draw + 1)."""
-    syn = synthetic.select((-(F.col("draw") + 1)).alias(key), F.col(label).cast(df.schema[label].dataType).alias(label),
+    g = [by] if by else []
+    syn = synthetic.select(*g, (-(F.col("draw") + 1)).alias(key), F.col(label).cast(df.schema[label].dataType).alias(label),
                            F.col(vec))
-    return df.select(key, label, vec).unionByName(syn)
+    return df.select(*g, key, label, vec).unionByName(syn)
 
 
 def tomek_links(df: DataFrame, label: str = "label", key: str = "vec_id", vec: str = "embedding",
-                **knn_kw) -> DataFrame:
+                by: str | None = None, **knn_kw) -> DataFrame:
     """Pairs (a < b) that are each other's nearest neighbour and belong to
     different classes."""
-    nn = knn_join(df, df, k=1, id_col=key, vec_col=vec, exclude_self=True, **knn_kw)
-    lab = df.select(F.col(key).alias("_id"), F.col(label).alias("_y"))
-    one = nn.select("query_id", "neighbor_id")
-    mutual = one.alias("a").join(one.alias("b"), (F.col("a.query_id") == F.col("b.neighbor_id"))
-                                 & (F.col("a.neighbor_id") == F.col("b.query_id")))
-    pairs = mutual.select(F.col("a.query_id").alias("id_a"), F.col("a.neighbor_id").alias("id_b")) \
-        .filter(F.col("id_a") < F.col("id_b"))
-    return (pairs.join(lab.withColumnRenamed("_id", "id_a").withColumnRenamed("_y", "label_a"), "id_a")
-            .join(lab.withColumnRenamed("_id", "id_b").withColumnRenamed("_y", "label_b"), "id_b")
-            .filter(F.col("label_a") != F.col("label_b"))
-            .select("id_a", "id_b", "label_a", "label_b"))
+    g = [by] if by else []
+    nn = knn_join(df, df, k=1, id_col=key, vec_col=vec, exclude_self=True, within=by, **knn_kw)
+    one = nn.select(*g, F.col("query_id").alias("id_a"), F.col("neighbor_id").alias("id_b"))
+    back = nn.select(*g, F.col("query_id").alias("id_b"), F.col("neighbor_id").alias("id_a"))
+    pairs = one.filter("id_a < id_b").join(back, [*g, "id_a", "id_b"], "left_semi")
+    lab = lambda side: df.select(*g, F.col(key).alias(f"id_{side}"), F.col(label).alias(f"label_{side}"))
+    return (pairs.join(lab("a"), [*g, "id_a"]).join(lab("b"), [*g, "id_b"])
+            .filter(F.col("label_a") != F.col("label_b")).select(*g, "id_a", "id_b", "label_a", "label_b"))
 
 
 def smote_tomek(df: DataFrame, label: str = "label", key: str = "vec_id", vec: str = "embedding",
-                seed: int = 42, **knn_kw) -> DataFrame:
-    """SMOTE, then drop both ends of every Tomek link of the result."""
-    res = with_synthetic(df, smote(df, label, key, vec, seed=seed, **knn_kw), label, key, vec)
-    links = tomek_links(res, label, key, vec, **knn_kw)
-    ends = links.select(F.col("id_a").alias(key)).unionByName(links.select(F.col("id_b").alias(key)))
-    return res.join(ends, key, "left_anti")
+                seed: int = 42, by: str | None = None, synthetic: DataFrame | None = None, **knn_kw) -> DataFrame:
+    """SMOTE (or its given rows), then drop both ends of every Tomek link of the result."""
+    g = [by] if by else []
+    syn = smote(df, label, key, vec, seed=seed, by=by, **knn_kw) if synthetic is None else synthetic
+    res = with_synthetic(df, syn, label, key, vec, by)
+    links = tomek_links(res, label, key, vec, by=by, **knn_kw)
+    ends = links.select(*g, F.col("id_a").alias(key)).unionByName(links.select(*g, F.col("id_b").alias(key)))
+    return res.join(ends, [*g, key], "left_anti").select(*g, key, label, vec)
 
 
 def cluster_centroids(df: DataFrame, label: str = "label", key: str = "vec_id", vec: str = "embedding",
@@ -140,12 +148,11 @@ def cluster_centroids(df: DataFrame, label: str = "label", key: str = "vec_id",
         raise ValueError(f"cluster_centroids needs k={k} clusters, above max_clusters={max_clusters}")
     maj = df.filter(F.col(label) == majority).select(array_to_vector(vec).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, initMode="k-means||").fit(maj)
-    centres = model.summary.cluster.groupBy("prediction").count()  # non-empty clusters only
-    spark = df.sparkSession
-    cdf = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())],
-                                f"_c int, {vec} array<double>")
-    cdf = cdf.join(centres.select(F.col("prediction").alias("_c")), "_c")
-    out = cdf.select((-(F.col("_c") + 1)).cast("long").alias(key), F.lit(majority).alias(label), vec)
+    # centres as means of the rows that are theirs: they stay on the executors
+    placed = model.transform(maj).select(F.col("prediction").alias("_c"), F.posexplode(vector_to_array("features")).alias("_at", "_x"))
+    mean = placed.groupBy("_c", "_at").agg(F.avg("_x").alias("_x")).groupBy("_c").agg(F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_v"))
+    out = mean.select((-(F.col("_c") + 1)).cast("long").alias(key), F.lit(majority).cast(df.schema[label].dataType).alias(label),
+                      F.transform("_v", lambda v: v["_x"]).alias(vec))
     return df.filter(F.col(label) == minority).select(key, label, vec).unionByName(out)
 
 

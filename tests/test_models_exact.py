@@ -77,20 +77,27 @@ def test_cv_reports_mean_best_fold_and_test(frame):
 
 
 def test_searches_have_the_reference_breadth(monkeypatch, spark, frame):
+    """The registered searches on a small frame, with short fits: settings, folds and the best."""
+    from riskloom.operators import search as SR
     from riskloom.plans import q_models as Q
-    calls, seen = [], []
-    real = models.search
-    monkeypatch.setattr(Q, "feature_set", lambda *_: (frame[0], frame[0], COLS))
-    monkeypatch.setattr(models, "cv_run", lambda df, cols, model, k, *a, **kw: calls.append((model, k, a[2])) or df.sparkSession.createDataFrame(
-        [(0.5, len(calls) / 100, 0.5)], "accuracy double, f1 double, roc_auc double"))
-    monkeypatch.setattr(models, "search", lambda df, cols, model, combos, **kw: seen.append((model, combos)) or real(df, cols, model, combos, **kw))
+    seen = []
+    real_search = SR.search
+    rows_of = frame[0].withColumnRenamed("a", "flag_a")
+    cols = ["flag_a", *COLS[1:]]
+    monkeypatch.setattr(Q, "feature_set", lambda *_, **kw: (rows_of, rows_of, cols))
+    monkeypatch.setattr(SR, "search", lambda df, c, learner, combos, **kw: seen.append((learner, combos, kw["k"])) or real_search(df, c, learner, combos, **kw))
+    monkeypatch.setattr(Q, "GBT_GRID", Q.GBT_GRID | {"n_estimators": [1, 2, 3]})
     rows = Q.q_random_search(spark, "").collect()
     assert sorted(r.model for r in rows) == ["gbt"] * 20 + ["svc"] * 3
-    gbt = dict(seen)["gbt"]
-    assert len({str(sorted(c.items())) for c in gbt}) == 20 and all(set(c) == set(Q.GBT_GRID) for c in gbt)
+    assert [sum(r.is_best for r in rows if r.model == m) for m in ("gbt", "svc")] == [1, 1]
+    assert max((r for r in rows if r.model == "gbt"), key=lambda r: r.f1).f1 == next(r for r in rows if r.model == "gbt" and r.is_best).f1
+    _, gbt, k = seen[0]
+    assert k == 3 and len({str(sorted(c.items())) for c in gbt}) == 20 and all(set(c) == set(Q.GBT_GRID) for c in gbt)
+    monkeypatch.setattr(Q, "MLP_GRID", Q.MLP_GRID | {"n_epochs": [1]})
     rows = Q.q_search_results(spark, "").collect()
-    assert len(rows) == 6 and [r.is_best for r in rows].count(True) == 1 and max(rows, key=lambda r: r.f1).is_best
-    assert {k for m, k, _ in calls if m == "mlp"} == {5} and {tuple(c["layers"]) for c in dict(seen)["mlp"]} == {(128, 64), (256, 128)}
+    assert len(rows) == 32 and [r.is_best for r in rows].count(True) == 1
+    learner, nets, k = seen[1]
+    assert k == 5 and learner.categorical == ["flag_a"] and {c["hidden_dims"] for c in nets} == {(128, 64), (256, 128)}
 
 
 def test_search_parameters_reach_the_estimators(monkeypatch, frame):
