@@ -5,19 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast only below this many rows; the count is checked first.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join that broadcasts ``small`` only after counting it; above the
-    bound it is a shuffled join (AQE splits a skewed key)."""
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
-
 def persisted(df: DataFrame) -> DataFrame:
     """``df`` persisted (memory, spilling to disk) unless it already is.
     Used where a fit needs several passes over the same input; lost blocks

@@ -77,6 +77,15 @@ def _position_decay(monthly: DataFrame, decay: float) -> DataFrame:
         * (F.lit(1.0) - F.pow(F.lit(q), F.col("n_default"))) / F.lit(1.0 - q))
 
 
+WEIGHT_PLACES = 14
+
+
+def exact_sum(term, places: int = 25) -> "F.Column":
+    """Sum that does not hang on the order of its terms: fixed-point, each term to
+    ``places`` decimals. Customers with equal histories get equal sums in every run."""
+    return F.sum(term.cast(f"decimal(38,{places})")).cast("double")
+
+
 def customer_aggregates(credit: DataFrame | None, decay: float = 0.1,
                         decay_mode: str = "position", monthly: DataFrame | None = None) -> DataFrame:
     """Per customer: origination_month, tenure, default_prop,
@@ -93,10 +102,10 @@ def customer_aggregates(credit: DataFrame | None, decay: float = 0.1,
             weighted = nd / n
         else:
             q = math.exp(-decay)
-            weighted = F.sum("_wdef") / ((F.lit(1.0) - F.pow(F.lit(q), n)) / F.lit(1.0 - q))
+            weighted = exact_sum(F.col("_wdef"), WEIGHT_PLACES) / F.round((F.lit(1.0) - F.pow(F.lit(q), n)) / F.lit(1.0 - q), WEIGHT_PLACES)
     elif decay_mode == "month":
         w = F.exp(F.lit(-decay) * F.abs(F.col("months_balance")))
-        weighted = F.sum(F.col("n_default") * w) / F.sum(F.col("n_rows") * w)
+        weighted = exact_sum(F.col("n_default") * w, WEIGHT_PLACES) / exact_sum(F.col("n_rows") * w, WEIGHT_PLACES)
     else:
         raise ValueError(f"decay_mode must be 'position' or 'month', got {decay_mode!r}")
     return (monthly.groupBy("id")
@@ -126,8 +135,11 @@ def with_vintage_zscore(customers: DataFrame, col: str = "weighted_default_prop"
     vintage holding a third of all customers costs nothing extra because
     its statistics come from a partial aggregate. A single-customer vintage
     has NULL std (pandas NaN), so its z-score is NULL."""
-    stats = (customers.groupBy("vintage")
-             .agg(F.avg(col).alias("_mu"), F.stddev_samp(col).alias("_sd")))
+    x = F.col(col)
+    sums = customers.groupBy("vintage").agg(F.count(col).alias("_n"), exact_sum(x).alias("_s"), exact_sum(x * x).alias("_q"))
+    # from sums that are the same in every run, so that equal customers stay equal
+    variance = F.greatest((F.col("_q") - F.col("_s") * F.col("_s") / F.nullif(F.col("_n"), F.lit(0))) / F.nullif(F.col("_n") - 1, F.lit(0)), F.lit(0.0))
+    stats = sums.select("vintage", (F.col("_s") / F.nullif(F.col("_n"), F.lit(0))).alias("_mu"), F.when(F.col("_n") > 1, F.sqrt(variance)).alias("_sd"))
     return (customers.join(F.broadcast(stats), "vintage", "left")
             .withColumn(out, (F.col(col) - F.col("_mu")) / (F.col("_sd") + F.lit(1e-6)))
             .drop("_mu", "_sd"))

@@ -1,19 +1,23 @@
 """Categorical encoders: label, one-hot, categorical mapping, none.
 
-Fitting collects the sorted distinct categories of a column. The count is
-checked first: categories are a bounded vocabulary, never rows. Applying
-an encoder is a projection over a literal map, so it needs no join."""
+Fitting gives every category of every column its dense code in one
+distributed pass: distinct values are range-partitioned and written in order, and
+a value's code is its place in its partition plus the partition's offset. The (value,
+code) table stays on the cluster, and applying a label encoder joins it, so
+a vocabulary may have any size. Only a one-hot encoder brings its categories
+to the driver: each of them is a column of the result."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from itertools import chain
+import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import checkpoint_dir
+
 UNKNOWN = "Unknown"
-MAX_CATEGORIES = 100_000
 
 APPLICATION_CATEGORICALS = ["name_income_type", "name_education_type",
                             "name_family_status", "name_housing_type",
@@ -24,12 +28,16 @@ APPLICATION_CATEGORICALS = ["name_income_type", "name_education_type",
 class Encoder:
     column: str
     kind: str                      # label | onehot | categorical | none
-    categories: list[str] = field(default_factory=list)
+    table: DataFrame | None = None  # (value, code)
 
     def mapping(self, spark) -> DataFrame:
-        """``enc_mapping``: (value, code) rows, code = position."""
-        return spark.createDataFrame(list(enumerate(self.categories)), "code int, value string") \
-            .select("value", "code")
+        """``enc_mapping``: (value, code) rows, code = position in value order."""
+        return spark.createDataFrame([], "value string, code int") if self.table is None else self.table.select("value", "code")
+
+    @property
+    def categories(self) -> list[str]:
+        """All values in code order, on the driver: for one-hot columns and small vocabularies."""
+        return [] if self.table is None else [r["value"] for r in self.table.orderBy("code").collect()]
 
 
 def as_category(c: str | Column, unknown: str = UNKNOWN) -> Column:
@@ -38,44 +46,46 @@ def as_category(c: str | Column, unknown: str = UNKNOWN) -> Column:
     return F.coalesce(col.cast("string"), F.lit(unknown))
 
 
-def _distinct_categories(df: DataFrame, col: str, exclude: str | None) -> list[str]:
-    values = df.select(as_category(col).alias("_v")).distinct()
-    if exclude is not None:
-        values = values.filter(F.col("_v") != exclude)
-    n = values.count()
-    if n > MAX_CATEGORIES:
-        raise ValueError(f"{col}: {n} distinct values is not a categorical column")
-    return sorted(r[0] for r in values.collect())
+def code_table(df: DataFrame, cols: list[str], unknown: str = UNKNOWN, keep_unknown: bool = True) -> DataFrame:
+    """(column, value, code): dense codes 0, 1, ... of each column's distinct
+    values in order, whatever their number."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), as_category(c, unknown).alias("value")) for c in cols]))
+    values = df.select(pairs.alias("p")).select("p.column", "p.value").distinct()
+    if not keep_unknown:
+        values = values.filter(F.col("value") != unknown)
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/codes-{uuid.uuid4().hex}"
+    (values.repartitionByRange("column", "value").sortWithinPartitions("column", "value")
+     .withColumn("at", F.monotonically_increasing_id()).write.parquet(f"{folder}/sorted"))
+    placed = spark.read.parquet(f"{folder}/sorted").withColumn("part", F.shiftright("at", 33)).withColumn("seq", F.col("at").bitwiseAND((1 << 33) - 1))
+    # one row per (column, partition)
+    first = placed.groupBy("column", "part").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = first.select("column", "part", (before - F.col("first")).alias("offset"))
+    (placed.join(offsets, ["column", "part"]).select("column", "value", (F.col("seq") + F.col("offset")).cast("int").alias("code"))
+     .write.parquet(f"{folder}/codes"))
+    return spark.read.parquet(f"{folder}/codes")
 
 
 def fit(df: DataFrame, col: str, kind: str = "label", unknown: str = UNKNOWN) -> Encoder:
-    if kind == "label":
-        return Encoder(col, kind, _distinct_categories(df, col, unknown))
-    if kind in ("onehot", "categorical"):
-        return Encoder(col, kind, _distinct_categories(df, col, None))
-    if kind == "none":
-        return Encoder(col, kind, [])
-    raise ValueError(f"unknown encoding {kind!r}")
+    return fit_many(df, [col], kind, unknown)[col]
 
 
-def _code_map(categories: list[str]) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable((c, i) for i, c in enumerate(categories))])
-
-
-def label_code(enc: Encoder, on_unseen: str = "error", unknown: str = UNKNOWN) -> Column:
-    """Code of each value: ``unknown``/NULL -> -1; a value unseen at fit time
-    raises (``on_unseen='error'``), or becomes NULL / -1."""
+def with_label_code(df: DataFrame, enc: Encoder, on_unseen: str = "error", unknown: str = UNKNOWN, out: str | None = None) -> DataFrame:
+    """Adds the code of each value: ``unknown``/NULL -> -1; a value unseen at fit
+    time raises (``on_unseen='error'``), or becomes NULL / -1."""
     v = as_category(enc.column, unknown)
-    code = F.element_at(_code_map(enc.categories), v) if enc.categories else F.lit(None).cast("int")
     if on_unseen == "error":
-        missing = F.raise_error(F.concat(F.lit(f"unseen label in {enc.column}: "), v))
+        missing = F.raise_error(F.concat(F.lit(f"unseen label in {enc.column}: "), v)).cast("int")
     elif on_unseen == "null":
         missing = F.lit(None).cast("int")
     elif on_unseen == "unknown":
         missing = F.lit(-1)
     else:
         raise ValueError(f"on_unseen must be error|null|unknown, got {on_unseen!r}")
-    return F.when(v == unknown, F.lit(-1)).when(code.isNotNull(), code).otherwise(missing).cast("int")
+    codes = enc.mapping(df.sparkSession).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+    code = F.when(v == unknown, F.lit(-1)).when(F.col("_code").isNotNull(), F.col("_code")).otherwise(missing)
+    return df.join(codes, v == F.col("_value"), "left").withColumn(out or f"{enc.column}_encoded", code.cast("int")).drop("_value", "_code")
 
 
 def onehot_columns(enc: Encoder) -> dict[str, Column]:
@@ -86,7 +96,7 @@ def onehot_columns(enc: Encoder) -> dict[str, Column]:
 
 def apply(df: DataFrame, enc: Encoder, on_unseen: str = "error") -> DataFrame:
     if enc.kind == "label":
-        return df.withColumn(f"{enc.column}_encoded", label_code(enc, on_unseen))
+        return with_label_code(df, enc, on_unseen)
     if enc.kind == "onehot":
         return df.withColumns(onehot_columns(enc))
     if enc.kind in ("categorical", "none"):
@@ -95,49 +105,35 @@ def apply(df: DataFrame, enc: Encoder, on_unseen: str = "error") -> DataFrame:
 
 
 def fit_many(df: DataFrame, cols: list[str], kind: str = "label", unknown: str = UNKNOWN) -> dict[str, Encoder]:
-    """Fit several encoders with two passes in total: an approximate
-    distinct count guards the vocabulary size, then one aggregate collects
-    every column's distinct values (bounded by that guard)."""
+    """Fit several encoders in one pass over ``df``."""
     if kind == "none":
-        return {c: Encoder(c, kind, []) for c in cols}
+        return {c: Encoder(c, kind) for c in cols}
     if kind not in ("label", "onehot", "categorical"):
         raise ValueError(f"unknown encoding {kind!r}")
-    vals = {c: as_category(c, unknown) for c in cols}
-    approx = df.agg(*[F.approx_count_distinct(v).alias(c) for c, v in vals.items()]).first().asDict()
-    too_big = {c: n for c, n in approx.items() if n > MAX_CATEGORIES}
-    if too_big:
-        raise ValueError(f"not categorical columns (distinct counts): {too_big}")
-    sets = df.agg(*[F.collect_set(v).alias(c) for c, v in vals.items()]).first().asDict()
-    out = {}
-    for c in cols:
-        cats = sorted(sets[c] or [])
-        if kind == "label":
-            cats = [x for x in cats if x != unknown]
-        out[c] = Encoder(c, kind, cats)
-    return out
+    table = code_table(df, cols, unknown, keep_unknown=kind != "label")
+    return {c: Encoder(c, kind, table.filter(F.col("column") == c).select("value", "code")) for c in cols}
 
 
 def encode_application(df: DataFrame, kind: str = "label",
                        encoders: dict[str, Encoder] | None = None,
                        columns: list[str] = APPLICATION_CATEGORICALS,
                        on_unseen: str = "error") -> tuple[DataFrame, dict[str, Encoder]]:
-    """All categorical columns in one projection; encoders fitted on ``df``
+    """All categorical columns; encoders fitted on ``df``
     unless given (pass the training encoders to encode a test frame). Raw
     categories are dropped for 'label' and 'onehot'."""
     encoders = dict(encoders or {})
     missing = [c for c in columns if c not in encoders]
     if missing:
         encoders.update(fit_many(df, missing, kind))
-    new_cols: dict[str, Column] = {}
+    out = df
     for c in columns:
         enc = encoders[c]
         if kind == "label":
-            new_cols[f"{c}_encoded"] = label_code(enc, on_unseen)
+            out = with_label_code(out, enc, on_unseen)
         elif kind == "onehot":
-            new_cols.update(onehot_columns(enc))
+            out = out.withColumns(onehot_columns(enc))
         else:
-            new_cols[c] = as_category(c)
-    out = df.withColumns(new_cols)
+            out = out.withColumn(c, as_category(c))
     if kind in ("label", "onehot"):
         out = out.drop(*columns)
     return out, encoders

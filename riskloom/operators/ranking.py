@@ -2,109 +2,139 @@
 
 Positions and running totals over a total order are computed in buckets:
 rows are assigned to monotone buckets of the order key, per-bucket totals
-(a table of at most ``n_buckets`` rows per group) give each bucket its
-offset, and a window partitioned by bucket finishes the job. No task ever
-holds more than about n / n_buckets rows of a group.
+give each bucket its offset, and a window partitioned by bucket finishes the
+job. The number of buckets comes from the data: a bucket holds about
+``ROWS`` rows whatever the table's size (tests: ten times the rows, the same
+rows per task). Offsets join on the key the window is partitioned by, so a large offset table costs no
+further shuffle and a small one is broadcast by adaptive execution.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage, ship_package
+
+ROWS = 250_000  # rows of a bucket, about
+PROBES = 256
 HASH_SPACE = float(1 << 60)  # order keys from ``seeded_int`` lie in [0, 2^60)
 
 
+def hash_bucket(df: DataFrame, col: str, rows: int = ROWS) -> DataFrame:
+    """``_bkt``: equal-width buckets of a uniform 60-bit hash, about ``rows`` rows each."""
+    n_buckets = F.greatest(F.lit(1), F.ceil(df.agg(F.count(F.lit(1))).scalar() / rows))
+    return df.withColumn("_bkt", F.least(F.floor(F.col(col) / HASH_SPACE * n_buckets), n_buckets - 1).cast("long"))
+
+
 def position_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                    n_buckets: int = 256, out: str = "_pos") -> DataFrame:
+                    rows: int = ROWS, out: str = "_pos") -> DataFrame:
     """0-based position of each row within ``group_cols`` in ``order_cols``
     order. ``order_cols[0]`` must be a uniform 60-bit hash (``seeded_int``),
     so equal-width buckets of it are balanced."""
-    bucket = F.floor(F.col(order_cols[0]) / (HASH_SPACE / n_buckets)).cast("int")
-    b = df.withColumn("_bkt", bucket)
+    b = hash_bucket(df, order_cols[0], rows)
     sizes = b.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
     w_off = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    # at most n_buckets rows per group; the number of groups is the caller's bound
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_bn").over(w_off), F.lit(0))).drop("_bn")
     w = Window.partitionBy(*group_cols, "_bkt").orderBy(*order_cols)
-    return (b.join(F.broadcast(offsets), [*group_cols, "_bkt"])
+    keys = [*group_cols, "_bkt"]
+    offsets = offsets.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_off")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]  # a null group is a group
+    return (b.join(offsets, same).drop(*[f"_k{i}" for i in range(len(keys))])
             .withColumn(out, F.col("_off") + F.row_number().over(w) - 1)
             .drop("_bkt", "_off"))
 
 
-def _quantile_splits(df: DataFrame, col: str, n_buckets: int) -> list[float]:
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
-    inner = sorted(set(q for q in qs if q is not None)) or [0.0]  # no rows: any border will do
-    return [float("-inf"), *inner, float("inf")]
+def value_bucket(df: DataFrame, col: str, rows: int = ROWS) -> DataFrame:
+    """``_bkt``: monotone buckets of ``col`` of about ``rows`` rows each. One job reads the
+    row count and a sketch of the values; only borders reach the driver."""
+    key = F.col(col).cast("double")
+    probes = [i / PROBES for i in range(1, PROBES)]
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, probes, 10 * PROBES).alias("q")).first()
+    n_buckets = max(1, math.ceil(seen["n"] / rows))
+    if n_buckets == 1:
+        return df.withColumn("_bkt", F.lit(0.0))
+    if n_buckets <= PROBES:
+        borders = [seen["q"][i * PROBES // n_buckets - 1] for i in range(1, n_buckets)]
+    else:
+        borders = df.withColumn("_key", key).approxQuantile("_key", [i / n_buckets for i in range(1, n_buckets)], 1.0 / (4 * n_buckets))
+    inner = sorted({q for q in borders if q is not None}) or [0.0]
+    split = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="_key", outputCol="_bkt")
+    return split.transform(df.withColumn("_key", key)).drop("_key")
 
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: list[str],
-                   descending: bool = False, n_buckets: int = 64,
+                   descending: bool = False, rows: int = ROWS,
                    prefix: str = "cum_", group_cols: list[str] | None = None) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``order_col`` order,
     separately per ``group_cols`` (bounded number of groups, e.g. folds).
 
     ``df`` must hold one row per distinct (group, ``order_col``) value
-    (aggregate first, which also removes any hot value). Only the bucket
-    boundaries (``n_buckets`` numbers) reach the driver."""
+    (aggregate first, which also removes any hot value)."""
     g = list(group_cols or [])
-    splits = _quantile_splits(df, order_col, n_buckets)
-    key = F.col(order_col).cast("double")
-    b = Bucketizer(splits=splits, inputCol="_key", outputCol="_bkt").transform(
-        df.withColumn("_key", key))
+    b = value_bucket(df, order_col, rows)
     if descending:
         b = b.withColumn("_bkt", -F.col("_bkt"))
     totals = b.groupBy(*g, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w_off = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (group, bucket): a bounded table
     offsets = totals.select(*g, "_bkt", *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}")
                                           for c in sum_cols])
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*g, "_bkt").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.join(F.broadcast(offsets), [*g, "_bkt"])
+    out = b.join(offsets, [*g, "_bkt"])
     for c in sum_cols:
         out = out.withColumn(f"{prefix}{c}", F.col(f"_o_{c}") + F.sum(c).over(w))
-    return out.drop("_key", "_bkt", *[f"_o_{c}" for c in sum_cols])
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], n_buckets: int = 64) -> list[float | None]:
-    """Exact linear-interpolated quantiles (pandas/numpy 'linear') that
-    scale with the data: distinct values with counts, bucketed running
-    totals for their rank ranges, then a binary search (Bucketizer) of the
-    at most 2 x len(probs) target ranks. Only those values reach the
-    driver; no task holds a value map of the whole column (Spark's exact
-    ``percentile`` merges one in a single task)."""
-    import math
-    x = F.col(col).cast("double")
-    counts = (df.select(x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-              .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")))
-    cum = running_totals(counts, "_v", ["_c"], n_buckets=n_buckets).persist()
-    n = cum.agg(F.max("cum__c")).first()[0]
-    if not n:
-        cum.unpersist()
-        return [None] * len(probs)
-    pos = [p * (n - 1) for p in probs]
-    targets = sorted({int(math.floor(t)) for t in pos} | {int(math.ceil(t)) for t in pos})
-    splits = [float("-inf"), *[t + 0.5 for t in targets], float("inf")]
-    start = (F.col("cum__c") - F.col("_c")).cast("double") - 0.5   # first rank - 0.5
-    end = (F.col("cum__c") - 1).cast("double") + 0.5                # last rank + 0.5
-    b = Bucketizer(splitsArray=[splits, splits], inputCols=["_s", "_e"], outputCols=["_a", "_b"]).transform(
-        cum.withColumn("_s", start).withColumn("_e", end))
-    tarr = F.array(*[F.lit(t) for t in targets])
-    hits = (b.filter(F.col("_b") > F.col("_a"))
-            .select("_v", F.explode(F.sequence(F.col("_a").cast("int"), F.col("_b").cast("int") - 1)).alias("_i"))
-            .select(F.element_at(tarr, F.col("_i") + 1).alias("_t"), "_v").collect())
-    cum.unpersist()
-    at = {r["_t"]: r["_v"] for r in hits}
-    out = []
-    for t in pos:
-        lo, hi = int(math.floor(t)), int(math.ceil(t))
-        out.append(at[lo] + (t - lo) * (at[hi] - at[lo]))
+    return out.select(*df.columns, *[f"{prefix}{c}" for c in sum_cols])
+
+
+def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(_col, _v, _c): the distinct values of several columns with their counts, in
+    one aggregate; nulls and NaN are left out."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols]))
+    return (df.select(pairs.alias("_p")).select("_p._col", "_p._v").filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+            .groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_c")))
+
+
+def exact_quantiles_of(df: DataFrame, probs: dict, rows: int = ROWS) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles (pandas/numpy 'linear') of several
+    columns at once: one table of distinct values, one running total, one lookup of the
+    at most 2 x len(probs) target ranks of each column. ``probs`` maps a
+    column to its probabilities, or to a function of its number of values. Only the values asked
+    for reach the driver; no task holds a value map of a column (Spark's
+    exact ``percentile`` merges one in a single task)."""
+    ship_package(df.sparkSession)
+    cum = cut_lineage(running_totals(value_counts(df, list(probs)), "_v", ["_c"], rows=rows, group_cols=["_col"]))
+    n = {r["_col"]: r["n"] for r in cum.groupBy("_col").agg(F.max("cum__c").alias("n")).collect()}
+    asked = {c: p(n.get(c, 0)) if callable(p) else p for c, p in probs.items()}
+    place = {c: [p * (n[c] - 1) for p in asked[c]] for c in asked if c in n}
+    targets = {c: np.unique([f(t) for t in ts for f in (math.floor, math.ceil)]) for c, ts in place.items()}
+
+    def lookup(batches):
+        for b in batches:
+            col, v, c, end = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for name in np.unique(col).tolist():
+                at = np.flatnonzero(col == name)
+                lo, hi = (np.searchsorted(targets[name], x) for x in (end[at] - c[at], end[at]))  # ranks end - c .. end - 1
+                hit = np.repeat(at, hi - lo)
+                rank = targets[name][np.concatenate([np.arange(i, j) for i, j in zip(lo, hi)]).astype(int)] if len(hit) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(hit), pa.string()), pa.array(rank, pa.int64()), pa.array(v[hit], pa.float64())], names=["c", "t", "v"])
+
+    found = cum.select("_col", "_v", "_c", "cum__c").mapInArrow(lookup, "c string, t long, v double").collect() if targets else []
+    at = {(r["c"], r["t"]): r["v"] for r in found}
+    out: dict = {}
+    for c, ps in asked.items():
+        out[c] = [None] * len(ps)
+        for i, t in enumerate(place.get(c, [])):
+            lo, hi = math.floor(t), math.ceil(t)
+            out[c][i] = at[c, lo] + (t - lo) * (at[c, hi] - at[c, lo])
     return out
 
 
 def quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
-    """Exact quantiles, by the same plan at every size."""
-    return exact_quantiles(df, col, probs)
+    """Exact quantiles of one column, by the same plan at every size."""
+    return exact_quantiles_of(df, {col: probs})[col]

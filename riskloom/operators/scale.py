@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.common import BROADCAST_MAX_ROWS, double_array, join_checked, persisted  # noqa: F401
-from riskloom.operators.ranking import running_totals
+from riskloom.operators.common import double_array
+from riskloom.operators.ranking import exact_quantiles_of, running_totals, value_counts
+from riskloom.session import cut_lineage
 
 _EPS10 = 10 * np.finfo(np.float64).eps  # a scale below this counts as zero
 
@@ -59,89 +60,39 @@ def scale_standard(train: DataFrame, test: DataFrame, cols: list[str],
 def scale_robust(df: DataFrame, cols: list[str], suffix: str = "_scaled",
                  fit_on: DataFrame | None = None) -> DataFrame:
     """(x - median) / (q75 - q25), linear quantiles, zero IQR -> 1."""
-    from riskloom.operators.ranking import quantiles
-    src = persisted(fit_on if fit_on is not None else df)
+    found = exact_quantiles_of(fit_on if fit_on is not None else df, {c: [0.25, 0.5, 0.75] for c in cols})
     out = {}
     for c in cols:
-        q25, q50, q75 = quantiles(src, c, [0.25, 0.5, 0.75])
+        q25, q50, q75 = found[c]
         iqr = None if q75 is None else q75 - q25
         out[f"{c}{suffix}"] = (F.col(c) - F.lit(q50)) / F.lit(_scale_value(iqr))
     return df.withColumns(out)
 
 
-TIE_DECIMALS = 12
+def scale_rank_pct(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame:
+    """Join each row to its value's percentile rank: pandas ``rank(pct=True)``, average ties.
 
-
-def tie_key(c, decimals: int | None = TIE_DECIMALS) -> Column:
-    """Values equal to ``decimals`` places are ties. Aggregates such as a
-    per-customer sum of decay weights add their terms in shuffle order, so
-    mathematically equal values can differ in the last bit from run to run;
-    rounding the key keeps ranks and quantiles deterministic."""
-    x = (F.col(c) if isinstance(c, str) else c).cast("double")
-    return x if decimals is None else F.round(x, decimals)
-
-
-def rank_pct_table(df: DataFrame, col: str, decimals: int | None = TIE_DECIMALS) -> DataFrame:
-    """(value, pct): pandas ``rank(pct=True)`` (average ties) per distinct
-    value, from a grouped count and a bucketed running total."""
-    key = tie_key(col, decimals)
-    counts = (df.filter(key.isNotNull() & ~F.isnan(key))
-              .groupBy(key.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    n = counts.agg(F.sum("_c")).scalar()
-    cum = running_totals(counts, "_v", ["_c"])
-    return cum.select("_v", ((F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2.0) / n).alias("_pct"))
-
-
-def scale_rank_pct(df: DataFrame, cols: list[str], suffix: str = "_scaled",
-                   decimals: int | None = TIE_DECIMALS) -> DataFrame:
-    """Join each row to its value's percentile rank.
-
-    All columns share one (column, value, count) table built in a single
-    aggregate, and one bucketed running total grouped by column. The value
-    table is broadcast only after its size is checked."""
-    df = persisted(df)
-    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), tie_key(c, decimals).alias("_v")) for c in cols]))
-    long = df.select(parts.alias("_p")).select("_p._col", "_p._v").filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = long.groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    All columns share one (column, value, count) table and one bucketed running
+    total; whether a column's part of it is broadcast is left to adaptive execution."""
+    counts = value_counts(df, cols)
     cum = running_totals(counts, "_v", ["_c"], group_cols=["_col"])
-    n = F.sum("_c").over(Window.partitionBy("_col"))
-    table = cum.select("_col", "_v", ((F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2.0) / n).alias("_pct"))
-    small = table.count() <= BROADCAST_MAX_ROWS
+    n = counts.groupBy("_col").agg(F.sum("_c").alias("_n"))
+    table = cut_lineage(cum.join(n, "_col").select("_col", "_v", ((F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2.0) / F.col("_n")).alias("_pct")))
     out = df
     for c in cols:
         t = table.filter(F.col("_col") == c).select("_v", F.col("_pct").alias(f"{c}{suffix}"))
-        t = F.broadcast(t) if small else t
-        out = out.withColumn("_v", tie_key(c, decimals)).join(t, "_v", "left").drop("_v")
+        out = out.withColumn("_v", F.col(c).cast("double")).join(t, "_v", "left").drop("_v")
     return out
 
 
-def fit_quantile_knots(df: DataFrame, col: str, n_quantiles: int = 1000,
-                       decimals: int | None = TIE_DECIMALS) -> list[tuple[float, float, float]]:
-    """Quantiles at ``n_quantiles`` evenly spaced references (capped at the
-    number of non-null rows), as knots (q, first_ref, last_ref) per distinct
-    quantile value. At most ``n_quantiles`` numbers reach the driver."""
-    x = tie_key(col, decimals)
-    base = df.filter(x.isNotNull() & ~F.isnan(x))
-    n = base.count()
-    k = max(1, min(n_quantiles, n))
-    refs = list(np.linspace(0, 1, k))
-    qs = base.agg(F.percentile(x, double_array(refs))).first()[0]
-    knots: dict[float, list[float]] = {}
-    for qv, r in zip(qs, refs):
-        lo_hi = knots.setdefault(float(qv), [float(r), float(r)])
-        lo_hi[1] = float(r)
-    return [(q, lo, hi) for q, (lo, hi) in sorted(knots.items())]
-
-
-def apply_quantile(df: DataFrame, col: str, knots: list[tuple[float, float, float]], out: str,
-                   decimals: int | None = TIE_DECIMALS) -> DataFrame:
+def apply_quantile(df: DataFrame, col: str, knots: list[tuple[float, float, float]], out: str) -> DataFrame:
     """Uniform quantile transform: a value equal to a knot maps to the middle
     of its tied references; values between knots interpolate linearly from
     the left knot's last reference to the right knot's first; values at or
     beyond the ends map to 0 and 1. Knot lookup is Bucketizer's binary
     search (JVM) plus a lookup into a literal array: no join, no UDF."""
     qs = [k[0] for k in knots]
-    x = tie_key(col, decimals)
+    x = F.col(col).cast("double")
     if len(qs) == 1:
         val = F.when(x.isNull() | F.isnan(x), F.lit(None)).otherwise(F.lit(0.0))
         return df.withColumn(out, val)
@@ -162,34 +113,31 @@ def apply_quantile(df: DataFrame, col: str, knots: list[tuple[float, float, floa
     return b.withColumn(out, val).drop("_qx", "_qb")
 
 
-def fit_quantile_knots_many(df: DataFrame, cols: list[str], n_quantiles: int = 1000,
-                            decimals: int | None = TIE_DECIMALS) -> dict[str, list[tuple[float, float, float]]]:
-    """Knots for several columns: one pass for the non-null counts, then each
-    column's exact quantiles by the distributed plan, whatever its size."""
-    keys = {c: tie_key(c, decimals) for c in cols}
-    valid = {c: F.when(~F.isnan(k), k) for c, k in keys.items()}
-    df = persisted(df)
-    counts = df.agg(*[F.count(v).alias(c) for c, v in valid.items()]).first().asDict()
-    refs = {c: list(np.linspace(0, 1, max(1, min(n_quantiles, counts[c])))) for c in cols}
-    from riskloom.operators.ranking import exact_quantiles
-    qrow = {c: exact_quantiles(df.select(valid[c].alias(c)), c, refs[c]) if counts[c] else None for c in cols}
+def fit_quantile_knots(df: DataFrame, cols: list[str], n_quantiles: int = 1000) -> dict[str, list[tuple[float, float, float]]]:
+    """Quantiles at ``n_quantiles`` evenly spaced references (at most one per value), as
+    knots (q, first_ref, last_ref) per distinct quantile, for all columns from one table."""
+    refs: dict[str, list[float]] = {}
+
+    def spaced(c: str):
+        def at(n: int) -> list[float]:
+            refs[c] = list(np.linspace(0, 1, max(1, min(n_quantiles, n))))
+            return refs[c]
+        return at
+
+    found = exact_quantiles_of(df, {c: spaced(c) for c in cols})
     out = {}
     for c in cols:
         knots: dict[float, list[float]] = {}
-        for qv, r in zip(qrow[c] or [], refs[c]):
-            lo_hi = knots.setdefault(float(qv), [float(r), float(r)])
-            lo_hi[1] = float(r)
+        for q, r in zip(found[c], refs[c]):
+            if q is not None:
+                knots.setdefault(float(q), [float(r), float(r)])[1] = float(r)
         out[c] = [(q, lo, hi) for q, (lo, hi) in sorted(knots.items())]
     return out
 
 
 def scale_quantile(df: DataFrame, cols: list[str], suffix: str = "_scaled",
                    n_quantiles: int = 1000, fit_on: DataFrame | None = None) -> DataFrame:
-    if fit_on is None:
-        df = src = persisted(df)
-    else:
-        src = persisted(fit_on)
-    knots = fit_quantile_knots_many(src, cols, n_quantiles)
+    knots = fit_quantile_knots(fit_on if fit_on is not None else df, cols, n_quantiles)
     out = df
     for c in cols:
         out = apply_quantile(out, c, knots[c], f"{c}{suffix}") if knots[c] else \

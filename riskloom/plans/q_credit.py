@@ -26,9 +26,11 @@ FROM cf""")
 
 def cust_cte(mode: str):
     w = "exp(-0.1 * k)" if mode == "position" else "exp(-0.1 * abs(months_balance))"
+    places = lambda x: f"CAST(sum(CAST({x} AS DECIMAL(38, 14))) AS DOUBLE)"
+    whole = "round((1.0 - pow(exp(-0.1), count(*))) / (1.0 - exp(-0.1)), 14)" if mode == "position" else places(w)
     return ("cust", f"""SELECT id, min(months_balance) AS origination_month, count(*) AS tenure,
   CAST(sum(f) AS DOUBLE) / count(*) AS default_prop,
-  sum(f * {w}) / sum({w}) AS weighted_default_prop,
+  {places(f"f * {w}")} / {whole} AS weighted_default_prop,
   CAST(sum(f) AS DOUBLE) * ln(1 + count(*)) AS risk_score
 FROM pos GROUP BY id""")
 

@@ -61,7 +61,6 @@ def q_scale_robust(spark, sf):
 
 
 def d_rank_pct(c):
-    c = f"round({c}, 12)"
     return (f"CASE WHEN {c} IS NULL THEN NULL ELSE (rank() OVER (ORDER BY {c}) + "
             f"(count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count({c}) OVER () END")
 
@@ -76,9 +75,9 @@ def q_scale_rank_pct(spark, sf):
 def quantile_ctes(src: str, c: str, tag: str):
     """Uniform quantile transform of column ``c`` of ``src`` (brute force SQL)."""
     return [
-        (f"sv_{tag}", f"SELECT round({c}, 12) AS x, row_number() OVER (ORDER BY {c}) - 1 AS i FROM {src} "
+        (f"sv_{tag}", f"SELECT {c} AS x, row_number() OVER (ORDER BY {c}) - 1 AS i FROM {src} "
                       f"WHERE {c} IS NOT NULL"),
-        (f"sr_{tag}", f"SELECT id, round({c}, 12) AS {c} FROM {src}"),
+        (f"sr_{tag}", f"SELECT id, {c} FROM {src}"),
         (f"nk_{tag}", f"SELECT count(*) AS n, least(1000, count(*)) AS k FROM sv_{tag}"),
         (f"rf_{tag}", f"""SELECT j, CASE WHEN k = 1 THEN 0.0 ELSE CAST(j AS DOUBLE) / (k - 1) END AS r,
   (CASE WHEN k = 1 THEN 0.0 ELSE CAST(j AS DOUBLE) / (k - 1) END) * (n - 1) AS p FROM nk_{tag}, range(k) t(j)"""),

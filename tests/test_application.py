@@ -1,6 +1,7 @@
 """Application cleaning behaviour notes."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.functions import credit_exprs as X
 from riskloom.operators import clean as C
@@ -71,3 +72,18 @@ def test_binary_flags_unmapped_is_null(spark):
     df = spark.createDataFrame([("M",), ("F",), ("X",)], "g string")
     got = [r[0] for r in df.select(X.map_flag("g", X.GENDER_FLAG)).collect()]
     assert got == [0, 1, None]
+
+
+def test_vocabulary_of_any_size(spark):
+    """200,000 categories: dense codes in value order, nulls -1, unseen values an error."""
+    from riskloom.operators import encode as E
+    n = 200_000
+    df = spark.range(n + 1).select(F.when(F.col("id") < n, F.format_string("c%07d", (F.col("id") * 7919) % n)).alias("c"), (F.col("id") % 3).cast("string").alias("d"))
+    encs = E.fit_many(df, ["c", "d"])
+    out = E.apply(E.apply(df, encs["c"]), encs["d"])
+    wrong = out.filter((F.coalesce(F.substring("c", 2, 7).cast("int"), F.lit(-1)) != F.col("c_encoded")) | (F.col("d").cast("int") != F.col("d_encoded")))
+    assert wrong.count() == 0 and out.count() == n + 1 and out.agg(F.max("c_encoded")).first()[0] == n - 1
+    new = spark.createDataFrame([("never",)], "c string")
+    assert E.apply(new, encs["c"], "null").first().c_encoded is None and E.apply(new, encs["c"], "unknown").first().c_encoded == -1
+    with pytest.raises(Exception, match="unseen label"):
+        E.apply(new, encs["c"]).collect()

@@ -58,7 +58,7 @@ def test_running_totals_match_cumsum(spark):
     vals = rng.choice(10_000, size=3000, replace=False).astype(float)
     w = rng.integers(0, 5, size=3000)
     df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(vals, w)], "v double, w long").repartition(7)
-    got = {r["v"]: r["cum_w"] for r in running_totals(df, "v", ["w"], n_buckets=16).collect()}
+    got = {r["v"]: r["cum_w"] for r in running_totals(df, "v", ["w"], rows=20).collect()}
     order = np.argsort(vals)
     cum = np.cumsum(w[order])
     assert all(got[vals[i]] == c for i, c in zip(order, cum))
@@ -71,7 +71,7 @@ def test_position_within_hot_group(spark):
     from riskloom.operators.ranking import position_within
     from riskloom.operators.split import seeded_int, stratified_folds
     df = spark.range(20000).withColumn("label", (F.col("id") % 100 == 0).cast("int"))
-    pos = position_within(df.withColumn("_h", seeded_int(7, "id")), ["label"], ["_h", "id"], n_buckets=32)
+    pos = position_within(df.withColumn("_h", seeded_int(7, "id")), ["label"], ["_h", "id"], rows=20)
     stats = {r["label"]: r for r in pos.groupBy("label").agg(
         F.count("*").alias("n"), F.countDistinct("_pos").alias("d"), F.min("_pos").alias("lo"),
         F.max("_pos").alias("hi")).collect()}

@@ -48,10 +48,48 @@ def test_entry_smoke(spark):
 
 
 def test_exact_quantiles_distributed_path(spark):
-    from riskloom.operators.ranking import exact_quantiles
+    from riskloom.operators.ranking import exact_quantiles_of
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=2000), 2)
     df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(5)
     probs = [0.0, 0.1, 0.25, 0.5, 0.8, 0.999, 1.0]
-    got = exact_quantiles(df, "x", probs, n_buckets=8)
+    got = exact_quantiles_of(df, {"x": probs}, rows=40)["x"]
     assert np.allclose(got, np.percentile(x, [p * 100 for p in probs]), atol=1e-12)
+
+
+def test_rows_of_a_bucket_do_not_grow_with_the_table(spark):
+    from pyspark.sql import functions as F
+    from riskloom.operators import ranking as R
+    from riskloom.operators.split import seeded_int
+    most = {}
+    for n in (2_000, 20_000, 100_000):
+        df = spark.range(n).select((F.col("id") * F.col("id") / 7.0).alias("v"), seeded_int(1, "id").alias("h"))
+        for name, b in (("value", R.value_bucket(df, "v", rows=200)), ("hash", R.hash_bucket(df, "h", rows=200))):
+            most[name, n] = b.groupBy("_bkt").count().agg(F.max("count")).first()[0]
+    assert max(most.values()) <= 3 * 200
+    df = spark.range(5_000).select(F.col("id"), (F.col("id") % 1009).cast("double").alias("v"))
+    got = R.running_totals(df.groupBy("v").agg(F.count("id").alias("c")), "v", ["c"], rows=50).orderBy("v").collect()
+    total = 0
+    for r in got:
+        total += r.c
+        assert r.cum_c == total
+    assert total == 5_000
+
+
+def test_values_that_differ_in_the_last_places_are_no_ties(spark):
+    from riskloom.operators import scale as S
+    df = spark.createDataFrame([(1, 1e-14), (2, 2e-14), (3, 3e-14), (4, 3e-14), (5, None)], "id long, x double")
+    got = {r.id: r.x_scaled for r in S.scale_rank_pct(df, ["x"]).collect()}
+    assert got == {1: 0.25, 2: 0.5, 3: 0.875, 4: 0.875, 5: None}
+
+
+def test_exact_sums_do_not_hang_on_order(spark):
+    import random
+    from pyspark.sql import functions as F
+    from riskloom.operators.credit import exact_sum
+    terms = [0.1 * i / 7 for i in range(200)] + [1e-9 * i for i in range(50)]
+    seen = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(terms)
+        seen.add(spark.createDataFrame([(t,) for t in terms], "t double").repartition(1 + seed).agg(exact_sum(F.col("t"))).first()[0])
+    assert len(seen) == 1 and abs(seen.pop() - sum(sorted(terms))) < 1e-9
