@@ -108,7 +108,8 @@ def exact_quantiles_of(df: DataFrame, probs: dict, rows: int = ROWS) -> dict[str
     for reach the driver; no task holds a value map of a column (Spark's
     exact ``percentile`` merges one in a single task)."""
     ship_package(df.sparkSession)
-    cum = cut_lineage(running_totals(value_counts(df, list(probs)), "_v", ["_c"], rows=rows, group_cols=["_col"]))
+    counts = cut_lineage(value_counts(df, list(probs)))  # the one pass over ``df``
+    cum = cut_lineage(running_totals(counts, "_v", ["_c"], rows=rows, group_cols=["_col"]))
     n = {r["_col"]: r["n"] for r in cum.groupBy("_col").agg(F.max("cum__c").alias("n")).collect()}
     asked = {c: p(n.get(c, 0)) if callable(p) else p for c, p in probs.items()}
     place = {c: [p * (n[c] - 1) for p in asked[c]] for c in asked if c in n}

@@ -11,7 +11,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.common import double_array
 from riskloom.operators.ranking import exact_quantiles_of, running_totals, value_counts
 from riskloom.session import cut_lineage
 
@@ -74,7 +73,7 @@ def scale_rank_pct(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> D
 
     All columns share one (column, value, count) table and one bucketed running
     total; whether a column's part of it is broadcast is left to adaptive execution."""
-    counts = value_counts(df, cols)
+    counts = cut_lineage(value_counts(df, cols))
     cum = running_totals(counts, "_v", ["_c"], group_cols=["_col"])
     n = counts.groupBy("_col").agg(F.sum("_c").alias("_n"))
     table = cut_lineage(cum.join(n, "_col").select("_col", "_v", ((F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2.0) / F.col("_n")).alias("_pct")))
@@ -85,32 +84,30 @@ def scale_rank_pct(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> D
     return out
 
 
+BOUND = 1e-7
+
+
 def apply_quantile(df: DataFrame, col: str, knots: list[tuple[float, float, float]], out: str) -> DataFrame:
     """Uniform quantile transform: a value equal to a knot maps to the middle
     of its tied references; values between knots interpolate linearly from
     the left knot's last reference to the right knot's first; values at or
-    beyond the ends map to 0 and 1. Knot lookup is Bucketizer's binary
-    search (JVM) plus a lookup into a literal array: no join, no UDF."""
-    qs = [k[0] for k in knots]
+    beyond the ends map to 0 and 1. A value's knots are found by Bucketizer's binary
+    search (JVM) and one join with the knot table, which is broadcast: it has at
+    most ``n_quantiles`` rows."""
     x = F.col(col).cast("double")
-    if len(qs) == 1:
-        val = F.when(x.isNull() | F.isnan(x), F.lit(None)).otherwise(F.lit(0.0))
-        return df.withColumn(out, val)
-    splits = [float("-inf"), *qs, float("inf")]
-    bz = Bucketizer(splits=splits, inputCol="_qx", outputCol="_qb", handleInvalid="keep")
-    b = bz.transform(df.withColumn("_qx", F.coalesce(x, F.lit(0.0))))
-    Q, LO, HI = double_array(qs), double_array([k[1] for k in knots]), double_array([k[2] for k in knots])
-    j = F.col("_qb").cast("int")  # x in [qs[j-1], qs[j]) ; 1-based element_at
-    ql, qr = F.element_at(Q, j), F.element_at(Q, j + 1)
-    left_hi, right_lo = F.element_at(HI, j), F.element_at(LO, j + 1)
-    mid = (F.element_at(LO, j) + F.element_at(HI, j)) / 2
-    inner = F.when(x == ql, mid).otherwise(left_hi + (x - ql) * (right_lo - left_hi) / (qr - ql))
-    bound = 1e-7
-    val = (F.when(x.isNull() | F.isnan(x), F.lit(None))
-           .when(x - bound < F.lit(qs[0]), F.lit(0.0))
-           .when(x + bound > F.lit(qs[-1]), F.lit(1.0))
-           .otherwise(inner))
-    return b.withColumn(out, val).drop("_qx", "_qb")
+    known = x.isNotNull() & ~F.isnan(x)
+    if len(knots) == 1:
+        return df.withColumn(out, F.when(known, F.lit(0.0)))
+    qs = [k[0] for k in knots]
+    after = [*knots[1:], (None, None, None)]
+    rows = [(float(j + 1), q, lo, hi, r[0], r[1]) for j, ((q, lo, hi), r) in enumerate(zip(knots, after))]
+    table = df.sparkSession.createDataFrame(rows, "_qb double, _ql double, _lo double, _hi double, _qr double, _rlo double")
+    bucket = Bucketizer(splits=[float("-inf"), *qs, float("inf")], inputCol="_qx", outputCol="_qb")
+    placed = bucket.transform(df.withColumn("_qx", F.when(known, x).otherwise(F.lit(0.0)))).join(F.broadcast(table), "_qb", "left")
+    inner = F.when(F.col("_qx") == F.col("_ql"), (F.col("_lo") + F.col("_hi")) / 2).otherwise(
+        F.col("_hi") + (F.col("_qx") - F.col("_ql")) * (F.col("_rlo") - F.col("_hi")) / (F.col("_qr") - F.col("_ql")))
+    val = F.when(known, F.when(x - BOUND < qs[0], F.lit(0.0)).when(x + BOUND > qs[-1], F.lit(1.0)).otherwise(inner))
+    return placed.withColumn(out, val).drop("_qx", "_qb", "_ql", "_lo", "_hi", "_qr", "_rlo")
 
 
 def fit_quantile_knots(df: DataFrame, cols: list[str], n_quantiles: int = 1000) -> dict[str, list[tuple[float, float, float]]]:

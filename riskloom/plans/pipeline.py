@@ -16,7 +16,9 @@ from riskloom.operators import credit as K
 from riskloom.operators import scale as S
 from riskloom.operators import split as P
 from riskloom.operators import target as T
+from riskloom.session import cut_lineage
 
+# The reference's feature lists.
 N18_DROP = ["flag_mobil", "years_employed", "cnt_children"]
 N18_CATEGORICAL = ["name_income_type_encoded", "name_education_type_encoded",
                    "name_family_status_encoded", "name_housing_type_encoded",
@@ -79,9 +81,8 @@ def train_frame_n18(application: DataFrame, credit: DataFrame,
                     threshold_scope: str = "train") -> FeatureSet:
     app, encoders = C.clean_application(application, variant="n18")
     # one shuffle of the raw credit rows feeds both the label aggregates and
-    # the delinquency features: the compact (id, month) series is persisted
-    from pyspark import StorageLevel
-    monthly = K.monthly_series(credit).persist(StorageLevel.MEMORY_AND_DISK)
+    # the delinquency features: the compact (id, month) series is written once
+    monthly = cut_lineage(K.monthly_series(credit))
     old, new = labelled_customers(credit, decay_mode="month", threshold_scope=threshold_scope, monthly=monthly)
     feats = K.feature_engineer(None, monthly=monthly)
     keep = ["id", F.col("multi_dim_target").alias("label")]
@@ -112,13 +113,34 @@ def train_frame_f(application: DataFrame, credit: DataFrame, encoding: str = "la
     return FeatureSet(train, test, cols, encoders=enc)
 
 
+def composite_customers(credit: DataFrame, scaling: str = "quantile", q: float = 0.8,
+                        threshold_scope: str = "train") -> tuple[DataFrame, DataFrame]:
+    """(old, new) customer aggregates labelled by the composite risk score.
+
+    Scalers and threshold are the old accounts'; ``threshold_scope="each"``
+    scales and cuts each side by itself, as the reference does."""
+    customers = cut_lineage(P.assign_split(K.clean_credit(credit, decay_mode="position")))
+    old, new = (customers.filter(F.col("split") == s).drop("split") for s in ("old", "new"))
+    old_l, t = T.composite_target(old, scaling, q=q)
+    if threshold_scope == "train":
+        new_l, _ = T.composite_target(new, scaling, q=q, fit_on=old, threshold=t)
+    elif threshold_scope == "each":
+        new_l, _ = T.composite_target(new, scaling, q=q)
+    else:
+        raise ValueError(f"threshold_scope must be train|each, got {threshold_scope!r}")
+    return old_l, new_l
+
+
 def train_frame_v2(application: DataFrame, credit: DataFrame, encoding: str = "label",
-                   exclude_leaky: bool = True) -> FeatureSet:
+                   exclude_leaky: bool = True, scaling: str = "quantile", threshold_scope: str = "train") -> FeatureSet:
+    """Second version: applications keep the row with a known occupation, and
+    the label is the composite risk score above its 80 % quantile (``scaling``:
+    robust, rank_pct or quantile)."""
     accounts = P.split_accounts(credit).select("id", "split")
     app_old, app_new = P.split_applications(application, accounts)
     tr_app, enc = C.clean_application(app_old, variant="v2", encoding=encoding)
     te_app, _ = C.clean_application(app_new, variant="v2", encoding=encoding, encoders=enc)
-    old, new = labelled_customers(credit, decay_mode="position")
+    old, new = composite_customers(credit, scaling, threshold_scope=threshold_scope)
     keep = ["id", "risk_score", F.col("multi_dim_target").alias("label")]
     train = tr_app.join(old.select(*keep), "id").drop(*V2_XY_DROP)
     test = te_app.join(new.select(*keep), "id").drop(*V2_XY_DROP)

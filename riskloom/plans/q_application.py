@@ -367,8 +367,7 @@ N18_TRAIN = SPLIT_CTES + CREDIT_CTES + [cust_cte("month")] + TGT + [DEDUP_LAST]
 
 @R.add("join_label", sql(f"""SELECT {round_cols(_N18_COLS, {'amt_income_total_log'})}, multi_dim_target AS label,
   round(default_prop, 6) AS default_prop, round(weighted_default_prop, 6) AS weighted_default_prop
-FROM n18 JOIN tgt USING (id) WHERE split = 'old'""", N18_TRAIN[:-8] + [CF] + N18_TRAIN[-8:] if False else
-    SPLIT_CTES + CREDIT_CTES + [cust_cte("month")] + TGT + [DEDUP_LAST] + n18_ctes(), BOTH))
+FROM n18 JOIN tgt USING (id) WHERE split = 'old'""", SPLIT_CTES + CREDIT_CTES + [cust_cte("month")] + TGT + [DEDUP_LAST] + n18_ctes(), BOTH))
 def q_join_label(spark, sf):
     return r6(PL.labelled_train_frame(app(spark, sf), fx(spark, sf, "credit_record")))
 
@@ -405,13 +404,13 @@ def q_feature_columns(spark, sf):
     return r6(j.select("id", *cols))
 
 
-@R.add("split_xy", sql(f"""SELECT {round_cols(_N18_TRAIN_COLS[:-1], {'amt_income_total_log'})}
+@R.add("split_xy", sql(f"""SELECT {round_cols(_N18_TRAIN_COLS[:-1], {'amt_income_total_log'})}, label AS y
 FROM n18 JOIN (SELECT id, multi_dim_target AS label FROM tgt WHERE split = 'old') t USING (id) LEFT JOIN fe USING (id)""",
                        N18_FULL, BOTH))
 def q_split_xy(spark, sf):
     fs = PL.train_frame(app(spark, sf), fx(spark, sf, "credit_record"), "n18")
-    x, _y = C.split_xy(fs.train, "label")
-    return r6(x)
+    x, y = C.split_xy(fs.train, "label")
+    return r6(x.join(y.withColumnRenamed("label", "y"), "id"))
 
 
 @R.add("rename_label", sql("SELECT id, multi_dim_target AS label FROM tgt WHERE split = 'old'",
@@ -428,13 +427,18 @@ def q_keep_columns(spark, sf):
     return r6(C.keep_columns(old.unionByName(new), ["id", "risk_score", "multi_dim_target"]))
 
 
-@R.add("partition_features", sql(f"""SELECT id, {', '.join(c for c in _N18_TRAIN_COLS if 'encoded' in c or 'flag' in c)}
-FROM n18 JOIN (SELECT id FROM tgt WHERE split = 'old') t USING (id)""",
-                                 SPLIT_CTES + CREDIT_CTES + [cust_cte("month")] + TGT + [DEDUP_LAST] + n18_ctes(), BOTH))
+_CAT = [c for c in _N18_TRAIN_COLS if "encoded" in c or "flag" in c]
+_NUM = [c for c in _N18_TRAIN_COLS if c not in _CAT and c not in ("id", "label")]
+
+
+@R.add("partition_features", sql(f"""SELECT id, {', '.join(f'{c} AS cat_{c}' for c in _CAT)},
+  {', '.join(f'round({c}, 6) AS num_{c}' for c in _NUM)}
+FROM n18 JOIN (SELECT id FROM tgt WHERE split = 'old') t USING (id) LEFT JOIN fe USING (id)""", N18_FULL, BOTH))
 def q_partition_features(spark, sf):
+    """Both parts, told apart by their names' beginning."""
     fs = PL.train_frame(app(spark, sf), fx(spark, sf, "credit_record"), "n18")
-    _num, cat = C.partition_features(fs.feature_cols)
-    return fs.train.select("id", *cat)
+    num, cat = C.partition_features(fs.feature_cols)
+    return r6(fs.train.select("id", *[F.col(c).alias(f"cat_{c}") for c in cat], *[F.col(c).alias(f"num_{c}") for c in num]))
 
 
 @R.add("cardinalities", sql(" UNION ALL ".join(

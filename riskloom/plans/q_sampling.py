@@ -11,8 +11,10 @@ from riskloom.operators import sampling as SM
 from riskloom.operators import scale as S
 from riskloom.operators import split as P
 from riskloom.operators import target as T
+from riskloom.plans import pipeline as PL
+from riskloom.plans import q_application as QA
 from riskloom.plans.common import Registry, fx, r6, with_fixtures
-from riskloom.plans.q_credit import CREDIT_CTES, SPLIT_CTES, cust_cte, CC, VZ
+from riskloom.plans.q_credit import CC, CREDIT_CTES, SPLIT_CTES, TGT, VZ, cust_cte
 
 R = Registry()
 
@@ -72,12 +74,12 @@ def q_scale_rank_pct(spark, sf):
     return r6(S.scale_rank_pct(c, MET).select("id", *[f"{m}_scaled" for m in MET]))
 
 
-def quantile_ctes(src: str, c: str, tag: str):
-    """Uniform quantile transform of column ``c`` of ``src`` (brute force SQL)."""
+def quantile_ctes(src: str, c: str, tag: str, rows: str | None = None):
+    """Uniform quantile transform of column ``c`` of ``rows`` (of ``src`` itself) by the knots of ``src`` (brute force SQL)."""
     return [
         (f"sv_{tag}", f"SELECT {c} AS x, row_number() OVER (ORDER BY {c}) - 1 AS i FROM {src} "
                       f"WHERE {c} IS NOT NULL"),
-        (f"sr_{tag}", f"SELECT id, {c} FROM {src}"),
+        (f"sr_{tag}", f"SELECT id, {c} FROM {rows or src}"),
         (f"nk_{tag}", f"SELECT count(*) AS n, least(1000, count(*)) AS k FROM sv_{tag}"),
         (f"rf_{tag}", f"""SELECT j, CASE WHEN k = 1 THEN 0.0 ELSE CAST(j AS DOUBLE) / (k - 1) END AS r,
   (CASE WHEN k = 1 THEN 0.0 ELSE CAST(j AS DOUBLE) / (k - 1) END) * (n - 1) AS p FROM nk_{tag}, range(k) t(j)"""),
@@ -119,6 +121,64 @@ def q_target_composite(spark, sf):
     return r6(lab.select("id", "composite_risk_score", "multi_dim_target"))
 
 
+def half_ctes(cleaned: str, labels: str, cols: list[str], numeric: list[str]) -> tuple[str, list]:
+    """Both halves of a training frame: numeric columns standardised by the old accounts."""
+    from_old = lambda c: (f"round(({c} - (SELECT avg({c}) FROM hv WHERE split = 'old')) / "
+                          f"(SELECT stddev_pop({c}) FROM hv WHERE split = 'old'), 6) AS {c}")
+    body = f"SELECT id, split, label, {', '.join(from_old(c) if c in numeric else c for c in cols)} FROM hv"
+    return body, [("hv", f"SELECT x.*, l.split, l.multi_dim_target AS label FROM {cleaned} x JOIN {labels} l USING (id)")]
+
+
+def both_halves(fs):
+    return r6(fs.train.withColumn("split", F.lit("old")).unionByName(fs.test.withColumn("split", F.lit("new"))))
+
+
+_F_BODY, _F_HALVES = half_ctes("fcl", "tgt", [c for c in QA._F_COLS if c != "id"], PL.F_NUMERIC)
+
+
+@R.add("train_frame_f", with_fixtures(["credit_record", "application_record"], _F_BODY, CREDIT_CTES + [cust_cte("position")] + SPLIT_CTES + TGT
+                                      + [QA.DEDUP_LAST] + QA.F_CTES + _F_HALVES))
+def q_train_frame_f(spark, sf):
+    return both_halves(PL.train_frame(QA.app(spark, sf), fx(spark, sf, "credit_record"), "f"))
+
+
+_V2_FRAME = [c for c in QA._V2_COLS if c != "id" and c not in PL.V2_XY_DROP]
+_V2_BODY, _V2_HALVES = half_ctes("v2", "clab", _V2_FRAME, [c for c in PL.V2_NUMERIC if c in _V2_FRAME])
+_ALL_QT = [x for i, m in enumerate(MET) for x in quantile_ctes("old", m, f"m{i}", "cs")]
+_V2_LABELS = [OLD] + _ALL_QT + [
+    ("comp", f"""SELECT cs.id, cs.split, {' + '.join(f"0.25 * qt_m{i}.v" for i in range(len(MET)))} AS score
+FROM cs {' '.join(f"JOIN qt_m{i} USING (id)" for i in range(len(MET)))}"""),
+    ("clab", """SELECT id, split, CASE WHEN score > (SELECT quantile_cont(score, 0.8) FROM comp WHERE split = 'old') THEN 1 ELSE 0 END
+  AS multi_dim_target FROM comp""")]
+
+
+@R.add("train_frame_v2", with_fixtures(["credit_record", "application_record"], _V2_BODY, CUST + _V2_LABELS + [QA.DEDUP_NONNULL] + QA.v2_ctes() + _V2_HALVES))
+def q_train_frame_v2(spark, sf):
+    """The composite label of the old accounts' scalers and threshold, on both halves."""
+    return both_halves(PL.train_frame(QA.app(spark, sf), fx(spark, sf, "credit_record"), "v2"))
+
+
+ROBUST = [("crob", f"""SELECT id, {' + '.join(f"0.25 * ({m} - (SELECT quantile_cont({m}, 0.5) FROM cs WHERE split = 'old')) / (SELECT quantile_cont({m}, 0.75) - quantile_cont({m}, 0.25) FROM cs WHERE split = 'old')" for m in MET)} AS score
+FROM cs WHERE split = 'old'""")]
+
+
+@R.add("target_composite_robust", csql("""SELECT id, round(score, 6) AS composite_risk_score,
+  CASE WHEN score > (SELECT quantile_cont(score, 0.8) FROM crob) THEN 1 ELSE 0 END AS multi_dim_target FROM crob""", ROBUST))
+def q_target_composite_robust(spark, sf):
+    lab, _ = T.composite_target(customers(spark, sf).filter("split = 'old'"), scaling="robust")
+    return r6(lab.select("id", "composite_risk_score", "multi_dim_target"))
+
+
+RANKED = [("crk", f"""SELECT id, {' + '.join(f"0.25 * {d_rank_pct(m)}" for m in MET)} AS score FROM cs WHERE split = 'old'""")]
+
+
+@R.add("target_composite_rank", csql("""SELECT id, round(score, 6) AS composite_risk_score,
+  CASE WHEN score > (SELECT quantile_cont(score, 0.8) FROM crk) THEN 1 ELSE 0 END AS multi_dim_target FROM crk""", RANKED))
+def q_target_composite_rank(spark, sf):
+    lab, _ = T.composite_target(customers(spark, sf).filter("split = 'old'"), scaling="rank_pct")
+    return r6(lab.select("id", "composite_risk_score", "multi_dim_target"))
+
+
 # ---- resampling and neighbours on ``vectors`` -------------------------------------------
 def vectors(spark, sf):
     return fx(spark, sf, "vectors")
