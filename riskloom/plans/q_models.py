@@ -94,27 +94,41 @@ _MI_COLS = [c for c in _N18_TRAIN_COLS if c not in ("id", "label")]
 _MI_CTES = N18_FULL + [
     ("tr", f"SELECT {', '.join(_N18_TRAIN_COLS)} FROM n18 JOIN (SELECT id, multi_dim_target AS label FROM tgt "
            "WHERE split = 'old') t USING (id) LEFT JOIN fe USING (id)"),
-    ("bnd", "SELECT min(amt_income_total_log) AS lo, max(amt_income_total_log) AS hi FROM tr"),
-    ("lg", " UNION ALL ".join(
-        (f"SELECT '{c}' AS feature, CASE WHEN (hi - lo) / 10 <= 0 THEN 0.0 ELSE least(floor((amt_income_total_log - lo) "
-         f"/ ((hi - lo) / 10)), 9) END AS bin, label AS y FROM tr, bnd")
-        if c == "amt_income_total_log" else
-        f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS bin, label AS y FROM tr" for c in _MI_COLS)),
+    ("lg", " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS bin, label AS y FROM tr" for c in _MI_COLS if c != "amt_income_total_log")),
     ("jn", """SELECT feature, bin, y, count(*) AS n_xy FROM lg WHERE bin IS NOT NULL GROUP BY feature, bin, y"""),
     ("mi", """SELECT feature, sum(CAST(n_xy AS DOUBLE) / n * ln(CAST(n_xy AS DOUBLE) * n / (n_x * n_y))) AS mutual_info
 FROM (SELECT *, sum(n_xy) OVER (PARTITION BY feature) AS n, sum(n_xy) OVER (PARTITION BY feature, bin) AS n_x,
   sum(n_xy) OVER (PARTITION BY feature, y) AS n_y FROM jn) GROUP BY feature"""),
+    # the continuous feature by nearest neighbours, all pairs
+    ("cx", "SELECT id, amt_income_total_log AS x, label AS y, count(*) OVER (PARTITION BY label) AS n_y FROM tr WHERE amt_income_total_log IS NOT NULL"),
+    ("rd", """SELECT a.id, any_value(a.n_y) AS n_y, any_value(a.x) AS x, list_sort(list(abs(a.x - b.x)))[least(3, any_value(a.n_y) - 1)] AS r
+FROM cx a JOIN cx b ON a.y = b.y AND a.id <> b.id GROUP BY a.id"""),
+    ("mm", """SELECT rd.id, any_value(rd.n_y) AS n_y, count(*) AS m FROM rd JOIN cx ON (r = 0 AND cx.x = rd.x) OR (r > 0 AND cx.x > rd.x - r AND cx.x < rd.x + r)
+GROUP BY rd.id"""),
+    ("ps", """SELECT i AS n, coalesce(sum(1.0 / (i - 1)) FILTER (i > 1) OVER (ORDER BY i), 0.0) - 0.57721566490153286 AS psi
+FROM range(1, (SELECT count(*) + 1 FROM cx)) t(i)"""),
+    ("ck", """SELECT 'amt_income_total_log' AS feature, greatest(0.0, (SELECT psi FROM ps WHERE n = (SELECT count(*) FROM cx)) + avg(pk.psi) - avg(py.psi) - avg(pm.psi))
+  AS mutual_info FROM mm JOIN ps pk ON pk.n = least(3, n_y - 1) JOIN ps py ON py.n = n_y JOIN ps pm ON pm.n = m"""),
 ]
 
 
 @R.add("select_kbest_mi", with_fixtures(["credit_record", "application_record"],
-                                        "SELECT feature, round(mutual_info, 6) AS mutual_info FROM mi "
+                                        "SELECT feature, round(mutual_info, 6) AS mutual_info FROM "
+                                        "(SELECT feature, mutual_info FROM mi UNION ALL SELECT feature, mutual_info FROM ck) "
                                         "ORDER BY mutual_info DESC, feature LIMIT 10", _MI_CTES))
 def q_select_kbest_mi(spark, sf):
     train, _, cols = feature_set(spark, sf, standardise=False)
     return r6(FE.select_kbest(FE.mutual_information(train, cols, "label"), 10))
 
 
+@R.add("mutual_information", with_fixtures(["credit_record", "application_record"],
+                                           "SELECT feature, round(mutual_info, 6) AS mutual_info FROM mi UNION ALL SELECT feature, round(mutual_info, 6) FROM ck",
+                                           _MI_CTES))
+def q_mutual_information(spark, sf):
+    train, _, cols = feature_set(spark, sf, standardise=False)
+    return r6(FE.mutual_information(train, cols, "label"))
+
+
 def gbt_importances(spark, sf):
     from pyspark.ml.classification import GBTClassifier
     train, _, cols = feature_set(spark, sf)
@@ -131,8 +145,11 @@ def q_select_by_importance(spark, sf):
 
 @R.add("feature_ranking")
 def q_feature_ranking(spark, sf):
-    imp = gbt_importances(spark, sf)
-    return r6(imp.orderBy(F.col("importance").desc(), "feature").limit(10))
+    """Per feature its importance (with rank and choice) and its rank in the elimination
+    (with choice), and how many each method selects and drops."""
+    from riskloom.operators.selection import rfe_linear_svc
+    train, _, cols = feature_set(spark, sf)
+    return r6(FE.feature_ranking(gbt_importances(spark, sf), rfe_linear_svc(train, cols, "label")))
 
 
 @R.add("select_rfe")
@@ -169,9 +186,14 @@ def q_mlp_classifier(spark, sf):
 
 @R.add("ml_pipeline")
 def q_ml_pipeline(spark, sf):
-    from riskloom.operators.pipelines import run_pipeline
+    """Every selector-to-model chain by its name; the PCA chain on over-sampled rows."""
+    from riskloom.operators.pipelines import PIPELINES, run_pipeline
     train, test, cols = feature_set(spark, sf)
-    return r6(run_pipeline("knn", train, test, cols, sampler="ros", pca_method="default"))
+    made = MD.run_parallel(lambda n: run_pipeline(n, train, test, cols, sampler="ros" if n == "knn" else "none"), PIPELINES, len(PIPELINES))
+    out = made[0]
+    for d in made[1:]:
+        out = out.unionByName(d)
+    return r6(out)
 
 
 # The reference's search spaces.

@@ -121,3 +121,39 @@ def test_search_marks_one_best_and_bounds_its_sample(spark):
     assert best.roc_auc == max(r.roc_auc for r in res) and best.roc_auc > 0.8
     few = SR.score_settings(df, COLS, LN.BoostedTrees(), [{"n_estimators": 2, "max_depth": 2}], k=3, max_rows=100)
     assert few.count() == 300  # fitted on fewer rows, scored on all
+
+
+def test_neighbour_information_equals_brute_force(spark):
+    """Random data with ties, a class of one row, nulls, and blocks far smaller than the table."""
+    from riskloom.operators import features as FE
+    rng = np.random.default_rng(11)
+    n = 160
+    y = rng.integers(0, 3, n)
+    y[0] = 9  # alone in its class
+    a = rng.normal(size=n) + y % 3
+    b = np.round(rng.normal(size=n), 1)
+    b[20:60] = 0.5
+    df = spark.createDataFrame([(int(t), float(u), None if i % 13 == 0 else float(v)) for i, (t, u, v) in enumerate(zip(y, a, b))], "label int, a double, b double")
+    psi = lambda m: -np.euler_gamma + sum(1.0 / i for i in range(1, m))
+
+    def brute(x, lab):
+        use = np.array([(lab == t).sum() > 1 for t in lab])
+        x, lab = x[use], lab[use]
+        terms = []
+        for i in range(len(x)):
+            d = np.sort(np.abs(x[(lab == lab[i]) & (np.arange(len(x)) != i)] - x[i]))
+            k = min(3, len(d))
+            r = d[k - 1]
+            m = int((x == x[i]).sum() if r == 0 else ((x > x[i] - r) & (x < x[i] + r)).sum())
+            terms.append(psi(k) - psi(len(d) + 1) - psi(max(1, m)))
+        return max(0.0, psi(len(x)) + np.mean(terms))
+
+    use = np.arange(n) % 13 != 0
+    want = {"a": brute(a, y), "b": brute(b[use], y[use])}
+    for rows in (250_000, 10):
+        got = {r.feature: r.mutual_info for r in FE.knn_mutual_information(df, ["a", "b"], rows=rows).collect()}
+        assert got.keys() == want.keys() and all(np.isclose(got[c], want[c]) for c in want), rows
+    exact = FE.mutual_information(df.withColumn("c", df.label * 2), ["a", "c"])
+    assert {r.feature for r in exact.collect()} == {"a", "c"}
+    big = spark.range(1, 300).select(FE.digamma(FE.F.col("id")).alias("p"), "id")
+    assert all(np.isclose(r.p, psi(r.id), atol=1e-13) for r in big.collect())
