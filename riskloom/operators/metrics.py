@@ -175,16 +175,17 @@ def best_threshold(scored: DataFrame, **kw) -> DataFrame:
     return c.agg(best.alias("b")).select(F.col("b.threshold").alias("threshold"), F.col("b.f1").alias("f1"))
 
 
-def summaries(scored: DataFrame, group_cols=(), y: str = "y_true", score: str = "score", threshold: float = 0.5) -> DataFrame:
+def summaries(scored: DataFrame, group_cols=(), y: str = "y_true", score: str = "score", threshold: float | Column = 0.5,
+              inclusive: bool = False) -> DataFrame:
     """Every metric of every group from one score curve and one aggregate:
-    accuracy, precision, recall and f1 at ``threshold`` (strict ``>``), roc_auc,
+    accuracy, precision, recall and f1 at ``threshold`` (strict ``>`` unless ``inclusive``), roc_auc,
     average_precision, pr_auc, and the best ``threshold`` with its f1."""
     g = list(group_cols)
     c = score_curve(scored, y=y, score=score, group_cols=g)
     prec, prev_prec, d_recall = _step_terms(c)
     recall = _safe_div(F.col("tps"), F.col("P"), 1.0)
     curve_f1 = 2 * prec * recall / (prec + recall + F.lit(1e-6))
-    above = F.col("threshold") > threshold
+    above = F.col("threshold") >= threshold if inclusive else F.col("threshold") > threshold
     agg = c.groupBy(*g).agg(
         F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
         F.first("P").alias("P"), F.first("N").alias("N"),
@@ -203,14 +204,5 @@ def evaluate(scored: DataFrame, tune_on: DataFrame | None = None, y: str = "y_tr
     frame), classify with strict ``>`` and report every metric in one row."""
     tuned = best_threshold(tune_on if tune_on is not None else scored, y=y, score=score)
     t = tuned.select("threshold").scalar()
-    pred = with_prediction(scored, t, score, inclusive=inclusive)
-    c = _counts(pred, y, "y_pred")
-    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    counts = c.select(((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"),
-                      _safe_div(tp, tp + fp).alias("precision"), _safe_div(tp, tp + fn).alias("recall"),
-                      _safe_div(2 * tp, 2 * tp + fp + fn).alias("f1"))
-    auc = roc_auc(scored, y=y, score=score).select("roc_auc").scalar()
-    ap = average_precision(scored, y=y, score=score).select("average_precision").scalar()
-    pra = pr_auc(scored, y=y, score=score).select("pr_auc").scalar()
-    return counts.select(t.alias("threshold"), "accuracy", "precision", "recall", "f1",
-                         auc.alias("roc_auc"), ap.alias("average_precision"), pra.alias("pr_auc"))
+    one = summaries(scored, y=y, score=score, threshold=t, inclusive=inclusive)
+    return one.select(t.alias("threshold"), "accuracy", "precision", "recall", "f1", "roc_auc", "average_precision", "pr_auc")

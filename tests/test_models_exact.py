@@ -1,6 +1,7 @@
 """Model operators against numpy or on data whose answer is known."""
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators import features, models, pipelines, sampling, selection
 
@@ -134,3 +135,56 @@ def test_sampler_comparison_has_train_and_test_rows(frame):
     want = one(best, test)
     for m in pipelines.METRIC_COLS:
         assert rows[0][m] == pytest.approx(np.mean([r[m] for r in folds])) and rows[1][m] == pytest.approx(want[m])
+
+
+def test_loadings_importances_and_correlations(spark, frame):
+    """The tables behind the PCA reports against numpy."""
+    from riskloom.operators import features as FE
+    df, x, y = frame
+    m = FE.fit_pca(df, COLS)
+    load = m.loadings_table(spark)
+    sums = {c: float(np.abs(m.components[:, i]).sum()) for i, c in enumerate(COLS)}
+    order = sorted(COLS, key=lambda c: (-sums[c], c))
+    top = FE.importance_from_loadings(load, top_n=2)
+    assert [(r.feature, pytest.approx(r.importance)) for r in top.collect()] == [(c, sums[c]) for c in order[:2]]
+    two = {r.feature: r.importance for r in FE.importance_from_loadings(load, n_components=2).collect()}
+    assert two == {c: pytest.approx(float(np.abs(m.components[:2, i]).sum())) for i, c in enumerate(COLS)}
+    at = [COLS.index(c) for c in order[:2]]
+    greatest = np.abs(m.components[:, at]).max(1)
+    for r in FE.loadings_scaled(load, top).collect():
+        j, i = r.component - 1, COLS.index(r.feature)
+        assert i in at and r.scaled_loading == pytest.approx(m.components[j, i] / greatest[j])
+    scores = m.project(df)
+    pcs = [f"pc{j + 1}" for j in range(len(COLS))]
+    z = (x - x.mean(0)) @ m.components.T
+    want = {p: abs(np.corrcoef(z[:, j], y)[0, 1]) for j, p in enumerate(pcs)}
+    got = FE.pc_label_corr(scores, pcs, "label", top_n=3).collect()
+    assert [r.component for r in got] == sorted(pcs, key=lambda p: -want[p])[:3]
+    assert all(r.abs_corr == pytest.approx(want[r.component]) for r in got)
+
+
+def test_selection_by_median_and_the_joint_ranking(spark):
+    from riskloom.operators import features as FE
+    imp = spark.createDataFrame([("a", 0.5), ("b", 0.1), ("c", 0.3), ("d", 0.1)], "feature string, importance double")
+    assert {r.feature: r.selected for r in FE.select_by_median(imp).collect()} == {"a": True, "b": False, "c": True, "d": False}
+    out = spark.createDataFrame([("a", 2, False), ("b", 1, True), ("c", 1, True), ("d", 3, False)], "feature string, ranking int, selected boolean")
+    rows = {r.feature: r for r in FE.feature_ranking(imp, out).collect()}
+    assert [rows[f].importance_rank for f in "abcd"] == [1, 3, 2, 4] and [rows[f].rfe_rank for f in "abcd"] == [2, 1, 1, 3]
+    assert all((r.n_selected, r.n_dropped, r.rfe_n_selected, r.rfe_n_dropped) == (2, 2, 2, 2) for r in rows.values())
+
+
+def test_grouped_pca_equals_single_fits(spark, frame):
+    from riskloom.operators import features as FE
+    df, x, _ = frame
+    v = pipelines._as_vectors(df, COLS).withColumn("run", (F.col("id") % 2).cast("long"))
+    model = FE.fit_grouped_pca(v, "cumulative")
+    for g in (0, 1):
+        part = df.filter(F.col("id") % 2 == g)
+        one = FE.fit_pca(part, COLS)
+        n = FE.n_components(one.variance_table(spark), "cumulative").first()[0]
+        assert model.counts[g] == n
+        mean, axes = model.models[g]
+        assert np.allclose(mean, one.mean) and np.allclose(axes, (one.components / np.sqrt(one.variance)[:, None]).T[:, :n])
+    for method in ("avg", "elbow", "cumulative"):
+        one = FE.fit_pca(df, COLS)
+        assert FE.count_components(one.ratio, method) == FE.n_components(one.variance_table(spark), method).first()[0]
