@@ -225,18 +225,14 @@ def segment_counts(docs: DataFrame, path: str) -> DataFrame:
         model = piece_model(path)
         for b in slices(batches):
             raw = [model.text_bytes(t) if t else b"" for t in b.column("text").to_pylist()]
-            hashes, parts, counts = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)]
+            total: dict[bytes, int] = {}
             for _, pieces in S.chunks([t for t in raw if t], model.cut):
                 buf, arr, starts, ends, _ = S.cuts(pieces, model.cut)
-                h, first, n = np.unique(S.hash_segments(arr, starts, ends), return_index=True, return_counts=True)
-                hashes.append(h)
-                counts.append(n)
-                parts += [buf[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-            h, first, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-            total = np.bincount(back, weights=np.concatenate(counts), minlength=len(h)).astype(np.int64)
-            texts = [parts[i].decode().replace(" ", "▁") for i in first.tolist()]
+                for part, n in S.distinct_segments(buf, arr, starts, ends).items():
+                    total[part] = total.get(part, 0) + n
+            texts = [p.decode().replace(" ", "▁") for p in total]
             known = [model.ids(t) if len(t) > FOLD_CHARS else None for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(total), pa.array(known, pa.list_(pa.int32()))], names=["segment", "n", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(list(total.values()), pa.int64()), pa.array(known, pa.list_(pa.int32()))], names=["segment", "n", "known"])
 
     found = docs.select("text").mapInArrow(run, "segment string, n long, known array<int>")
     return found.groupBy("segment", "known").agg(F.sum("n").alias("n"))
@@ -261,25 +257,19 @@ def _digest(text: str) -> bytes:
 
 
 class _Head:
-    """Frequent segments on a worker: hash -> span of ids."""
+    """Frequent segments on a worker: segment -> span of ids."""
 
-    def __init__(self, hashes: np.ndarray, spans: np.ndarray, ids: np.ndarray):
-        self.table = S.HashTable(max(4, (4 * len(hashes)).bit_length()))
-        u, at = np.unique(hashes, return_index=True)
-        self.table.insert(u, at.astype(np.int32))
-        self.spans, self.ids = spans, ids
+    def __init__(self, parts: list[bytes], spans: np.ndarray, ids: np.ndarray):
+        self.table, self.spans, self.ids = S.SegmentTable(parts), spans, ids
 
 
 def _head(encoded: DataFrame, limit: int) -> tuple:
     got = encoded.orderBy(F.desc("n"), "segment").limit(limit).select("segment", "ids").toArrow()
     raw = [s.replace("▁", " ").encode() for s in got.column("segment").to_pylist()]
-    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-    arr = np.frombuffer(b"".join(raw), np.uint8)
-    hashes = S.hash_segments(arr, np.append(0, ends[:-1])[: len(ends)], ends) if len(raw) else np.zeros(0, np.uint64)
     lists = got.column("ids").combine_chunks()
     ids = lists.flatten().to_numpy().astype(np.int32)
     n = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-    return hashes, np.stack([np.cumsum(n) - n, n], 1), ids
+    return raw, np.stack([np.cumsum(n) - n, n], 1), ids
 
 
 def encode_documents(docs: DataFrame, path: str, algorithm: str = "merges", head: int = HEAD) -> DataFrame:
@@ -312,7 +302,7 @@ def encode_documents(docs: DataFrame, path: str, algorithm: str = "merges", head
                 lead = np.searchsorted(doc, np.arange(len(raw)))  # documents come in order
                 place = segs[doc] + np.arange(len(doc)) - lead[doc]
                 segs += n
-                row = known.table.find(S.hash_segments(arr, starts, ends))
+                row = known.table.find(arr, starts, ends, S.hash_segments(arr, starts, ends))
                 hit = row >= 0
                 first, length = np.zeros(len(row), np.int64), np.ones(len(row), np.int64)
                 first[hit], length[hit] = known.spans[row[hit]].T

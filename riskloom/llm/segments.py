@@ -7,8 +7,9 @@ segments not seen before reach the per-segment function (a tokenizer, a
 network). Memory is bounded by the chunk size and by the cache limit; texts of
 any length are read whole, chunk by chunk.
 
-Two different segments share a 64-bit hash with probability below 1e-6 for a
-worker that meets millions of segments.
+A hash only proposes: every hit is compared byte by byte with the segment that
+was stored, so segments that share a hash never share a result. Those that do
+are handled one by one, outside the table.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import numpy as np
 
 CHUNK_BYTES = 1 << 21
 CACHE_LIMIT = 1_000_000
+CACHE_BYTES = 1 << 26
+COMPARED = 1 << 15  # segments compared at a time
 _P = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -94,20 +97,116 @@ class HashTable:
         self.keys[:] = 0
 
 
+class Rows:
+    """Growing numpy store of rows."""
+
+    def __init__(self, dtype, width: int | None = None):
+        self.dtype, self.width = dtype, width
+        self.reset()
+
+    def reset(self) -> None:
+        self.n = 0
+        self.data = np.zeros(1024 if self.width is None else (1024, self.width), self.dtype)
+
+    def append(self, rows: np.ndarray) -> int:
+        need = self.n + len(rows)
+        if need > len(self.data):
+            grown = np.zeros((max(need, 2 * len(self.data)),) + self.data.shape[1:], self.dtype)
+            grown[: self.n] = self.data[: self.n]
+            self.data = grown
+        self.data[self.n:need] = rows
+        self.n = need
+        return need - len(rows)
+
+
+def equal_segments(a: np.ndarray, a_at: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_len: np.ndarray) -> np.ndarray:
+    """Whether ``a[a_at:a_at + a_len]`` is ``b[b_at:b_at + b_len]``, for each pair of segments."""
+    same = a_len == b_len
+    use = np.flatnonzero(same)
+    for lo in range(0, len(use), COMPARED):
+        pick = use[lo:lo + COMPARED]
+        n = a_len[pick]
+        stop = np.cumsum(n)
+        place = np.arange(stop[-1]) - np.repeat(stop - n, n)
+        differs = a[place + np.repeat(a_at[pick], n)] != b[place + np.repeat(b_at[pick], n)]
+        if differs.any():
+            same[pick[np.searchsorted(stop, np.flatnonzero(differs), side="right")]] = False
+    return same
+
+
+class SegmentBytes:
+    """Bytes of numbered segments."""
+
+    def __init__(self):
+        self.data, self.spans = Rows(np.uint8), Rows(np.int64, 2)
+
+    def reset(self) -> None:
+        self.data.reset()
+        self.spans.reset()
+
+    def append(self, parts: list[bytes]) -> None:
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = self.data.append(np.frombuffer(b"".join(parts), np.uint8))
+        self.spans.append(np.stack([at + np.cumsum(n) - n, n], 1))
+
+    def equal(self, arr: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether ``arr[starts[i]:ends[i]]`` is segment ``rows[i]``."""
+        at, n = self.spans.data[rows].T
+        return equal_segments(arr, starts, ends - starts, self.data.data, at, n)
+
+
+class SegmentTable:
+    """Number of each of some given segments; -1 for all others."""
+
+    def __init__(self, parts: list[bytes]):
+        self.held = SegmentBytes()
+        self.held.append(parts)
+        at, n = self.held.spans.data[:len(parts)].T
+        hashes = hash_segments(self.held.data.data[:self.held.data.n], at, at + n)
+        u, first = np.unique(hashes, return_index=True)
+        self.table = HashTable(max(4, (4 * len(u)).bit_length()))
+        self.table.insert(u, first.astype(np.int32))
+
+    def find(self, arr: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        row = self.table.find(hashes)
+        hit = np.flatnonzero(row >= 0)
+        row[hit[~self.held.equal(arr, starts[hit], ends[hit], row[hit])]] = -1
+        return row
+
+
+def distinct_segments(buf: bytes, arr: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[bytes, int]:
+    """Occurrences of each distinct segment."""
+    _, first, back, n = np.unique(hash_segments(arr, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+    same = equal_segments(arr, starts, ends - starts, arr, starts[first][back], (ends - starts)[first][back])
+    if not same.all():
+        n = np.bincount(back[same], minlength=len(first))
+    found = dict(zip((buf[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())), n.tolist()))
+    for s, e in zip(starts[~same].tolist(), ends[~same].tolist()):
+        found[buf[s:e]] = found.get(buf[s:e], 0) + 1
+    return found
+
+
 class SegmentCache:
     """Segment -> row number of a store kept by the caller.
 
     ``encode(list[bytes]) -> first row`` appends one row per segment to the
-    store; ``reset()`` empties it. Both are called only here."""
+    store, whose rows count from 0; ``reset()`` empties it. Both are called only here."""
 
     def __init__(self, encode: Callable[[list[bytes]], int], reset: Callable[[], None], limit: int = CACHE_LIMIT):
         self.encode, self.reset, self.limit = encode, reset, limit
         self.table = HashTable(max(12, (4 * limit - 1).bit_length()))
+        self.held = SegmentBytes()
+
+    def _add(self, parts: list[bytes]) -> np.ndarray:
+        self.held.append(parts)
+        row = self.encode(parts)
+        return np.arange(row, row + len(parts), dtype=np.int32)
 
     def rows(self, buf: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, miss: np.ndarray | None = None) -> np.ndarray:
         """Row of each segment; ``miss`` restricts the lookup to some of them (others get -1)."""
-        if self.table.count > self.limit:
+        if self.held.spans.n > self.limit or self.held.data.n > CACHE_BYTES:
             self.table.clear()
+            self.held.reset()
             self.reset()
         out = np.full(len(hashes), -1, np.int32)
         sel = np.arange(len(hashes)) if miss is None else miss
@@ -122,11 +221,15 @@ class SegmentCache:
                 continue
             u, first, inv = np.unique(hashes[part], return_index=True, return_inverse=True)
             at_s, at_e = starts[part[first]].tolist(), ends[part[first]].tolist()
-            row = self.encode([buf[s:e] for s, e in zip(at_s, at_e)])
-            got = np.arange(row, row + len(u), dtype=np.int32)
+            got = self._add([buf[s:e] for s, e in zip(at_s, at_e)])
             if 2 * (self.table.count + len(u)) <= 1 << self.table.bits:
                 self.table.insert(u, got)
             out[part] = got[inv]
+        other = sel[~self.held.equal(np.frombuffer(buf, np.uint8), starts[sel], ends[sel], out[sel])]
+        if len(other):  # another segment has the hash
+            parts = [buf[s:e] for s, e in zip(starts[other].tolist(), ends[other].tolist())]
+            number = {p: i for i, p in enumerate(dict.fromkeys(parts))}
+            out[other] = self._add(list(number))[[number[p] for p in parts]]
         return out
 
 
@@ -181,25 +284,3 @@ def chunks(texts: list[bytes], cut: np.ndarray, size: int = CHUNK_BYTES) -> Iter
 def class_cuts(kind: np.ndarray) -> np.ndarray:
     """Cut table from a class per byte: cut where the class changes."""
     return kind[:, None] != kind[None, :]
-
-
-class Rows:
-    """Growing numpy store of rows."""
-
-    def __init__(self, dtype, width: int | None = None):
-        self.dtype, self.width = dtype, width
-        self.reset()
-
-    def reset(self) -> None:
-        self.n = 0
-        self.data = np.zeros(1024 if self.width is None else (1024, self.width), self.dtype)
-
-    def append(self, rows: np.ndarray) -> int:
-        need = self.n + len(rows)
-        if need > len(self.data):
-            grown = np.zeros((max(need, 2 * len(self.data)),) + self.data.shape[1:], self.dtype)
-            grown[: self.n] = self.data[: self.n]
-            self.data = grown
-        self.data[self.n:need] = rows
-        self.n = need
-        return need - len(rows)

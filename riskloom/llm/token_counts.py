@@ -106,27 +106,21 @@ def _candidates(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], names=["part", "n"])
 
 
-def frequent_lengths(docs: DataFrame, path: str, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, lengths) of at most ``limit`` frequent pre-tokens."""
+def frequent_lengths(docs: DataFrame, path: str, limit: int = FREQUENT) -> tuple[list[bytes], np.ndarray]:
+    """(pre-tokens, lengths) of at most ``limit`` frequent pre-tokens."""
     found = (docs.select("text").mapInArrow(lambda b: _candidates(path, b), "part binary, n long")
              .groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(limit).collect())
     parts = [bytes(r["part"]) for r in found]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    arr = np.frombuffer(b"".join(parts), np.uint8)
-    ends = np.cumsum([len(p) for p in parts])
-    h = S.hash_segments(arr, np.concatenate([[0], ends[:-1]]), ends)
-    return h, np.minimum(piece_model(path).lengths(parts), 2**31 - 1)
+    lengths = piece_model(path).lengths(parts) if parts else np.zeros(0, np.int64)
+    return parts, np.minimum(lengths, 2**31 - 1)
 
 
 class Counter:
     """Both tiers on a worker."""
 
-    def __init__(self, path: str, hashes: np.ndarray, lengths: np.ndarray):
+    def __init__(self, path: str, frequent: list[bytes], lengths: np.ndarray):
         self.model = piece_model(path)
-        self.first = S.HashTable(max(4, (4 * len(hashes)).bit_length()))
-        u, at = np.unique(hashes, return_index=True)
-        self.first.insert(u, lengths[at].astype(np.int32))
+        self.first, self.frequent = S.SegmentTable(frequent), np.append(lengths, -1)  # the last one: not there
         self.store = S.Rows(np.int32)
         self.second = S.SegmentCache(lambda parts: self.store.append(self.model.lengths(parts)), self.store.reset)
 
@@ -140,7 +134,7 @@ class Counter:
             if not len(starts):
                 continue
             h = S.hash_segments(arr, starts, ends)
-            n = self.first.find(h).astype(np.int64)
+            n = self.frequent[self.first.find(arr, starts, ends, h)].astype(np.int64)
             miss = np.flatnonzero(n < 0)
             if len(miss):
                 rows = self.second.rows(buf, starts, ends, h, miss)[miss]
@@ -157,7 +151,7 @@ def token_counts(docs: DataFrame, path: str, frequent: int = FREQUENT, limit: in
     spark = docs.sparkSession
     ship_package(spark)
     table = frequent_lengths(docs, path, frequent)
-    app, at = spark.sparkContext.applicationId, zlib.crc32(table[0].tobytes())
+    app, at = spark.sparkContext.applicationId, zlib.crc32(b"\n".join(table[0]))
     shared = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

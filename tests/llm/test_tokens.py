@@ -185,3 +185,28 @@ def test_registered(spark):
     got = R.queries["op10_lattice"](spark, d).agg(F.count("*"), F.min("decoded"), F.sum("n_tokens")).first()
     assert got[0] == docs and got[1] and got[2] == R.queries["op8_token_counts"](spark, d).agg(F.sum("n_tokens")).first()[0]
     assert os.path.exists(PIECE_MODEL)
+
+
+def doubled(s, t, times=10):
+    """Two words of the pattern whose polynomial hashes modulo 2**64 are equal."""
+    for _ in range(times):
+        s, t = s + t, t + s
+    return s, t
+
+
+def test_segments_that_share_a_hash_keep_their_own_results(spark, sp):
+    tok = Tokenizer.from_file(WORDS)
+    texts = [w for pair in (("in", "er"), ("in", "e"), ("th", "is")) for w in doubled(*pair)]
+    texts += [" ".join(texts), " ".join(reversed(texts)), " ".join(t[::-1] for t in texts)]
+    a, b = (t.encode() for t in texts[:2])
+    h = S.hash_segments(np.frombuffer(a + b, np.uint8), np.array([0, len(a)]), np.array([len(a), len(a + b)]))
+    assert h[0] == h[1] and a != b
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in TC.token_counts(df, PIECE_MODEL).collect()}
+    assert got == {i: len(sp.encode(t)) for i, t in enumerate(texts)}
+    for words in (KK.WordTokenizer(WORDS), KK.WordTokenizer(WORDS)):
+        for order in (texts, texts[::-1]):  # also from a warm cache
+            assert [x.tolist() for x in words(order)] == [tok.encode(t, add_special_tokens=False).ids for t in order]
+    encoded = {r.doc_id: list(r.ids) for r in LA.encode_documents(df, PIECE_MODEL, head=2).collect()}
+    assert encoded == {i: sp.encode(t) for i, t in enumerate(texts)}
+    assert S.distinct_segments(a + b, np.frombuffer(a + b, np.uint8), np.array([0, len(a)]), np.array([len(a), len(a + b)])) == {a: 1, b: 1}
