@@ -35,7 +35,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.session import ship_package
@@ -68,12 +68,50 @@ def ordered_events(log: DataFrame) -> DataFrame:
     cols = [F.col("conv_id").cast("long"), F.col("seq").cast("long"), F.col("msg").cast("string"),
             *(F.coalesce(F.col(c).cast("string"), F.lit(d)).alias(c) for c, d in (("role", ""), ("kind", "message"), ("text", "")))]
     events = log.select(*cols)
-    place = Window.partitionBy("conv_id", "msg")
+    # events without msg stand alone: they never gather in one window
+    place = Window.partitionBy("conv_id", "msg", F.when(F.col("msg").isNull(), F.col("seq")))
     return (events.repartition("conv_id")
             .withColumn("place", F.when(F.col("msg").isNull(), F.col("seq")).otherwise(F.min("seq").over(place)))
             .sortWithinPartitions("conv_id", "place", "msg", "seq", "role", "kind", "text"))
 
 
+STEPS = 8  # sequence numbers of a turn
+LATE = 3  # turns after which an edit arrives
+DRAFT = " [first draft]"
+
+
+def turn_events(turns: DataFrame) -> DataFrame:
+    """A log of streamed, edited and regenerated messages whose final texts are
+    those of ``turns`` (conv_id, turn, role, text).
+
+    A turn's text and number decide how it came about: sent whole; streamed in three
+    deltas; sent as a draft and edited some turns later; or streamed, dropped and
+    streamed again. Rows of one turn stand by role and text, repeated rows are
+    messages of their own. A null turn (or one too large to number its events)
+    is sent whole and sorts first."""
+    lead = F.expr(f"try_multiply(CAST(turn AS long), {STEPS}L)")
+    same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = (turns.repartition("conv_id").withColumn("copy", F.row_number().over(same))
+            .select(F.col("conv_id").cast("long").alias("conv_id"), lead.alias("lead"), "role", F.coalesce("text", F.lit("")).alias("text"),
+                    F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("")), F.lpad(F.col("copy").cast("string"), 10, "0")).alias("msg"),
+                    F.pmod(F.xxhash64("turn", "text"), F.lit(4)).alias("way"), F.floor(F.length(F.coalesce("text", F.lit(""))) / 3).cast("int").alias("third")))
+
+    def event(step: int, kind: str, text: Column) -> Column:
+        # late edits may pass the end of the numbers; those turns are sent whole
+        return F.struct(F.expr(f"try_add(lead, {step}L)").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    text, third = F.col("text"), F.col("third")
+    pieces = [F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(text, third * 2 + 1, F.length(text))]
+    whole = F.array(event(0, "message", text))
+    streamed = F.array(*[event(i, "delta", p) for i, p in enumerate(pieces)])
+    edited = F.array(event(0, "message", F.concat(pieces[0], F.lit(DRAFT))), event(LATE * STEPS + STEPS - 1, "edit", text))
+    again = F.array(event(0, "delta", F.concat(pieces[0], F.lit(DRAFT))), event(1, "regenerate", F.lit("")), event(2, "delta", pieces[0]),
+                    event(3, "delta", pieces[1]), event(4, "delta", pieces[2]))
+    numbered = F.expr(f"try_add(lead, {(LATE + 1) * STEPS}L)").isNotNull()
+    events = F.when(~numbered | (F.col("way") == 0), whole).when(F.col("way") == 1, streamed).when(F.col("way") == 2, edited).otherwise(again)
+    return rows.select("conv_id", "msg", "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "msg", "role", "e.kind", "e.text")
+
+
 class _Message:
     def __init__(self, conv, role):
         self.conv, self.role, self.parts, self.alive = conv, role, [], True

@@ -20,8 +20,9 @@ per vector and a spanning forest of the links, never the links themselves.
 Codebooks are fitted on at most about ``SAMPLE`` vectors; their size grows with
 the square root of the number of vectors so that cells keep their size.
 
-Null vectors and vectors that are zero or hold null or non-finite components, or
-whose length is not the table's most common one, link with nothing: n_links 0,
+Vectors of different lengths never link; each length has a grid of its own, one
+after the other (a table holds few lengths). Null and empty vectors and vectors
+that are zero or hold null or non-finite components link with nothing: n_links 0,
 their own component, kept. Repeated rows with one vec_id count as vectors of
 their own in n_links. Null vec_ids are returned; they link, but name no component
 unless all of its ids are null. An empty table gives an empty result. Extra
@@ -141,11 +142,9 @@ class ProductGrid:
 
 def unit_vectors(embeddings: DataFrame) -> DataFrame:
     """vec_id, vec (unit, doubles) and whether it can link (``ok``)."""
-    width = embeddings.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
-    n = int(width["w"]) if width else 0
     e = F.transform(F.col("embedding"), lambda v: v.cast("double"))
     top = F.array_max(F.transform("e", F.abs))  # scaled first: squares must neither overflow nor vanish
-    fine = F.coalesce((F.size("e") == n) & F.lit(n > 0) & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (top > 0), F.lit(False))
+    fine = F.coalesce(F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (top > 0), F.lit(False))
     scaled = embeddings.select("vec_id", e.alias("e")).select("vec_id", F.when(fine, F.transform("e", lambda v: v / top + 0.0)).alias("s"))
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, v: a + v * v))
     return scaled.select("vec_id", F.transform("s", lambda v: v / norm).alias("vec"), F.col("s").isNotNull().alias("ok"))
@@ -198,12 +197,18 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     ship_package(spark)
     checkpoint_dir(spark)
     units = unit_vectors(embeddings.select("vec_id", "embedding")).checkpoint()
-    alone = units.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    reps = (units.where("ok").groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    out = units.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for row in units.where("ok").select(F.size("vec").alias("n")).distinct().orderBy("n").collect():
+        out = out.unionByName(linked_vectors(units.where(F.col("ok") & (F.size("vec") == row["n"])), threshold, recall, sample, cell, unit))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def linked_vectors(units: DataFrame, threshold: float, recall: float, sample: int, cell: int, unit: int) -> DataFrame:
+    """vec_id, n_links, component_id of ``units`` (vec_id, vec), unit vectors of one length."""
+    spark = units.sparkSession
+    reps = (units.groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
             .select("vec", "least", "copies", F.monotonically_increasing_id().alias("rep")).checkpoint())
     n = reps.count()
-    if not n:
-        return alone.withColumn("kept", F.lit(True))
     draw = F.pmod(F.xxhash64("vec"), F.lit(1 << 40)) < F.lit(int(min(1.0, sample / n) * (1 << 40)))
     picked = np.array([r["vec"] for r in reps.where(draw).select("vec", F.xxhash64("vec").alias("h")).orderBy("h").collect()]
                       or [reps.select("vec").first()["vec"]], float)
@@ -262,5 +267,4 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
              .select("vec", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c")))
     ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
     by_vec = named.join(ids, "c").select("vec", "n_links", "component_id")
-    linked = units.where("ok").select("vec_id", "vec").join(by_vec, "vec").select("vec_id", "n_links", "component_id")
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return units.select("vec_id", "vec").join(by_vec, "vec").select("vec_id", "n_links", "component_id")

@@ -70,3 +70,17 @@ def test_folded_events(spark):
 def test_one_hot_conversation(spark):
     df = spark.range(30_000).selectExpr("IF(id % 3 = 0, 7, id) AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
     assert digests(as_log(df)) == reference([tuple(r) for r in df.collect()])
+
+
+def test_turn_events_fold_back(spark):
+    """Deltas, late edits and regenerations give the turns they were made from."""
+    rows = [(c, t, "assistant" if t % 2 else "user", TRAP * (t % 3) + f"é😀 {c}/{t} <\\|im_start|>" * (t % 4)) for c in range(5) for t in range(40)]
+    rows += [(1, 3, "assistant", "tie"), (1, 3, "assistant", "tie"), (1, 3, None, "tie"), (2, None, "user", "no turn"), (2, None, "assistant", None),
+             (None, 0, "user", "nobody"), (3, 2**62, "user", "far"), (3, -5, "user", "before"), (4, 41, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = CE.turn_events(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    # a turn that cannot be numbered stands with the null ones
+    assert digests(log) == reference([(c, None if t == 2**62 else t, r, x) for c, t, r, x in rows])
+    assert digests(log.repartition(3)) == digests(log.orderBy("text"))
+    assert digests(CE.turn_events(df.where("false"))) == {}

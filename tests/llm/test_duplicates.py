@@ -123,6 +123,20 @@ def test_embeddings(spark):
     assert [tuple(r) for r in MI.near_duplicates(df.where("embedding IS NULL")).collect()] == [(rows[-9][0], 0, rows[-9][0], True)]
 
 
+def test_vectors_of_several_lengths(spark):
+    """Links of the rarer length are found too, none between lengths."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(12)]
+    rows += [(20 + i, [float(x) for x in rng.normal(size=5)]) for i in range(6)]
+    rows += [(40, rows[2][1]), (41, rows[14][1]), (42, [2 * x for x in rows[14][1]]), (43, rows[2][1][:5]), (44, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in MI.near_duplicates(df, recall=1.0, cell=4, unit=8).collect()}
+    assert len(got) == len(rows)
+    assert got[2] == (1, 2, True) and got[40] == (1, 2, False)
+    assert got[22] == (2, 22, True) and got[41] == (2, 22, False) and got[42] == (2, 22, False)
+    assert got[43][:1] == (0,) and got[44] == (0, 44, True)
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(2)
     a, b = rng.random(9), rng.random(7)
