@@ -8,7 +8,8 @@ of about ``GROUP`` pieces, so neither a hot source nor a repeated document makes
 a large group. In each group differencing starts from one partial partition per
 piece and always merges the two with the largest imbalance, largest sum against
 smallest; when a window then exceeds the capacity, the number of windows rises
-by one and the group is packed again.
+by one and the group is packed again. The pieces keep their ids (little-endian
+unsigned 32-bit), so a sequence is its pieces' ids by offset, padded.
 
 Null text is empty: the document is its closing id alone. Repeated rows are
 packed row by row (each row's ids lie in exactly one piece of its own). An
@@ -21,7 +22,7 @@ from __future__ import annotations
 import heapq
 import math
 import os
-import zlib
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +40,7 @@ MAX_PIECE = 512
 GROUP = 2048
 GROUPS_PER_TASK = 32
 END_ID = 1
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
@@ -120,23 +121,25 @@ def cut_points(n: int, window: int, max_piece: int) -> list[int]:
 
 
 def tokenised_pieces(docs: DataFrame, path: str, window: int = WINDOW, max_piece: int = MAX_PIECE) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
+    """One row per piece: doc_id, start, length, doc_tokens, ids."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
         for b in slices(batches):
             at: list[int] = []
-            rows: list[tuple[int, int, int, int]] = []
+            rows: list[tuple[int, int, int]] = []
+            held: list[bytes] = []
             for i, ids in enumerate(tok(b.column("text").to_pylist())):
                 raw = memoryview(np.append(ids, np.uint32(END_ID)).astype("<u4").tobytes())
                 n = len(ids) + 1
                 c = cut_points(n, window, max_piece)
-                rows += [(s, e - s, zlib.crc32(raw[4 * s:4 * e]), n) for s, e in zip(c, c[1:])]
+                rows += [(s, e - s, n) for s, e in zip(c, c[1:])]
+                held += [bytes(raw[4 * s:4 * e]) for s, e in zip(c, c[1:])]
                 at += [i] * (len(c) - 1)
-            cols = np.array(rows, np.int64).reshape(-1, 4).T
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()).take(pa.array(at, pa.int64())), *map(pa.array, cols)],
-                                             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            cols = np.array(rows, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()).take(pa.array(at, pa.int64())), *map(pa.array, cols), pa.array(held, pa.binary())],
+                                             names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
@@ -195,13 +198,16 @@ def pack_group(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, max_piece: int = MAX_PIECE, group: int = GROUP) -> DataFrame:
-    """One row per piece with its sequence and its offset there.
+    """One row per piece with its ids (and their CRC), its sequence and its offset there.
 
     Sequence ids are odd for full windows and even for packed groups; both come
-    from the place of a row in the checkpointed pieces, so a lost task gives
-    the same ids again."""
-    checkpoint_dir(docs.sparkSession)
-    pieces = tokenised_pieces(docs, path, window, max_piece).checkpoint().withColumn("_at", F.monotonically_increasing_id())
+    from the number that a row was written with, so a lost task gives the same
+    ids again."""
+    spark = docs.sparkSession
+    table = f"{checkpoint_dir(spark)}/pieces-{uuid.uuid4().hex}"
+    (tokenised_pieces(docs, path, window, max_piece).withColumn("_at", F.monotonically_increasing_id())
+     .write.option("compression", "zstd").parquet(table))
+    pieces = spark.read.parquet(table)
     full = pieces.where(F.col("length") == window).select("*", (F.col("_at") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).drop("_at")
     rest = pieces.where(F.col("length") < window)
     groups = max(1, math.ceil(rest.count() / group))
@@ -214,7 +220,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, max_piece: int = MAX_
         return table.append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     # few bytes but much work: tasks by number of groups, not by size
-    tasks = max(math.ceil(groups / GROUPS_PER_TASK), min(groups, docs.sparkSession.sparkContext.defaultParallelism))
+    tasks = max(math.ceil(groups / GROUPS_PER_TASK), min(groups, spark.sparkContext.defaultParallelism))
     packed = (rest.withColumn("_group", F.pmod(F.xxhash64("_at"), F.lit(groups))).repartition(tasks, "_group")
               .groupBy("_group").applyInArrow(run, PACKED))
-    return full.unionByName(packed)
+    return full.unionByName(packed).withColumn("ids_crc32", F.crc32("ids"))

@@ -39,7 +39,8 @@ def op2(spark, sf_dir):
 
 @R.add("op3_kk_packing")
 def op3(spark, sf_dir):
-    return KK.pack(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    pieces = KK.pack(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @R.add("op4_toxicity_fst")

@@ -270,8 +270,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOC
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, kept: list[str]) -> DataFrame:
     """Columns ``kept``, ``toxicity`` (0 to 1) and ``toxic`` for every row."""
+    own, found = [f"c{i}" for i in range(len(kept))], [f"x{i}" for i in range(len(FEATURES))]
+    f = clause_features(docs, model.lexicon, kept).toDF(*own, *found)  # positional names: those of ``kept`` may be ours
     terms = F.lit(float(model.weights[-1]))
-    for name, w in zip(FEATURES, model.weights):
+    for name, w in zip(found, model.weights):
         terms = terms + F.col(name) * float(w)
-    f = clause_features(docs, model.lexicon, kept).withColumn("toxicity", 1 / (1 + F.exp(-terms)))
-    return f.select(*[F.col(f"`{c}`") for c in kept], "toxicity", (F.col("toxicity") >= THRESHOLD).alias("toxic"))
+    f = f.select(*own, (1 / (1 + F.exp(-terms))).alias("p"))
+    return f.select(*own, "p", F.col("p") >= THRESHOLD).toDF(*kept, "toxicity", "toxic")

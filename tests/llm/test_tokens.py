@@ -100,6 +100,14 @@ def check_packing(docs, packed, window):
     expect = sorted((d, s, e - s, zlib.crc32(raw[4 * s:4 * e]), len(raw) // 4)
                     for d, raw in want for c in [KK.cut_points(len(raw) // 4, window, min(KK.MAX_PIECE, window))] for s, e in zip(c, c[1:]))
     assert pieces == expect
+    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows)
+    # sequences hold the documents: their pieces' ids, put together again, are the tokenizer's
+    docs_of = {}
+    for r in rows:
+        docs_of.setdefault(str(r.doc_id), []).append((r.start, bytes(r.ids)))
+    single = [d for d, _ in want if [x for x, _ in want].count(d) == 1] if len(want) < 300 else []
+    raw_of = dict(want)
+    assert all(b"".join(p for _, p in sorted(docs_of[d])) == raw_of[d] for d in single)
     return len(by_seq)
 
 
