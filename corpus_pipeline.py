@@ -7,7 +7,9 @@ Parquet to the folder that the cluster shares and read again.
 Null and empty texts have no language and go in the first stage. Rows with equal
 text, or with texts within the bit distance, leave one row: the one with the
 least doc_id (a null doc_id counts as the greatest), repeated rows included. An
-empty table gives an empty result; extra columns pass through to the last stage.
+empty table gives an empty result; extra columns, whatever their names, pass
+through to the last stage. Its pieces hold their token ids, so that the sequences
+can be written from its rows.
 """
 
 from __future__ import annotations
@@ -27,36 +29,49 @@ from riskloom.sources.tables import read_table
 MIN_LANGUAGE_SCORE = 0.35
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    found = []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        found.append(name)
+    return found
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in one of the languages that the labelled rows teach; others go."""
     model, names = byte_gru.fit_language_model(docs.where(~byte_gru.held_out(3, 1)))
     # positional names: the predictions may not clash with columns of documents
-    read = byte_gru.predict_language(docs, model, names, docs.columns).toDF(*docs.columns, "_lang", "_score")
-    kept = read.where((F.col("_lang") != byte_gru.UNKNOWN) & (F.col("_score") >= MIN_LANGUAGE_SCORE))
-    return kept.drop("_lang", "_score")
+    lang, score = free_names(docs, "_lang", "_score")
+    read = byte_gru.predict_language(docs, model, names, docs.columns).toDF(*docs.columns, lang, score)
+    return read.where((F.col(lang) != byte_gru.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).drop(lang, score)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the clause grammar does not find toxic."""
     labels = read_table(spark, sf_dir, "labels").where(~byte_gru.held_out(4, 2))
     model = toxicity_fst.fit_toxicity(docs, labels)
-    read = toxicity_fst.score_toxicity(docs, model, docs.columns).toDF(*docs.columns, "_score", "_toxic")
-    return read.where(~F.col("_toxic")).drop("_score", "_toxic")
+    score, toxic = free_names(docs, "_score", "_toxic")
+    read = toxicity_fst.score_toxicity(docs, model, docs.columns).toDF(*docs.columns, score, toxic)
+    return read.where(~F.col(toxic)).drop(score, toxic)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-equal fingerprints."""
     # written once with its row numbers: numbers given again by another job may differ
     table = f"{checkpoint_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    simhash_tiles.fingerprints(numbered, simhash_tiles.SHINGLE, numbered.columns).withColumnRenamed("fp", "_fp").write.parquet(table)
+    row, fp = free_names(docs, "_row", "_fp")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    simhash_tiles.fingerprints(numbered, simhash_tiles.SHINGLE, numbered.columns).toDF(*numbered.columns, fp).write.parquet(table)
     rows = spark.read.parquet(table)
-    groups = simhash_tiles.fingerprint_components(rows.select(F.col("_fp").alias("fp")).distinct(), simhash_tiles.RADIUS)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
+    groups = simhash_tiles.fingerprint_components(rows.select(F.col(fp).alias("fp")).distinct(), simhash_tiles.RADIUS)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     # the least row of each fingerprint first, so that a hot one is one row in the join
-    least = rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("least"))
-    first = least.join(groups, "fp").groupBy("group").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
-    return rows.join(first, "_row", "left_semi").drop("_row", "_fp")
+    least = rows.select(F.col(fp).alias("fp"), order.alias("at")).groupBy("fp").agg(F.min("at").alias("least"))
+    first = least.join(groups, "fp").groupBy("group").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
+    return rows.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
