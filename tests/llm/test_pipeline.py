@@ -47,6 +47,17 @@ def test_edges(spark, edge_docs, no_docs):
     assert CP.language(spark, edge_docs, SMALL).where("text IS NULL OR trim(text) = ''").count() == 0
 
 
+def test_clashing_names(spark, docs):
+    """Columns named as the stages' own come through unchanged."""
+    names = ["fp", "_fp", "_row", "_lang", "_score", "_toxic", "toxic", "toxicity", "c0", "x0", "least", "group", "fingerprint"]
+    some = docs.where("doc_id < 40")
+    extra = some.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in CP.STAGES[:-1]:
+        out = stage(spark, extra, SMALL)
+        assert out.columns == extra.columns and out.exceptAll(extra).count() == 0, name
+        assert out.select(docs.columns).exceptAll(stage(spark, some, SMALL)).count() == 0, name
+
+
 def test_run(spark):
     got = CP.run(spark, SMALL)
     assert got.agg(F.count_distinct("doc_id")).first()[0] > 100 and CP.ORACLE_SQL is None
