@@ -7,9 +7,10 @@ segments not seen before reach the per-segment function (a tokenizer, a
 network). Memory is bounded by the chunk size and by the cache limit; texts of
 any length are read whole, chunk by chunk.
 
-A hash only proposes: every hit is compared byte by byte with the segment that
-was stored, so segments that share a hash never share a result. Those that do
-are handled one by one, outside the table.
+Segments of under 8 bytes have keys of their own. For longer ones a hash only
+proposes: every hit is compared with the bytes of the segment that was stored, so
+segments that share a hash never share a result. Those that do are handled one by
+one, outside the table.
 """
 
 from __future__ import annotations
@@ -46,15 +47,34 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return np.where(h == 0, np.uint64(1), h)
 
 
+def _words(arr: np.ndarray) -> np.ndarray:
+    """The bytes as 64-bit words, with room behind the last one."""
+    padded = np.zeros(len(arr) // 8 * 8 + 16, np.uint8)
+    padded[:len(arr)] = arr
+    return padded.view(np.uint64)
+
+
+def _word_at(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place ``at``."""
+    word, shift = at >> 3, (8 * (at & 7)).astype(np.uint64)
+    return (words[word] >> shift) | ((words[word + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+
+
 def hash_segments(arr: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Non-zero 64-bit hashes of ``arr[starts[i]:ends[i]]``."""
+    """Non-zero 64-bit keys of ``arr[starts[i]:ends[i]]``: under 8 bytes one of its own, else a hash."""
     codes, power, inverse = _powers(len(arr))
+    size = (ends - starts).astype(np.uint64)
     with np.errstate(over="ignore"):
         sums = np.empty(len(arr) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(codes[arr] * power[: len(arr)], out=sums[1:])
         h = (sums[ends] - sums[starts]) * inverse[starts]
-        h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        h += size * np.uint64(0xD6E8FEB86659FD93)
+    h |= np.uint64(1 << 63)
+    short = np.flatnonzero(size < 8)
+    n = size[short]
+    own = _word_at(_words(arr), starts[short]) & ((np.uint64(1) << (n * np.uint64(8))) - np.uint64(1))
+    h[short] = own | (n << np.uint64(56))
     return _mix(h)
 
 
@@ -120,17 +140,19 @@ class Rows:
 
 
 def equal_segments(a: np.ndarray, a_at: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_len: np.ndarray) -> np.ndarray:
-    """Whether ``a[a_at:a_at + a_len]`` is ``b[b_at:b_at + b_len]``, for each pair of segments."""
+    """Whether segments of equal keys are equal. Those of at least 8 bytes, in the
+    words ``a`` and ``b``, are compared word by word, the last one ending where they end."""
     same = a_len == b_len
-    use = np.flatnonzero(same)
+    use = np.flatnonzero(same & (a_len >= 8))
     for lo in range(0, len(use), COMPARED):
         pick = use[lo:lo + COMPARED]
-        n = a_len[pick]
+        n = (a_len[pick] + 7) >> 3
         stop = np.cumsum(n)
-        place = np.arange(stop[-1]) - np.repeat(stop - n, n)
-        differs = a[place + np.repeat(a_at[pick], n)] != b[place + np.repeat(b_at[pick], n)]
+        of = np.repeat(np.arange(len(pick)), n)
+        place = np.minimum(8 * (np.arange(stop[-1]) - (stop - n)[of]), (a_len[pick] - 8)[of])
+        differs = _word_at(a, place + a_at[pick][of]) != _word_at(b, place + b_at[pick][of])
         if differs.any():
-            same[pick[np.searchsorted(stop, np.flatnonzero(differs), side="right")]] = False
+            same[pick[of[differs]]] = False
     return same
 
 
@@ -138,21 +160,29 @@ class SegmentBytes:
     """Bytes of numbered segments."""
 
     def __init__(self):
-        self.data, self.spans = Rows(np.uint8), Rows(np.int64, 2)
+        self.data, self.at, self.size = Rows(np.uint8), Rows(np.int64), Rows(np.int64)
 
     def reset(self) -> None:
         self.data.reset()
-        self.spans.reset()
+        self.at.reset()
+        self.size.reset()
 
     def append(self, parts: list[bytes]) -> None:
         n = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = self.data.append(np.frombuffer(b"".join(parts), np.uint8))
-        self.spans.append(np.stack([at + np.cumsum(n) - n, n], 1))
+        at = self.data.append(np.frombuffer(b"".join(parts) + bytes(16), np.uint8))
+        self.data.n -= 16  # room behind the last word
+        self.at.append(at + np.cumsum(n) - n)
+        self.size.append(n)
 
     def equal(self, arr: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Whether ``arr[starts[i]:ends[i]]`` is segment ``rows[i]``."""
-        at, n = self.spans.data[rows].T
-        return equal_segments(arr, starts, ends - starts, self.data.data, at, n)
+        """Whether ``arr[starts[i]:ends[i]]``, of the same key, is segment ``rows[i]``."""
+        size = ends - starts
+        same = np.ones(len(rows), bool)
+        long = np.flatnonzero(size >= 8)
+        if len(long):
+            held, at = self.data.data, rows[long]
+            same[long] = equal_segments(_words(arr), starts[long], size[long], held[:len(held) // 8 * 8].view(np.uint64), self.at.data[at], self.size.data[at])
+        return same
 
 
 class SegmentTable:
@@ -161,7 +191,7 @@ class SegmentTable:
     def __init__(self, parts: list[bytes]):
         self.held = SegmentBytes()
         self.held.append(parts)
-        at, n = self.held.spans.data[:len(parts)].T
+        at, n = self.held.at.data[:len(parts)], self.held.size.data[:len(parts)]
         hashes = hash_segments(self.held.data.data[:self.held.data.n], at, at + n)
         u, first = np.unique(hashes, return_index=True)
         self.table = HashTable(max(4, (4 * len(u)).bit_length()))
@@ -177,7 +207,8 @@ class SegmentTable:
 def distinct_segments(buf: bytes, arr: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[bytes, int]:
     """Occurrences of each distinct segment."""
     _, first, back, n = np.unique(hash_segments(arr, starts, ends), return_index=True, return_inverse=True, return_counts=True)
-    same = equal_segments(arr, starts, ends - starts, arr, starts[first][back], (ends - starts)[first][back])
+    words = _words(arr)
+    same = equal_segments(words, starts, ends - starts, words, starts[first][back], (ends - starts)[first][back])
     if not same.all():
         n = np.bincount(back[same], minlength=len(first))
     found = dict(zip((buf[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())), n.tolist()))
@@ -204,7 +235,7 @@ class SegmentCache:
 
     def rows(self, buf: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, miss: np.ndarray | None = None) -> np.ndarray:
         """Row of each segment; ``miss`` restricts the lookup to some of them (others get -1)."""
-        if self.held.spans.n > self.limit or self.held.data.n > CACHE_BYTES:
+        if self.held.size.n > self.limit or self.held.data.n > CACHE_BYTES:
             self.table.clear()
             self.held.reset()
             self.reset()

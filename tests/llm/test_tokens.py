@@ -218,3 +218,24 @@ def test_segments_that_share_a_hash_keep_their_own_results(spark, sp):
     encoded = {r.doc_id: list(r.ids) for r in LA.encode_documents(df, PIECE_MODEL, head=2).collect()}
     assert encoded == {i: sp.encode(t) for i, t in enumerate(texts)}
     assert S.distinct_segments(a + b, np.frombuffer(a + b, np.uint8), np.array([0, len(a)]), np.array([len(a), len(a + b)])) == {a: 1, b: 1}
+
+
+def test_segment_keys_and_comparison():
+    """Equal keys below 8 bytes mean equal segments; longer ones are told apart wherever they differ."""
+    rng = np.random.default_rng(3)
+    buf = bytes(rng.integers(0, 3, 4000, dtype=np.uint8))
+    starts = rng.integers(0, 3900, 3000)
+    ends = starts + rng.integers(0, 24, 3000)
+    arr = np.frombuffer(buf, np.uint8)
+    keys = S.hash_segments(arr, starts, ends)
+    parts = [buf[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+    assert len(set(keys.tolist())) == len(set(parts)) and 0 not in keys
+    held = S.SegmentBytes()
+    for n in (8, 9, 15, 16, 17, 40):
+        for at in range(n):
+            a = bytes(rng.integers(0, 256, n, dtype=np.uint8))
+            b = a[:at] + bytes([a[at] ^ 1]) + a[at + 1:]
+            held.append([a, b])
+            rows = np.array([held.size.n - 2, held.size.n - 1])
+            both = np.frombuffer(b"xyz" + a + a, np.uint8)
+            assert held.equal(both, np.array([3, 3 + n]), np.array([3 + n, 3 + 2 * n]), rows).tolist() == [True, False]
