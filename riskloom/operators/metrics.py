@@ -198,6 +198,15 @@ def summaries(scored: DataFrame, group_cols=(), y: str = "y_true", score: str =
                       F.col("b.t").alias("threshold"), F.col("b.f").alias("f1_at_threshold"))
 
 
+def evaluate_held_out(scored: DataFrame, key: str = "row_id", fraction: float = 0.1, seed: int = 42, y: str = "y_true",
+                      score: str = "score", inclusive: bool = False) -> DataFrame:
+    """``evaluate`` with the threshold tuned on a stratified validation part of
+    ``fraction`` of the rows, and every metric over the other rows."""
+    from riskloom.operators.split import stratified_holdout
+    parts = stratified_holdout(scored, label=y, key=key, fraction=fraction, seed=seed)
+    return evaluate(parts.filter(~F.col("holdout")), parts.filter("holdout"), y=y, score=score, inclusive=inclusive)
+
+
 def evaluate(scored: DataFrame, tune_on: DataFrame | None = None, y: str = "y_true",
              score: str = "score", inclusive: bool = False) -> DataFrame:
     """``eval_on_test``: tune the threshold on ``tune_on`` (default: the same

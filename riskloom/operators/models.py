@@ -96,19 +96,13 @@ def knn_score(train: DataFrame, test: DataFrame, cols: list[str], label: str = "
             .fillna({"score": 0.0}))
 
 
+METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")
+
+
 def score_metrics(scored: DataFrame, threshold: float = 0.5) -> dict:
-    """accuracy / f1 / roc_auc / average precision of a scored frame."""
-    scored = scored.persist()
-    pred = M.with_prediction(scored, threshold)
-    # one job: every metric is a scalar subquery over the same scored frame
-    row = scored.sparkSession.range(1).select(
-        M.accuracy(pred).scalar().alias("accuracy"),
-        M.f1(pred).select(F.struct("precision", "recall", "f1")).scalar().alias("prf"),
-        M.roc_auc(scored).scalar().alias("roc_auc"),
-        M.average_precision(scored).scalar().alias("average_precision")).first()
-    scored.unpersist()
-    return {"accuracy": row["accuracy"], "precision": row["prf"]["precision"], "recall": row["prf"]["recall"],
-            "f1": row["prf"]["f1"], "roc_auc": row["roc_auc"], "average_precision": row["average_precision"]}
+    """``METRICS`` of a scored frame at ``threshold``, and the ``best_threshold`` by F1; one pass."""
+    row = M.summaries(scored, threshold=threshold).first()
+    return {**{m: row[m] for m in METRICS}, "best_threshold": row["threshold"]}
 
 
 def run_parallel(fn, items, parallelism: int = 4) -> list:
@@ -128,7 +122,7 @@ def cv_run(df: DataFrame, cols: list[str], model: str = "gbt", k: int = 5, label
            parallelism: int = 4) -> DataFrame:
     """Stratified k-fold: fit on k-1 folds, score the held-out fold.
     Returns one row per fold (fold, accuracy, precision, recall, f1,
-    roc_auc, average_precision)."""
+    roc_auc, average_precision, and the best_threshold of its held-out rows)."""
     folded = stratified_folds(df, label=label, key=key, k=k, seed=seed).persist()
 
     def one(f):
@@ -136,13 +130,11 @@ def cv_run(df: DataFrame, cols: list[str], model: str = "gbt", k: int = 5, label
         va = folded.filter(F.col("fold") == f)
         m = score_metrics(fit_score(tr, va, cols, model, label, key, params, seed), threshold)
         return (f, *[float(m[x]) if m[x] is not None else None for x in
-                     ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")])
+                     (*METRICS, "best_threshold")])
 
     rows = run_parallel(one, range(k), parallelism)
     folded.unpersist()
-    return df.sparkSession.createDataFrame(
-        rows, "fold int, accuracy double, precision double, recall double, f1 double, roc_auc double, "
-              "average_precision double")
+    return df.sparkSession.createDataFrame(rows, "fold int, " + ", ".join(f"{m} double" for m in (*METRICS, "best_threshold")))
 
 
 def cv_test_run(train: DataFrame, test: DataFrame, cols: list[str], model: str = "gbt", k: int = 5,
@@ -151,22 +143,20 @@ def cv_test_run(train: DataFrame, test: DataFrame, cols: list[str], model: str =
     """``cv_run`` with what follows from it: rows of part 'fold' (threshold
     0.5), their 'mean' (folds without a metric left out, as ``nanmean``), and
     'test': the model of the best fold (its number in ``fold``, ties to the
-    first) on ``test``, at the threshold tuned there."""
-    names = ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")
+    first) on ``test``, at the threshold tuned on the rows of that fold, which
+    the model has not seen."""
     folds = sorted(cv_run(train, cols, model, k, label, key, params, seed).collect(), key=lambda r: r["fold"])
-    best = max(folds, key=lambda r: (r[best_by] is not None, r[best_by] or 0.0, -r["fold"]))["fold"]
-    kept = stratified_folds(train, label=label, key=key, k=k, seed=seed).filter(F.col("fold") != best)
-    scored = fit_score(kept, test, cols, model, label, key, params, seed).persist()
-    t = M.evaluate(scored).first()
-    scored.unpersist()
+    best = max(folds, key=lambda r: (r[best_by] is not None, r[best_by] or 0.0, -r["fold"]))
+    kept = stratified_folds(train, label=label, key=key, k=k, seed=seed).filter(F.col("fold") != best["fold"])
+    t = score_metrics(fit_score(kept, test, cols, model, label, key, params, seed), best["best_threshold"])
 
     def mean(m):
         known = [r[m] for r in folds if r[m] is not None]
         return sum(known) / len(known) if known else None
 
-    rows = [("fold", r["fold"], 0.5, *[r[m] for m in names]) for r in folds]
-    rows += [("mean", None, 0.5, *[mean(m) for m in names]), ("test", best, t["threshold"], *[t[m] for m in names])]
-    return train.sparkSession.createDataFrame(rows, "part string, fold int, threshold double, " + ", ".join(f"{m} double" for m in names))
+    rows = [("fold", r["fold"], 0.5, *[r[m] for m in METRICS]) for r in folds]
+    rows += [("mean", None, 0.5, *[mean(m) for m in METRICS]), ("test", best["fold"], best["best_threshold"], *[t[m] for m in METRICS])]
+    return train.sparkSession.createDataFrame(rows, "part string, fold int, threshold double, " + ", ".join(f"{m} double" for m in METRICS))
 
 
 def param_grid(grid: dict[str, list]) -> list[dict]:

@@ -157,3 +157,16 @@ def train_frame(application: DataFrame, credit: DataFrame, variant: str = "n18",
     if variant not in builders:
         raise ValueError(f"variant must be one of {sorted(builders)}, got {variant!r}")
     return builders[variant](application, credit, **kw)
+
+
+def resampled_frames(fs: FeatureSet, methods: tuple = ("ros", "rus", "smote"), seed: int = 42, **knn_kw) -> dict[str, DataFrame]:
+    """The training frame of ``fs`` resampled by each method (``sampling.SETS``),
+    with its columns id, the features (doubles) and the label. Rows drawn twice
+    keep their id; synthetic ones have negative ids. Rows with a null feature
+    have no place among the neighbours and are an error."""
+    from riskloom.operators import sampling as SM
+    vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.raise_error(F.lit(f"resampled_frames: {c} is null")).cast("double")) for c in fs.feature_cols])
+    base = cut_lineage(fs.train.select("id", F.col(fs.label_col).alias("label"), vec.alias("features")))
+    sets = SM.make_sampled_sets(base, "label", "id", "features", seed, methods, **knn_kw)
+    return {m: df.select("id", *[F.col("features")[i].alias(c) for i, c in enumerate(fs.feature_cols)], F.col("label").alias(fs.label_col))
+            for m, df in sets.items()}

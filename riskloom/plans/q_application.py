@@ -394,6 +394,29 @@ def q_train_frame(spark, sf):
     return r6(PL.train_frame(app(spark, sf), fx(spark, sf, "credit_record"), "n18").train)
 
 
+# draws of the samplers: positions of a class in seeded-hash order
+_RS = N18_FULL + [
+    ("trn", "SELECT n18.id, label, age FROM n18 JOIN (SELECT id, multi_dim_target AS label FROM tgt WHERE split = 'old') t USING (id)"),
+    ("cls", "SELECT label, count(*) AS n FROM trn GROUP BY label"),
+    ("rkd", """SELECT trn.*, row_number() OVER (PARTITION BY label ORDER BY
+  CAST(('0x' || substr(md5('42|' || CAST(id AS VARCHAR)), 1, 15)) AS BIGINT), id) - 1 AS pos FROM trn""")]
+
+
+@R.add("resampled_frames", sql("""SELECT 'rus' AS method, label, count(*) AS n, CAST(sum(age) AS DOUBLE) AS sum_age
+FROM rkd WHERE pos < (SELECT min(n) FROM cls) GROUP BY label
+UNION ALL SELECT 'ros', label, (SELECT max(n) FROM cls), NULL FROM cls UNION ALL SELECT 'smote', label, (SELECT max(n) FROM cls), NULL FROM cls""",
+                               _RS, BOTH))
+def q_resampled_frames(spark, sf):
+    fs = PL.train_frame(app(spark, sf), fx(spark, sf, "credit_record"), "n18")
+    out = None
+    for name, df in PL.resampled_frames(fs).items():
+        # ages of drawn rows are compared for the undersampled frame, whose rows SQL can name
+        part = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"), (F.sum("age") if name == "rus" else F.lit(None).cast("double")).alias("sum_age"))
+        part = part.withColumn("method", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.select("method", "label", "n", "sum_age")
+
+
 @R.add("feature_columns", sql(f"SELECT {', '.join(_N18_TRAIN_COLS[:-1])} FROM n18 JOIN fe USING (id)"
                               .replace("amt_income_total_log", "round(amt_income_total_log, 6) AS amt_income_total_log"),
                               [DEDUP_LAST] + n18_ctes() + [CF] + FE, BOTH))

@@ -25,17 +25,24 @@ CNT = ("cnt", """SELECT CAST(sum(CASE WHEN y_true = 1 AND y_pred = 1 THEN 1 ELSE
   CAST(sum(CASE WHEN y_true = 0 AND y_pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
   CAST(sum(CASE WHEN y_true = 1 AND y_pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
   CAST(sum(CASE WHEN y_true = 0 AND y_pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM pr""")
-CURVE = [
-    ("st", "SELECT score AS threshold, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM scored GROUP BY score"),
-    ("cv", """SELECT threshold, pos, neg,
+
+
+def curve_ctes(source, end=""):
+    """Score curve of ``source``: totals by threshold (st), running totals (cv), precision and recall (pts)."""
+    return [
+        (f"st{end}", f"SELECT score AS threshold, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM {source} GROUP BY score"),
+        (f"cv{end}", f"""SELECT threshold, pos, neg,
   sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS tps,
   sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS fps,
-  sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM st"""),
-    ("pts", """SELECT threshold, pos, neg, tps, fps, P, N,
+  sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM st{end}"""),
+        (f"pts{end}", f"""SELECT threshold, pos, neg, tps, fps, P, N,
   CASE WHEN tps + fps = 0 THEN 0.0 ELSE CAST(tps AS DOUBLE) / (tps + fps) END AS prec,
   CASE WHEN tps - pos + fps - neg = 0 THEN 1.0 ELSE CAST(tps - pos AS DOUBLE) / (tps - pos + fps - neg) END AS prev_prec,
-  CASE WHEN P = 0 THEN 1.0 ELSE CAST(tps AS DOUBLE) / P END AS rec FROM cv"""),
-]
+  CASE WHEN P = 0 THEN 1.0 ELSE CAST(tps AS DOUBLE) / P END AS rec FROM cv{end}"""),
+    ]
+
+
+CURVE = curve_ctes("scored")
 
 
 def sd(a, b, default="0.0"):
@@ -125,24 +132,32 @@ def q_m_best_threshold(spark, sf):
     return r6(M.best_threshold(scored(spark, sf)))
 
 
-@R.add("eval_on_test", sql(f"""WITH bt AS (SELECT threshold AS t FROM f1c ORDER BY f1 DESC, threshold ASC LIMIT 1),
-c AS (SELECT sum(CASE WHEN y_true = 1 AND score > t THEN 1 ELSE 0 END) AS tp,
+H = "CAST(('0x' || substr(md5('42|' || CAST(row_id AS VARCHAR)), 1, 15)) AS BIGINT)"
+# a tenth of each class tunes the threshold, the rest is scored with it
+PARTS = [("parts", f"""SELECT *, rn < ceil(n * 0.1) AS holdout FROM (
+  SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY {H}, row_id) - 1 AS rn, count(*) OVER (PARTITION BY y_true) AS n FROM scored)"""),
+         ("val", "SELECT * FROM parts WHERE holdout"), ("rest", "SELECT * FROM parts WHERE NOT holdout"),
+         *curve_ctes("val", "_v"), *curve_ctes("rest", "_r"),
+         ("bt", """SELECT threshold AS t FROM (SELECT threshold, 2 * prec * rec / (prec + rec + 1e-6) AS f1 FROM pts_v)
+ORDER BY f1 DESC, threshold ASC LIMIT 1"""),
+         ("c", """SELECT sum(CASE WHEN y_true = 1 AND score > t THEN 1 ELSE 0 END) AS tp,
   sum(CASE WHEN y_true = 0 AND score > t THEN 1 ELSE 0 END) AS fp,
   sum(CASE WHEN y_true = 1 AND score <= t THEN 1 ELSE 0 END) AS fn,
-  sum(CASE WHEN y_true = 0 AND score <= t THEN 1 ELSE 0 END) AS tn FROM scored CROSS JOIN bt)
-SELECT (SELECT t FROM bt) AS threshold, round(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 6) AS accuracy,
+  sum(CASE WHEN y_true = 0 AND score <= t THEN 1 ELSE 0 END) AS tn FROM rest CROSS JOIN bt""")]
+
+
+@R.add("eval_on_test", sql(f"""SELECT (SELECT t FROM bt) AS threshold, round(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 6) AS accuracy,
   round({sd('tp', 'tp + fp')}, 6) AS precision, round({sd('tp', 'tp + fn')}, 6) AS recall,
   round({sd('2 * tp', '2 * tp + fp + fn')}, 6) AS f1,
-  (SELECT round(sum(pos * (N - fps + 0.5 * neg)) / (max(P) * max(N)), 6) FROM cv) AS roc_auc,
-  (SELECT round(sum(CAST(pos AS DOUBLE) / P * prec), 6) FROM pts) AS average_precision,
-  (SELECT round(sum(CAST(pos AS DOUBLE) / P * (prec + prev_prec) / 2), 6) FROM pts) AS pr_auc
-FROM c""".replace("WITH bt AS", "SELECT * FROM (WITH bt AS") + ")", CURVE + [F1C]))
+  (SELECT round(sum(pos * (N - fps + 0.5 * neg)) / (max(P) * max(N)), 6) FROM cv_r) AS roc_auc,
+  (SELECT round(sum(CAST(pos AS DOUBLE) / P * prec), 6) FROM pts_r) AS average_precision,
+  (SELECT round(sum(CAST(pos AS DOUBLE) / P * (prec + prev_prec) / 2), 6) FROM pts_r) AS pr_auc
+FROM c""", PARTS))
 def q_eval_on_test(spark, sf):
-    return r6(M.evaluate(scored(spark, sf)))
+    return r6(M.evaluate_held_out(scored(spark, sf)))
 
 
 # ---- folds and CV summaries over the scored table -----------------------------------
-H = "CAST(('0x' || substr(md5('42|' || CAST(row_id AS VARCHAR)), 1, 15)) AS BIGINT)"
 FOLDS = [("fo", f"""SELECT *, CAST((row_number() OVER (PARTITION BY y_true ORDER BY h, row_id) - 1) % 5 AS INTEGER) AS fold
 FROM (SELECT *, {H} AS h FROM scored)""")]
 FOLD_METRICS = FOLDS + [

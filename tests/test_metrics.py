@@ -1,6 +1,7 @@
 """Ranking metrics: FIXTURES values, tiny exact cases, partitioning."""
 
 import numpy as np
+import pytest
 
 from riskloom.operators import metrics as M
 from riskloom.operators.ranking import running_totals
@@ -82,3 +83,23 @@ def test_position_within_hot_group(spark):
     for r in folds.groupBy("label", "fold").count().collect():
         sizes.setdefault(r["label"], []).append(r["count"])
     assert all(max(v) - min(v) <= 1 for v in sizes.values())
+
+
+def test_threshold_tuned_on_held_out_rows(spark):
+    """The validation part tunes; every metric is over the other rows."""
+    rng = np.random.default_rng(9)
+    rows = [(i, int(y), float(np.round(np.clip(0.3 * y + rng.random() * 0.7, 0, 1), 3))) for i, y in enumerate(rng.random(400) < 0.3)]
+    df = spark.createDataFrame(rows, "row_id long, y_true int, score double")
+    from riskloom.operators.split import stratified_holdout
+    parts = stratified_holdout(df, label="y_true", key="row_id", fraction=0.25).toPandas()
+    val, rest = parts[parts.holdout], parts[~parts.holdout]
+    got = M.evaluate_held_out(df, fraction=0.25).first()
+
+    def f1(t):
+        p = val.score >= t
+        tp = (p & (val.y_true == 1)).sum()
+        a, b = tp / p.sum(), tp / (val.y_true == 1).sum()
+        return 2 * a * b / (a + b + 1e-6)
+    best = max(sorted(val.score.unique()), key=f1)
+    assert got.threshold == best
+    assert got.accuracy == pytest.approx(((rest.score > best) == (rest.y_true == 1)).mean())

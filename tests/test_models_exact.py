@@ -75,6 +75,17 @@ def test_cv_reports_mean_best_fold_and_test(frame):
     scored = models.fit_score(kept, test, COLS, "gbt", params=params).toPandas()
     at = scored.score > last.threshold
     assert last.accuracy == pytest.approx((at == (scored.y_true == 1)).mean())
+    # the threshold is the best one of the fold's own rows
+    held = models.stratified_folds(train, label="label", key="id", k=3, seed=42).where(f"fold = {last.fold}")
+    own = models.fit_score(kept, held, COLS, "gbt", params=params).toPandas()
+
+    def f1(t):
+        p = own.score >= t
+        tp = (p & (own.y_true == 1)).sum()
+        precision, recall = tp / p.sum(), tp / (own.y_true == 1).sum()
+        return 2 * precision * recall / (precision + recall + 1e-6)
+    best = {t: f1(t) for t in own.score.unique()}
+    assert best[min(best, key=lambda t: abs(t - last.threshold))] == pytest.approx(max(best.values()))
 
 
 def test_searches_have_the_reference_breadth(monkeypatch, spark, frame):
@@ -188,3 +199,31 @@ def test_grouped_pca_equals_single_fits(spark, frame):
     for method in ("avg", "elbow", "cumulative"):
         one = FE.fit_pca(df, COLS)
         assert FE.count_components(one.ratio, method) == FE.n_components(one.variance_table(spark), method).first()[0]
+
+
+def test_resampled_frames(spark):
+    """Drawn rows are training rows, synthetic ones lie between two rows of the minority, classes are even."""
+    from riskloom.plans import pipeline as PL
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.normal()), int(rng.integers(0, 9)), int(i % 5 == 0)) for i in range(200)]
+    train = spark.createDataFrame(rows, "id long, a double, b int, label int")
+    fs = PL.FeatureSet(train, train.where("false"), ["a", "b"])
+    got = {m: df.toPandas() for m, df in PL.resampled_frames(fs, methods=("original", "ros", "rus", "smote")).items()}
+    own = {r[0]: (r[1], float(r[2]), r[3]) for r in rows}
+    for m, n in (("original", None), ("ros", 160), ("rus", 40), ("smote", 160)):
+        df = got[m]
+        assert list(df.columns) == ["id", "a", "b", "label"]
+        assert sorted(df.label.value_counts().tolist()) == ([40, 160] if n is None else [n, n]), m
+        real = df[df.id >= 0]
+        assert all(own[i] == (a, b, y) for i, a, b, y in real.itertuples(index=False)), m
+        assert (m == "ros") == real.id.duplicated().any()
+    new = got["smote"][got["smote"].id < 0]
+    few = np.array([own[i][:2] for i in own if own[i][2] == 1])
+    assert len(new) == 120 and (new.label == 1).all()
+    for _, a, b, _ in new.itertuples(index=False):
+        d1 = np.linalg.norm(few - [a, b], axis=1)
+        between = d1[:, None] + d1[None, :] - np.linalg.norm(few[:, None] - few[None, :], axis=2)
+        assert between.min() < 1e-9
+    with pytest.raises(Exception, match="is null"):
+        gap = PL.FeatureSet(train.withColumn("a", F.nullif("a", F.col("a"))), train, ["a", "b"])
+        PL.resampled_frames(gap, methods=("rus",))["rus"].collect()
