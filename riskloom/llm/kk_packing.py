@@ -25,6 +25,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ GROUP = 2048
 GROUPS_PER_TASK = 32
 END_ID = 1
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
-PACKED = PIECES + ", sequence_id long, offset long"
+PLACED = "_at long, sequence_id long, offset long"
 
 
 class WordTokenizer:
@@ -78,7 +79,7 @@ class WordTokenizer:
     def _encode(self, parts: list[bytes]) -> int:
         found = [e.ids for e in self.tok.encode_batch([p.decode() for p in parts], add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
-        at = self.ids.append(np.fromiter((i for f in found for i in f), np.uint32, int(n.sum())))
+        at = self.ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())))
         return self.spans.append(np.stack([at + np.cumsum(n) - n, n], 1))
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -205,22 +206,22 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, max_piece: int = MAX_
     ids again."""
     spark = docs.sparkSession
     table = f"{checkpoint_dir(spark)}/pieces-{uuid.uuid4().hex}"
-    (tokenised_pieces(docs, path, window, max_piece).withColumn("_at", F.monotonically_increasing_id())
+    (tokenised_pieces(docs, path, window, max_piece).withColumn("ids_crc32", F.crc32("ids")).withColumn("_at", F.monotonically_increasing_id())
      .write.option("compression", "zstd").parquet(table))
     pieces = spark.read.parquet(table)
-    full = pieces.where(F.col("length") == window).select("*", (F.col("_at") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).drop("_at")
+    full = pieces.where(F.col("length") == window).withColumn("sequence_id", F.col("_at") * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.where(F.col("length") < window)
     groups = max(1, math.ceil(rest.count() / group))
 
     def run(key, table):
         table = table.sort_by("_at")
         where, offset = pack_group(table.column("length").to_numpy(), window)
-        table = table.drop_columns(["_at", "_group"])
         ids = (key[0].as_py() * 2**32 + where) * 2
-        return table.append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+        return pa.table({"_at": table.column("_at"), "sequence_id": pa.array(ids, pa.int64()), "offset": pa.array(offset, pa.int64())})
 
     # few bytes but much work: tasks by number of groups, not by size
     tasks = max(math.ceil(groups / GROUPS_PER_TASK), min(groups, spark.sparkContext.defaultParallelism))
-    packed = (rest.withColumn("_group", F.pmod(F.xxhash64("_at"), F.lit(groups))).repartition(tasks, "_group")
-              .groupBy("_group").applyInArrow(run, PACKED))
-    return full.unionByName(packed).withColumn("ids_crc32", F.crc32("ids"))
+    # only sizes are packed; ids meet their places in a join, and stay behind where a query leaves them out
+    placed = (rest.select("_at", "length", F.pmod(F.xxhash64("_at"), F.lit(groups)).alias("_group")).repartition(tasks, "_group")
+              .groupBy("_group").applyInArrow(run, PLACED))
+    return full.unionByName(rest.join(placed, "_at")).drop("_at")

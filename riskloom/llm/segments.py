@@ -63,18 +63,19 @@ def _word_at(words: np.ndarray, at: np.ndarray) -> np.ndarray:
 def hash_segments(arr: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Non-zero 64-bit keys of ``arr[starts[i]:ends[i]]``: under 8 bytes one of its own, else a hash."""
     codes, power, inverse = _powers(len(arr))
-    size = (ends - starts).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        sums = np.empty(len(arr) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(codes[arr] * power[: len(arr)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * inverse[starts]
-        h += size * np.uint64(0xD6E8FEB86659FD93)
-    h |= np.uint64(1 << 63)
-    short = np.flatnonzero(size < 8)
-    n = size[short]
+    size = ends - starts
+    h = np.empty(len(size), np.uint64)
+    short, long = np.flatnonzero(size < 8), np.flatnonzero(size >= 8)
+    n = size[short].astype(np.uint64)
     own = _word_at(_words(arr), starts[short]) & ((np.uint64(1) << (n * np.uint64(8))) - np.uint64(1))
     h[short] = own | (n << np.uint64(56))
+    if len(long):
+        first, n = starts[long], size[long].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            sums = np.empty(len(arr) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(codes[arr] * power[: len(arr)], out=sums[1:])
+            h[long] = ((sums[ends[long]] - sums[first]) * inverse[first] + n * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1 << 63)
     return _mix(h)
 
 
