@@ -100,9 +100,9 @@ METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precisio
 
 
 def score_metrics(scored: DataFrame, threshold: float = 0.5) -> dict:
-    """``METRICS`` of a scored frame at ``threshold``, and the ``best_threshold`` by F1; one pass."""
+    """``METRICS`` of a scored frame at ``threshold``, and the best ``threshold`` by F1; one pass."""
     row = M.summaries(scored, threshold=threshold).first()
-    return {**{m: row[m] for m in METRICS}, "best_threshold": row["threshold"]}
+    return {m: row[m] for m in (*METRICS, "threshold")}
 
 
 def run_parallel(fn, items, parallelism: int = 4) -> list:
@@ -130,7 +130,7 @@ def cv_run(df: DataFrame, cols: list[str], model: str = "gbt", k: int = 5, label
         va = folded.filter(F.col("fold") == f)
         m = score_metrics(fit_score(tr, va, cols, model, label, key, params, seed), threshold)
         return (f, *[float(m[x]) if m[x] is not None else None for x in
-                     (*METRICS, "best_threshold")])
+                     (*METRICS, "threshold")])
 
     rows = run_parallel(one, range(k), parallelism)
     folded.unpersist()
