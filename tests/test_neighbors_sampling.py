@@ -105,3 +105,40 @@ def test_knn_lsh_recall(spark):
     hit = [p for p in near if p in exact]
     assert len(hit) >= 0.9 * len(exact) and all(near[p] == exact[p] for p in hit)
     assert knn_join(df.where("false"), df, k=3).collect() == [] and knn_join(df, df.where("false"), k=3).collect() == []
+
+
+def test_kernel_compares_few_pairs_exactly(monkeypatch):
+    """Bounds leave few pairs open under both metrics; equal vectors, outliers, infinite components."""
+    from riskloom.operators import neighbors as N
+    rng = np.random.default_rng(11)
+    q, b = rng.normal(size=(150, 24)), rng.normal(size=(5000, 24))
+    b[7] *= 1e6
+    b[9, 3] = np.inf
+    q[5, 0] = -np.inf
+    b[20:30] = q[:10]
+    b[20:30] += np.where(np.arange(10) % 2, 0.0, 1e-12)[:, None]
+    seen = []
+    exact = N._exact
+    monkeypatch.setattr(N, "_exact", lambda x, y, metric: seen.append(np.broadcast_shapes(x.shape, y.shape)[:-1]) or exact(x, y, metric))
+    for metric in ("euclidean", "manhattan"):
+        seen.clear()
+        r, c, dist = N.nearest_in_block(q, b, 4, metric)
+        assert sum(int(np.prod(s)) for s in seen) < 0.05 * len(q) * len(b)
+        real = [j for j in range(len(b)) if j != 9]
+        for i in range(len(q)):
+            d = np.abs(b - q[i]).sum(1) if metric == "manhattan" else np.sqrt(((b - q[i]) ** 2).sum(1))
+            want = [] if i == 5 else sorted(real, key=lambda j: (d[j], j))[:4]
+            assert c[r == i].tolist() == want and np.array_equal(dist[r == i], d[want])
+
+
+def test_kernel_keeps_first_of_equal_vectors():
+    from riskloom.operators.neighbors import first_copies
+    v = np.array([[1.0, 2.0], [3.0, 4.0], [1.0, 2.0], [1.0, 2.0], [3.0, 4.0]])
+    assert first_copies(v, None, 2).tolist() == [0, 1, 2, 4]
+    assert first_copies(v, np.array([0, 0, 1, 0, 0]), 1).tolist() == [0, 1, 2]
+
+
+def test_blocks_come_from_the_size_of_each_group(spark):
+    from riskloom.operators.neighbors import grid_of_groups
+    per_group = spark.createDataFrame([("a", 40, 40), ("b", 40, 41), ("c", 0, 9), ("d", 100, 40)], "grp string, n_q long, n_b long")
+    assert sorted(map(tuple, grid_of_groups(per_group, 40, 40).collect())) == [("a", 1, 1), ("b", 1, 2), ("d", 3, 1)]
