@@ -227,3 +227,27 @@ def test_resampled_frames(spark):
     with pytest.raises(Exception, match="is null"):
         gap = PL.FeatureSet(train.withColumn("a", F.nullif("a", F.col("a"))), train, ["a", "b"])
         PL.resampled_frames(gap, methods=("rus",))["rus"].collect()
+
+
+def test_centroids_of_groups_in_one_pass(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(2):
+        rows += [(g, 1000 * g + i, 0, [100.0 * (i % 4) + 7 * g, float(rng.normal())]) for i in range(80)]
+        rows += [(g, 1000 * g + 100 + i, 1, [5.0, 5.0]) for i in range(4)]
+    df = spark.createDataFrame(rows, "run int, id long, label int, embedding array<double>")
+    out = sampling.cluster_centroids(df, key="id", by="run").collect()
+    for g in range(2):
+        mine = [r for r in out if r.run == g]
+        assert sum(r.label == 1 for r in mine) == 4
+        got = sorted(round(r.embedding[0], 6) for r in mine if r.label == 0)
+        assert got == [100.0 * j + 7 * g for j in range(4)]
+    assert len({(r.run, r.id) for r in out}) == len(out)
+
+
+def test_fits_have_a_bounded_number_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(models, "ROWS_A_TASK", 5)
+    most = 2 * spark.sparkContext.defaultParallelism
+    df = spark.range(0, 100 * most, 1, 4 * most)
+    got = models.compact(df)
+    assert got.rdd.getNumPartitions() <= most and got.count() == 100 * most
