@@ -107,12 +107,19 @@ def preserve_tickers(text, source=None) -> Column:
     return F.aggregate(tickers, _c(text), lambda acc, t: F.replace(acc, F.lower(t), t))
 
 
-def _map_aspect_expr(a: Column) -> Column:
-    key = F.lower(F.regexp_replace(a, f"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$", ""))
+def _first_aspect(key: Column) -> Column:
     out = F.lit("other")
     for k, v in reversed(ASPECT_MAPPING):
         out = F.when(key.contains(k), F.lit(v)).otherwise(out)
-    return F.when(a.isNull(), F.lit("other")).otherwise(out)
+    return out
+
+
+def _map_aspect_expr(a: Column) -> Column:
+    # only the start of a run of blanks is tried for the end of the text
+    trimmed = F.regexp_replace(a, f"^{UNICODE_SPACE}++|(?<!{UNICODE_SPACE}){UNICODE_SPACE}++$", "")
+    # bound as a variable, trimmed and lower-cased once; as a plain expression it would be evaluated anew for every taxonomy key
+    found = F.get(F.transform(F.array(F.lower(trimmed)), _first_aspect), F.lit(0))
+    return F.when(a.isNull(), F.lit("other")).otherwise(found)
 
 
 def map_aspect(c) -> Column:

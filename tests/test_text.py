@@ -47,3 +47,10 @@ def test_topic_aspects(spark):
 def test_full_text_null_propagates(spark):
     df = spark.createDataFrame([("h", "b"), ("h", None)], "h string, b string")
     assert [r[0] for r in df.select(TX.full_text("h", "b")).collect()] == ["h b", None]
+
+
+def test_aspect_is_trimmed_once(spark):
+    df = spark.createDataFrame([("  IPO \n",), (" " * 20_000 + "x" + " " * 20_000 + "loss \x85",), ("",), (" \t ",), ("down\ngrade  upgrade",)], "a string")
+    out = df.select(TX.map_aspect("a").alias("m"))
+    assert [r.m for r in out.collect()] == ["ipo", "profitability", "other", "other", "analyst_rating"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
