@@ -93,3 +93,20 @@ def test_exact_sums_do_not_hang_on_order(spark):
         random.Random(seed).shuffle(terms)
         seen.add(spark.createDataFrame([(t,) for t in terms], "t double").repartition(1 + seed).agg(exact_sum(F.col("t"))).first()[0])
     assert len(seen) == 1 and abs(seen.pop() - sum(sorted(terms))) < 1e-9
+
+
+def test_both_feature_frames_are_written_once(spark, monkeypatch):
+    from riskloom import session
+    from riskloom.plans import pipeline as PL
+    from riskloom.plans import q_models as Q
+    from riskloom.plans.common import fx
+    cuts, cut = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    train, test, cols = Q._feature_set(spark, "/root/testdata/sf0.001", False)
+    assert len(cuts) == 1
+    fs = PL.train_frame(fx(spark, "/root/testdata/sf0.001", "application_record"), fx(spark, "/root/testdata/sf0.001", "credit_record"), "n18")
+    for got, want in ((train, fs.train), (test, fs.test)):
+        assert got.columns == want.columns == ["id", *cols, "label"]
+        assert got.count() > 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = fx(spark, "/root/testdata/sf0.001", "credit_record")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
