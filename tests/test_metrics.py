@@ -103,3 +103,18 @@ def test_threshold_tuned_on_held_out_rows(spark):
     best = max(sorted(val.score.unique()), key=f1)
     assert got.threshold == best
     assert got.accuracy == pytest.approx(((rest.score > best) == (rest.y_true == 1)).mean())
+
+
+def test_scores_are_computed_once(spark):
+    """A score may be a whole neighbour join or model: no metric pass evaluates it again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def scores(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(i % 2, (i * 7 % 10) / 10) for i in range(60)]
+    scored = spark.createDataFrame(rows, "y_true int, score double").mapInArrow(scores, "y_true int, score double")
+    got = M.summaries(scored).first()
+    assert seen.value == 60 and got.accuracy is not None
