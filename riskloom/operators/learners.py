@@ -16,6 +16,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
+BLOCK = 8192  # rows that go down a tree at a time
+
+
 class BoostedTrees:
     """Binary log-loss; a node is split if its gain exceeds ``gamma`` (checked while
     growing). Parameters by their usual names: n_estimators, max_depth,
@@ -42,17 +45,21 @@ class BoostedTrees:
         size = 2 ** (depth + 1) - 1
         feature, cut, value = np.full(size, -1, np.int16), np.zeros(size, np.uint8), np.zeros(size, np.float32)
         node, rows, b = np.zeros(len(g), np.int64), np.flatnonzero(h > 0), self.bins + 1
-        part = codes[:, columns]
+        part = np.ascontiguousarray(codes[rows][:, columns].T)  # of ``rows``
         for level in range(depth + 1):
-            names, own = np.unique(node[rows], return_inverse=True)
+            here = node[rows]
+            held = np.bincount(here, minlength=size) > 0
+            names, own = np.flatnonzero(held), (np.cumsum(held) - 1)[here]
             total_g, total_h = np.bincount(own, g[rows], len(names)), np.bincount(own, h[rows], len(names))
             value[names] = -rate * total_g / (total_h + self.l2)
             if level == depth:
                 break
-            at = ((own[:, None] * len(columns) + np.arange(len(columns))) * b + part[rows]).ravel()
-            shape = (len(names), len(columns), b)
-            left_g = np.bincount(at, np.repeat(g[rows], len(columns)), np.prod(shape)).reshape(shape).cumsum(2)
-            left_h = np.bincount(at, np.repeat(h[rows], len(columns)), np.prod(shape)).reshape(shape).cumsum(2)
+            left_g, left_h = (np.empty((len(names), len(columns), b)) for _ in range(2))
+            first, own_g, own_h = own * b, g[rows], h[rows]
+            for j, code in enumerate(part):
+                at = first + code
+                left_g[:, j] = np.bincount(at, own_g, len(names) * b).reshape(-1, b).cumsum(1)
+                left_h[:, j] = np.bincount(at, own_h, len(names) * b).reshape(-1, b).cumsum(1)
             right_g, right_h = total_g[:, None, None] - left_g, total_h[:, None, None] - left_h
             gain = left_g ** 2 / (left_h + self.l2) + right_g ** 2 / (right_h + self.l2) - (total_g ** 2 / (total_h + self.l2))[:, None, None]
             gain[(left_h < self.least) | (right_h < self.least)] = -np.inf
@@ -61,7 +68,8 @@ class BoostedTrees:
             split = flat[np.arange(len(names)), best] > max(gamma, 1e-9)
             f, c = np.divmod(best, b)
             feature[names[split]], cut[names[split]] = columns[f[split]], c[split]
-            rows = rows[split[own]]
+            stay = split[own]
+            rows, part = rows[stay], part[:, stay]
             if not len(rows):
                 break
             node[rows] = 2 * node[rows] + 1 + (codes[rows, feature[node[rows]]] > cut[node[rows]])
@@ -69,12 +77,24 @@ class BoostedTrees:
 
     @staticmethod
     def _leaf_values(tree: tuple, codes: np.ndarray) -> np.ndarray:
-        feature, cut, value = tree
-        node, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
-        while len(rows):
-            rows = rows[feature[node[rows]] >= 0]
-            node[rows] = 2 * node[rows] + 1 + (codes[rows, feature[node[rows]]] > cut[node[rows]])
-        return value[node].astype(np.float64)
+        """Leaves are drawn down to the last level, so that every row takes as many steps; rows go by blocks that stay in the cache."""
+        feature, cut, value = (a.copy() for a in tree)
+        depth = len(feature).bit_length() - 1
+        for level in range(depth):
+            leaf = np.arange(2 ** level - 1, 2 ** (level + 1) - 1)
+            leaf = leaf[feature[leaf] < 0]
+            value[2 * leaf + 1] = value[leaf]
+        cut[feature < 0] = 255  # no code is above: to the left
+        column, cut = np.maximum(feature, 0).astype(np.int64), cut.astype(np.int64)
+        out, width = np.empty(len(codes)), codes.shape[1]
+        for lo in range(0, len(codes), BLOCK):
+            block = np.ascontiguousarray(codes[lo:lo + BLOCK])
+            flat, start = block.ravel(), np.arange(len(block)) * width
+            node = np.zeros(len(block), np.int64)
+            for _ in range(depth):
+                node = 2 * node + 1 + (flat[start + column[node]] > cut[node])
+            out[lo:lo + BLOCK] = value[node]
+        return out
 
     def fit(self, x: np.ndarray, y: np.ndarray, params: dict, seed: int) -> list[tuple]:
         codes, trees = self.codes(x), []

@@ -157,3 +157,27 @@ def test_neighbour_information_equals_brute_force(spark):
     assert {r.feature for r in exact.collect()} == {"a", "c"}
     big = spark.range(1, 300).select(FE.digamma(FE.F.col("id")).alias("p"), "id")
     assert all(np.isclose(r.p, psi(r.id), atol=1e-13) for r in big.collect())
+
+
+def test_trees_hold_one_column_at_a_time_and_leaves_are_walked_right():
+    import tracemalloc
+    rng = np.random.default_rng(8)
+    n, d = 20_000, 60
+    x = rng.integers(0, 40, (n, d)).astype(float)
+    y = (x[:, 0] + rng.normal(size=n) * 9 > 25).astype(float)
+    t = LN.BoostedTrees()
+    t.prepare(x, [str(i) for i in range(d)])
+    codes = t.codes(x)
+    tracemalloc.start()
+    trees = t.fit(x, y, {"n_estimators": 2, "max_depth": 4, "learning_rate": 0.3, "gamma": 60.0}, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n * d  # no whole number or double per row and column
+    for feature, cut, value in trees:
+        assert (feature[:15] < 0).any()  # leaves above the last level
+        got = t._leaf_values((feature, cut, value), codes)
+        for i in range(0, n, 97):
+            at = 0
+            while feature[at] >= 0:
+                at = 2 * at + 1 + int(codes[i, feature[at]] > cut[at])
+            assert got[i] == value[at]
