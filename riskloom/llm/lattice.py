@@ -2,9 +2,9 @@
 
 Texts are cut where no piece of the vocabulary joins two neighbouring bytes, so
 the tokens of a text are those of its segments. Each distinct segment becomes a
-lattice: its substrings of bounded length are exploded and equi-joined to the
-piece table (broadcast: a vocabulary has a fixed size), the edges found are
-grouped by segment, and a higher-order aggregate folds them into a path:
+lattice: its substrings are looked up in the piece table where the segment lies (a
+vocabulary has a fixed size; no substring is a row, so none is sorted or spilled), and
+a higher-order aggregate folds the edges found into a path:
 
 - ``viterbi``: edges in order of their end; a state per position holds the best
   score and where it came from. This is the encoding of unigram models.
@@ -41,8 +41,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.llm import segments as S
 from riskloom.llm.token_counts import PieceModel, piece_model
@@ -75,12 +76,6 @@ def _vocabulary(path: str) -> tuple:
     return [(p, i, order[scores[i]]) for p, i in normal], data, bytes_at, scores, min(scores[i] for _, i in normal) - 10.0
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """piece, id, rank; as many rows as the vocabulary has pieces, and one for the
-    empty string (id and rank 0), which every lattice holds."""
-    return spark.createDataFrame([("", 0, 0), *_vocabulary(path)[0]], "piece string, id long, rank long")
-
-
 # An edge is one long: rank of its score, start, end and piece id.
 _START, _END, _ID = 1 << 26, 1 << 20, (1 << 20) - 1
 
@@ -93,18 +88,35 @@ def edge_end(e: Column) -> Column:
     return F.shiftright(e, 20).bitwiseAND(63).cast("int")
 
 
-def lattice_edges(segments: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``segments`` (segment, ...) with ``edges``: every piece in it, best score first, then by place."""
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("segment")), lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), F.length("segment") - s + 1)),
-        lambda k: F.struct(((s - 1) * _START + (s + k - 1) * _END).cast("long").alias("place"), F.substring(F.col("segment"), s, k).alias("piece")))))
-    empty = F.array(F.struct(F.lit(0).cast("long").alias("place"), F.lit("").alias("piece")))
-    spans = F.when(F.length("segment") <= FOLD_CHARS, F.concat(spans, empty)).otherwise(empty)
-    rest = [c for c in segments.columns if c != "segment"]
-    edge = F.col("rank") * (1 << 32) + F.col("place") + F.col("id")
-    return (segments.select("segment", *rest, F.explode(spans).alias("x")).select("segment", *rest, "x.place", "x.piece")
-            .join(F.broadcast(pieces), "piece").select("segment", *rest, edge.alias("edge"))
-            .groupBy("segment", *rest).agg(F.sort_array(F.collect_list("edge")).alias("edges")))
+@lru_cache(maxsize=2)
+def _piece_table(path: str) -> dict[str, int]:
+    """Piece -> rank and id as in an edge; beginnings of pieces that are none themselves -> -1."""
+    normal = _vocabulary(path)[0]
+    begun = {p[:n]: -1 for p, _, _ in normal for n in range(1, len(p))}
+    return begun | {p: (rank << 32) + i for p, i, rank in normal}
+
+
+def lattice_edges(segments: DataFrame, path: str) -> DataFrame:
+    """``segments`` (segment, ...) with ``edges``: every piece in it, best score first, then by place, after
+    the empty edge 0, which every lattice holds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _piece_table(path)
+        for b in batches:
+            edges = []
+            for s in b.column("segment").to_pylist():
+                found = [0]
+                for start in range(len(s) if len(s) <= FOLD_CHARS else 0):
+                    for end in range(start + 1, len(s) + 1):
+                        piece = table.get(s[start:end])
+                        if piece is None:  # no piece begins so
+                            break
+                        if piece >= 0:
+                            found.append(piece + start * _START + end * _END)
+                found.sort()
+                edges.append(found)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(edges, pa.list_(pa.int64()))], names=[*b.schema.names, "edges"])
+
+    return segments.mapInArrow(run, T.StructType([*segments.schema.fields, T.StructField("edges", T.ArrayType(T.LongType()))]))
 
 
 def merges_fold(edges: Column, length: Column) -> Column:
@@ -193,11 +205,9 @@ def decode(ids: Column, path: str) -> Column:
 def encode_segments(segments: DataFrame, path: str, algorithm: str = "merges") -> DataFrame:
     """``segments`` (segment with U+2581 for blanks, distinct; ``known``: ids that
     the library gave for a segment too long to fold, else null; other columns
-    kept) with ``ids``. Grouping by segment again needs no shuffle where
-    ``segments`` is already grouped so."""
-    pieces = piece_table(segments.sparkSession, path)
-    normal, _, byte_ids, scores, unknown = _vocabulary(path)
-    edges = lattice_edges(segments, pieces, max(len(p) for p, _, _ in normal))
+    kept) with ``ids``."""
+    _, _, byte_ids, scores, unknown = _vocabulary(path)
+    edges = lattice_edges(segments, path)
     size = F.length("segment")
     if algorithm == "merges":
         folded = edges.withColumn("mask", merges_fold(F.col("edges"), size))

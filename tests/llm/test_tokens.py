@@ -167,6 +167,19 @@ def test_a_wrong_id_is_not_decoded(monkeypatch, spark):
     assert {r.doc_id: r.decoded for r in LA.encode_documents(docs, PIECE_MODEL).collect()} == {1: False, 2: True}
 
 
+def test_edges_are_all_pieces_of_a_segment(spark):
+    normal = LA._vocabulary(PIECE_MODEL)[0]
+    table = {p: (i, rank) for p, i, rank in normal}
+    words = ["▁the", "internationalization", "▁▁▁", "é漢🙂a", "x" * LA.FOLD_CHARS, "y" * (LA.FOLD_CHARS + 1), "▁"]
+    edges = LA.lattice_edges(spark.createDataFrame([(w, 1) for w in words], "segment string, n long"), PIECE_MODEL)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan  # no row per substring
+    for r in edges.collect():
+        s = r.segment if len(r.segment) <= LA.FOLD_CHARS else ""
+        want = [(table[s[a:b]][1] << 32) + (a << 26) + (b << 20) + table[s[a:b]][0] for a in range(len(s)) for b in range(a + 1, len(s) + 1) if s[a:b] in table]
+        assert r.edges == sorted([0, *want])
+
+
 def test_viterbi_is_the_best_path(spark, sf):
     """Against dynamic programming in Python over the same pieces and scores."""
     normal, _, _, scores, unknown = LA._vocabulary(PIECE_MODEL)
