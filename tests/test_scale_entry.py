@@ -110,3 +110,15 @@ def test_both_feature_frames_are_written_once(spark, monkeypatch):
         assert got.count() > 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     plan = fx(spark, "/root/testdata/sf0.001", "credit_record")._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_package_is_shipped_once_by_fits_side_by_side(monkeypatch):
+    import time
+    from types import SimpleNamespace
+    from riskloom import session
+    from riskloom.operators.models import run_parallel
+    sent = []
+    context = SimpleNamespace(applicationId="some", addPyFile=lambda path: (time.sleep(0.2), sent.append(path)))
+    monkeypatch.setattr(session, "_SHIPPED", {})
+    run_parallel(lambda _: session.ship_package(SimpleNamespace(sparkContext=context)), range(4))
+    assert len(sent) == 1
