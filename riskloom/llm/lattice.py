@@ -20,12 +20,12 @@ Characters without a piece fall back to byte pieces. Segments of over
 library, one value at a time. Decoding looks pieces up by id and turns their
 bytes back into text.
 
-Documents are encoded from the segment table: the ``HEAD`` most frequent
-segments (a fixed number) are broadcast and applied on the map side, only
-occurrences of all others are shuffled. A document's ids of frequent segments are
-written in order with gaps for the others; their ids fill the gaps by document. The
-whole ids are decoded to text, which is compared with the document's by a digest of
-16 bytes. Count and checksum are taken from the whole ids.
+Segments of all documents are counted, and the ``HEAD`` most frequent ones (a fixed
+number) are encoded once and broadcast. One pass over the documents, without a shuffle,
+does the rest: a document's ids of frequent segments come in order with gaps for the
+others; the distinct others of a few documents at a time are folded as rows ahead of
+them, and their ids fill the gaps. The whole ids are decoded to text, which is compared
+with the document's by a digest of 16 bytes. Count and checksum are taken from the whole ids.
 
 Null text is empty (no segments, no tokens). Repeated rows are encoded row by
 row, other columns are ignored, an empty table gives an empty result. U+2581
@@ -35,7 +35,6 @@ counts as a blank, as in the library.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,11 +46,12 @@ from pyspark.sql import types as T
 
 from riskloom.llm import segments as S
 from riskloom.llm.token_counts import PieceModel, piece_model
-from riskloom.session import checkpoint_dir, ship_package
+from riskloom.session import ship_package
 
 HEAD = 250_000
 FOLD_CHARS = 62
 SLICE = 500
+COUNTED = 1 << 17  # segments that a worker counts before it sends them on
 PLACES = 1_000_003
 
 
@@ -96,41 +96,57 @@ def _piece_table(path: str) -> dict[str, int]:
     return begun | {p: (rank << 32) + i for p, i, rank in normal}
 
 
+def find_edges(segments: list[str], path: str) -> pa.Array:
+    """Of each segment every piece in it, best score first, then by place, after the empty edge 0."""
+    table = _piece_table(path)
+    edges = []
+    for s in segments:
+        found = [0]
+        for start in range(len(s) if len(s) <= FOLD_CHARS else 0):
+            for end in range(start + 1, len(s) + 1):
+                piece = table.get(s[start:end])
+                if piece is None:  # no piece begins so
+                    break
+                if piece >= 0:
+                    found.append(piece + start * _START + end * _END)
+        found.sort()
+        edges.append(found)
+    return pa.array(edges, pa.list_(pa.int64()))
+
+
+def edge_marks(edges: pa.Array) -> pa.Array:
+    """Of each edge the bits of its two ends, those of all its places, and its start and piece id."""
+    e = edges.flatten().to_numpy()
+    start, end = (e >> 26) & 63, (e >> 20) & 63
+    ends = np.where(end > start, (1 << start) | (1 << end), -1)  # the empty edge is on no path
+    marks = [pa.array(x) for x in (ends, ends | ((1 << end) - (1 << start)), (start << 20) | (e & _ID))]
+    lengths = edges.value_lengths().to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.StructArray.from_arrays(marks, ["ends", "span", "at"]))
+
+
+EDGES = "edges array<long>, marks array<struct<ends: long, span: long, at: long>>"
+
+
 def lattice_edges(segments: DataFrame, path: str) -> DataFrame:
     """``segments`` (segment, ...) with ``edges``: every piece in it, best score first, then by place, after
-    the empty edge 0, which every lattice holds."""
+    the empty edge 0, which every lattice holds, and with the ``marks`` of these edges."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _piece_table(path)
         for b in batches:
-            edges = []
-            for s in b.column("segment").to_pylist():
-                found = [0]
-                for start in range(len(s) if len(s) <= FOLD_CHARS else 0):
-                    for end in range(start + 1, len(s) + 1):
-                        piece = table.get(s[start:end])
-                        if piece is None:  # no piece begins so
-                            break
-                        if piece >= 0:
-                            found.append(piece + start * _START + end * _END)
-                found.sort()
-                edges.append(found)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(edges, pa.list_(pa.int64()))], names=[*b.schema.names, "edges"])
-
-    return segments.mapInArrow(run, T.StructType([*segments.schema.fields, T.StructField("edges", T.ArrayType(T.LongType()))]))
-
-
-def merges_fold(edges: Column, length: Column) -> Column:
-    """Borders that stand after all merges, as bits of a long."""
-    one, two = F.lit(1).cast("long"), F.lit(2).cast("long")
-    shift = lambda x, n: F.call_function("shiftleft", x, n)
+            edges = find_edges(b.column("segment").to_pylist(), path)
+            yield pa.RecordBatch.from_arrays([*b.columns, edges, edge_marks(edges)], names=[*b.schema.names, "edges", "marks"])
 
+    return segments.mapInArrow(run, T.StructType([*segments.schema.fields, *T.StructType.fromDDL(EDGES).fields]))
+
+
+def merges_fold(marks: Column, length: Column) -> Column:
+    """Borders that stand after all merges, as bits of a long."""
     def step(mask: Column, e: Column) -> Column:
-        ends = shift(one, edge_start(e)).bitwiseOR(shift(one, edge_end(e)))
-        inner = mask.bitwiseAND(shift(one, edge_end(e)) - shift(two, edge_start(e)))
-        return F.when((mask.bitwiseAND(ends) == ends) & (F.bit_count(inner) == 1), mask.bitwiseXOR(inner)).otherwise(mask)
+        # both ends and one border between them stand
+        merges = (F.bit_count(mask.bitwiseAND(e["span"])) == 3) & (mask.bitwiseAND(e["ends"]) == e["ends"])
+        return F.when(merges, mask.bitwiseAND(F.bitwise_not(e["span"])).bitwiseOR(e["ends"])).otherwise(mask)
 
     full = F.call_function("shiftleft", F.lit(2).cast("long"), length) - 1
-    return F.aggregate(F.filter(edges, lambda e: edge_end(e) - edge_start(e) > 1), full, step)
+    return F.aggregate(marks, full, step)
 
 
 def viterbi_fold(edges: Column, length: Column, scores: list[float], unknown: float) -> Column:
@@ -166,26 +182,20 @@ def borders_of_entries(entries: Column, length: Column) -> Column:
     return back["mask"]
 
 
-def ids_of_borders(mask: Column, edges: Column, segment: Column, byte_ids: list[int]) -> Column:
+def ids_of_borders(mask: Column, marks: Column, segment: Column, byte_ids: list[int]) -> Column:
     """Piece ids between standing borders; spans without a piece become byte pieces."""
-    one = F.lit(1).cast("long")
-    shift = lambda n: F.call_function("shiftleft", one, n)
-
-    def spans_two(e: Column) -> Column:
-        """Both ends of the edge stand and nothing between them."""
-        inside = mask.bitwiseAND(shift(edge_end(e)) * 2 - shift(edge_start(e)))
-        return (edge_end(e) > edge_start(e)) & (inside == shift(edge_end(e)).bitwiseOR(shift(edge_start(e))))
-
-    on_path = F.sort_array(F.transform(F.filter(edges, spans_two), lambda e: F.shiftleft(edge_start(e).cast("long"), 20).bitwiseOR(e.bitwiseAND(_ID))))
+    shift = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    # both ends of the edge stand and nothing between them
+    on_path = F.sort_array(F.transform(F.filter(marks, lambda e: mask.bitwiseAND(e["span"]) == e["ends"]), lambda e: e["at"]))
     all_pieces = F.transform(on_path, lambda x: x.bitwiseAND(_ID).cast("int"))
 
     at = F.filter(F.sequence(F.lit(0), F.length(segment)), lambda i: F.getbit(mask, i) == 1)
     table = F.split(F.lit(",".join(map(str, byte_ids))), ",")
-    known = F.map_from_entries(F.transform(edges, lambda e: F.struct(edge_start(e) * 64 + edge_end(e), e.bitwiseAND(_ID).cast("int"))))
+    known = F.map_from_entries(F.transform(marks, lambda e: F.struct(e["ends"], e["at"].bitwiseAND(_ID).cast("int"))))
 
     def span(s: Column, k: Column) -> Column:
         e = F.get(at, k + 1)
-        found = F.try_element_at(known, s * 64 + e)
+        found = F.try_element_at(known, shift(s).bitwiseOR(shift(e)))
         data = F.hex(F.encode(F.replace(F.substring(segment, s + 1, e - s), F.lit("▁"), F.lit(" ")), "UTF-8"))
         as_bytes = F.transform(F.sequence(F.lit(1), F.length(data), F.lit(2)),
                                lambda j: F.get(table, F.conv(F.substring(data, j, F.lit(2)), 16, 10).cast("int")).cast("int"))
@@ -205,18 +215,20 @@ def decode(ids: Column, path: str) -> Column:
 def encode_segments(segments: DataFrame, path: str, algorithm: str = "merges") -> DataFrame:
     """``segments`` (segment with U+2581 for blanks, distinct; ``known``: ids that
     the library gave for a segment too long to fold, else null; other columns
-    kept) with ``ids``."""
+    kept) with ``ids``. Rows that hold their ``edges`` and ``marks`` already are only
+    folded; those without a segment have no ids."""
     _, _, byte_ids, scores, unknown = _vocabulary(path)
-    edges = lattice_edges(segments, path)
+    edges = segments if "marks" in segments.columns else lattice_edges(segments, path)
     size = F.length("segment")
     if algorithm == "merges":
-        folded = edges.withColumn("mask", merges_fold(F.col("edges"), size))
+        folded = edges.withColumn("mask", merges_fold(F.col("marks"), size))
     elif algorithm == "viterbi":
         folded = edges.withColumn("entry", viterbi_fold(F.col("edges"), size, scores, unknown)).withColumn("mask", borders_of_entries(F.col("entry"), size))
     else:
         raise ValueError(algorithm)
-    ids = F.when(F.col("known").isNotNull(), F.col("known")).otherwise(ids_of_borders(F.col("mask"), F.col("edges"), F.col("segment"), byte_ids))
-    return folded.select("segment", *[c for c in segments.columns if c not in ("segment", "known")], ids.alias("ids"))
+    ids = (F.when(F.col("segment").isNull() | F.col("known").isNotNull(), F.col("known"))
+           .otherwise(ids_of_borders(F.col("mask"), F.col("marks"), F.col("segment"), byte_ids)))
+    return folded.select("segment", *[c for c in segments.columns if c not in ("segment", "known", "edges", "marks")], ids.alias("ids"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -233,16 +245,23 @@ def segment_counts(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
+        total: dict[bytes, int] = {}
+
+        def counted() -> pa.RecordBatch:
+            texts = [p.decode().replace(" ", "▁") for p in total]
+            known = [model.ids(t) if len(t) > FOLD_CHARS else None for t in texts]
+            return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(list(total.values()), pa.int64()), pa.array(known, pa.list_(pa.int32()))], names=["segment", "n", "known"])
+
         for b in slices(batches):
             raw = [model.text_bytes(t) if t else b"" for t in b.column("text").to_pylist()]
-            total: dict[bytes, int] = {}
             for _, pieces in S.chunks([t for t in raw if t], model.cut):
                 buf, arr, starts, ends, _ = S.cuts(pieces, model.cut)
                 for part, n in S.distinct_segments(buf, arr, starts, ends).items():
                     total[part] = total.get(part, 0) + n
-            texts = [p.decode().replace(" ", "▁") for p in total]
-            known = [model.ids(t) if len(t) > FOLD_CHARS else None for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(list(total.values()), pa.int64()), pa.array(known, pa.list_(pa.int32()))], names=["segment", "n", "known"])
+            if len(total) > COUNTED:
+                yield counted()
+                total = {}
+        yield counted()
 
     found = docs.select("text").mapInArrow(run, "segment string, n long, known array<int>")
     return found.groupBy("segment", "known").agg(F.sum("n").alias("n"))
@@ -273,8 +292,10 @@ class _Head:
         self.table, self.spans, self.ids = S.SegmentTable(parts), spans, ids
 
 
-def _head(encoded: DataFrame, limit: int) -> tuple:
-    got = encoded.orderBy(F.desc("n"), "segment").limit(limit).select("segment", "ids").toArrow()
+def _head(counts: DataFrame, path: str, algorithm: str, limit: int) -> tuple:
+    spark = counts.sparkSession
+    most = counts.orderBy(F.desc("n"), "segment").limit(limit).repartition(2 * spark.sparkContext.defaultParallelism, "segment")
+    got = encode_segments(most, path, algorithm).select("segment", "ids").toArrow()
     raw = [s.replace("▁", " ").encode() for s in got.column("segment").to_pylist()]
     lists = got.column("ids").combine_chunks()
     ids = lists.flatten().to_numpy().astype(np.int32)
@@ -287,31 +308,27 @@ def encode_documents(docs: DataFrame, path: str, algorithm: str = "merges", head
     decode to the whole text), ``ids`` in order and the ``text`` decoded from them."""
     spark = docs.sparkSession
     ship_package(spark)
-    folder = f"{checkpoint_dir(spark)}/lattice-{uuid.uuid4().hex}"
-    encode_segments(segment_counts(docs, path), path, algorithm).write.parquet(f"{folder}/segments")
-    encoded = spark.read.parquet(f"{folder}/segments")
-    shared = spark.sparkContext.broadcast(_head(encoded, head))
+    shared = spark.sparkContext.broadcast(_head(segment_counts(docs, path), path, algorithm, head))
     # ids travel in as few bytes as the vocabulary needs; the largest value stands for a rare segment
     kind = np.dtype("<u2" if len(_vocabulary(path)[1]) < 0xFFFF else "<u4")
     gap = np.iinfo(kind).max
+    edge_types = [pa.list_(pa.int64()), pa.list_(pa.struct([(c, pa.int64()) for c in ("ends", "span", "at")]))]
 
     def known_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = piece_model(path), _Head(*shared.value)
-        for b in slices(batches):
+        for part, b in enumerate(slices(batches)):
             texts = [(t or "").replace("▁", " ") for t in b.column("text").to_pylist()]
             raw = [model.text_bytes(t) for t in texts]
-            segs, tokens = (np.zeros(len(raw), np.int64) for _ in range(2))
+            segs, tokens, gaps = (np.zeros(len(raw), np.int64) for _ in range(3))
             found: list[np.ndarray] = [np.zeros(0, kind)]
-            rare: list[tuple[np.ndarray, np.ndarray, list[str]]] = []
+            rare: dict[bytes, int] = {}
+            which_rare: list[int] = []
             for ids, pieces in S.chunks(raw, model.cut):
                 buf, arr, starts, ends, which = S.cuts(pieces, model.cut)
                 if not len(starts):
                     continue
                 doc = ids[which]
-                n = np.bincount(doc, minlength=len(raw))
-                lead = np.searchsorted(doc, np.arange(len(raw)))  # documents come in order
-                place = segs[doc] + np.arange(len(doc)) - lead[doc]
-                segs += n
+                segs += np.bincount(doc, minlength=len(raw))
                 row = known.table.find(arr, starts, ends, S.hash_segments(arr, starts, ends))
                 hit = row >= 0
                 first, length = np.zeros(len(row), np.int64), np.ones(len(row), np.int64)
@@ -324,47 +341,69 @@ def encode_documents(docs: DataFrame, path: str, algorithm: str = "merges", head
                 found.append(flat)
                 tokens += np.bincount(np.repeat(doc, length), minlength=len(raw))
                 miss = np.flatnonzero(~hit)
-                rare.append((doc[miss], place[miss], [buf[s:e].decode().replace(" ", "▁") for s, e in zip(starts[miss].tolist(), ends[miss].tolist())]))
-            m = sum(len(r[0]) for r in rare)
-            take = pa.array(np.concatenate([np.arange(len(raw)), *(r[0] for r in rare)]))
-            data, stop = np.concatenate(found).tobytes(), np.append(0, np.cumsum(tokens) * kind.itemsize).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row").take(take), b.column("doc_id").cast(pa.int64()).take(take),
-                 pa.array([None] * len(raw) + [s for r in rare for s in r[2]], pa.string()),
-                 pa.array(np.concatenate([segs, *(r[1] for r in rare)])),
-                 pa.array([data[s:e] for s, e in zip(stop, stop[1:])] + [None] * m, pa.binary()),
-                 pa.array([_digest(t) for t in texts] + [None] * m, pa.binary())],
-                names=["row", "doc_id", "segment", "place", "stream", "digest"])
-
-    (docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-     .mapInArrow(known_ids, "row long, doc_id long, segment string, place long, stream binary, digest binary")
-     .write.option("compression", "zstd").parquet(f"{folder}/documents"))
-    both = spark.read.parquet(f"{folder}/documents")
-    # ids of the rare segments of a document, one behind the other, and how many each has
-    parts = F.sort_array(F.collect_list(F.struct("place", "ids")))
-    rest = (both.where("segment IS NOT NULL").select("row", "segment", "place").join(encoded.select("segment", "ids"), "segment")
-            .groupBy("row").agg(parts.alias("parts"))
-            .select("row", F.transform("parts", lambda x: F.size(x["ids"])).alias("sizes"), F.flatten(F.col("parts")["ids"]).alias("fill")))
+                gaps += np.bincount(doc[miss], minlength=len(raw))
+                which_rare += [rare.setdefault(buf[s:e], len(rare)) for s, e in zip(starts[miss].tolist(), ends[miss].tolist())]
+            new = [s.decode().replace(" ", "▁") for s in rare]
+            edges = find_edges(new, path)
+            m, n = len(new), len(raw)
+
+            def by_document(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+                data, stop = values.tobytes(), np.append(0, np.cumsum(sizes) * values.itemsize).tolist()
+                return [data[s:e] for s, e in zip(stop, stop[1:])]
+
+            # rare segments, then the documents they occur in
+            columns = [pa.array(np.full(m + n, part)), pa.array(new + [None] * n, pa.string()),
+                       pa.array([model.ids(s) if len(s) > FOLD_CHARS else None for s in new] + [None] * n, pa.list_(pa.int32())),
+                       *(pa.concat_arrays([x, pa.nulls(n, t)]) for x, t in zip((edges, edge_marks(edges)), edge_types)),
+                       pa.concat_arrays([pa.nulls(m, pa.int64()), b.column("doc_id").cast(pa.int64())]),
+                       pa.array([None] * m + segs.tolist(), pa.int64()),
+                       pa.array([None] * m + by_document(np.concatenate(found), tokens), pa.binary()),
+                       pa.array([None] * m + by_document(np.array(which_rare, np.int32), gaps), pa.binary()),
+                       pa.array([None] * m + [_digest(t) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "segment", "known", "edges", "marks", "doc_id", "n_segments", "stream", "rare", "digest"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(
+        known_ids, f"part long, segment string, known array<int>, {EDGES}, doc_id long, n_segments long, stream binary, rare binary, digest binary")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = np.array([bytes.fromhex(h) for h in _vocabulary(path)[1]], object)
-        for b in slices(batches):
-            streams = b.column("stream").to_pylist()
-            stream = np.frombuffer(b"".join(streams), kind)
-            wide = np.ones(len(stream), np.int64)
-            gaps = stream == gap
-            wide[gaps] = b.column("sizes").flatten().to_numpy()
-            ids = np.repeat(stream, wide).astype(np.int32)
-            ids[np.repeat(gaps, wide)] = b.column("fill").flatten().to_numpy()
-            stop = np.cumsum(np.fromiter((len(s) // kind.itemsize for s in streams), np.int64, len(streams)))
-            ends = np.append(0, np.cumsum(wide))[stop]
-            starts = np.append(0, ends[:-1])[: len(ends)]
-            texts = [decode_ids(ids[s:e], data) for s, e in zip(starts.tolist(), ends.tolist())]
-            same = [_digest(t) == d for t, d in zip(texts, b.column("digest").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("place"), pa.array(ends - starts), pa.array(ids_sum(ids, ends)), pa.array(same, pa.bool_()),
-                 pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids)), pa.array(texts, pa.string())],
-                names=["doc_id", "n_segments", "n_tokens", "ids_checksum", "decoded", "ids", "text"])
-
-    return (both.where("segment IS NULL").drop("segment").join(rest, "row", "left").drop("row")
+        held, sizes, fill = -1, np.zeros(0, np.int64), np.zeros(0, np.int32)
+        for b in batches:
+            part, is_rare = b.column("part").to_numpy(), b.column("segment").is_valid().to_numpy(zero_copy_only=False)
+            border = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (is_rare[1:] != is_rare[:-1]))).tolist() if b.num_rows else []
+            for lo, hi in zip(border, [*border[1:], b.num_rows]):
+                if part[lo] != held:
+                    held, sizes, fill = part[lo], np.zeros(0, np.int64), np.zeros(0, np.int32)
+                run = b.slice(lo, hi - lo)
+                if is_rare[lo]:
+                    ids = run.column("ids")
+                    sizes = np.append(sizes, ids.value_lengths().to_numpy(zero_copy_only=False))
+                    fill = np.append(fill, ids.flatten().to_numpy())
+                else:
+                    for docs in slices(iter([run])):
+                        yield _whole_documents(docs, kind, gap, sizes, fill, data)
+
+    return (encode_segments(rows, path, algorithm)
             .mapInArrow(whole, "doc_id long, n_segments long, n_tokens long, ids_checksum long, decoded boolean, ids array<int>, text string"))
+
+
+def _whole_documents(b: pa.RecordBatch, kind: np.dtype, gap: int, sizes: np.ndarray, fill: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+    """Documents with the ids of their rare segments, number i of which has the next ``sizes[i]`` ids of ``fill``, in the gaps."""
+    streams = b.column("stream").to_pylist()
+    stream, rare = np.frombuffer(b"".join(streams), kind), np.frombuffer(b"".join(b.column("rare").to_pylist()), np.int32)
+    wide = np.ones(len(stream), np.int64)
+    gaps = stream == gap
+    size = sizes[rare]
+    wide[gaps] = size
+    ids = np.repeat(stream, wide).astype(np.int32)
+    first, stop = (np.cumsum(sizes) - sizes)[rare], np.cumsum(size)
+    ids[np.repeat(gaps, wide)] = fill[np.arange(size.sum()) + np.repeat(first - stop + size, size)]
+    stop = np.cumsum(np.fromiter((len(s) // kind.itemsize for s in streams), np.int64, len(streams)))
+    ends = np.append(0, np.cumsum(wide))[stop]
+    starts = np.append(0, ends[:-1])[: len(ends)]
+    texts = [decode_ids(ids[s:e], data) for s, e in zip(starts.tolist(), ends.tolist())]
+    same = [_digest(t) == d for t, d in zip(texts, b.column("digest").to_pylist())]
+    return pa.RecordBatch.from_arrays(
+        [b.column("doc_id"), b.column("n_segments"), pa.array(ends - starts), pa.array(ids_sum(ids, ends)), pa.array(same, pa.bool_()),
+         pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids)), pa.array(texts, pa.string())],
+        names=["doc_id", "n_segments", "n_tokens", "ids_checksum", "decoded", "ids", "text"])

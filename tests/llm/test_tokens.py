@@ -252,3 +252,13 @@ def test_segment_keys_and_comparison():
             rows = np.array([held.size.n - 2, held.size.n - 1])
             both = np.frombuffer(b"xyz" + a + a, np.uint8)
             assert held.equal(both, np.array([3, 3 + n]), np.array([3 + n, 3 + 2 * n]), rows).tolist() == [True, False]
+
+
+def test_rare_segments_fill_their_documents_without_a_shuffle(spark, sp):
+    """Several slices in a task, some without rare segments, some repeating those of others."""
+    texts = ["" if i % 7 == 0 else "the one" if 600 < i < 1200 else f"the w{i % 90}x one é{i}\n" * (i % 3 + 1) for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    encoded = LA.encode_documents(docs, PIECE_MODEL, head=5)
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {r.doc_id: (r.ids, r.decoded) for r in encoded.collect()} == {i: (sp.encode(t), True) for i, t in enumerate(texts)}
