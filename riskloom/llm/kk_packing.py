@@ -22,7 +22,9 @@ from __future__ import annotations
 import heapq
 import math
 import os
+import re
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -41,6 +43,7 @@ MAX_PIECE = 512
 GROUP = 2048
 GROUPS_PER_TASK = 32
 END_ID = 1
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 PLACED = "_at long, sequence_id long, offset long"
 
@@ -52,12 +55,19 @@ class WordTokenizer:
     letters and ASCII punctuation, so ids of segments cut there add up to the
     ids of the text. Apostrophes (contractions) and characters beyond ASCII
     (normalisation) are never cut from their neighbours. Texts that contain a
-    special token's string are encoded whole."""
+    special token's string are encoded whole. A segment of Latin letters only is one word,
+    composed already: the model takes it in lower case, without the patterns of the splitter."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tok.model)
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(65, 256) if LETTERS(chr(c))]
+        probe = [*letters, *(a + b for a in letters for b in letters), "".join(letters)]
+        if self._ids(self.words, [t.lower() for t in probe]) != self._ids(self.tok, probe):  # a tokenizer of another kind
+            self.words = None
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         kind = np.full(256, 5)
         kind[[9, 10, 11, 12, 13, 32]] = 3
@@ -76,8 +86,18 @@ class WordTokenizer:
         self.ids.reset()
         self.spans.reset()
 
+    @staticmethod
+    def _ids(tok, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _encode(self, parts: list[bytes]) -> int:
-        found = [e.ids for e in self.tok.encode_batch([p.decode() for p in parts], add_special_tokens=False)]
+        texts = [p.decode() for p in parts]
+        word = [self.words is not None and LETTERS(t) is not None for t in texts]
+        lower = [t.lower() if w else t for t, w in zip(texts, word)]
+        words = list(dict.fromkeys(t for t, w in zip(lower, word) if w))
+        known = dict(zip(words, self._ids(self.words, words))) if words else {}
+        others = iter(self._ids(self.tok, [t for t, w in zip(texts, word) if not w]))
+        found = [known[t] if w else next(others) for t, w in zip(lower, word)]
         n = np.fromiter(map(len, found), np.int64, len(found))
         at = self.ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())))
         return self.spans.append(np.stack([at + np.cumsum(n) - n, n], 1))
@@ -149,36 +169,69 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     """Window of each piece when ``sizes`` are dealt to ``k`` windows.
 
     A partial partition holds k sums, largest first, less their least. A merge
-    sets one's largest sums against the other's smallest. Merges are recorded
-    and followed back from the last one to the pieces. Ties go by position."""
+    sets one's largest sums against the other's smallest. Ties go by position. As long as
+    two partitions fill no more than k windows together, no sums meet: then only filled windows
+    are held, as lists of (negative) sums and of their pieces, and mostly one piece goes behind the
+    others. Later merges are recorded and followed back from the last one."""
     m = len(sizes)
     if k == 1:
         return np.zeros(m, np.int64)
-    sums: dict[int, np.ndarray] = {}
-    heap = []
+    parts: dict[int, tuple[list[int], list[list[int]]] | np.ndarray] = {}
+    # an empty piece is no larger than an empty window: then all windows are held
+    empty = k - 1 if sizes.min(initial=1) < 1 else 0
     for i, s in enumerate(sizes.tolist()):
-        sums[i] = np.zeros(k, np.int64)
-        sums[i][0] = s
-        heap.append((-s, i))
+        parts[i] = [-s, *[0] * empty], [[i], *([] for _ in range(empty))]
+    heap = [(part[0][0], i) for i, part in parts.items()]
     heapq.heapify(heap)
-    merges: list[tuple[int, int, np.ndarray]] = []
-    while len(heap) > 1:
+    merges: list[tuple[int, int, int, np.ndarray]] = []
+    filled: dict[int, list[list[int]]] = {}
+
+    def all_sums(node: int, part) -> np.ndarray:
+        if isinstance(part, np.ndarray):
+            return part
+        filled[node] = part[1]
+        out = np.zeros(k, np.int64)
+        out[:len(part[0])] = part[0]
+        return -out
+
+    for node in range(m, 2 * m - 1):
         _, a = heapq.heappop(heap)
-        _, b = heapq.heappop(heap)
-        total = sums.pop(a) + sums.pop(b)[::-1]
-        order = np.argsort(-total, kind="stable")
-        total = total[order]
-        node = m + len(merges)
-        merges.append((a, b, order.astype(np.int32)))
-        sums[node] = total - total[-1]
-        heapq.heappush(heap, (-int(sums[node][0]), node))
-    labels = {m + len(merges) - 1 if merges else 0: np.arange(k)}
-    for node in range(len(merges) - 1, -1, -1):
-        a, b, order = merges[node]
+        b = heap[0][1]
+        one, two = parts.pop(a), parts.pop(b)
+        if isinstance(one, tuple) and isinstance(two, tuple) and len(one[0]) + len(two[0]) <= k:
+            (sums, held), (more, others) = one, two
+            if len(more) == 1:
+                at = bisect_right(sums, more[0])
+                sums.insert(at, more[0])
+                held.insert(at, others[0])
+            else:
+                sums, held = sums + more[::-1], held + others[::-1]
+                order = sorted(range(len(sums)), key=sums.__getitem__)
+                sums, held = [sums[i] for i in order], [held[i] for i in order]
+            if len(sums) == k:
+                last = sums[-1]
+                sums = [s - last for s in sums]
+            parts[node], top = (sums, held), sums[0]
+        else:
+            total = all_sums(a, one) + all_sums(b, two)[::-1]
+            order = (-total).argsort(kind="stable")
+            total = total[order]
+            total -= total[-1]
+            merges.append((node, a, b, order))
+            parts[node], top = total, -int(total[0])
+        heapq.heapreplace(heap, (top, node))
+    where = np.empty(m, np.int64)
+    for node, part in parts.items():  # the last one
+        all_sums(node, part)
+        labels = {node: np.arange(k)}
+    for node, a, b, order in reversed(merges):
         own = np.empty(k, np.int64)
-        own[order] = labels.pop(m + node)
+        own[order] = labels.pop(node)
         labels[a], labels[b] = own, own[::-1]
-    return np.array([labels[i][0] for i in range(m)], np.int64)
+    for node, held in filled.items():
+        for window, pieces in zip(labels[node].tolist(), held):
+            where[pieces] = window
+    return where
 
 
 def pack_group(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

@@ -120,6 +120,46 @@ def test_packing(spark, sf, edge_docs, no_docs):
     assert KK.pack(no_docs, WORDS).count() == 0
 
 
+def test_letter_words_skip_the_splitter(monkeypatch):
+    tok, words = Tokenizer.from_file(WORDS), KK.WordTokenizer(WORDS)
+    texts = ["The Élan of ÀÇÉÑÖÜ ß ÿ THE the", "it's e\u0301a Éa\u0301 Wort٣ 12", "İI ıi Kelvin K", "naïve naïve\u0327", "ªº µ ×÷ łódź Straße"]
+    sent, ids = [], KK.WordTokenizer._ids
+    monkeypatch.setattr(KK.WordTokenizer, "_ids", staticmethod(lambda t, x: (sent.extend(x if t is words.tok else []), ids(t, x))[1]))
+    assert [x.tolist() for x in words(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert words.words is not None and "it's" in sent and not {"The", "Élan", "ÀÇÉÑÖÜ", "Straße", "naïve"} & set(sent)
+
+
+def test_differencing_holds_filled_windows_only():
+    """Against differencing with all k sums of every partial partition."""
+    import heapq
+    import tracemalloc
+
+    def plain(sizes, k):
+        parts = {i: [(s, [i])] + [(0, [])] * (k - 1) for i, s in enumerate(sizes.tolist())}
+        heap = sorted((-s, i) for i, s in enumerate(sizes.tolist()))
+        for node in range(len(sizes), 2 * len(sizes) - 1):
+            (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
+            both = sorted(((s + t, p + q) for (s, p), (t, q) in zip(parts.pop(a), parts.pop(b)[::-1])), key=lambda x: -x[0])
+            parts[node] = [(s - both[-1][0], p) for s, p in both]
+            heapq.heappush(heap, (-parts[node][0][0], node))
+        where = np.empty(len(sizes), np.int64)
+        for window, (_, pieces) in enumerate(parts.popitem()[1]):
+            where[pieces] = window
+        return where
+
+    rng = np.random.default_rng(4)
+    for n, top, k in [(1, 9, 3), (40, 3, 7), (60, 512, 11), (60, 512, 200), (80, 30, 2), (50, 2, 9)]:
+        for low in (0, 1):
+            sizes = rng.integers(low, top, n)
+            assert np.array_equal(KK.differencing(sizes, k), plain(sizes, k)), (n, top, k, low)
+    sizes = np.minimum(rng.integers(1, 700, 2048), 512)
+    tracemalloc.start()
+    KK.pack_group(sizes, 2048)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000  # all sums of 2,048 partitions alone are 6 MB
+
+
 def test_lattice_merges_equal_library(spark, sp, fuzz, edge_docs, no_docs):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(fuzz)], "doc_id long, text string").unionByName(edge_docs.select("doc_id", "text"))
     head = TC.piece_model(PIECE_MODEL).head
