@@ -5,7 +5,8 @@ sample run side by side, one per task (``search.py``).
 on the seed and the trees before it, so the first 100 trees of a fit of 300 are the fit of
 100. ``EmbeddingNetwork`` is a feed-forward network with one embedding per
 categorical column, trained in mini-batches. Both are plain functions of arrays:
-``prepare`` (from the sample), ``fit`` (one setting), ``scores`` (any rows)."""
+``prepare`` (from the sample), ``fit`` (one setting), ``scores`` (any rows); ``inputs``
+of rows are made once for ``scores_of`` many models."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
-BLOCK = 8192  # rows that go down a tree at a time
+BLOCK = 8192  # rows that go down a tree, or through a network, at a time
 
 
 class BoostedTrees:
@@ -111,9 +112,15 @@ class BoostedTrees:
             trees.append(tree)
         return trees
 
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        return self.codes(x)
+
     def scores(self, trees: list[tuple], x: np.ndarray, stages: list[int]) -> list[np.ndarray]:
+        return self.scores_of(trees, self.inputs(x), stages)
+
+    def scores_of(self, trees: list[tuple], codes: np.ndarray, stages: list[int]) -> list[np.ndarray]:
         """Probabilities by the first ``stage`` trees, for each stage."""
-        codes, margin, out = self.codes(x), np.zeros(len(x)), {}
+        margin, out = np.zeros(len(codes)), {}
         for t, tree in enumerate(trees, 1):
             margin += self._leaf_values(tree, codes)
             if t in stages:
@@ -152,6 +159,12 @@ class EmbeddingNetwork:
             cats.append(np.where(known[at] == x[:, i], at + 1, 0) if len(known) else np.zeros(len(x), np.int64))
         return num, cats
 
+    inputs = _inputs
+
+    @staticmethod
+    def _value(name: str, z: np.ndarray) -> np.ndarray:
+        return np.maximum(z, 0, out=z) if name == "relu" else np.maximum(z, 0.01 * z, out=z) if name == "leaky_relu" else np.tanh(z, out=z)
+
     @staticmethod
     def _act(name: str, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Value and derivative."""
@@ -214,13 +227,16 @@ class EmbeddingNetwork:
 
     def fit(self, x: np.ndarray, y: np.ndarray, params: dict, seed: int) -> dict:
         rng = np.random.default_rng(seed)
-        num, cats = self._inputs(x)
+        num, cats = self.inputs(x)
         model = self._start(params, rng)
         positive = max(1.0, (y == 0).sum()) / max(1.0, (y == 1).sum())
         size, lr, adam = params.get("batch_size", 64), params.get("lr", 1e-3), params.get("optimizer_name", "adam")
         if adam not in ("adam", "sgd"):
             raise ValueError(f"optimizer must be adam|sgd, got {adam!r}")
-        m, v = ({k: np.zeros_like(t) for k, t in model.items()} for _ in range(2))
+        # all weights lie in one vector, so that a step is a few operations in place
+        flat, at = np.concatenate([t.ravel() for t in model.values()]), np.cumsum([t.size for t in model.values()])[:-1]
+        model = {k: part.reshape(t.shape) for (k, t), part in zip(model.items(), np.split(flat, at))}
+        g, by, root, m, v = (np.zeros_like(flat) for _ in range(5))
         step = 0
         for _ in range(params.get("n_epochs", 5)):
             order = rng.permutation(len(y))
@@ -228,15 +244,33 @@ class EmbeddingNetwork:
                 rows = order[at:at + size]
                 grad = self.gradients(model, num[rows], [c[rows] for c in cats], y[rows], positive, params, rng)
                 step += 1
-                for k, g in grad.items():
-                    if adam == "sgd":
-                        model[k] -= lr * g
-                        continue
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    model[k] -= lr * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
+                np.concatenate([grad[k].ravel() for k in model], out=g)
+                if adam == "sgd":
+                    flat -= np.multiply(g, lr, out=by)
+                    continue
+                m *= 0.9
+                m += np.multiply(g, 0.1, out=by)
+                v *= 0.999
+                np.multiply(g, 0.001, out=by)
+                v += np.multiply(by, g, out=by)
+                np.sqrt(np.divide(v, 1 - 0.999 ** step, out=root), out=root)
+                root += 1e-8
+                np.multiply(np.divide(m, 1 - 0.9 ** step, out=by), lr, out=by)
+                flat -= np.divide(by, root, out=by)
         return {"weights": {k: t.astype(np.float32) for k, t in model.items()}, "params": params}
 
     def scores(self, model: dict, x: np.ndarray, stages: list) -> list[np.ndarray]:
-        num, cats = self._inputs(x)
-        return [sigmoid(self._forward(model["weights"], num, cats, model["params"])[0])]
+        return self.scores_of(model, self.inputs(x), stages)
+
+    def scores_of(self, model: dict, inputs: tuple[np.ndarray, list[np.ndarray]], stages: list) -> list[np.ndarray]:
+        (num, cats), params = inputs, model["params"]
+        weights = {k: t.astype(float) for k, t in model["weights"].items()}
+        last, name, out = len(params["hidden_dims"]), params.get("activation_name", "relu"), np.empty(len(num))
+        for lo in range(0, len(num), BLOCK):  # layers of a block stay in the cache; no slopes are needed
+            a = np.hstack([num[lo:lo + BLOCK], *(weights[f"e{j}"][c[lo:lo + BLOCK]] for j, c in enumerate(cats))])
+            for i in range(last):
+                a = a @ weights[f"w{i}"]
+                a += weights[f"b{i}"]
+                a = self._value(name, a)
+            out[lo:lo + BLOCK] = (a @ weights[f"w{last}"] + weights[f"b{last}"])[:, 0]
+        return [sigmoid(out)]

@@ -91,9 +91,10 @@ def score_settings(df: DataFrame, cols: list[str], learner, combos: list[dict],
                 x, y, fold = _arrays(b, len(cols)), b.column("y"), b.column("fold").to_numpy()
                 for f in np.unique(fold).tolist():
                     at = np.flatnonzero(fold == f)
+                    inputs = learner.inputs(x[at])
                     for group, (_, served) in enumerate(part):
                         stages = sorted({s for _, s in served}, key=lambda s: (s is not None, s))
-                        got = dict(zip(stages, learner.scores(held[group * k + f], x[at], stages)))
+                        got = dict(zip(stages, learner.scores_of(held[group * k + f], inputs, stages)))
                         for combo, stage in served:
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(np.full(len(at), combo, np.int32)), pa.array(np.full(len(at), f, np.int32)), y.take(pa.array(at)), pa.array(got[stage])],

@@ -181,3 +181,28 @@ def test_trees_hold_one_column_at_a_time_and_leaves_are_walked_right():
             while feature[at] >= 0:
                 at = 2 * at + 1 + int(codes[i, feature[at]] > cut[at])
             assert got[i] == value[at]
+
+
+def test_inputs_made_once_serve_all_models():
+    """Scores of shared inputs, over several blocks of rows, against each model's forward pass; weights against steps array by array."""
+    x, y = table(LN.BLOCK + 300, 2)
+    net, trees = LN.EmbeddingNetwork(["b"]), LN.BoostedTrees()
+    for learner in (net, trees):
+        learner.prepare(x, COLS)
+    inputs = net.inputs(x)
+    for p in MD.param_grid({"hidden_dims": [(6, 4)], "lr": [1e-2], "optimizer_name": ["adam", "sgd"], "activation_name": list(LN.ACTIVATIONS), "dropout": [0.2]}):
+        model = net.fit(x[:150], y[:150], p | {"n_epochs": 2}, 42)
+        want = LN.sigmoid(net._forward(model["weights"], *inputs, p)[0])
+        assert np.allclose(net.scores_of(model, inputs, [None])[0], want, rtol=1e-12)
+        assert np.array_equal(net.scores_of(model, inputs, [None])[0], net.scores(model, x, [None])[0])
+    model = trees.fit(x, y, {"n_estimators": 3, "max_depth": 2}, 1)
+    assert all(map(np.array_equal, trees.scores_of(model, trees.inputs(x), [1, 3]), trees.scores(model, x, [1, 3])))
+    # one step of each optimizer
+    rng, p = np.random.default_rng(5), {"hidden_dims": (6, 4), "batch_size": 64, "n_epochs": 1, "lr": 0.1}
+    num, cats = net._inputs(x[:64])
+    start = net._start(p, rng)
+    order = rng.permutation(64)
+    grad = net.gradients(start, num[order], [c[order] for c in cats], y[order], max(1.0, (y[:64] == 0).sum()) / (y[:64] == 1).sum(), p, rng)
+    for name, step in (("sgd", lambda g: 0.1 * g), ("adam", lambda g: 0.1 * g / (np.abs(g) + 1e-8))):
+        got = net.fit(x[:64], y[:64], p | {"optimizer_name": name}, 5)["weights"]
+        assert got.keys() == start.keys() and all(np.allclose(got[k], start[k] - step(grad[k]), atol=1e-5) for k in start)
