@@ -26,6 +26,7 @@ does the rest: a document's ids of frequent segments come in order with gaps for
 others; the distinct others of a few documents at a time are folded as rows ahead of
 them, and their ids fill the gaps. The whole ids are decoded to text, which is compared
 with the document's by a digest of 16 bytes. Count and checksum are taken from the whole ids.
+Texts go to the workers as rows of at most ``CUT`` bytes and are put together there.
 
 Null text is empty (no segments, no tokens). Repeated rows are encoded row by
 row, other columns are ignored, an empty table gives an empty result. U+2581
@@ -35,8 +36,10 @@ counts as a blank, as in the library.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +48,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.llm import segments as S
-from riskloom.llm.token_counts import PieceModel, piece_model
+from riskloom.llm.token_counts import piece_model
 from riskloom.session import ship_package
 
 HEAD = 250_000
 FOLD_CHARS = 62
 SLICE = 500
+SLICE_BYTES = 1 << 20  # of text in a slice, but for its last document
+CUT = 512  # bytes of text in a row on its way to a worker
+CHUNK_BYTES = 1 << 18
 COUNTED = 1 << 17  # segments that a worker counts before it sends them on
 PLACES = 1_000_003
 
@@ -59,7 +65,7 @@ PLACES = 1_000_003
 def _vocabulary(path: str) -> tuple:
     """(piece, id, rank by score) of the normal pieces, hex bytes by id, ids of the
     256 byte pieces, scores by id, score of an unknown character."""
-    sp = PieceModel(path).sp
+    sp = piece_model(path).sp
     normal, data, bytes_at = [], [], [0] * 256
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i)
@@ -99,7 +105,7 @@ def _piece_table(path: str) -> dict[str, int]:
 def find_edges(segments: list[str], path: str) -> pa.Array:
     """Of each segment every piece in it, best score first, then by place, after the empty edge 0."""
     table = _piece_table(path)
-    edges = []
+    edges, stops = array("q"), array("i", [0])
     for s in segments:
         found = [0]
         for start in range(len(s) if len(s) <= FOLD_CHARS else 0):
@@ -110,8 +116,9 @@ def find_edges(segments: list[str], path: str) -> pa.Array:
                 if piece >= 0:
                     found.append(piece + start * _START + end * _END)
         found.sort()
-        edges.append(found)
-    return pa.array(edges, pa.list_(pa.int64()))
+        edges.extend(found)
+        stops.append(len(edges))
+    return pa.ListArray.from_arrays(pa.array(np.array(stops, np.int32)), pa.array(np.array(edges, np.int64)))
 
 
 def edge_marks(edges: pa.Array) -> pa.Array:
@@ -124,7 +131,8 @@ def edge_marks(edges: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.StructArray.from_arrays(marks, ["ends", "span", "at"]))
 
 
-EDGES = "edges array<long>, marks array<struct<ends: long, span: long, at: long>>"
+MARKS = "marks array<struct<ends: long, span: long, at: long>>"
+EDGES = f"edges array<long>, {MARKS}"
 
 
 def lattice_edges(segments: DataFrame, path: str) -> DataFrame:
@@ -215,8 +223,8 @@ def decode(ids: Column, path: str) -> Column:
 def encode_segments(segments: DataFrame, path: str, algorithm: str = "merges") -> DataFrame:
     """``segments`` (segment with U+2581 for blanks, distinct; ``known``: ids that
     the library gave for a segment too long to fold, else null; other columns
-    kept) with ``ids``. Rows that hold their ``edges`` and ``marks`` already are only
-    folded; those without a segment have no ids."""
+    kept) with ``ids``. Rows that hold their ``marks`` (and ``edges``, which only Viterbi
+    reads) already are only folded; those without a segment have no ids."""
     _, _, byte_ids, scores, unknown = _vocabulary(path)
     edges = segments if "marks" in segments.columns else lattice_edges(segments, path)
     size = F.length("segment")
@@ -231,11 +239,33 @@ def encode_segments(segments: DataFrame, path: str, algorithm: str = "merges") -
     return folded.select("segment", *[c for c in segments.columns if c not in ("segment", "known", "edges", "marks")], ids.alias("ids"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Smaller batches: a worker holds the segments of one at a time."""
+def text_rows(docs: DataFrame, cut: int = CUT) -> DataFrame:
+    """Texts as rows (doc_id, piece, last) of at most ``cut`` bytes, those of a document one after the other.
+
+    A batch on its way to a worker holds thousands of rows, whatever their size: so it is
+    bounded, and neither side holds whole texts by the thousand. Null text is one empty row."""
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    size = F.octet_length("raw")
+    at = raw.select("doc_id", "raw", F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(cut))).alias("at"))
+    return at.select("doc_id", F.substring("raw", F.col("at") + 1, F.lit(cut)).alias("piece"), (F.col("at") + cut >= size).alias("last"))
+
+
+def documents(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[tuple[list, list[str]]]:
+    """(doc_ids, texts) of a few documents at a time: a worker holds the segments of no more than these."""
+    ids, texts, held, total = [], [], [], 0
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        for doc_id, piece, last in zip(*(c.to_pylist() for c in b.columns)):
+            held.append(piece)
+            total += len(piece)
+            if last:
+                ids.append(doc_id)
+                texts.append(b"".join(held).decode())
+                held = []
+                if len(ids) >= rows or total >= size:
+                    yield ids, texts
+                    ids, texts, total = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def segment_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -247,23 +277,25 @@ def segment_counts(docs: DataFrame, path: str) -> DataFrame:
         model = piece_model(path)
         total: dict[bytes, int] = {}
 
-        def counted() -> pa.RecordBatch:
-            texts = [p.decode().replace(" ", "▁") for p in total]
-            known = [model.ids(t) if len(t) > FOLD_CHARS else None for t in texts]
-            return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(list(total.values()), pa.int64()), pa.array(known, pa.list_(pa.int32()))], names=["segment", "n", "known"])
+        def counted() -> Iterator[pa.RecordBatch]:
+            left = iter(total.items())
+            while held := list(islice(left, COUNTED // 16)):
+                texts = [p.decode().replace(" ", "▁") for p, _ in held]
+                known = [model.ids(t) if len(t) > FOLD_CHARS else None for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([n for _, n in held], pa.int64()), pa.array(known, pa.list_(pa.int32()))], names=["segment", "n", "known"])
 
-        for b in slices(batches):
-            raw = [model.text_bytes(t) if t else b"" for t in b.column("text").to_pylist()]
-            for _, pieces in S.chunks([t for t in raw if t], model.cut):
+        for _, texts in documents(batches):
+            raw = [model.text_bytes(t) for t in texts]
+            for _, pieces in S.chunks([t for t in raw if t], model.cut, CHUNK_BYTES):
                 buf, arr, starts, ends, _ = S.cuts(pieces, model.cut)
                 for part, n in S.distinct_segments(buf, arr, starts, ends).items():
                     total[part] = total.get(part, 0) + n
             if len(total) > COUNTED:
-                yield counted()
+                yield from counted()
                 total = {}
-        yield counted()
+        yield from counted()
 
-    found = docs.select("text").mapInArrow(run, "segment string, n long, known array<int>")
+    found = text_rows(docs).mapInArrow(run, "segment string, n long, known array<int>")
     return found.groupBy("segment", "known").agg(F.sum("n").alias("n"))
 
 
@@ -288,8 +320,9 @@ def _digest(text: str) -> bytes:
 class _Head:
     """Frequent segments on a worker: segment -> span of ids."""
 
-    def __init__(self, parts: list[bytes], spans: np.ndarray, ids: np.ndarray):
-        self.table, self.spans, self.ids = S.SegmentTable(parts), spans, ids
+    def __init__(self, data: bytes, sizes: np.ndarray, spans: np.ndarray, ids: np.ndarray):
+        stops = np.cumsum(sizes).tolist()
+        self.table, self.spans, self.ids = S.SegmentTable([data[e - n:e] for n, e in zip(sizes.tolist(), stops)]), spans, ids
 
 
 def _head(counts: DataFrame, path: str, algorithm: str, limit: int) -> tuple:
@@ -300,7 +333,7 @@ def _head(counts: DataFrame, path: str, algorithm: str, limit: int) -> tuple:
     lists = got.column("ids").combine_chunks()
     ids = lists.flatten().to_numpy().astype(np.int32)
     n = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-    return raw, np.stack([np.cumsum(n) - n, n], 1), ids
+    return b"".join(raw), np.fromiter(map(len, raw), np.int32, len(raw)), np.stack([np.cumsum(n) - n, n], 1).astype(np.int32), ids
 
 
 def encode_documents(docs: DataFrame, path: str, algorithm: str = "merges", head: int = HEAD) -> DataFrame:
@@ -312,18 +345,21 @@ def encode_documents(docs: DataFrame, path: str, algorithm: str = "merges", head
     # ids travel in as few bytes as the vocabulary needs; the largest value stands for a rare segment
     kind = np.dtype("<u2" if len(_vocabulary(path)[1]) < 0xFFFF else "<u4")
     gap = np.iinfo(kind).max
-    edge_types = [pa.list_(pa.int64()), pa.list_(pa.struct([(c, pa.int64()) for c in ("ends", "span", "at")]))]
+    # the second pass gets the bytes of the ids and needs no model
+    bytes_of = spark.sparkContext.broadcast([bytes.fromhex(h) for h in _vocabulary(path)[1]])
+    of_edges = {"edges": pa.list_(pa.int64())} if algorithm == "viterbi" else {}
+    of_edges["marks"] = pa.list_(pa.struct([(c, pa.int64()) for c in ("ends", "span", "at")]))
 
     def known_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = piece_model(path), _Head(*shared.value)
-        for part, b in enumerate(slices(batches)):
-            texts = [(t or "").replace("▁", " ") for t in b.column("text").to_pylist()]
+        for part, (doc_ids, texts) in enumerate(documents(batches)):
+            texts = [t.replace("▁", " ") for t in texts]
             raw = [model.text_bytes(t) for t in texts]
             segs, tokens, gaps = (np.zeros(len(raw), np.int64) for _ in range(3))
             found: list[np.ndarray] = [np.zeros(0, kind)]
             rare: dict[bytes, int] = {}
             which_rare: list[int] = []
-            for ids, pieces in S.chunks(raw, model.cut):
+            for ids, pieces in S.chunks(raw, model.cut, CHUNK_BYTES):
                 buf, arr, starts, ends, which = S.cuts(pieces, model.cut)
                 if not len(starts):
                     continue
@@ -345,6 +381,7 @@ def encode_documents(docs: DataFrame, path: str, algorithm: str = "merges", head
                 which_rare += [rare.setdefault(buf[s:e], len(rare)) for s, e in zip(starts[miss].tolist(), ends[miss].tolist())]
             new = [s.decode().replace(" ", "▁") for s in rare]
             edges = find_edges(new, path)
+            found_edges = {"edges": edges, "marks": edge_marks(edges)}
             m, n = len(new), len(raw)
 
             def by_document(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -354,19 +391,19 @@ def encode_documents(docs: DataFrame, path: str, algorithm: str = "merges", head
             # rare segments, then the documents they occur in
             columns = [pa.array(np.full(m + n, part)), pa.array(new + [None] * n, pa.string()),
                        pa.array([model.ids(s) if len(s) > FOLD_CHARS else None for s in new] + [None] * n, pa.list_(pa.int32())),
-                       *(pa.concat_arrays([x, pa.nulls(n, t)]) for x, t in zip((edges, edge_marks(edges)), edge_types)),
-                       pa.concat_arrays([pa.nulls(m, pa.int64()), b.column("doc_id").cast(pa.int64())]),
+                       *(pa.concat_arrays([found_edges[c], pa.nulls(n, t)]) for c, t in of_edges.items()),
+                       pa.array([None] * m + doc_ids, pa.int64()),
                        pa.array([None] * m + segs.tolist(), pa.int64()),
                        pa.array([None] * m + by_document(np.concatenate(found), tokens), pa.binary()),
                        pa.array([None] * m + by_document(np.array(which_rare, np.int32), gaps), pa.binary()),
                        pa.array([None] * m + [_digest(t) for t in texts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "segment", "known", "edges", "marks", "doc_id", "n_segments", "stream", "rare", "digest"])
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "segment", "known", *of_edges, "doc_id", "n_segments", "stream", "rare", "digest"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(
-        known_ids, f"part long, segment string, known array<int>, {EDGES}, doc_id long, n_segments long, stream binary, rare binary, digest binary")
+    rows = text_rows(docs).mapInArrow(
+        known_ids, f"part long, segment string, known array<int>, {EDGES if 'edges' in of_edges else MARKS}, doc_id long, n_segments long, stream binary, rare binary, digest binary")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = np.array([bytes.fromhex(h) for h in _vocabulary(path)[1]], object)
+        data = np.array(bytes_of.value, object)
         held, sizes, fill = -1, np.zeros(0, np.int64), np.zeros(0, np.int32)
         for b in batches:
             part, is_rare = b.column("part").to_numpy(), b.column("segment").is_valid().to_numpy(zero_copy_only=False)
@@ -380,8 +417,7 @@ def encode_documents(docs: DataFrame, path: str, algorithm: str = "merges", head
                     sizes = np.append(sizes, ids.value_lengths().to_numpy(zero_copy_only=False))
                     fill = np.append(fill, ids.flatten().to_numpy())
                 else:
-                    for docs in slices(iter([run])):
-                        yield _whole_documents(docs, kind, gap, sizes, fill, data)
+                    yield _whole_documents(run, kind, gap, sizes, fill, data)
 
     return (encode_segments(rows, path, algorithm)
             .mapInArrow(whole, "doc_id long, n_segments long, n_tokens long, ids_checksum long, decoded boolean, ids array<int>, text string"))

@@ -22,7 +22,7 @@ import numpy as np
 CHUNK_BYTES = 1 << 21
 CACHE_LIMIT = 1_000_000
 CACHE_BYTES = 1 << 26
-COMPARED = 1 << 15  # segments compared at a time
+COMPARED = 1 << 15  # segments compared, or hashed for a table, at a time
 _P = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -30,7 +30,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte codes, powers of the base and of its inverse modulo 2**64."""
     if len(_POWERS.get("p", ())) <= n:
-        size = max(n + 1, CHUNK_BYTES + 4096)
+        size = ((n >> 16) + 1) << 16  # as long as the texts at hand
         base, inv = np.full(size, _P, np.uint64), np.full(size, pow(_P, -1, 1 << 64), np.uint64)
         base[0] = inv[0] = 1
         with np.errstate(over="ignore"):
@@ -193,7 +193,11 @@ class SegmentTable:
         self.held = SegmentBytes()
         self.held.append(parts)
         at, n = self.held.at.data[:len(parts)], self.held.size.data[:len(parts)]
-        hashes = hash_segments(self.held.data.data[:self.held.data.n], at, at + n)
+        hashes = np.zeros(len(parts), np.uint64)
+        for lo in range(0, len(parts), COMPARED):  # a hash needs many times the memory of its bytes
+            first, size = at[lo:lo + COMPARED], n[lo:lo + COMPARED]
+            held = self.held.data.data[first[0]:first[-1] + size[-1]]
+            hashes[lo:lo + COMPARED] = hash_segments(held, first - first[0], first - first[0] + size)
         u, first = np.unique(hashes, return_index=True)
         self.table = HashTable(max(4, (4 * len(u)).bit_length()))
         self.table.insert(u, first.astype(np.int32))

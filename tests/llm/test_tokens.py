@@ -302,3 +302,29 @@ def test_rare_segments_fill_their_documents_without_a_shuffle(spark, sp):
     plan = encoded._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert {r.doc_id: (r.ids, r.decoded) for r in encoded.collect()} == {i: (sp.encode(t), True) for i, t in enumerate(texts)}
+
+
+def test_texts_travel_and_are_held_in_bounded_parts(spark, monkeypatch):
+    """Rows of few bytes, slices by bytes, and tables that are hashed piece by piece."""
+    import tracemalloc
+
+    texts = [None, "", "é" * 700, "漢字 and more words " * 400, "x" * 512, "x" * 513, "🙂" * 300]
+    docs = spark.createDataFrame([(None if i == 5 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = LA.text_rows(docs)
+    assert rows.agg(F.max(F.length("piece"))).first()[0] == 512 and rows.count() > 20
+    batches = rows.toArrow().to_batches(max_chunksize=3)  # documents go on in the next batch
+    want = list(zip([0, 1, 2, 3, 4, None, 6], [t or "" for t in texts]))
+    assert [x for ids, held in LA.documents(iter(batches)) for x in zip(ids, held)] == want
+    assert [len(ids) for ids, _ in LA.documents(iter(batches), size=1000)] == [3, 1, 2, 1]
+    assert [len(ids) for ids, _ in LA.documents(iter(batches), rows=2)] == [2, 2, 2, 1]
+    parts = [b"segment %d" % i for i in range(100_000)]
+    monkeypatch.setattr(S, "_POWERS", {})
+    tracemalloc.start()
+    table = S.SegmentTable(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000  # 72 MB when all are hashed at once
+    arr = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(p) for p in parts])
+    starts = np.append(0, ends[:-1])
+    assert table.find(arr, starts, ends, S.hash_segments(arr, starts, ends)).tolist() == list(range(len(parts)))
