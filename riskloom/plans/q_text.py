@@ -174,6 +174,6 @@ def q_sink_csv_parquet(spark, sf):
     back_csv = sinks.read_splits(spark, csv, "csv", schema)
     back_pq = sinks.read_splits(spark, pq).select(*schema.fieldNames())
     # both copies must agree row for row; the parquet copy is returned
-    if back_csv.exceptAll(back_pq).limit(1).count() or back_pq.exceptAll(back_csv).limit(1).count():
+    if not sinks.same_rows(back_csv, back_pq):
         raise AssertionError("CSV and Parquet copies differ")
     return back_pq
