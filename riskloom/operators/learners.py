@@ -1,12 +1,16 @@
-"""Small numpy learners for hyper-parameter search, where many fits on a bounded
-sample run side by side, one per task (``search.py``).
+"""Small numpy learners for hyper-parameter search, where many fits run side by
+side, several per task (``search.py``).
 
 ``BoostedTrees`` grows second-order trees on binned features; tree t depends only
 on the seed and the trees before it, so the first 100 trees of a fit of 300 are the fit of
 100. ``EmbeddingNetwork`` is a feed-forward network with one embedding per
 categorical column, trained in mini-batches. Both are plain functions of arrays:
-``prepare`` (from the sample), ``fit`` (one setting), ``scores`` (any rows); ``inputs``
-of rows are made once for ``scores_of`` many models."""
+``prepare`` (from arrays) or ``prepare_from`` (from a frame), ``fit`` (one setting), ``scores`` (any rows); ``inputs``
+of rows are made once for ``scores_of`` many models.
+
+``fit_packed`` fits on any number of rows: ``packed`` rows lie in a file mapped into memory, what a fit
+keeps per row lies in ``scratch`` arrays, and rows go through memory in blocks or mini-batches. In memory stay 24 bytes a row:
+which rows are used, their labels, and the network's order of an epoch."""
 
 from __future__ import annotations
 
@@ -18,6 +22,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 BLOCK = 8192  # rows that go down a tree, or through a network, at a time
+ROWS = 1 << 16  # rows of a fit whose histograms are counted at a time
 
 
 class BoostedTrees:
@@ -36,44 +41,70 @@ class BoostedTrees:
         known = [c[~np.isnan(c)] for c in x.T]
         self.cuts = [np.unique(np.quantile(c, probs, method="lower")) if len(c) else np.zeros(0) for c in known]
 
+    def prepare_from(self, rows, cols: list[str]) -> None:
+        """``prepare`` from a frame with an array column ``x``: exact quantiles of all its rows."""
+        from riskloom.operators.ranking import exact_quantiles_of
+        names = [f"c{j}" for j in range(len(cols))]
+        probs = np.linspace(0, 1, self.bins + 1)[1:-1].tolist()
+        found = exact_quantiles_of(rows.select(*[rows["x"][j].alias(c) for j, c in enumerate(names)]), {c: probs for c in names}, lower=True)
+        self.cuts = [np.unique([v for v in found[c] if v is not None]).astype(float) for c in names]
+
+    def cost(self, params: dict) -> float:
+        """Work of a fit, against others of the same rows."""
+        return params["n_estimators"] * (params.get("max_depth", 6) + 1) * params.get("colsample_bytree", 1.0)
+
     def codes(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(x.shape, np.uint8)
         for j, cuts in enumerate(self.cuts):
             out[:, j] = np.where(np.isnan(x[:, j]), 0, np.searchsorted(cuts, x[:, j], side="left"))
         return out
 
-    def _tree(self, codes: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray, depth: int, gamma: float, rate: float) -> tuple:
-        size = 2 ** (depth + 1) - 1
+    def _tree(self, codes: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray, spans: list[tuple[int, int]], columns: np.ndarray, depth: int, gamma: float, rate: float) -> tuple:
+        """A tree from ``codes`` (column by row); ``node`` is left with the leaf of every row. Rows of no
+        weight add nothing. A level is one pass over the rows, span by span."""
+        size, b = 2 ** (depth + 1) - 1, self.bins + 1
         feature, cut, value = np.full(size, -1, np.int16), np.zeros(size, np.uint8), np.zeros(size, np.float32)
-        node, rows, b = np.zeros(len(g), np.int64), np.flatnonzero(h > 0), self.bins + 1
-        part = np.ascontiguousarray(codes[rows][:, columns].T)  # of ``rows``
         for level in range(depth + 1):
-            here = node[rows]
-            held = np.bincount(here, minlength=size) > 0
-            names, own = np.flatnonzero(held), (np.cumsum(held) - 1)[here]
-            total_g, total_h = np.bincount(own, g[rows], len(names)), np.bincount(own, h[rows], len(names))
-            value[names] = -rate * total_g / (total_h + self.l2)
+            first, width = 2 ** level - 1, 2 ** level
+            total_g, total_h = np.zeros(width), np.zeros(width)
+            left_g, left_h = (np.zeros((width, len(columns), b if level < depth else 0)) for _ in range(2))
+            for lo, hi in spans:
+                here, rows = node[lo:hi], slice(None)
+                if level:  # rows of nodes that were split go down; the others have their leaf
+                    by = feature[here]
+                    rows = np.flatnonzero(by >= 0)
+                    at = here[rows]
+                    at = 2 * at + 1 + (codes[by[rows], lo + rows] > cut[at])
+                    here[rows] = at
+                    here = at
+                    if len(rows) == hi - lo:
+                        rows = slice(None)
+                own, own_g, own_h = here.astype(np.int64) - first, g[lo:hi][rows], h[lo:hi][rows]
+                total_g += np.bincount(own, own_g, width)
+                total_h += np.bincount(own, own_h, width)
+                if level == depth:
+                    continue
+                own *= b
+                for j, column in enumerate(columns):
+                    at = own + codes[column, lo:hi][rows]
+                    left_g[:, j] += np.bincount(at, own_g, width * b).reshape(-1, b)
+                    left_h[:, j] += np.bincount(at, own_h, width * b).reshape(-1, b)
+            names = np.flatnonzero(total_h > 0)
+            total_g, total_h = total_g[names], total_h[names]
+            value[first + names] = -rate * total_g / (total_h + self.l2)
             if level == depth:
                 break
-            left_g, left_h = (np.empty((len(names), len(columns), b)) for _ in range(2))
-            first, own_g, own_h = own * b, g[rows], h[rows]
-            for j, code in enumerate(part):
-                at = first + code
-                left_g[:, j] = np.bincount(at, own_g, len(names) * b).reshape(-1, b).cumsum(1)
-                left_h[:, j] = np.bincount(at, own_h, len(names) * b).reshape(-1, b).cumsum(1)
+            left_g, left_h = left_g[names].cumsum(2), left_h[names].cumsum(2)
             right_g, right_h = total_g[:, None, None] - left_g, total_h[:, None, None] - left_h
             gain = left_g ** 2 / (left_h + self.l2) + right_g ** 2 / (right_h + self.l2) - (total_g ** 2 / (total_h + self.l2))[:, None, None]
             gain[(left_h < self.least) | (right_h < self.least)] = -np.inf
             flat = gain.reshape(len(names), -1)
             best = flat.argmax(1)
             split = flat[np.arange(len(names)), best] > max(gamma, 1e-9)
-            f, c = np.divmod(best, b)
-            feature[names[split]], cut[names[split]] = columns[f[split]], c[split]
-            stay = split[own]
-            rows, part = rows[stay], part[:, stay]
-            if not len(rows):
+            if not split.any():
                 break
-            node[rows] = 2 * node[rows] + 1 + (codes[rows, feature[node[rows]]] > cut[node[rows]])
+            f, c = np.divmod(best, b)
+            feature[first + names[split]], cut[first + names[split]] = columns[f[split]], c[split]
         return feature, cut, value
 
     @staticmethod
@@ -98,17 +129,36 @@ class BoostedTrees:
         return out
 
     def fit(self, x: np.ndarray, y: np.ndarray, params: dict, seed: int) -> list[tuple]:
-        codes, trees = self.codes(x), []
-        margin = np.zeros(len(y))
-        weight = np.where(y == 1, max(1.0, (y == 0).sum()) / max(1.0, (y == 1).sum()), 1.0)
+        return self._fit(np.ascontiguousarray(self.codes(x).T), y, params, seed)
+
+    def packed(self, x: np.ndarray) -> np.ndarray:
+        """Bytes of the rows, as ``fit_packed`` takes them."""
+        return self.codes(x)
+
+    def fit_packed(self, packed: np.ndarray, y: np.ndarray, use: np.ndarray, params: dict, seed: int, rows: int = ROWS, scratch=np.zeros) -> list[tuple]:
+        """``fit`` on the rows ``use``, of which ``rows`` are in memory at a time."""
+        codes = scratch((packed.shape[1], len(use)), np.uint8)
+        for lo in range(0, len(use), rows):
+            codes[:, lo:lo + rows] = packed[use[lo:lo + rows]].T
+        return self._fit(codes, y[use], params, seed, rows, scratch)
+
+    def _fit(self, codes: np.ndarray, y: np.ndarray, params: dict, seed: int, rows: int = ROWS, scratch=np.zeros) -> list[tuple]:
+        n, trees = len(y), []
+        spans = [(lo, min(lo + rows, n)) for lo in range(0, n, rows)]
+        margin, g, h, node = scratch(n, float), scratch(n, float), scratch(n, float), scratch(n, np.int32)
+        positive = max(1.0, (y == 0).sum()) / max(1.0, (y == 1).sum())
         for t in range(params["n_estimators"]):
             rng = np.random.default_rng([seed, t])
-            p = sigmoid(margin)
-            use = rng.random(len(y)) < params.get("subsample", 1.0)
-            columns = np.sort(rng.permutation(codes.shape[1])[:max(1, round(params.get("colsample_bytree", 1.0) * codes.shape[1]))])
-            tree = self._tree(codes, weight * (p - y) * use, weight * np.maximum(p * (1 - p), 1e-16) * use, columns,
-                              params.get("max_depth", 6), params.get("gamma", 0.0), params.get("learning_rate", 0.3))
-            margin += self._leaf_values(tree, codes)
+            for lo, hi in spans:
+                p, label = sigmoid(margin[lo:hi]), y[lo:hi]
+                weight = np.where(label == 1, positive, 1.0)
+                use = rng.random(hi - lo) < params.get("subsample", 1.0)
+                g[lo:hi], h[lo:hi] = weight * (p - label) * use, weight * np.maximum(p * (1 - p), 1e-16) * use
+                node[lo:hi] = 0
+            columns = np.sort(rng.permutation(len(codes))[:max(1, round(params.get("colsample_bytree", 1.0) * len(codes)))])
+            tree = self._tree(codes, g, h, node, spans, columns, params.get("max_depth", 6), params.get("gamma", 0.0), params.get("learning_rate", 0.3))
+            for lo, hi in spans:
+                margin[lo:hi] += tree[2][node[lo:hi]]
             trees.append(tree)
         return trees
 
@@ -132,11 +182,11 @@ ACTIVATIONS = ("relu", "leaky_relu", "tanh")
 
 
 class EmbeddingNetwork:
-    """Numeric columns (standardised by the sample) beside embeddings of
+    """Numeric columns (standardised by all rows given) beside embeddings of
     min(50, (cardinality + 1) // 2) numbers for categorical ones, hidden layers
     with activation and dropout, one output. Parameters: hidden_dims, dropout,
     lr, optimizer_name (adam, sgd), activation_name, n_epochs, batch_size. A value
-    that the sample lacks has the embedding zero; a missing number is the mean."""
+    that these lack has the embedding zero; a missing number is the mean."""
 
     staged = None
 
@@ -151,6 +201,37 @@ class EmbeddingNetwork:
         std = np.nan_to_num(np.nanstd(x[:, self.num], axis=0)) if len(x) else np.zeros(len(self.num))
         self.std = np.where(std > 0, std, 1.0)
 
+    def prepare_from(self, rows, cols: list[str]) -> None:
+        """``prepare`` from a frame with an array column ``x``. Means and deviations keep 12 digits: those after hang on the order of the sum."""
+        from pyspark.sql import functions as F
+        self.cat = [i for i, c in enumerate(cols) if c in self.categorical]
+        self.num = [i for i in range(len(cols)) if i not in self.cat]
+        of = lambda i: F.nanvl(rows["x"][i], F.lit(None).cast("double"))
+        row = rows.agg(F.struct(*[F.avg(of(i)).alias(f"m{i}") for i in self.num], F.lit(0).alias("_")).alias("m"),
+                       F.struct(*[F.stddev_pop(of(i)).alias(f"s{i}") for i in self.num], F.lit(0).alias("_")).alias("s"),
+                       *[F.collect_set(of(i)).alias(f"v{i}") for i in self.cat]).first()  # each value has an embedding in every model
+        digits = lambda v: np.nan_to_num(np.array([float(f"{x:.12g}") if x is not None else 0.0 for x in v]))
+        self.values = [np.unique(np.array(row[f"v{i}"], float)) for i in self.cat]
+        self.mean, std = digits(row["m"][:-1]), digits(row["s"][:-1])
+        self.std = np.where(std > 0, std, 1.0)
+
+    def cost(self, params: dict) -> float:
+        """Work of a fit, against others of the same rows."""
+        sizes = [len(self.num) + sum(min(50, (len(v) + 1) // 2) for v in self.values), *params["hidden_dims"], 1]
+        return params.get("n_epochs", 5) * sum(a * b for a, b in zip(sizes, sizes[1:]))
+
+    def packed(self, x: np.ndarray) -> np.ndarray:
+        """Bytes of the rows, as ``fit_packed`` takes them."""
+        num, cats = self.inputs(x)
+        codes = np.stack(cats, 1).astype(np.int32) if cats else np.zeros((len(x), 0), np.int32)
+        return np.hstack([np.ascontiguousarray(num, float).view(np.uint8).reshape(len(x), 8 * len(self.num)), codes.view(np.uint8).reshape(len(x), 4 * len(cats))])
+
+    def _unpacked(self, packed: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        at, n = 8 * len(self.num), len(packed)
+        num = np.frombuffer(packed[:, :at].tobytes(), float).reshape(n, len(self.num))
+        cats = np.frombuffer(packed[:, at:].tobytes(), np.int32).reshape(n, len(self.cat))
+        return num, list(np.ascontiguousarray(cats.T))
+
     def _inputs(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         num = np.nan_to_num((x[:, self.num] - self.mean) / self.std)
         cats = []
@@ -226,8 +307,15 @@ class EmbeddingNetwork:
         return grad
 
     def fit(self, x: np.ndarray, y: np.ndarray, params: dict, seed: int) -> dict:
-        rng = np.random.default_rng(seed)
         num, cats = self.inputs(x)
+        return self._fit(lambda rows: (num[rows], [c[rows] for c in cats]), y, params, seed)
+
+    def fit_packed(self, packed: np.ndarray, y: np.ndarray, use: np.ndarray, params: dict, seed: int, rows: int = ROWS, scratch=np.zeros) -> dict:
+        """``fit`` on the rows ``use``; a mini-batch of them is in memory at a time."""
+        return self._fit(lambda at: self._unpacked(packed[use[at]]), y[use], params, seed)
+
+    def _fit(self, taken, y: np.ndarray, params: dict, seed: int) -> dict:
+        rng = np.random.default_rng(seed)
         model = self._start(params, rng)
         positive = max(1.0, (y == 0).sum()) / max(1.0, (y == 1).sum())
         size, lr, adam = params.get("batch_size", 64), params.get("lr", 1e-3), params.get("optimizer_name", "adam")
@@ -242,7 +330,7 @@ class EmbeddingNetwork:
             order = rng.permutation(len(y))
             for at in range(0, len(order), size):
                 rows = order[at:at + size]
-                grad = self.gradients(model, num[rows], [c[rows] for c in cats], y[rows], positive, params, rng)
+                grad = self.gradients(model, *taken(rows), y[rows], positive, params, rng)
                 step += 1
                 np.concatenate([grad[k].ravel() for k in model], out=g)
                 if adam == "sgd":

@@ -1,22 +1,24 @@
 """Hyper-parameter search with its fits side by side.
 
 MLlib's trees need one job per level of every tree; twenty settings of up to 300
-trees over three folds are over 80,000 jobs in a row. Here the search, as any
-tuning on a cluster does, fits on a bounded sample (``max_rows``, a parameter; the
-chosen setting is then fitted on all rows), and the cluster works on all fits at once:
-
-1. folds, labels and features are written once; at most about ``max_rows`` of
-   the rows, drawn by a seeded hash, are broadcast (a proven size bound);
-2. every (setting, fold) is one task of one job; settings that differ only in the
-   number of boosting rounds share a fit, scored at several stages;
-3. *all* rows are scored by the models of their own fold, a bounded number of
+trees over three folds are over 80,000 jobs in a row. Here the cluster works on all fits at once, and
+every fit sees all rows of its folds:
+
+1. folds, labels and features are written once; what the learner takes from the table as a
+   whole (cuts, categories, means) comes from aggregates over all rows;
+2. the fits (setting, fold) are dealt over the cores by their cost, and each core's task is sent all
+   rows once, in the order of their keys, as packed bytes. It lays them in a file and fits from there; ``max_rows``
+   rows are in memory at a time. Settings that differ only in the number of boosting rounds share a fit, scored at several stages;
+3. all rows are scored by the models of their own fold, a bounded number of
    models at a time, into one table (combo, fold, y_true, score);
 4. one grouped metric pass gives every metric of every setting and fold.
 """
 
 from __future__ import annotations
 
+import heapq
 import pickle
+import tempfile
 import uuid
 
 import numpy as np
@@ -25,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators import metrics as M
-from riskloom.operators.split import seeded_unit, stratified_folds
+from riskloom.operators.split import stratified_folds
 from riskloom.session import checkpoint_dir, ship_package
 
-MAX_ROWS = 200_000
+MAX_ROWS = 1 << 16  # rows of a fit in memory at a time
 MODELS_AT_A_TIME = 24
 
 
@@ -48,10 +50,61 @@ def shared_fits(combos: list[dict], staged: str | None) -> list[tuple[dict, list
             for g in groups.values()]
 
 
+def dealt(costs: list[float], slots: int) -> list[list[int]]:
+    """Fits dealt over ``slots`` tasks: the costliest first, each to the task with the least so far."""
+    load, out = [(0.0, s) for s in range(slots)], [[] for _ in range(slots)]
+    for job in sorted(range(len(costs)), key=lambda j: (-costs[j], j)):
+        so_far, s = heapq.heappop(load)
+        out[s].append(job)
+        heapq.heappush(load, (so_far + costs[job], s))
+    return out
+
+
+def scratch(shape, dtype) -> np.ndarray:
+    """Zeros in a file without a name, mapped into memory."""
+    if not np.prod(shape):
+        return np.zeros(shape, dtype)
+    with tempfile.TemporaryFile() as f:
+        return np.asarray(np.memmap(f, dtype, "w+", shape=shape))
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """Fixed-size binary rows as (rows, bytes)."""
+    size = column.type.byte_width
+    return np.frombuffer(column.buffers()[1], np.uint8, len(column) * size, column.offset * size).reshape(len(column), size)
+
+
+def _laid(batches, width: int):
+    """(slot, packed, y, fold) for each slot of sorted batches (slot, y, fold, packed), the packed rows in a file."""
+    def arrays(slot, f, y, fold):
+        f.flush()
+        n = sum(map(len, y))
+        packed = np.asarray(np.memmap(f, np.uint8, "r", shape=(n, width))) if n and width else np.zeros((n, width), np.uint8)
+        return slot, packed, np.concatenate(y), np.concatenate(fold)
+
+    now, f, y, fold = None, None, [], []
+    for b in batches:
+        slots = b.column("slot").to_numpy()
+        for slot in np.unique(slots).tolist():
+            if slot != now:
+                if now is not None:
+                    yield arrays(now, f, y, fold)
+                    f.close()
+                now, f, y, fold = slot, tempfile.TemporaryFile(), [], []
+            lo, hi = np.searchsorted(slots, [slot, slot + 1])
+            part = b.slice(lo, hi - lo)
+            f.write(_bytes_of(part.column("packed").cast(pa.binary(width))).tobytes())
+            y.append(part.column("y").to_numpy().astype(float))
+            fold.append(part.column("fold").to_numpy().astype(np.int16))
+    if now is not None:
+        yield arrays(now, f, y, fold)
+        f.close()
+
+
 def score_settings(df: DataFrame, cols: list[str], learner, combos: list[dict], k: int = 3, label: str = "label",
                    key: str = "id", seed: int = 42, max_rows: int = MAX_ROWS) -> DataFrame:
     """(combo, fold, y_true, score): every row of ``df`` scored by every setting
-    fitted on the other folds. Rows without a label take no part."""
+    fitted on all rows of the other folds, ``max_rows`` of them in memory at a time. Rows without a label take no part."""
     spark = df.sparkSession
     ship_package(spark)
     folder = f"{checkpoint_dir(spark)}/search-{uuid.uuid4().hex}"
@@ -60,32 +113,39 @@ def score_settings(df: DataFrame, cols: list[str], learner, combos: list[dict],
      .select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), "fold", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
      .write.parquet(f"{folder}/rows"))
     rows = spark.read.parquet(f"{folder}/rows")
-    n = rows.count()
-    drawn = rows if n <= max_rows else rows.where(seeded_unit(seed, F.lit("search"), F.col("key")) < max_rows / n)
-    sample = drawn.select("key", "y", "fold", "x").toArrow().sort_by("key")  # at most about ``max_rows``
-    x, y, fold = _arrays(sample, len(cols)), sample.column("y").to_numpy().astype(float), sample.column("fold").to_numpy()
-    learner.prepare(x, cols)
+    learner.prepare_from(rows, cols)
     fits = shared_fits(combos, learner.staged)
-    data = spark.sparkContext.broadcast((learner, x, y, fold))
+    width = learner.packed(np.zeros((1, len(cols)))).shape[1]
+
+    def pack(batches):
+        for b in batches:
+            packed = np.ascontiguousarray(learner.packed(_arrays(b, len(cols))))
+            values = pa.Array.from_buffers(pa.binary(width), len(packed), [None, pa.py_buffer(packed.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), b.column("fold"), values.cast(pa.binary())], names=["key", "y", "fold", "packed"])
+
+    shares = dealt([learner.cost(p) for p, _ in fits for _ in range(k)], max(1, min(len(fits) * k, spark.sparkContext.defaultParallelism)))
+    packed = rows.mapInArrow(pack, rows.select("key", "y", "fold", F.lit(b"").alias("packed")).schema)
+    sent = (packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(shares) - 1))).alias("slot"))
+            .repartitionById(len(shares), F.col("slot")).sortWithinPartitions("slot", F.col("key").asc_nulls_last(), "y", "fold", "packed")
+            .select("slot", "y", "fold", "packed"))
+
+    def fit(batches):
+        for slot, packed, y, fold in _laid(batches, width):
+            for f in range(k):
+                use = np.flatnonzero(fold != f)
+                for job in shares[slot]:
+                    if job % k == f:
+                        model = learner.fit_packed(packed, y, use, fits[job // k][0], seed, max_rows, scratch)
+                        yield pa.RecordBatch.from_arrays([pa.array([job]), pa.array([pickle.dumps(model)], pa.binary())], names=["job", "model"])
+
+    sent.mapInArrow(fit, "job long, model binary").write.parquet(f"{folder}/models")
     per_pass = max(1, MODELS_AT_A_TIME // k)
     for at in range(0, len(fits), per_pass):
         part = fits[at:at + per_pass]
-
-        def fit(batches):
-            learner, x, y, fold = data.value
-            for b in batches:
-                for job in b.column("id").to_pylist():
-                    group, f = divmod(job, k)
-                    use = fold != f
-                    model = learner.fit(x[use], y[use], part[group][0], seed)
-                    yield pa.RecordBatch.from_arrays([pa.array([job]), pa.array([pickle.dumps(model)], pa.binary())], names=["job", "model"])
-
-        jobs = len(part) * k
-        fitted = spark.range(0, jobs, 1, jobs).mapInArrow(fit, "job long, model binary").collect()
-        models = spark.sparkContext.broadcast({r["job"]: bytes(r["model"]) for r in fitted})
+        fitted = spark.read.parquet(f"{folder}/models").where(F.col("job").between(at * k, (at + len(part)) * k - 1)).collect()
+        models = spark.sparkContext.broadcast({r["job"] - at * k: bytes(r["model"]) for r in fitted})
 
         def score(batches):
-            learner = data.value[0]
             held = {j: pickle.loads(m) for j, m in models.value.items()}
             for b in batches:
                 x, y, fold = _arrays(b, len(cols)), b.column("y"), b.column("fold").to_numpy()
@@ -103,7 +163,6 @@ def score_settings(df: DataFrame, cols: list[str], learner, combos: list[dict],
         (rows.select("y", "fold", "x").mapInArrow(score, "combo int, fold int, y_true int, score double")
          .write.mode("append").parquet(f"{folder}/scored"))
         models.unpersist()
-    data.unpersist()
     return spark.read.parquet(f"{folder}/scored")
 
 

@@ -206,3 +206,45 @@ def test_inputs_made_once_serve_all_models():
     for name, step in (("sgd", lambda g: 0.1 * g), ("adam", lambda g: 0.1 * g / (np.abs(g) + 1e-8))):
         got = net.fit(x[:64], y[:64], p | {"optimizer_name": name}, 5)["weights"]
         assert got.keys() == start.keys() and all(np.allclose(got[k], start[k] - step(grad[k]), atol=1e-5) for k in start)
+
+
+def test_fits_take_all_rows_however_few_are_in_memory(spark):
+    """Cuts, means, categories and fits from all rows: scores do not hang on ``max_rows``, and equal fits on plain arrays."""
+    x, y = table(300, 6)
+    df = frame(spark, x, y).repartition(7)
+    fold = {r.id: r.fold for r in stratified_folds(df, k=3).collect()}
+    fold = np.array([fold[i] for i in range(len(y))])
+    for learner, p in ((LN.BoostedTrees(), {"n_estimators": 5, "max_depth": 3, "subsample": 0.7, "learning_rate": 0.3}),
+                       (LN.EmbeddingNetwork(["b"]), {"hidden_dims": (6, 4), "lr": 1e-2, "n_epochs": 2, "dropout": 0.2})):
+        plain = type(learner)(*[learner.categorical] if learner.staged is None else [])
+        plain.prepare(x, COLS)
+        want = np.zeros(len(y))
+        for f in range(3):
+            want[fold == f] = plain.scores(plain.fit(x[fold != f], y[fold != f], p, 42), x[fold == f], [p.get("n_estimators")])[0]
+        for rows in (37, 100, 1 << 16):
+            got = SR.score_settings(df, COLS, learner, [p], k=3, max_rows=rows).collect()
+            for f in range(3):
+                mine = sorted((r.y_true, r.score) for r in got if r.fold == f)
+                assert np.allclose(mine, sorted(zip(y[fold == f].astype(int), want[fold == f])), atol=1e-6), (p, rows)
+
+
+def test_learners_are_prepared_from_a_frame_as_from_arrays(spark):
+    x, _ = table(211, 9)
+    rows = frame(spark, x, np.zeros(len(x))).select(SR.F.array("a", "b", "c").alias("x"))
+    trees, plain = LN.BoostedTrees(), LN.BoostedTrees()
+    trees.prepare_from(rows, COLS)
+    plain.prepare(x, COLS)
+    assert all(map(np.array_equal, trees.cuts, plain.cuts)) and len(plain.cuts[0]) > 50
+    net, other = LN.EmbeddingNetwork(["b"]), LN.EmbeddingNetwork(["b"])
+    net.prepare_from(rows, COLS)
+    other.prepare(x, COLS)
+    assert (net.cat, net.num) == (other.cat, other.num) and np.array_equal(net.values[0], other.values[0])
+    assert np.allclose(net.mean, other.mean, rtol=1e-11) and np.allclose(net.std, other.std, rtol=1e-11)
+    num, cats = net.inputs(x)
+    back = net._unpacked(net.packed(x))
+    assert np.array_equal(back[0], num) and np.array_equal(back[1][0], cats[0])
+
+
+def test_fits_are_dealt_by_cost():
+    got = SR.dealt([5, 1, 1, 1, 1, 1], 2)
+    assert sorted(sum(got, [])) == list(range(6)) and sorted(map(len, got)) == [1, 5]
